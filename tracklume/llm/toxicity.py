@@ -32,6 +32,8 @@ MAX_TRAIN = 20_000
 #: Stems in a learned grammar, at most: those of most evidence.
 MAX_STEMS = 5_000
 STEM_CHARS = range(4, 13)
+#: Log odds that a stem must have to count as an insult.
+LEAST_ODDS = 3.5
 
 # Words of the transducers, in English, German, French and Spanish.
 THREATS = frozenset("kill murder destroy hurt beat burn stab shoot hang töten umbringen verletzen tuer frapper brûler matar golpear quemar".split())
@@ -148,23 +150,26 @@ def _stem_counts(texts: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 
 def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Stems that mark toxic texts: frequent there and all but absent elsewhere, each as long as its texts allow."""
-    least = max(3, round(0.002 * n_toxic))
+    """Stems that mark toxic texts, frequent there and all but absent elsewhere; of nested ones that of most evidence."""
+    share = n_toxic / (n_toxic + n_clean)
     sure = {}
     for stem, a in toxic.items():
         b = clean.get(stem, 0)
         odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if a >= least and odds >= 3 and a * n_clean >= 20 * b * n_toxic:
-            sure[stem] = odds
-    same = {x[:k] for x in sure for k in range(STEM_CHARS[0], len(x)) if toxic[x] >= 0.98 * toxic.get(x[:k], 0)}
-    longest: dict[str, float] = {}
-    for stem in sorted(sure, key=len):
-        if stem in same:  # a longer one stands in as many texts
-            continue
-        if not any(stem[:k] in longest for k in range(STEM_CHARS[0], len(stem))):
-            longest[stem] = sure[stem]
-    kept = sorted(longest, key=lambda x: (-toxic[x], x))[:MAX_STEMS]
-    return {x: longest[x] for x in kept}
+        # The log-likelihood ratio against a stem that doesn't care about labels must beat as many tries as there are stems.
+        evidence = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
+        if odds >= LEAST_ODDS and evidence >= math.log(len(toxic)) + 3:
+            sure[stem] = odds, evidence
+    chosen: dict[str, float] = {}
+    taken: set[str] = set()  # chosen stems and all that begin one
+    for stem in sorted(sure, key=lambda x: (-sure[x][1], -len(x), x)):
+        begins = [stem[:k] for k in range(STEM_CHARS[0], len(stem) + 1)]
+        if stem not in taken and not any(x in chosen for x in begins):
+            chosen[stem] = sure[stem][0]
+            taken.update(begins)
+        if len(chosen) == MAX_STEMS:
+            break
+    return chosen
 
 
 def learn(texts: DataFrame, labels: DataFrame, key: str, label: str, allowed) -> Grammar:
@@ -178,12 +183,12 @@ def learn(texts: DataFrame, labels: DataFrame, key: str, label: str, allowed) ->
     scratch = Scratch(spark, "toxicity")
     usable = labels.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull())
     sample = usable.groupBy(key).agg(F.max(label).alias("_y")).orderBy(F.xxhash64(key), key).limit(MAX_TRAIN)
-    train = scratch.write(texts.select(key, "text").join(F.broadcast(sample), key).select("_y", "text"), "train")
+    train = scratch.write(texts.select(key, "text").join(F.broadcast(sample), key).select("_y", "text").dropDuplicates(["text"]), "train")
     sizes = {int(r["_y"] > 0): r["n"] for r in train.groupBy("_y").count().withColumnRenamed("count", "n").collect()}
     if len(sizes) < 2:
         scratch.drop()
         return Grammar()
-    least = max(3, round(0.002 * sizes[1]))
+    least = max(3, round(0.002 * sizes[1]))  # fewer can't be told from chance
     toxic = {r["stem"]: r["n"] for r in _stem_counts(train.where("_y > 0"), None).where(F.col("n") >= least).collect()}
     clean = {r["stem"]: r["n"] for r in _stem_counts(train.where("_y <= 0"), frozenset(toxic)).collect()}
     grammar = Grammar(choose_stems(toxic, clean, sizes[1], sizes[0]))
