@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracklume.llm import html_text_query, jaccard_join_query, media_query, packing_query, sharding_query, substring_dedup_query, toxicity_query, url_filter_query
+from tracklume.llm import decontamination_query, html_text_query, jaccard_join_query, media_query, packing_query, sharding_query, substring_dedup_query, toxicity_query, url_filter_query
 
-MODULES = (substring_dedup_query, toxicity_query, sharding_query, jaccard_join_query, packing_query, url_filter_query, html_text_query, media_query)
+MODULES = (substring_dedup_query, toxicity_query, decontamination_query, sharding_query, jaccard_join_query, packing_query, url_filter_query, html_text_query, media_query)
 
 
 def queries() -> dict:

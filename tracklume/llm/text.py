@@ -20,6 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = SPACE | np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
@@ -77,8 +79,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             at = to
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Every word of every text; ``lower`` hashes A-Z as a-z."""
+def words(texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACE) -> Words:
+    """Every word of every text; ``lower`` hashes A-Z as a-z; ``breaks`` marks the bytes that end a word."""
     data, offsets = buffers(texts)
     table = _BYTE[_LOWER] if lower else _BYTE
     starts, ends, hashes = [], [], []
@@ -90,7 +92,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         if hi == lo:
             continue
         part = data[lo:hi]
-        solid = ~SPACE[part]
+        solid = ~breaks[part]
         before, after = np.empty_like(solid), np.empty_like(solid)
         before[0], before[1:] = False, solid[:-1]
         after[-1], after[:-1] = False, solid[1:]
