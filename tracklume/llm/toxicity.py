@@ -112,19 +112,20 @@ def text_score(text: str, automaton) -> float:
     return total
 
 
-def scores(texts: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
-    """``texts`` without the text column, with ``score`` in [0, 1]: the higher, the likelier toxic.  Null and empty texts have the score of no match."""
-    kept = [x for x in texts.columns if x not in (text, "score")]
+def scores(texts: DataFrame, grammar: Grammar, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``texts``, without the text column unless ``keep_text``, with ``score`` in [0, 1]: the higher, the likelier toxic.  Null and empty texts have the score of no match."""
+    kept = [x for x in texts.columns if x not in ("score", *(() if keep_text else (text,)))]
+    place = kept.index(text) if keep_text else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = grammar.automaton()
         for batch in batches:
-            sums = np.array([text_score(x.as_py() or "", automaton) for x in batch.column(len(kept))], float)
+            sums = np.array([text_score(x.as_py() or "", automaton) for x in batch.column(place)], float)
             values = 1 / (1 + np.exp(-(grammar.bias + grammar.slope * np.log1p(sums))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(values)], names=[*kept, "score"])
 
-    narrow = texts.select(*kept, text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "score double"])
+    narrow = texts.select(*kept) if keep_text else texts.select(*kept, text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*kept).schema.fields), "score double"])
     return narrow.mapInArrow(run, schema)
 
 
