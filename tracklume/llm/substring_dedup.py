@@ -111,7 +111,7 @@ def _window_blocks(window: int, phrase: int, n: int):
     ranges = bounds(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(x.select(["_a", "_b", "text", "keys"]) for x in batches):
             told = [x for x in chunk.column(3) if x.is_valid and len(x)]
             if not told:
                 continue
@@ -194,7 +194,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     phrases = recurring(narrow, _phrase_keys(window, phrase)).groupBy("a", "b").agg(F.collect_list("keys").alias("keys"))
     dealt = known.repartition(n, "_a", "_b")
     streamed = dealt.join(phrases.hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left")
-    blocks = streamed.select("_a", "_b", "text", "keys").mapInArrow(_window_blocks(window, phrase, buckets(docs)), _BLOCK)
+    # All columns go along: with the same ones, both uses of ``dealt`` are one exchange.
+    blocks = streamed.select(*dealt.columns, "keys").mapInArrow(_window_blocks(window, phrase, buckets(docs)), _BLOCK)
     found = blocks.groupBy("bucket").applyInArrow(_owners, "a long, b long, at binary").groupBy("a", "b").agg(F.collect_list("at").alias("at"))
     joined = dealt.join(found.hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").drop("a", "b")
     everything = joined.unionByName(rows.where("_a is null").withColumn("at", F.lit(None).cast("array<binary>")))
