@@ -1,0 +1,60 @@
+"""Closed-loop episodes: a bounded state machine over each episode's events, in order, with Arrow-batched state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+MAX_DECISIONS, HORIZON_S, STEP_S = 32, 6.4, 0.2
+SCHEMA = "episode_id long, steps int, elapsed_s double, verifications int, unnecessary int, rejects int, collision int, outcome string"
+
+
+def walk(rows: list[tuple[str, float, bool]]) -> tuple[int, float, int, int, int, int, str]:
+    """One episode over (decision, duration, hazard): a collision ends it first, then the goal, then the time or decision budget."""
+    elapsed, verified, wasted, rejected = 0.0, 0, 0, 0
+    for i, (decision, duration, hazard) in enumerate(rows[:MAX_DECISIONS]):
+        if HORIZON_S - elapsed + 1e-12 < STEP_S:
+            return i, elapsed, verified, wasted, rejected, 0, "horizon"
+        elapsed += duration
+        if decision == "verify":
+            verified += 1
+            wasted += not hazard
+        elif decision == "reject":
+            rejected += 1
+        elif hazard:
+            return i + 1, elapsed, verified, wasted, rejected, 1, "collision"
+        elif decision == "finish":
+            return i + 1, elapsed, verified, wasted, rejected, 0, "goal"
+    n = min(len(rows), MAX_DECISIONS)
+    return n, elapsed, verified, wasted, rejected, 0, "max_decisions" if len(rows) >= MAX_DECISIONS else "exhausted"
+
+
+def episodes(steps: DataFrame) -> DataFrame:
+    """``steps`` (episode_id, step, decision, duration, hazard), of which each episode's first MAX_DECISIONS can matter."""
+    order = Window.partitionBy("episode_id").orderBy("step")
+    heads = steps.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= MAX_DECISIONS)
+    rows = heads.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("_i", "decision", "duration", "hazard"))).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(e, *walk([(r["decision"], r["duration"], r["hazard"]) for r in rs])) for e, rs in zip(batch["episode_id"], batch["rows"], strict=True)]
+            frame = pd.DataFrame(found, columns=["episode_id", "steps", "elapsed_s", "verifications", "unnecessary", "rejects", "collision", "outcome"])
+            yield frame
+
+    return rows.mapInPandas(run, SCHEMA)
+
+
+def summary(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates over episodes; unnecessary verifications over verifications (0 if none), mean time over goals (0 if none)."""
+    goal = F.col("outcome") == "goal"
+    return found.groupBy(*keys).agg(
+        F.count("*").alias("episodes"),
+        F.round(F.avg("collision"), 9).alias("collision_rate"),
+        F.sum("verifications").alias("verifications"),
+        F.round(F.when(F.sum("verifications") > 0, F.sum("unnecessary") / F.sum("verifications")).otherwise(0.0), 9).alias("unnecessary_rate"),
+        F.round(F.coalesce(F.avg(F.when(goal, F.col("elapsed_s"))), F.lit(0.0)), 6).alias("mean_goal_s"),
+        F.sum(goal.cast("int")).alias("goals"),
+    )
