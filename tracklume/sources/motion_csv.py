@@ -63,4 +63,4 @@ def hygiene(samples: DataFrame) -> DataFrame:
     same = (F.col("frame") == F.lag("frame").over(order)) & (F.col("time") == F.lag("time").over(order))
     marked = samples.withColumns({"_dup": F.coalesce(same, F.lit(False)), "_eq": F.coalesce(place == F.lag(place).over(order), F.lit(False)), "_back": F.coalesce((F.col("time") <= F.lag("time").over(order)) & ~same, F.lit(False))})
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return marked.groupBy("file", "body").agg(F.count("*").alias("rows"), count(F.col("_dup") & F.col("_eq")).alias("collapsed"), count(F.col("_dup") & ~F.col("_eq")).alias("conflicting"), count("_back").alias("not_increasing"))
+    return marked.groupBy("file", "body").agg(F.count("*").alias("rows"), count(F.col("_dup") & F.col("_eq")).alias("collapsed"), count(F.col("_dup") & ~F.col("_eq")).alias("conflicting"), count(F.col("_back")).alias("not_increasing"))
