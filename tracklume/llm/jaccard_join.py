@@ -7,7 +7,12 @@ candidate must then share prefix tokens under the other orders as well before
 its sets are compared.  All orders put the most frequent tokens last, so that
 common passages make no candidates; they differ in the rest.
 
-Documents of equal sets are one node.  Every node is first compared with two
+Between the first order and the others stands a bitmap filter: of each set a
+bitmap of its tokens' hashes, from which follows a bound on what two sets can
+have in common.  It only drops pairs that can't reach the similarity, and lets
+the texts of few documents be shuffled.
+
+Documents of equal sets are one node.  Every node is first compared with some
 others of its tokens' holders, which links most groups of near copies; then all
 pairs that share a prefix token and aren't yet in one component are compared.
 So no link between components is lost, and large groups of copies don't
@@ -29,21 +34,25 @@ from tracklume.llm.components import components
 from tracklume.llm.scratch import Scratch
 from tracklume.llm.shared_keys import Keyed, recurring
 
-#: Tokens known to be frequent, at most: what every task gets to order tokens by.  It changes which candidates there are, not what is linked.
-MAX_FREQUENT = 65_536
-#: Documents of one chunk of texts from which on a token counts as frequent there.
-FREQUENT_IN_CHUNK = 32
+#: Frequent tokens, at most, by which every task orders: which are known changes the candidates, not what is linked.
+MAX_FREQUENT = 1 << 19
+#: Tokens that a task counts together, and documents among them from which on a token may be frequent.
+COUNTED_TOGETHER, FREQUENT_AMONG = 1 << 22, 4
 #: Seeds of the token orders.
 ORDERS = (1, 2, 3)
+#: Bits of the filter that finds the texts of candidates before they are shuffled; when it is full, all are.
+FETCH_BITS = 1 << 23
 _TOP = np.uint64(1 << 63)
 
 
 class Sets(NamedTuple):
-    """Of each text its distinct tokens: tokens[first[i] : first[i + 1]], in the order asked for; doc: the text of each."""
+    """Of each text its distinct tokens (63 bits), sorted: tokens[first[i] : first[i + 1]]."""
 
     tokens: np.ndarray
     first: np.ndarray
-    doc: np.ndarray
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        return zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)
 
 
 class Frequent(NamedTuple):
@@ -53,11 +62,8 @@ class Frequent(NamedTuple):
     place: np.ndarray
 
 
-NONE_FREQUENT = Frequent(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-
-
-def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token, text) of every n-word shingle of A-Z lower-cased texts, repeats included; a shorter text is one shingle."""
+def shingle_sets(texts: pa.Array, n: int) -> Sets:
+    """The distinct n-word shingles of A-Z lower-cased texts; a shorter text is one shingle."""
     w = T.words(texts, lower=True)
     whole = T.whole(w, n)
     tokens, doc = T.grams(w.hashes, n)[whole], w.doc[whole]
@@ -67,28 +73,33 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(short):
             tokens = np.concatenate([tokens, T.mix(T.grams(w.hashes, size)[w.first[short]] + np.uint64(size))])
             doc = np.concatenate([doc, short])
-    return tokens, doc
-
+    order = np.argsort(doc, kind="stable")
+    tokens = tokens[order] >> np.uint64(1)
+    first = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        tokens[a:b].sort()
+    fresh = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
+    fresh[first[:-1][first[:-1] < len(tokens)]] = True
+    return Sets(tokens[fresh], np.r_[0, np.cumsum(fresh)][first])
 
-def ordered(tokens: np.ndarray, doc: np.ndarray, texts: int, seed: int, frequent: Frequent) -> Sets:
-    """The distinct tokens of each text, rare ones by a hash of ``seed`` first, frequent ones by their counts last."""
-    key = T.mix(tokens + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(1)
-    if len(frequent.tokens):
-        at = np.minimum(np.searchsorted(frequent.tokens, tokens), len(frequent.tokens) - 1)
-        known = frequent.tokens[at] == tokens
-        key[known] = _TOP | (frequent.place[at[known]] << np.uint64(44)) | (key[known] >> np.uint64(20))
-    order = np.lexsort((key, doc))
-    tokens, doc, key = tokens[order], doc[order], key[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
-    tokens, doc = tokens[fresh], doc[fresh]
-    return Sets(tokens, np.searchsorted(doc, np.arange(texts + 1)), doc)
 
+def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text) of the prefix tokens of each set: rare tokens by a hash of ``seed`` first, frequent ones by their counts last.
 
-def prefix(sets: Sets, percent: int) -> np.ndarray:
-    """Which tokens stand in their set's prefix for a similarity of ``percent`` hundredths."""
-    size = np.diff(sets.first)
-    keep = size - (percent * size + 99) // 100 + 1
-    return np.arange(len(sets.tokens)) - sets.first[sets.doc] < keep[sets.doc]
+    A key stands for one token: hashes of a seed are a bijection of 63 bits,
+    but for a shift of one.
+    """
+    key = T.mix(sets.tokens + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(1)
+    if len(frequent.tokens) and len(key):
+        at = np.minimum(np.searchsorted(frequent.tokens, sets.tokens), len(frequent.tokens) - 1)
+        known = frequent.tokens[at] == sets.tokens
+        key[known] = _TOP | (frequent.place[at[known]] << np.uint64(43)) | (key[known] >> np.uint64(20))
+    parts, sizes = [], []
+    for a, b in sets.spans():
+        keep = b - a - (percent * (b - a) + 99) // 100 + 1 if b > a else 0
+        parts.append(np.partition(key[a:b], keep - 1)[:keep] if keep else key[a:a])
+        sizes.append(keep)
+    return np.concatenate(parts) if parts else key, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def digests(sets: Sets) -> np.ndarray:
@@ -101,47 +112,101 @@ def digests(sets: Sets) -> np.ndarray:
     return out.view(np.int64)
 
 
-def frequent_tokens(texts: DataFrame, n: int) -> Frequent:
-    """At most MAX_FREQUENT tokens of most documents, counted over all texts; a token that no chunk holds often is not frequent."""
+def bitmaps(sets: Sets) -> list[bytes]:
+    """Of each set a bit for every token's hash, in twice as many bits as tokens, up to a power of two."""
+    out = []
+    for a, b in sets.spans():
+        size = max(64, 1 << (2 * (b - a) - 1).bit_length()) if b > a else 64
+        bits = np.zeros(size, bool)
+        bits[(sets.tokens[a:b] & np.uint64(size - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(batches):
-            sets = ordered(*shingles(chunk.column(0), n), chunk.num_rows, 0, NONE_FREQUENT)
-            tokens, counts = np.unique(sets.tokens, return_counts=True)
-            often = counts >= FREQUENT_IN_CHUNK
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    place = (len(top) - 1 - np.arange(len(top))).astype(np.uint64)  # the most frequent last
-    order = np.argsort(tokens)
-    return Frequent(tokens[order], place[order])
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens with these bitmaps can reach the similarity.
 
+    A bit that only one has is a token, at least, that the other hasn't.  The
+    longer bitmap is folded: its halves are of the same hashes but for a bit.
+    """
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+    for _ in range(8 * len(x) // size - 1):
+        a = a & (1 << size) - 1 | a >> size
+    for _ in range(8 * len(y) // size - 1):
+        b = b & (1 << size) - 1 | b >> size
+    both = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return 100 * both >= percent * (n + m - both)
 
-def _common(x: Sets, y: Sets, x_in: np.ndarray, y_in: np.ndarray, pairs: int) -> np.ndarray:
-    """How many tokens the i-th sets of x and y have in common, of those that are ``in``."""
-    tokens = np.concatenate([x.tokens[x_in], y.tokens[y_in]])
-    pair = np.concatenate([x.doc[x_in], y.doc[y_in]])
-    order = np.lexsort((tokens, pair))
-    tokens, pair = tokens[order], pair[order]
-    same = (tokens[1:] == tokens[:-1]) & (pair[1:] == pair[:-1])
-    return np.bincount(pair[1:][same], minlength=pairs)
+
+def _meet(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two sets of distinct ones share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
 
 def linked(x_texts: pa.Array, y_texts: pa.Array, n: int, percent: int, frequent: Frequent) -> np.ndarray:
     """Which pairs of texts reach the similarity: those that share prefix tokens under every order are compared in whole."""
-    pairs = len(x_texts)
-    raw = shingles(x_texts, n), shingles(y_texts, n)
-    candidates = np.ones(pairs, bool)
+    x, y = shingle_sets(x_texts, n), shingle_sets(y_texts, n)
+    found = np.ones(len(x_texts), bool)
     for seed in ORDERS[1:]:
-        x, y = (ordered(*r, pairs, seed, frequent) for r in raw)
-        candidates &= _common(x, y, prefix(x, percent) & candidates[x.doc], prefix(y, percent) & candidates[y.doc], pairs) > 0
-        raw = tuple((s.tokens[candidates[s.doc]], s.doc[candidates[s.doc]]) for s in (x, y))
-    x, y = (ordered(*r, pairs, ORDERS[0], NONE_FREQUENT) for r in raw)
-    both = _common(x, y, np.ones(len(x.tokens), bool), np.ones(len(y.tokens), bool), pairs)
-    union = np.diff(x.first) + np.diff(y.first) - both
-    return candidates & (100 * both >= percent * union) & (both > 0)
+        (p, i), (q, j) = prefixes(x, percent, seed, frequent), prefixes(y, percent, seed, frequent)
+        xs, ys = (np.searchsorted(k, np.arange(len(found) + 1)).tolist() for k in (i, j))
+        for k in np.flatnonzero(found).tolist():
+            found[k] = _meet(p[xs[k] : xs[k + 1]], q[ys[k] : ys[k + 1]]) > 0
+    for k in np.flatnonzero(found).tolist():
+        a, b = x.tokens[x.first[k] : x.first[k + 1]], y.tokens[y.first[k] : y.first[k + 1]]
+        both = _meet(a, b)
+        found[k] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+    return found
+
+
+_SIGNATURE = "doc_id long, n_shingles long, node binary, bits binary, tokens binary, counts binary"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["doc_id", "n_shingles", "node", "bits", "tokens", "counts"]
+
+
+def signatures(texts: DataFrame, n: int) -> DataFrame:
+    """A row a text: the size, digest and bitmap of its set; and rows of tokens that a task counted often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(seen), return_counts=True)
+            often = counts >= FREQUENT_AMONG
+            seen.clear()
+            row = [None, None, None, None, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], names=_NAMES)
+
+        for chunk in T.chunks(batches):
+            sets = shingle_sets(chunk.column(1), n)
+            seen.append(sets.tokens)
+            none = [None] * chunk.num_rows
+            columns = [chunk.column(0), np.diff(sets.first), [x.tobytes() for x in digests(sets)], bitmaps(sets), none, none]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+            if sum(map(len, seen)) >= COUNTED_TOGETHER:
+                yield counted()
+        if seen:
+            yield counted()
+
+    return texts.mapInArrow(run, _SIGNATURE)
+
+
+def frequent_tokens(counted: DataFrame) -> Frequent:
+    """At most MAX_FREQUENT tokens of most documents, from the counts of all tasks; a token that no task saw often is not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens, counts in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (tokens, counts)], names=["token", "n"])
+
+    rows = counted.where("tokens is not null").select("tokens", "counts").mapInArrow(run, "token long, n long")
+    top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
+    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    place = (len(top) - 1 - np.arange(len(top))).astype(np.uint64)  # the most frequent last
+    order = np.argsort(tokens)
+    return Frequent(tokens[order], place[order])
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -155,18 +220,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(texts, n))
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(batches):
-            sets = ordered(*shingles(chunk.column(1), n), chunk.num_rows, 0, NONE_FREQUENT)
-            nodes = [x.tobytes() for x in digests(sets)]
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(np.diff(sets.first), pa.int64()), pa.array(nodes, pa.binary())], names=["doc_id", "n_shingles", "node"])
+    signed = scratch.write(signatures(texts, n), "signatures")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(signed))
+    signed = signed.where("node is not null")
 
     def keyed(chunk: pa.RecordBatch) -> Keyed:
-        sets = ordered(*shingles(chunk.column(1), n), chunk.num_rows, ORDERS[0], frequent.value)
-        chosen = prefix(sets, percent)
-        return Keyed(digests(sets), sets.tokens[chosen], sets.doc[chosen])
+        sets = shingle_sets(chunk.column(1), n)
+        return Keyed(digests(sets), *prefixes(sets, percent, ORDERS[0], frequent.value))
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,25 +235,51 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
             each = [x.tobytes() for x in nodes]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(each, pa.binary()).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in keys])))], names=["key", "node"])
 
-    signatures = scratch.write(texts.mapInArrow(signed, "doc_id long, n_shingles long, node binary"), "signatures")
-    classes = signatures.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     shared = recurring(texts, keyed).mapInArrow(unpacked, "key long, node binary").distinct()
     shared = scratch.write(shared.join(classes.select("node", "n"), "node"), "shared")
+    bits = signed.groupBy("node").agg(F.first("bits").alias("bits"))
 
-    # The texts of the nodes that share a prefix token, one row a node.
-    chosen = shared.select("node").distinct().join(classes, "node")
-    held = texts.join(chosen.select("rep", F.col("node").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("rep")))
-
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(batches):
-            nodes = digests(ordered(*shingles(chunk.column(1), n), chunk.num_rows, 0, NONE_FREQUENT))
-            right = pa.array([a.tobytes() == b.as_py() for a, b in zip(nodes, chunk.column(2), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([chunk.column(2).filter(right), chunk.column(1).filter(right)], names=["node", "text"])
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, n, y, m) whose bitmaps let them link."""
 
-    held = held.select("doc_id", "text", "wanted").mapInArrow(matching, "node binary, text string").dropDuplicates(["node"])
-    held = scratch.write(held, "texts")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sides = [batch.column(i).to_pylist() for i in range(2, 6)]
+                keep = pa.array([may_link(*row, percent) for row in zip(*sides, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+
+        left = bits.select(F.col("node").alias("x"), F.col("bits").alias("x_bits"))
+        right = bits.select(F.col("node").alias("y"), F.col("bits").alias("y_bits"))
+        return pairs.join(left, "x").join(right, "y").select("x", "y", "x_bits", "y_bits", "n", "m").mapInArrow(run, "x binary, y binary")
+
+    def fetched(pairs: DataFrame, name: str) -> DataFrame:
+        """(node, text) of the nodes of ``pairs``; a filter of bounded size leaves most other texts out before the join."""
+        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        wanted = scratch.write(nodes.join(classes, "node").select("node", "rep"), f"{name}-wanted")
+        place = F.pmod(F.xxhash64("rep"), F.lit(FETCH_BITS))
+        found = wanted.groupBy(F.floor(place / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64(rep), {FETCH_BITS}), 32)))")).alias("bits")).toPandas()
+        table = np.zeros(FETCH_BITS // 32, np.uint64)
+        table[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64).astype(np.uint64)
+        table = spark.sparkContext.broadcast(table)
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                hit = table.value[at // 32] >> (at % 32).astype(np.uint64) & np.uint64(1)
+                part = batch.filter(pa.array(hit.astype(bool)))
+                for chunk in T.chunks(iter([part])):
+                    each = [x.tobytes() for x in digests(shingle_sets(chunk.column(1), n))]
+                    yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), chunk.column(0), chunk.column(1)], names=["node", "rep", "text"])
+
+        placed = texts.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FETCH_BITS)))
+        sifted = placed.mapInArrow(sift, "node binary, rep long, text string")
+        return scratch.write(sifted.join(wanted, ["node", "rep"], "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.write(pairs, f"{name}-pairs")
+        held = fetched(pairs, name)
 
-    def verify(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in T.chunks(batches):
                 found = pa.array(linked(chunk.column(2), chunk.column(3), n, percent, frequent.value))
@@ -201,28 +287,29 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
         left = held.select(F.col("node").alias("x"), "text")
         right = held.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
-        return pairs.join(left, "x").join(right, "y").select("x", "y", "text", "y_text").mapInArrow(run, "x binary, y binary")
+        links = scratch.write(pairs.join(left, "x").join(right, "y").select("x", "y", "text", "y_text").mapInArrow(run, "x binary, y binary"), f"{name}-links")
+        scratch.drop(f"{name}-texts")
+        return links
 
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     # First each node with the least and the largest of those that hold a prefix token of it.
     ends = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node <> high.node")
     beside = shared.join(ends, "key").select(F.col("node").alias("x"), "n", F.explode(F.array("low", "high")).alias("end"))
-    beside = beside.select("x", "n", F.col("end.node").alias("y"), F.col("end.n").alias("m")).where((F.col("x") != F.col("y")) & near)
-    first = beside.groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high")).select("x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
-    links = scratch.write(verify(first), "links-first")
-    labels = scratch.write(components(links, scratch, "first"), "labels-first")
+    beside = beside.select("x", "n", F.col("end.node").alias("y"), F.col("end.n").alias("m")).where((F.col("x") != F.col("y")) & near).distinct()
+    few = bounded(beside).groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high")).select("x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
+    labels = scratch.write(components(verify(few, "first"), scratch, "first"), "labels-first")
 
     # Then all pairs of different components that share one.
     marked = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     marked = scratch.write(marked.join(open_keys, "key"), "open")
     other = marked.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = marked.withColumnRenamed("node", "x").join(other, "key").where((F.col("label") < F.col("other")) & near).select("x", "y").distinct()
-    rest = scratch.write(verify(pairs), "links-rest")
+    pairs = marked.withColumnRenamed("node", "x").join(other, "key").where((F.col("label") < F.col("other")) & near).select("x", "n", "y", "m").distinct()
+    rest = verify(bounded(pairs), "rest")
     labels = scratch.write(components(labels.select(F.col("node").alias("x"), F.col("label").alias("y")).union(rest), scratch, "all"), "labels")
 
     whole = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "label").select("node", "component_id")
-    joined = signatures.join(named, "node", "left")
+    joined = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

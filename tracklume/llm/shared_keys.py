@@ -20,7 +20,7 @@ from tracklume.llm import text as T
 from tracklume.llm.scratch import partitions
 
 #: Shuffle partitions to a bucket: a block is a dense array, so buckets can be larger than partitions of rows.
-_PARTITIONS_A_BUCKET = 4
+_PARTITIONS_A_BUCKET = 2
 _LEAST_BUCKETS = 12
 
 
@@ -102,26 +102,27 @@ def recurring(docs: DataFrame, keyed: Callable[[pa.RecordBatch], Keyed]) -> Data
 
     def meet(table: pa.Table) -> pa.Table:
         told = table.filter(pa.compute.is_valid(table["a"])).select(["a", "b", "keys"])
-        keys, names, known = [], [], []
+        keys, names, docs_, known = [], [], [], []
+        base = 0
         for row in table.filter(pa.compute.is_null(table["a"])).select(["keys", "doc", "names"]).to_pylist():
             flags = np.frombuffer(row["doc"], np.uint32)
             keys.append(np.frombuffer(row["keys"], np.uint64))
-            names.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2)[flags >> 1])
-            known.append((flags & 1).astype(bool))
+            names.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
+            docs_.append((flags >> np.uint32(1)).astype(np.int64) + base)
+            known.append((flags & np.uint32(1)).astype(bool))
+            base += len(names[-1])
         if not keys:
             return told
-        keys, names, known = np.concatenate(keys), np.concatenate(names), np.concatenate(known)
-        order = np.lexsort((names[:, 0], keys))
-        keys, names, known = keys[order], names[order], known[order]
+        keys, names, doc, known = map(np.concatenate, (keys, names, docs_, known))
+        order = np.lexsort((names[doc, 0], keys))
+        keys, doc, known = keys[order], doc[order], known[order]
         fresh = np.r_[True, keys[1:] != keys[:-1]]
-        group = np.cumsum(fresh) - 1
         starts = np.flatnonzero(fresh)
         ends = np.r_[starts[1:], len(keys)] - 1
-        shared = (names[starts, 0] != names[ends, 0]) | np.logical_or.reduceat(known, starts)
-        wanted = shared[group] & ~known  # documents of keys that were known got them from their own task
-        keys, names = keys[wanted], names[wanted]
-        each, doc = np.unique(names, axis=0, return_inverse=True)
-        rows = [(int(x[0]), int(x[1]), k.tobytes()) for x, k in by_doc(each, doc.ravel(), keys)]
+        shared = (names[doc[starts], 0] != names[doc[ends], 0]) | np.logical_or.reduceat(known, starts)
+        # Documents of keys that were known got them from their own task.
+        wanted = np.repeat(shared, np.diff(np.r_[starts, len(keys)])) & ~known
+        rows = [(int(x[0]), int(x[1]), k.tobytes()) for x, k in by_doc(names, doc[wanted], keys[wanted])]
         found = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "keys"])
         return pa.concat_tables([told.cast(found.schema), found])
 

@@ -147,22 +147,24 @@ def _window_blocks(window: int, phrase: int, n: int):
 def _owners(table: pa.Table) -> pa.Table:
     """Which windows of a bucket have an owner of a smaller doc_id, by document."""
     told = table.filter(pc.is_valid(table["a"])).select(["a", "b", "at"])
-    parts: list[list[np.ndarray]] = [[], [], [], []]
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    base = 0
     for row in table.filter(pc.is_null(table["a"])).select(["keys", "checks", "at", "doc", "names"]).to_pylist():
         parts[0].append(np.frombuffer(row["keys"], np.uint64))
         parts[1].append(np.frombuffer(row["checks"], np.uint32))
         parts[2].append(np.frombuffer(row["at"], np.uint32))
-        parts[3].append(np.frombuffer(row["names"], np.int64).reshape(-1, 2)[np.frombuffer(row["doc"], np.uint32)])
+        parts[3].append(np.frombuffer(row["doc"], np.uint32).astype(np.int64) + base)
+        parts[4].append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
+        base += len(parts[4][-1])
     if not parts[0]:
         return told
-    keys, checks, at, names = map(np.concatenate, parts)
-    order = np.lexsort((names[:, 0], checks, keys))
-    keys, checks, at, names = keys[order], checks[order], at[order], names[order]
-    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]
-    first = names[np.flatnonzero(fresh)[np.cumsum(fresh) - 1], 0]
-    later = names[:, 0] > first
-    each, doc = np.unique(names[later], axis=0, return_inverse=True)
-    rows = [(int(x[0]), int(x[1]), p.tobytes()) for x, p in by_doc(each, doc.ravel(), at[later])]
+    keys, checks, at, doc, names = map(np.concatenate, parts)
+    order = np.lexsort((names[doc, 0], checks, keys))
+    keys, checks, at, doc = keys[order], checks[order], at[order], doc[order]
+    owner = names[doc, 0]
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])])
+    later = owner > np.repeat(owner[starts], np.diff(np.r_[starts, len(keys)]))
+    rows = [(int(x[0]), int(x[1]), p.tobytes()) for x, p in by_doc(names, doc[later], at[later])]
     found = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "at"])
     return pa.concat_tables([told.cast(found.schema), found])
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one task holds as arrays at a time; a longer text stands alone.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _INNER_BYTES = 1 << 20
 _ONE = np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
