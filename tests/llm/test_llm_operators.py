@@ -212,6 +212,10 @@ def test_learning(spark):
     found = {r.doc_id: r.score for r in X.scores(texts, grammar).collect()}
     assert all((found[i] >= 0.5) == (i % 4 == 0) for i in range(200)) and 0 <= found[999] < 0.5
     assert X.learn(texts, labels.limit(0), "doc_id", "toxic", F.lit(True)).stems == {}
+    plain = spark.createDataFrame([(i, passage(12)) for i in range(40)], DOCS)
+    marks = spark.createDataFrame([(i, int(i < 2)) for i in range(40)], "doc_id long, toxic int")
+    unknown = X.learn(plain, marks, "doc_id", "toxic", F.lit(True))
+    assert unknown.stems == {} and all(r.score < 0.5 for r in X.scores(plain, unknown).collect())
 
 
 def test_subsequence():

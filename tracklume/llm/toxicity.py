@@ -34,6 +34,8 @@ MAX_STEMS = 5_000
 STEM_CHARS = range(4, 13)
 #: Log odds that a stem must have to count as an insult.
 LEAST_ODDS = 3.5
+#: Slope, and bias below zero, from which on a fitted logistic replaces the default one.
+LEAST_FIT = 1e-6
 
 # Words of the transducers, in English, German, French and Spanish.
 THREATS = frozenset("kill murder destroy hurt beat burn stab shoot hang töten umbringen verletzen tuer frapper brûler matar golpear quemar".split())
@@ -178,7 +180,8 @@ def learn(texts: DataFrame, labels: DataFrame, key: str, label: str, allowed) ->
 
     The sample is written once and read three times: the stems of its toxic
     texts, the counts of those in the others, and the sums that the logistic is
-    fitted to.  Without toxic or without clean texts the default grammar stays.
+    fitted to.  Without toxic or without clean texts the default grammar stays; where
+    matches don't tell the labels apart, the default logistic.
     """
     spark = texts.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -200,7 +203,9 @@ def learn(texts: DataFrame, labels: DataFrame, key: str, label: str, allowed) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_score(x.as_py() or "", automaton) for x in batch.column(1)], pa.float64())], names=["y", "total"])
 
     seen = train.select(F.col("_y").cast("double").alias("y"), "text").mapInArrow(run, "y double, total double").toPandas()
-    grammar.bias, grammar.slope = fit(np.log1p(seen["total"].to_numpy()), (seen["y"] > 0).to_numpy(float))
+    bias, slope = fit(np.log1p(seen["total"].to_numpy()), (seen["y"] > 0).to_numpy(float))
+    if slope > LEAST_FIT and bias < -LEAST_FIT:  # else matches say nothing here, and a text without any must not be found toxic
+        grammar.bias, grammar.slope = bias, slope
     scratch.drop()
     return grammar
 
