@@ -7,13 +7,16 @@ candidate must then share prefix tokens under the other orders as well before
 its sets are compared.  All orders put the most frequent tokens last, so that
 common passages make no candidates; they differ in the rest.
 
+A shared prefix token also bounds what two sets can have in common by what
+follows it in each; the first one that they share must leave enough.
+
 Between the first order and the others stands a bitmap filter: of each set a
 bitmap of its tokens' hashes, from which follows a bound on what two sets can
 have in common.  It only drops pairs that can't reach the similarity, and lets
 the texts of few documents be shuffled.
 
-Documents of equal sets are one node.  Every node is first compared with some
-others of its tokens' holders, which links most groups of near copies; then all
+Documents of equal sets are one node.  Every node is first compared with those
+of its tokens' least and largest holders that share most of them with it, which links most groups of near copies; then all
 pairs that share a prefix token and aren't yet in one component are compared.
 So no link between components is lost, and large groups of copies don't
 become all their pairs.
@@ -83,8 +86,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Sets:
     return Sets(tokens[fresh], np.r_[0, np.cumsum(fresh)][first])
 
 
-def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of the prefix tokens of each set: rare tokens by a hash of ``seed`` first, frequent ones by their counts last.
+def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, place in the set's order) of the prefix tokens of each set: rare tokens by a hash of ``seed`` first, frequent ones by their counts last.
 
     A key stands for one token: hashes of a seed are a bijection of 63 bits,
     but for a shift of one.
@@ -97,9 +100,11 @@ def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent) -> tuple[n
     parts, sizes = [], []
     for a, b in sets.spans():
         keep = b - a - (percent * (b - a) + 99) // 100 + 1 if b > a else 0
-        parts.append(np.partition(key[a:b], keep - 1)[:keep] if keep else key[a:a])
+        parts.append(np.sort(np.partition(key[a:b], keep - 1)[:keep]) if keep else key[a:a])
         sizes.append(keep)
-    return np.concatenate(parts) if parts else key, np.repeat(np.arange(len(sizes)), sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes if sizes else np.zeros(0, int)
+    return np.concatenate(parts) if parts else key, text, (np.arange(len(text)) - starts[text]).astype(np.uint32)
 
 
 def digests(sets: Sets) -> np.ndarray:
@@ -150,7 +155,7 @@ def linked(x_texts: pa.Array, y_texts: pa.Array, n: int, percent: int, frequent:
     x, y = shingle_sets(x_texts, n), shingle_sets(y_texts, n)
     found = np.ones(len(x_texts), bool)
     for seed in ORDERS[1:]:
-        (p, i), (q, j) = prefixes(x, percent, seed, frequent), prefixes(y, percent, seed, frequent)
+        (p, i, _), (q, j, _) = prefixes(x, percent, seed, frequent), prefixes(y, percent, seed, frequent)
         xs, ys = (np.searchsorted(k, np.arange(len(found) + 1)).tolist() for k in (i, j))
         for k in np.flatnonzero(found).tolist():
             found[k] = _meet(p[xs[k] : xs[k + 1]], q[ys[k] : ys[k + 1]]) > 0
@@ -230,13 +235,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            keys, at = ([np.frombuffer(x.as_py(), kind) for x in batch.column(i)] for i, kind in ((2, np.int64), (3, np.uint32)))
             nodes = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1) if batch.num_rows else np.zeros((0, 2), np.int64)
             each = [x.tobytes() for x in nodes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(each, pa.binary()).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in keys])))], names=["key", "node"])
+            node = pa.array(each, pa.binary()).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in keys])))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (keys, at)), node], names=["key", "at", "node"])
 
     classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    shared = recurring(texts, keyed).mapInArrow(unpacked, "key long, node binary").distinct()
+    shared = recurring(texts, keyed).mapInArrow(unpacked, "key long, at long, node binary").distinct()
     shared = scratch.write(shared.join(classes.select("node", "n"), "node"), "shared")
     bits = signed.groupBy("node").agg(F.first("bits").alias("bits"))
 
@@ -291,19 +297,24 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         scratch.drop(f"{name}-texts")
         return links
 
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # The sizes n and m, and the places of a token that both have: what follows it in either bounds what they have in common.
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("by"))
+    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
     # First each node with the least and the largest of those that hold a prefix token of it.
-    ends = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node <> high.node")
-    beside = shared.join(ends, "key").select(F.col("node").alias("x"), "n", F.explode(F.array("low", "high")).alias("end"))
-    beside = beside.select("x", "n", F.col("end.node").alias("y"), F.col("end.n").alias("m")).where((F.col("x") != F.col("y")) & near).distinct()
-    few = bounded(beside).groupBy("x").agg(F.min("y").alias("low"), F.max("y").alias("high")).select("x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
-    labels = scratch.write(components(verify(few, "first"), scratch, "first"), "labels-first")
+    one = F.struct("node", "n", "at")
+    ends = shared.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
+    beside = shared.join(ends, "key").select(F.col("node").alias("x"), "n", "at", F.explode(F.array("low", "high")).alias("end"))
+    beside = beside.select("x", "n", "at", F.col("end.node").alias("y"), F.col("end.n").alias("m"), F.col("end.at").alias("by")).where((F.col("x") != F.col("y")) & near)
+    shares = beside.groupBy("x", "n", "y", "m").agg(F.count("*").alias("tokens"))
+    most_shared = shares.groupBy("x", "n").agg(F.min(F.struct(-F.col("tokens"), "y", "m")).alias("low"), F.max(F.struct("tokens", "y", "m")).alias("high"))
+    closest = most_shared.select("x", "n", F.explode(F.array(F.struct("low.y", "low.m"), F.struct("high.y", "high.m"))).alias("end")).select("x", "n", "end.y", "end.m").distinct()
+    labels = scratch.write(components(verify(bounded(closest), "first"), scratch, "first"), "labels-first")
 
     # Then all pairs of different components that share one.
-    marked = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    marked = shared.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     marked = scratch.write(marked.join(open_keys, "key"), "open")
-    other = marked.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
+    other = marked.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("label").alias("other"))
     pairs = marked.withColumnRenamed("node", "x").join(other, "key").where((F.col("label") < F.col("other")) & near).select("x", "n", "y", "m").distinct()
     rest = verify(bounded(pairs), "rest")
     labels = scratch.write(components(labels.select(F.col("node").alias("x"), F.col("label").alias("y")).union(rest), scratch, "all"), "labels")

@@ -30,6 +30,7 @@ class Keyed(NamedTuple):
     names: np.ndarray  # int64, (documents, 2)
     keys: np.ndarray  # uint64
     doc: np.ndarray
+    at: np.ndarray | None = None  # uint32, a number that goes with each entry; equal for entries of equal key and name
 
 
 def buckets(df: DataFrame) -> int:
@@ -51,19 +52,20 @@ def by_doc(names: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> Iterator[
         yield names[doc[at]], *(p[i] for p in parts)
 
 
-_BLOCK = "bucket int, a long, b long, keys binary, doc binary, names binary"
-_REPLY = "a long, b long, keys binary"
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-_BLOCK_NAMES = ["bucket", "a", "b", "keys", "doc", "names"]
+_BLOCK = "bucket int, a long, b long, keys binary, at binary, doc binary, names binary"
+_REPLY = "a long, b long, keys binary, at binary"
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+_BLOCK_NAMES = ["bucket", "a", "b", "keys", "at", "doc", "names"]
+_REPLY_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_BLOCK_NAMES)
 
 
 def recurring(docs: DataFrame, keyed: Callable[[pa.RecordBatch], Keyed]) -> DataFrame:
-    """(a, b, keys): for documents named (a, b), their keys that a document of another ``a`` has too.
+    """(a, b, keys, at): for documents named (a, b), their keys that a document of another ``a`` has too, and the numbers that go with them, if any do.
 
     ``keyed`` makes the entries of a chunk of texts.  A document can have
     several rows of keys.  Exact: hash buckets only deal out the work.
@@ -73,11 +75,13 @@ def recurring(docs: DataFrame, keyed: Callable[[pa.RecordBatch], Keyed]) -> Data
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in T.chunks(batches):
-            names, keys, doc = keyed(chunk)
+            names, keys, doc, at = keyed(chunk)
+            numbered = at is not None
+            at = np.zeros(0, np.uint32) if at is None else at
             if not len(keys):
                 continue
             order = np.lexsort((names[doc, 0], keys))
-            keys, doc = keys[order], doc[order]
+            keys, doc, at = keys[order], doc[order], at[order] if numbered else at
             owner = names[doc, 0]
             fresh = np.r_[True, keys[1:] != keys[:-1]]
             group = np.cumsum(fresh) - 1
@@ -86,44 +90,48 @@ def recurring(docs: DataFrame, keyed: Callable[[pa.RecordBatch], Keyed]) -> Data
             known = owner[starts] != owner[ends]  # sorted by owner: the key recurs right here
             rows = []
             here = known[group]
-            for name, found in by_doc(names, doc[here], keys[here]):
-                rows.append((int(found[0] % np.uint64(n)), int(name[0]), int(name[1]), found.tobytes(), None, None))
+            for name, found, *numbers in by_doc(names, doc[here], keys[here], *([at[here]] if numbered else [])):
+                rows.append((int(found[0] % np.uint64(n)), int(name[0]), int(name[1]), found.tobytes(), *([x.tobytes() for x in numbers] or [None]), None, None))
             # One entry a (key, name): of a key known here the first, else all rows of its one owner.
             again = np.r_[False, (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1]) & (names[doc[1:], 1] == names[doc[:-1], 1])]
             sent = np.where(here, fresh, ~again)
-            keys, doc, here = keys[sent], doc[sent], here[sent]
+            keys, doc, here, at = keys[sent], doc[sent], here[sent], at[sent] if numbered else at
             cuts = np.searchsorted(keys, ranges)
-            for bucket, (k, d, h) in enumerate(zip(np.split(keys, cuts), np.split(doc, cuts), np.split(here, cuts), strict=True)):
+            numbers = np.split(at, cuts) if numbered else [None] * n
+            for bucket, (k, d, h, x) in enumerate(zip(np.split(keys, cuts), np.split(doc, cuts), np.split(here, cuts), numbers, strict=True)):
                 if len(k):
                     used, place = np.unique(d, return_inverse=True)
                     flags = (place.astype(np.uint32) << np.uint32(1)) | h.astype(np.uint32)
-                    rows.append((bucket, None, None, k.tobytes(), flags.tobytes(), np.ascontiguousarray(names[used]).tobytes()))
+                    rows.append((bucket, None, None, k.tobytes(), x.tobytes() if numbered else None, flags.tobytes(), np.ascontiguousarray(names[used]).tobytes()))
             yield _batch(rows)
 
     def meet(table: pa.Table) -> pa.Table:
-        told = table.filter(pa.compute.is_valid(table["a"])).select(["a", "b", "keys"])
-        keys, names, docs_, known = [], [], [], []
+        told = table.filter(pa.compute.is_valid(table["a"])).select(["a", "b", "keys", "at"])
+        keys, names, docs_, known, at = [], [], [], [], []
         base = 0
-        for row in table.filter(pa.compute.is_null(table["a"])).select(["keys", "doc", "names"]).to_pylist():
+        for row in table.filter(pa.compute.is_null(table["a"])).select(["keys", "at", "doc", "names"]).to_pylist():
             flags = np.frombuffer(row["doc"], np.uint32)
             keys.append(np.frombuffer(row["keys"], np.uint64))
             names.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
             docs_.append((flags >> np.uint32(1)).astype(np.int64) + base)
             known.append((flags & np.uint32(1)).astype(bool))
+            if row["at"] is not None:
+                at.append(np.frombuffer(row["at"], np.uint32))
             base += len(names[-1])
         if not keys:
             return told
         keys, names, doc, known = map(np.concatenate, (keys, names, docs_, known))
         order = np.lexsort((names[doc, 0], keys))
         keys, doc, known = keys[order], doc[order], known[order]
+        numbered = [np.concatenate(at)[order]] if at else []
         fresh = np.r_[True, keys[1:] != keys[:-1]]
         starts = np.flatnonzero(fresh)
         ends = np.r_[starts[1:], len(keys)] - 1
         shared = (names[doc[starts], 0] != names[doc[ends], 0]) | np.logical_or.reduceat(known, starts)
         # Documents of keys that were known got them from their own task.
         wanted = np.repeat(shared, np.diff(np.r_[starts, len(keys)])) & ~known
-        rows = [(int(x[0]), int(x[1]), k.tobytes()) for x, k in by_doc(names, doc[wanted], keys[wanted])]
-        found = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "keys"])
+        rows = [(int(x[0]), int(x[1]), k.tobytes(), *([v.tobytes() for v in numbers] or [None])) for x, k, *numbers in by_doc(names, doc[wanted], keys[wanted], *(v[wanted] for v in numbered))]
+        found = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, _REPLY_KINDS, strict=True)], names=["a", "b", "keys", "at"])
         return pa.concat_tables([told.cast(found.schema), found])
 
     return docs.mapInArrow(blocks, _BLOCK).groupBy("bucket").applyInArrow(meet, _REPLY)
