@@ -273,3 +273,33 @@ def test_warc_files(spark, tmp_path):
     found = W.read_warc(spark, str(tmp_path)).collect()
     assert len(found) == 4 and {bytes(r.payload) for r in found} == {b"hello", b"k: v"}
     assert {r.http_headers.get("etag") for r in found if r.record_type == "response"} == {"x"}
+
+
+def test_contamination_of_large_benchmarks(spark):
+    """A benchmark of far more passages than the space has dimensions: all that brute force finds is found."""
+    own = random.Random(11)
+    words = [f"x{i}" for i in range(6000)]
+    some = lambda n: [own.choice(words) for _ in range(n)]
+    items = [(i, " ".join(some(own.randint(15, 59)))) for i in range(1200)]
+    rows = [(i, " ".join(some(120))) for i in range(60)]
+    for i, text in items[::6]:
+        part = [x for k, x in enumerate(text.split()) if i % 4 or k % 9 != 4]
+        rows.append((1000 + i, " ".join(some(own.randint(0, 90)) + part + some(own.randint(0, 90)))))
+    rows.append((5000, " ".join(some(5000) + items[3][1].split() + some(3000) + items[4][1].split())))
+    wanted = set()
+    for doc, text in rows:
+        w = text.split()
+        bag = set(w)
+        for i, item in items:
+            p = item.split()
+            if sum(x in bag for x in p) < D.PARAPHRASE * len(p):
+                continue
+            answer = D.answer_of(item).split()
+            for s in range(0, len(w), D.BLOCK):
+                around = w[max(0, s - len(p)) : s + D.BLOCK * D.BLOCKS + len(p)]
+                common = D.common_subsequence(p, around) / len(p)
+                if common >= D.VERBATIM or common >= D.PARAPHRASE and D.common_subsequence(answer, around) / len(answer) >= D.ANSWER:
+                    wanted.add((doc, i))
+    assert len(wanted) > 200
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == wanted
