@@ -303,3 +303,16 @@ def test_contamination_of_large_benchmarks(spark):
     assert len(wanted) > 200
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == wanted
+
+
+def test_html_sections():
+    """Sections of other densities than the densest one stay, with and without an article element, and so do wrapped lists, tables and code."""
+    dense = "".join(f"<p>{c * 499}.</p>" for c in "abcde")
+    light = "".join(f"<p>{c * 99}.</p>" for c in "fghijklmno")
+    rest = "<div><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table><pre>x = 1</pre></div>"
+    wanted = [x * 499 + "." for x in "abcde"] + [x * 99 + "." for x in "fghijklmno"] + ["one", "two", "cell", "x = 1"]
+    inner = f"<section>{dense}</section><section>{light}</section>{rest}"
+    links = "<div><a href=a>Home</a> <a href=b>News</a></div>"
+    for page in (f"<article>{inner}</article>", f"<div>{inner}</div>", f"<main><div>{inner}</div></main>", f"<article><section>{dense}</section></article><article><section>{light}</section>{rest}</article>"):
+        assert H.extract(f"<html><body>{links}{page}<footer>f</footer></body></html>").split("\n\n") == wanted
+    assert H.extract(f"<body>loose<div>{dense}</div><div><p>short</p></div></body>").split("\n\n") == ["loose", *wanted[:5], "short"]

@@ -3,8 +3,10 @@
 For every node of the DOM: C characters of text, T tags, LC characters and LT
 tags of links below it.  Its density is C/T, lowered by a logarithm whose base
 grows with the share of links.  The density sum of a node adds up its
-children's densities; the subtree of the largest sum holds the article, and
-the least density on the way from there to the body is the threshold that a
+children's densities; the subtree of the largest sum holds the article.  It is
+raised to the article or main element around it or, without one, to where all
+text meets that isn't links only; all below that isn't marked out is content.
+The least density on the way from there to the body is the threshold that a
 subtree beside it must reach to count as content too.
 """
 
@@ -177,7 +179,7 @@ def _measure(nodes: list[_Node]) -> None:
 
 
 def content(root: _Node) -> set[int]:
-    """ids of the nodes whose subtrees are the article: the largest density sum, and what reaches the threshold beside it."""
+    """ids of the nodes whose subtrees are the article: what the largest density sum is raised to, and what reaches the threshold beside it."""
     body = root
     walk = [root]
     while walk:
@@ -187,28 +189,56 @@ def content(root: _Node) -> set[int]:
             break
         walk += reversed(node.children)
 
-    def largest(top: _Node) -> _Node:
-        best, todo = top, [top]
+    best, todo = body, [body]
+    while todo:
+        node = todo.pop()
+        if node.total > best.total:
+            best = node
+        todo += [x for x in node.children if not x.out]
+    densest = best
+
+    def above(node: _Node) -> list[_Node]:
+        way = []
+        while node is not None and node is not body:
+            way.append(node)
+            node = node.parent
+        return way
+
+    named = [x for x in above(best) if x.tag in ("article", "main")]
+    marked: set[int] = set()
+    if named:  # with the other articles of the page
+        best = named[-1]
+        todo = [body]
         while todo:
             node = todo.pop()
-            if node.total > best.total:
-                best = node
-            todo += [x for x in node.children if not x.out]
-        return best
-
-    best = largest(body)
-    threshold, node = best.density, best
-    while node is not None and node is not body:
-        threshold = min(threshold, node.density)
-        node = node.parent
-    threshold = min(threshold, body.density)
-    marked = {id(best)}
-    way = set()
-    node = best
-    while node is not None:
-        way.add(id(node))
-        node = node.parent
-    todo = [body] if best is not body else []
+            if node.tag in ("article", "main"):
+                marked.add(id(node))
+            else:
+                todo += [x for x in node.children if not x.out]
+    else:
+        best = body
+    threshold = min([densest.density, body.density, *(x.density for x in above(densest))])
+    marked.add(id(best))
+    if best is body:  # no article is named: navigation are the subtrees of nothing but links beside the densest one
+        marked.remove(id(body))
+        way = {id(x) for x in above(densest)}
+        if densest is body:
+            return {id(body)}
+        marked.add(id(densest))
+        todo = [body]
+        while todo:
+            node = todo.pop()
+            for child in node.children:
+                if child.out or id(child) in marked:
+                    continue
+                if id(child) in way:
+                    todo.append(child)
+                elif child.tag in INLINE or child.tag in HEADINGS or child.c > child.lc + child.c // 10:
+                    marked.add(id(child))
+            marked.add(-id(node))  # its own text
+        return marked
+    way = {id(x) for x in above(best)} | {id(body)}
+    todo = [body]
     while todo:
         node = todo.pop()
         passed = False
@@ -258,7 +288,7 @@ def extract(page: str | None) -> str:
         if block is not last:
             blocks.append("".join(parts))
             parts, last = [], block
-        if within(node):
+        if -id(node) in marked or within(node):
             parts.append(text)
     blocks.append("".join(parts))
     clean = (_SPACES.sub(" ", html.unescape(x)).strip() for x in blocks)
