@@ -316,3 +316,19 @@ def test_html_sections():
     for page in (f"<article>{inner}</article>", f"<div>{inner}</div>", f"<main><div>{inner}</div></main>", f"<article><section>{dense}</section></article><article><section>{light}</section>{rest}</article>"):
         assert H.extract(f"<html><body>{links}{page}<footer>f</footer></body></html>").split("\n\n") == wanted
     assert H.extract(f"<body>loose<div>{dense}</div><div><p>short</p></div></body>").split("\n\n") == ["loose", *wanted[:5], "short"]
+
+
+def test_html_names():
+    """Class and id tokens that only contain a name of boilerplate, the page's wrapper, sections of the article and formulas stay."""
+    p = lambda c, n=300: f"<p>{c * n}</p>"
+    t = lambda *c: [x * 300 for x in c]
+    side = "<div class='main-sidebar'><p>links</p></div><div id=siteFooter>f</div><div class='cookie-banner x'>c</div><div class=ad-slot>buy</div>"
+    for wrapper in ("class='layout has-sidebar'", "id=page class='site no-banner'", "class=widget", "id=banner"):
+        assert H.extract(f"<body><div {wrapper}>{p('a')}{p('b')}</div>{side}</body>").split("\n\n") == t("a", "b")
+    parts = f"{p('a')}<section id=discussion>{p('b')}</section><section id='related-work'>{p('c')}</section>"
+    assert H.extract(f"<body><article>{parts}</article>{side}").split("\n\n") == t("a", "b", "c")
+    assert H.extract(f"<body><div>{parts}</div>{side}").split("\n\n") == t("a", "b", "c")
+    talk = "<div id=discussion><div class=comment><p>me too</p></div><form><textarea>x</textarea></form></div><div class='comments-area'>no</div>"
+    assert H.extract(f"<body><div>{p('a')}</div>{talk}").split("\n\n") == t("a")
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert H.extract(f"<article>{p('a')}<p>where {math} holds</p></article>").split("\n\n") == [*t("a"), "where x=1 holds"]

@@ -23,50 +23,73 @@ from pyspark.sql import DataFrame
 # The elements of HTML, and words by which pages name what is not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()) | frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose mfenced msup msub msubsup mover munder munderover mmultiscripts mprescripts none mtable mtr mtd semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-NOT_TEXT = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object menu dialog title input canvas audio video math map".split())
+NOT_TEXT = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object menu dialog title input canvas audio video map annotation annotation-xml".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 NOT_NAMES = frozenset("ad ads adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner sidebar rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall share sharing social related recommended recommendations pagination pager widget widgets skip copyright login tags".split())
-COMMENT_NAMES = frozenset("comment comments respond replies discussion disqus commentlist".split())
+COMMENT_NAMES = frozenset("comment comments respond replies disqus commentlist".split())
 HEADER_NAMES = frozenset("header hdr".split())
+#: Words that only say where or what kind of box a named part is, so that ``site-footer`` is a footer, but ``has-sidebar`` no sidebar.
+PLACES = frozenset("site page main top bottom left right side primary secondary global mobile desktop header footer area wrapper wrap container inner outer box bar block list item items links link section slot unit text buttons button post posts article articles stories story entry body content form thread js".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>\"']*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_BETWEEN = re.compile(r"[-_0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "article", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "article", "talk", "c", "t", "lc", "lt", "density", "total")
 
     def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.children, self.out, self.article = tag, parent, [], False, False
+        self.tag, self.parent, self.children, self.out, self.article, self.talk = tag, parent, [], False, False, False
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
 
 
+def _names(value: str) -> set[str]:
+    """What the tokens of a class or id name: the token, or its one word that isn't of PLACES."""
+    said = set()
+    for token in value.split():
+        said.add(token.lower())
+        words = [x.lower() for x in _BETWEEN.split(token) if x]
+        if all(_WORD.fullmatch(x) for x in words):
+            told = [x for x in words if x not in PLACES]
+            if len(set(told)) == 1:
+                said.add(told[0])
+            elif told and all(x in NOT_NAMES or x in COMMENT_NAMES for x in told):
+                said.update(told)
+            elif not told and not set(words) & {"article", "articles", "entry", "post", "posts", "story", "stories", "section", "content", "list", "item", "items"}:
+                said |= {"header", "footer"} & set(words)
+    return said
+
+
 def _named_out(tag: str, attributes: str, inside_article: bool) -> int:
-    """2: surely no article text; 1: no article text unless an article lies below; 0: may be."""
+    """4: surely no article text; 3: no article text, as comments; 2: comments if it is built like them; 1: no article text unless an article or most of the page's text lies below; 0: may be."""
     if tag in NOT_TEXT or tag == "header" and not inside_article:
-        return 2
+        return 4
     if not attributes or tag in ("html", "body", "main"):
         return 0
     found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return 2
-        if name == "role" and value in NOT_ROLES:
-            return 2
+        value, name = "".join(values), name.lower()
+        low = value.lower()
+        if name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and "display:none" in low.replace(" ", ""):
+            return 4
+        if name == "role" and low in NOT_ROLES:
+            return 4
         if name in ("class", "id"):
-            said = set(_WORD.findall(value))
+            said = _names(value)
             if said & COMMENT_NAMES:
-                return 2
-            if tag != "article" and (said & NOT_NAMES or said & HEADER_NAMES and not inside_article):
-                found = 1
+                found = 3
+            elif "discussion" in said:
+                found = max(found, 2)
+            elif tag != "article" and (said & NOT_NAMES or said & HEADER_NAMES and not inside_article):
+                found = max(found, 1)
     return found
 
 
@@ -121,9 +144,14 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         stack[-1].children.append(node)
         nodes.append(node)
         level = _named_out(tag, attributes, articles > 0)
-        node.out = stack[-1].out or level == 2
-        if level == 1 and not node.out:
-            soft.append(node)
+        node.out = stack[-1].out or level >= 3
+        if level in (1, 2) and not node.out:
+            soft.append((node, level))
+        if level == 3 or tag == "textarea":
+            up = node
+            while up is not None and not up.talk:
+                up.talk = True
+                up = up.parent
         if tag in RAW:
             lowered = lowered or page.lower()
             end = lowered.find(f"</{tag}", at)
@@ -138,14 +166,20 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             while up is not None and not up.article:
                 up.article = True
                 up = up.parent
-    for node in soft:
-        node.out = node.out or not node.article
+    sizes = [0 if node.out else len(_SPACES.sub(" ", html.unescape(text)).strip()) for node, text in pieces]
+    if soft:
+        below = {id(node): 0 for node in nodes}
+        for (node, _), n in zip(pieces, sizes, strict=True):
+            below[id(node)] += n
+        for node in reversed(nodes[1:]):
+            below[id(node.parent)] += below[id(node)]
+        for node, level in soft:
+            node.out = node.talk if level == 2 else not node.article and 2 * below[id(node)] <= below[id(root)]
     for node in nodes[1:]:  # parents come before their children
         node.out = node.out or node.parent.out
     root.children = [x for x in nodes if x.parent is root]
-    for node, text in pieces:
+    for (node, _), n in zip(pieces, sizes, strict=True):
         if not node.out:
-            n = len(_SPACES.sub(" ", html.unescape(text)).strip())
             node.c += n
             up = node
             while up is not None:
