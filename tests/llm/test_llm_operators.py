@@ -332,3 +332,20 @@ def test_html_names():
     assert H.extract(f"<body><div>{p('a')}</div>{talk}").split("\n\n") == t("a")
     math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
     assert H.extract(f"<article>{p('a')}<p>where {math} holds</p></article>").split("\n\n") == [*t("a"), "where x=1 holds"]
+
+
+def test_packing_equal_lengths():
+    """Pieces of one length, all or a third of them, leave no more room than they must."""
+    own = np.random.default_rng(3)
+    mixed = lambda n: np.clip(own.lognormal(5.8, 0.9, n).astype(int), 2, 2048)
+    assert len(np.unique(K.sum_of_squares(np.full(2000, 150), 2048)[0])) == -(-2000 // 13)
+    for lengths in (np.r_[np.full(3000, 700), mixed(6000)], np.r_[np.full(3000, 300), own.integers(600, 1400, 6000)]):
+        for pack in (K.sum_of_squares, K.best_fit, K.fewest):
+            bins, offsets = pack(lengths, 2048)
+            assert np.bincount(bins, lengths).max() <= 2048 and len(np.unique(bins)) == bins.max() + 1
+            assert bins.max() + 1 <= 1.03 * -(-lengths.sum() // 2048)
+            order = np.lexsort((offsets, bins))
+            ends = (offsets + lengths)[order][:-1]
+            assert (np.where(np.diff(bins[order]) > 0, 0, ends) == offsets[order][1:]).all()
+        assert K.fewest(lengths, 2048)[0].max() <= min(K.sum_of_squares(lengths, 2048)[0].max(), K.best_fit(lengths, 2048)[0].max())
+    assert len(K.fewest(np.zeros(0, np.int64), 2048)[0]) == 0

@@ -1,9 +1,10 @@
-"""Best-fit packing of token sequences by the sum-of-squares rule.
+"""Packing of token sequences by the sum-of-squares rule or best fit, whichever takes fewer.
 
 A document goes where the squared counts of open bins per residual gap become
 smallest: with N(h) open bins of gap h, a piece of size s that is put into a
 gap h takes one bin from N(h) and gives one to N(h - s), and a bin that it
-fills leaves the sum.  Documents are dealt to shards of bounded size, each of
+fills leaves the sum.  A fresh bin is opened only where no open one fits.
+Documents are dealt to shards of bounded size, each of
 which is packed alone; only lengths, never tokens, are shuffled.
 """
 
@@ -41,8 +42,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             change[0] -= 1 + 2 * count[0]
         change[count[s:capacity] == 0] = 1 << 60
         best = int(change.argmin()) if len(change) else 0
-        fresh = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
-        if len(change) and change[best] < 1 << 60 and (change[best] <= fresh):
+        if len(change) and change[best] < 1 << 60:
             gap = s + best
             b = open_bins[gap].pop()
             count[gap] -= 1
@@ -55,6 +55,37 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sum_of_squares``, but every piece goes to the tightest gap."""
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by gap
+    gaps, made = 0, 0  # one bit a gap that has open bins
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        s = int(lengths[i])
+        if fits := gaps >> s:
+            gap = s + (fits & -fits).bit_length() - 1
+            b = open_bins[gap].pop()
+            if not open_bins[gap]:
+                gaps ^= 1 << gap
+        else:
+            gap, b, made = capacity, made, made + 1
+        bins[i], offsets[i] = b, capacity - gap
+        if gap > s:
+            open_bins[gap - s].append(b)
+            gaps |= 1 << (gap - s)
+    return bins, offsets
+
+
+def fewest(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packing of fewer bins; the sum-of-squares one if there are as many, or if none could be fewer."""
+    found = sum_of_squares(lengths, capacity)
+    made = int(found[0].max(initial=-1)) + 1
+    if made <= math.ceil(int(lengths.sum()) / capacity):
+        return found
+    other = best_fit(lengths, capacity)
+    return other if int(other[0].max(initial=-1)) + 1 < made else found
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole if it fits, else a shorter first piece, if any, and full ones."""
     if n <= capacity:
@@ -123,7 +154,7 @@ def pack(pieces: DataFrame, capacity: int, count: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
-        bins, offsets = sum_of_squares(table["length"].to_numpy(), capacity)
+        bins, offsets = fewest(table["length"].to_numpy(), capacity)
         shard = table["shard"][0].as_py()
         table = table.drop_columns(["shard"])
         return table.append_column("sequence_id", pa.array(bins + (shard << 40))).append_column("offset", pa.array(offsets))
