@@ -111,6 +111,32 @@ def test_quotas_and_components(spark):
     assert parts["c"] == "a" and parts["e"] == "d" and parts["f"] == "f" and parts["n20"] == "n00"
 
 
+def test_whole_tables(spark, tmp_path):
+    """Components of all rows against union-find, and an overlap with a split that is neither 0 nor 1."""
+    import random
+
+    from tracklume.plans import catalogue
+
+    own = random.Random(4)
+    rows = [(own.randrange(25), own.randrange(60), float(own.randint(1, 50)), own.randint(0, 10) / 100) for _ in range(45)] + [(None, 3, 1.0, 0.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for s, p, *_ in rows[:-1]:
+        a, b = sorted((top(f"s{s}"), top(f"p{p}")))
+        root[b] = a
+    found = {r.node: r.component for r in catalogue.queries()["split_components_whole"](spark, str(tmp_path)).collect()}
+    assert found == {x: top(x) for x in root} and len(set(found.values())) > 1
+    spark.createDataFrame([(10, "same", "en"), (11, "one", "de"), (17, "same", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.field: r.overlap for r in catalogue.queries()["isolation_overlap_whole"](spark, str(tmp_path)).collect()}
+    assert found == {"doc_id": 0, "text_digest": 1, "lang": 1}
+
+
 def test_partition_plan(spark):
     rows = spark.createDataFrame([(f"s{i:02}",) for i in range(11)], "id string")
     found = S.partition_plan(rows, ["id"], 3, 2).orderBy("id").collect()

@@ -33,6 +33,12 @@ def split_components(spark, sf_dir):
     return S.components(edges, "a", "b")
 
 
+def split_components_whole(spark, sf_dir):
+    """Components of all supplier-part edges; split_components has those of a few rows only, as its SQL is recursive."""
+    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    return S.components(edges.where("a is not null and b is not null"), "a", "b")
+
+
 def leakage_audit(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).cast("string").alias("split"), F.sha2("text", 256).alias("text_digest"), "source", F.col("doc_id").cast("string").alias("doc"))
     return S.leakage_audit(docs, "split", ["text_digest", "source", "doc"])
@@ -43,6 +49,13 @@ def isolation_overlap(spark, sf_dir):
     return S.isolation_overlap(docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 = 1"), ["doc_id", "text_digest", "lang"])
 
 
+def isolation_overlap_whole(spark, sf_dir):
+    """The first of ten splits against the nine others together: every document is on one of the sides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_digest"), "lang")
+    held = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
+    return S.isolation_overlap(docs.where(held), docs.where(~held), ["doc_id", "text_digest", "lang"])
+
+
 def sample_topk_hash(spark, sf_dir, k: int = 100):
     docs = table(spark, sf_dir, "documents").select("doc_id", S.hash_order("risk-subset", "3", F.col("doc_id")).alias("h"))
     return docs.orderBy("h", "doc_id").limit(k)
@@ -156,7 +169,7 @@ def ticks_join_cohort(spark, sf_dir):
     return have.join(want, "experiment", "left_anti").select("experiment", F.lit("extra").alias("state")).union(want.join(have, "experiment", "left_anti").select("experiment", F.lit("missing"))).union(want.join(have, "experiment", "left_semi").select("experiment", F.lit("both")))
 
 
-QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, leakage_audit, isolation_overlap, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, closed_loop_episodes, closed_loop_summary, ticks_join_cohort)}
+QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, split_components_whole, leakage_audit, isolation_overlap, isolation_overlap_whole, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, closed_loop_episodes, closed_loop_summary, ticks_join_cohort)}
 
 _QUOTAS = """n as (select count(*) as n from {groups}), q as (select i, split, n * r as exact from n, (values (0, 'train', 0.7), (1, 'calibration', 0.1), (2, 'val', 0.1), (3, 'test', 0.1)) t(i, split, r)),
  f as (select *, cast(floor(round(exact, 9)) as bigint) as fl, round(exact - floor(round(exact, 9)), 9) as rest from q), k as (select *, row_number() over (order by rest desc, i) as rk, (select n from n) - sum(fl) over () as spare from f),
@@ -176,6 +189,10 @@ ORACLE = {
 select field, count(*) as "values", count(*) filter (splits > 1) as leaking, cast(0 as bigint) as missing, case when count(*) filter (splits > 1) > 0 then 'leakage_detected' else 'ok' end as status from v group by field""",
     "isolation_overlap": """with d as (select doc_id, cast(doc_id as varchar) as id, sha256(text) as t, lang from documents), a as (select 'doc_id' as field, id as value from d where doc_id % 10 = 0 union select 'text_digest', t from d where doc_id % 10 = 0 union select 'lang', lang from d where doc_id % 10 = 0),
  b as (select 'doc_id' as field, id as value from d where doc_id % 10 = 1 union select 'text_digest', t from d where doc_id % 10 = 1 union select 'lang', lang from d where doc_id % 10 = 1), i as (select * from a intersect select * from b)
+select f as field, count(i.value) as overlap from unnest(['doc_id', 'text_digest', 'lang']) t(f) left join i on i.field = f group by f""",
+    "isolation_overlap_whole": """with d as (select cast(doc_id as varchar) as id, sha256(text) as t, lang, coalesce(doc_id % 10 = 0, false) as held from documents),
+ l as (select held, 'doc_id' as field, id as value from d union all select held, 'text_digest', t from d union all select held, 'lang', lang from d),
+ i as (select field, value from l where value is not null group by all having count(distinct held) = 2)
 select f as field, count(i.value) as overlap from unnest(['doc_id', 'text_digest', 'lang']) t(f) left join i on i.field = f group by f""",
     "sample_topk_hash": "select doc_id, sha256('risk-subset|3|' || doc_id) as h from documents order by h, doc_id limit 100",
     "epoch_batches": "with d as (select doc_id, source, sha256('2|' || doc_id) as h, sha256('2|' || source) as shard from documents) select doc_id, shard, cast(floor((row_number() over (partition by shard, source order by h, doc_id) - 1) / 8) as bigint) as batch from d",
