@@ -349,3 +349,29 @@ def test_packing_equal_lengths():
             assert (np.where(np.diff(bins[order]) > 0, 0, ends) == offsets[order][1:]).all()
         assert K.fewest(lengths, 2048)[0].max() <= min(K.sum_of_squares(lengths, 2048)[0].max(), K.best_fit(lengths, 2048)[0].max())
     assert len(K.fewest(np.zeros(0, np.int64), 2048)[0]) == 0
+
+
+def test_archived_revisits(spark, tmp_path):
+    """From files to resolved revisits: errors, parts and cut records between are no full responses; the profiles are told apart."""
+    http = {"Content-Type": "application/http; msgtype=response"}
+    same = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    not_modified = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    rows = [
+        ("a", "response", 1, "200 OK", {"WARC-Payload-Digest": "sha1:X"}, "ETag: 1\r\nX-Kind: old"),
+        ("b", "response", 2, "404 Not Found", {}, "ETag: 2"),
+        ("c", "response", 3, "302 Found", {}, ""),
+        ("d", "response", 4, "206 Partial Content", {}, "ETag: 1"),
+        ("e", "response", 5, "503 Busy", {}, ""),
+        ("f", "response", 6, "200 OK", {"WARC-Truncated": "length"}, "ETag: 3"),
+        ("g", "revisit", 7, "304 Not Modified", {"WARC-Profile": not_modified}, "ETag: 1"),
+        ("h", "revisit", 8, "200 OK", {"WARC-Profile": same, "WARC-Payload-Digest": "sha1:X"}, "ETag: 9\r\nX-Kind: new"),
+        ("i", "revisit", 9, "200 OK", {"WARC-Profile": same, "WARC-Payload-Digest": "sha1:Y"}, "ETag: 1"),
+    ]
+    data = b"".join(W.format_record(kind, "http://a.com/", f"2020-01-01T00:00:0{t}Z", {**http, **more, "WARC-Record-ID": name}, f"HTTP/1.1 {code}\r\n{head}\r\n\r\nbody".encode()) for name, kind, t, code, more, head in rows)
+    (tmp_path / "a.warc").write_bytes(data)
+    read = W.read_warc(spark, str(tmp_path))
+    assert [r.http_status for r in read.collect()] == [int(x[3][:3]) for x in rows]
+    found = {r.record_id: r for r in W.resolve_revisits(W.archive_records(read)).collect()}
+    assert {k: (r.refers_to, r.status) for k, r in found.items()} == {"g": ("a", "resolved"), "h": ("a", "resolved"), "i": ("a", "mismatch")}
+    assert found["g"].headers == {"etag": "1", "x-kind": "old"} and found["h"].headers == {"etag": "9", "x-kind": "new"}
+    assert found["g"].time == 1577836807

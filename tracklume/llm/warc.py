@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
 #: Seconds of a time bucket: within one, events of a URL are put in order together; longer histories are carried by a row a bucket.
 BUCKET_SECONDS = 6 * 3600
+_STATUS = re.compile(r"HTTP/\S+\s+(\d{3})(?!\d)")
 
 
 def canonical_url(url: Column) -> Column:
@@ -46,17 +48,30 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS, p
     both; ``no_response``.  headers are the response's with the permitted ones
     of the revisit put over them, only where resolved, else the revisit's own.
 
+    Optional columns: http_status int and truncated boolean, with which only
+    whole responses of status 200 are full ones; profile and digest strings.
+    A revisit of the identical-payload profile is a whole answer of its own but
+    for the payload: it is judged by the digests, not by validators, and its
+    headers stay as they are.
+
     Events meet by (URL, time bucket), and the last response of each bucket is
     carried to later ones by a row a bucket: a URL that a third of all
     records share is dealt over its buckets.  Records without a URL or a time
     resolve to ``no_response``.
     """
-    events = records.where(F.col("type").isin("response", "revisit")).select("record_id", "type", "time", "headers", canonical_url(F.col("url")).alias("url_key"))
+    given = lambda name, kind: F.col(name) if name in records.columns else F.lit(None).cast(kind)
+    wanted = F.lit(True)
+    if "http_status" in records.columns:
+        wanted &= F.coalesce(F.col("http_status") == 200, F.lit(False))
+    if "truncated" in records.columns:
+        wanted &= ~F.coalesce("truncated", F.lit(False))
+    events = records.where((F.col("type") == "revisit") | (F.col("type") == "response") & wanted)
+    events = events.select("record_id", "type", "time", "headers", given("digest", "string").alias("digest"), given("profile", "string").alias("profile"), canonical_url(F.col("url")).alias("url_key"))
     events = events.withColumn("bucket", F.floor(F.col("time") / bucket_seconds))
     full = F.col("type") == "response"
-    here = F.when(full & F.col("time").isNotNull() & F.col("url_key").isNotNull(), F.struct("time", "record_id", "headers"))
+    here = F.when(full & F.col("time").isNotNull() & F.col("url_key").isNotNull(), F.struct("time", "record_id", "headers", "digest"))
     # Headers are maps, which have no order: the latest is the one of the largest (time, record_id).
-    latest = events.where(full & F.col("time").isNotNull() & F.col("url_key").isNotNull()).groupBy("url_key", "bucket").agg(F.max_by(F.struct("time", "record_id", "headers"), F.struct("time", "record_id")).alias("last"))
+    latest = events.where(full & F.col("time").isNotNull() & F.col("url_key").isNotNull()).groupBy("url_key", "bucket").agg(F.max_by(F.struct("time", "record_id", "headers", "digest"), F.struct("time", "record_id")).alias("last"))
     spans = latest.select("url_key", "bucket", "last").unionByName(events.where(~full).select("url_key", "bucket").distinct(), allowMissingColumns=True)
     spans = spans.groupBy("url_key", "bucket").agg(F.max_by("last", F.struct(F.col("last").isNotNull())).alias("last"))
     earlier = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,15 +83,18 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS, p
     ours, theirs = F.col("headers"), F.col("match.headers")
     both = lambda name: F.element_at(ours, name).isNotNull() & F.element_at(theirs, name).isNotNull()
     same = lambda name: F.element_at(ours, name) == F.element_at(theirs, name)
+    identical = F.coalesce(F.col("profile").contains("identical-payload"), F.lit(False))
+    digests = F.col("digest") == F.col("match.digest")
     status = (
         F.when(F.col("match").isNull(), "no_response")
+        .when(identical, F.when(digests.isNull(), "unchecked").when(digests, "resolved").otherwise("mismatch"))
         .when(both("etag"), F.when(same("etag"), "resolved").otherwise("mismatch"))
         .when(both("last-modified"), F.when(same("last-modified"), "resolved").otherwise("mismatch"))
         .otherwise("unchecked")
     )
     updates = F.map_filter(ours, lambda k, _: k.isin(*permitted))
     kept = F.map_filter(theirs, lambda k, _: ~F.coalesce(F.map_contains_key(updates, k), F.lit(False)))
-    merged = F.when(status == "resolved", F.map_concat(kept, updates)).otherwise(ours)
+    merged = F.when((status == "resolved") & ~identical, F.map_concat(kept, updates)).otherwise(ours)
     return found.select("record_id", "url_key", "time", F.col("match.record_id").alias("refers_to"), status.alias("status"), merged.alias("headers"))
 
 
@@ -105,7 +123,11 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, url, date, fields, http_headers, payload of every record of WARC files, one file a row of work."""
+    """record_type, url, date, fields, http_status, http_headers, profile, truncated, payload of every record of WARC files, one file a row of work.
+
+    http_status is null where the block is no HTTP message; profile is that of
+    revisits; truncated records say so or end before their length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +137,28 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     http = fields.get("content-type", "").startswith("application/http") and mark
                     lines = head.decode("utf-8", "replace").split("\r\n")[1:] if http else []
                     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-                    row = (fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), fields, headers, payload if http else block)
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.map_(pa.string(), pa.string()), pa.binary())
+                    said = _STATUS.match(head[:64].decode("utf-8", "replace")) if http else None
+                    cut = "warc-truncated" in fields or len(block) < int(fields["content-length"])
+                    row = (fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), fields, int(said[1]) if said else None, headers, fields.get("warc-profile"), cut, payload if http else block)
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.binary())
                     values = [list(x.items()) if isinstance(x, dict) else x for x in row]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=["record_type", "url", "date", "fields", "http_headers", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=["record_type", "url", "date", "fields", "http_status", "http_headers", "profile", "truncated", "payload"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_type string, url string, date string, fields map<string,string>, http_headers map<string,string>, payload binary")
+    return files.mapInArrow(run, "record_type string, url string, date string, fields map<string,string>, http_status int, http_headers map<string,string>, profile string, truncated boolean, payload binary")
+
+
+def archive_records(read: DataFrame) -> DataFrame:
+    """What ``read_warc`` gives as the input of ``resolve_revisits``; record_id is the archive's own, a string."""
+    field = lambda name: F.element_at("fields", name)
+    return read.where(F.col("record_type").isin("response", "revisit")).select(
+        field("warc-record-id").alias("record_id"),
+        F.col("record_type").alias("type"),
+        F.regexp_replace("url", "^<|>$", "").alias("url"),
+        F.try_to_timestamp("date").cast("long").alias("time"),
+        F.col("http_headers").alias("headers"),
+        "http_status",
+        "truncated",
+        "profile",
+        F.lower(field("warc-payload-digest")).alias("digest"),
+    )
