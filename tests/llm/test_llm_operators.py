@@ -375,3 +375,17 @@ def test_archived_revisits(spark, tmp_path):
     assert {k: (r.refers_to, r.status) for k, r in found.items()} == {"g": ("a", "resolved"), "h": ("a", "resolved"), "i": ("a", "mismatch")}
     assert found["g"].headers == {"etag": "1", "x-kind": "old"} and found["h"].headers == {"etag": "9", "x-kind": "new"}
     assert found["g"].time == 1577836807
+
+
+def test_jaccard_null_ids(spark):
+    """A set that only rows without an id have links two documents that don't link by themselves."""
+    words = [f"n{i}" for i in range(100)]
+    edit = lambda w, *at: " ".join("e" if i in at else x for i, x in enumerate(w))
+    other = [f"m{i}" for i in range(100)]
+    rows = [(1, edit(words)), (None, edit(words, 30)), (None, edit(words, 30)), (2, edit(words, 30, 60)), (7, edit(other)), (None, edit(other, 50)), (None, passage(50))]
+    sets = [shingle_set(t) for _, t in rows]
+    alike = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[3]) and not alike(sets[0], sets[3]) and alike(sets[4], sets[5])
+    found = J.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    key = lambda r: (r[0] or 0, r[1], r[2] or 0)
+    assert sorted(map(tuple, found), key=key) == sorted(((d, len(x), c) for (d, _), x, c in zip(rows, sets, [1, 1, 1, 1, 7, 7, None])), key=key)

@@ -280,7 +280,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
         placed = texts.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FETCH_BITS)))
         sifted = placed.mapInArrow(sift, "node binary, rep long, text string")
-        return scratch.write(sifted.join(wanted, ["node", "rep"], "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
+        same = (F.col("texts.node") == F.col("wanted.node")) & F.col("texts.rep").eqNullSafe(F.col("wanted.rep"))  # all ids of a node can be null
+        return scratch.write(sifted.alias("texts").join(wanted.alias("wanted"), same, "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.write(pairs, f"{name}-pairs")
