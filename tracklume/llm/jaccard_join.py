@@ -1,29 +1,28 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 Two sets whose Jaccard similarity reaches t share a token among the first
-n - ceil(t n) + 1 of each, under any order of all tokens.  Under the first
-order, candidates are the documents that share such a prefix token; a
-candidate must then share prefix tokens under the other orders as well before
-its sets are compared.  All orders put the most frequent tokens last, so that
-common passages make no candidates; they differ in the rest.
-
-A shared prefix token also bounds what two sets can have in common by what
-follows it in each; the first one that they share must leave enough.
-
-Between the first order and the others stands a bitmap filter: of each set a
-bitmap of its tokens' hashes, from which follows a bound on what two sets can
-have in common.  It only drops pairs that can't reach the similarity, and lets
-the texts of few documents be shuffled.
-
-Documents of equal sets are one node.  Every node is first compared with those
-of its tokens' least and largest holders that share most of them with it, which links most groups of near copies; then all
-pairs that share a prefix token and aren't yet in one component are compared.
-So no link between components is lost, and large groups of copies don't
-become all their pairs.
+n - ceil(t n) + 1 of each, under any order of all tokens.  Three orders are
+used: the first puts frequent tokens last, so that common passages make no
+candidates; the others are by two hashes.  Candidates are documents that share
+a prefix token under the first order, at places that leave enough after them;
+of these, the ones stay that share prefix tokens under both other orders too
+and whose bitmaps (a bit for every token's hash) allow the similarity.  Only
+then are texts fetched, and compared word by word.
+
+Documents of equal words are one node.  Of the holders of a token the one is
+its pivot whose prefix is shared most with others, which in a group of near
+copies is the one of fewest own words; every node is compared with the pivots
+that share most tokens with it, which links most groups.  Pivots have then met
+all holders and leave the token, and while that still saves comparisons, the
+next ones take their place.  Last, all pairs that share a token and aren't in
+one component are compared: no link between components is lost, and large
+groups of near copies don't become all their pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,17 +34,19 @@ from pyspark.sql import functions as F
 from tracklume.llm import text as T
 from tracklume.llm.components import components
 from tracklume.llm.scratch import Scratch
-from tracklume.llm.shared_keys import Keyed, recurring
+from tracklume.llm.shared_keys import KEY_VALUE_ROWS, key_rows, recurring
 
 #: Frequent tokens, at most, by which every task orders: which are known changes the candidates, not what is linked.
 MAX_FREQUENT = 1 << 19
 #: Tokens that a task counts together, and documents among them from which on a token may be frequent.
-COUNTED_TOGETHER, FREQUENT_AMONG = 1 << 22, 4
+COUNTED_TOGETHER, FREQUENT_AMONG = 1 << 21, 4
 #: Seeds of the token orders.
 ORDERS = (1, 2, 3)
-#: Bits of the filter that finds the texts of candidates before they are shuffled; when it is full, all are.
+#: Bits of the filter that leaves most texts out before those of candidates are shuffled; when it is full, all are.
 FETCH_BITS = 1 << 23
-_TOP = np.uint64(1 << 63)
+#: Rounds of pivots go on while pairs that are left are more than so many times the rows they come from, and a round takes away at least this share.
+PAIRS_A_ROW, LEAST_GAIN = 2, 0.2
+_TOP = np.uint64(1 << 62)
 
 
 class Sets(NamedTuple):
@@ -59,14 +60,21 @@ class Sets(NamedTuple):
 
 
 class Frequent(NamedTuple):
-    """Frequent tokens in order of value, and the place of each by how rare it is."""
+    """Frequent tokens in order of value, and how frequent each is: a binary digit more for twice as many documents."""
 
     tokens: np.ndarray
-    place: np.ndarray
+    level: np.ndarray
+
+
+def _distinct(tokens: np.ndarray, doc: np.ndarray, n: int) -> Sets:
+    order = np.lexsort((tokens, doc))
+    tokens, doc = tokens[order], doc[order]
+    fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1])] if len(tokens) else np.zeros(0, bool)
+    return Sets(tokens[fresh], np.searchsorted(doc[fresh], np.arange(n + 1)))
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Sets:
-    """The distinct n-word shingles of A-Z lower-cased texts; a shorter text is one shingle."""
+    """The distinct n-word shingles of A-Z lower-cased texts, hashed; a shorter text is one shingle."""
     w = T.words(texts, lower=True)
     whole = T.whole(w, n)
     tokens, doc = T.grams(w.hashes, n)[whole], w.doc[whole]
@@ -76,30 +84,48 @@ def shingle_sets(texts: pa.Array, n: int) -> Sets:
         if len(short):
             tokens = np.concatenate([tokens, T.mix(T.grams(w.hashes, size)[w.first[short]] + np.uint64(size))])
             doc = np.concatenate([doc, short])
-    order = np.argsort(doc, kind="stable")
-    tokens = tokens[order] >> np.uint64(1)
-    first = np.searchsorted(doc[order], np.arange(len(texts) + 1))
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        tokens[a:b].sort()
-    fresh = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
-    fresh[first[:-1][first[:-1] < len(tokens)]] = True
-    return Sets(tokens[fresh], np.r_[0, np.cumsum(fresh)][first])
-
+    return _distinct(tokens >> np.uint64(1), doc, len(texts))
 
-def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, place in the set's order) of the prefix tokens of each set: rare tokens by a hash of ``seed`` first, frequent ones by their counts last.
 
-    A key stands for one token: hashes of a seed are a bijection of 63 bits,
-    but for a shift of one.
+def exact_sets(texts: pa.Array, n: int) -> Sets:
+    """As ``shingle_sets``, with numbers that are equal for equal words only, for the texts of one array."""
+    w = T.words(texts, lower=True)
+    ids, count = T.exact_ids(w), np.diff(w.first)
+    tokens, doc, at = [], [], 0
+    for size in range(1, n + 1):
+        if size > 1:  # (the words so far, the next word) as one number
+            pairs = ids[: len(ids) - 1] * np.int64(len(single) + len(w.hashes) + 1) + single[size - 1 :][: len(ids) - 1]
+            _, ids = np.unique(pairs, return_inverse=True)
+        else:
+            _, ids = np.unique(ids, return_inverse=True)
+            single = ids
+        starts = w.first[:-1][count == size] if size < n else np.flatnonzero(T.whole(w, n))
+        if len(starts):
+            tokens.append(ids[starts] + at)
+            doc.append(w.doc[starts])
+        at += len(w.hashes) + 1
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return _distinct(join(tokens), join(doc), len(texts))
+
+
+def _keep(n: int, percent: int) -> int:
+    """Tokens of a prefix."""
+    return n - (percent * n + 99) // 100 + 1 if n else 0
+
+
+def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, place in the set's order) of the prefix tokens of each set, by a hash of ``seed``; frequent ones last, by level.
+
+    A key is a hash of 63 bits: tokens that share one only make more candidates.
     """
-    key = T.mix(sets.tokens + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(1)
-    if len(frequent.tokens) and len(key):
+    key = T.mix(sets.tokens + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(2)
+    if frequent is not None and len(frequent.tokens) and len(key):
         at = np.minimum(np.searchsorted(frequent.tokens, sets.tokens), len(frequent.tokens) - 1)
         known = frequent.tokens[at] == sets.tokens
-        key[known] = _TOP | (frequent.place[at[known]] << np.uint64(43)) | (key[known] >> np.uint64(20))
+        key[known] = _TOP | (frequent.level[at[known]] << np.uint64(56)) | (key[known] >> np.uint64(6))
     parts, sizes = [], []
     for a, b in sets.spans():
-        keep = b - a - (percent * (b - a) + 99) // 100 + 1 if b > a else 0
+        keep = _keep(b - a, percent)
         parts.append(np.sort(np.partition(key[a:b], keep - 1)[:keep]) if keep else key[a:a])
         sizes.append(keep)
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -107,14 +133,32 @@ def prefixes(sets: Sets, percent: int, seed: int, frequent: Frequent) -> tuple[n
     return np.concatenate(parts) if parts else key, text, (np.arange(len(text)) - starts[text]).astype(np.uint32)
 
 
-def digests(sets: Sets) -> np.ndarray:
-    """128 bits a set, as two int64; equal sets have equal ones."""
-    out = np.zeros((len(sets.first) - 1, 2), np.uint64)
-    for i in (0, 1):
-        sums = np.zeros(len(sets.tokens) + 1, np.uint64)
-        np.cumsum(T.mix(sets.tokens ^ np.uint64(0x5851F42D4C957F2D * (i + 1) % (1 << 64))), out=sums[1:])
-        out[:, i] = T.mix(sums[sets.first[1:]] - sums[sets.first[:-1]] + np.diff(sets.first).astype(np.uint64))
-    return out.view(np.int64)
+def digests(texts: pa.Array) -> list[bytes]:
+    """128 bits of SHA-256 of each text's lower-cased words: texts of equal ones are taken for equal."""
+    return [hashlib.sha256(b" ".join((x.as_py() or "").encode().translate(T.LOWER).split())).digest()[:16] for x in texts]
+
+
+def node_ids(found: list[bytes], taken: dict[bytes, int], bits: int) -> np.ndarray:
+    """A number below 2^63 for each digest: its first bits, or what ``taken`` says."""
+    return np.array([taken.get(x, int.from_bytes(x[:8], "big") >> (64 - bits)) for x in found], np.int64)
+
+
+def profiles(sets: Sets, percent: int) -> list[bytes]:
+    """Of each set 32 bits of every prefix token under the other orders: both in order, of one length."""
+    parts = []
+    for seed in ORDERS[1:]:
+        key, text, _ = prefixes(sets, percent, seed)
+        cuts = np.searchsorted(text, np.arange(len(sets.first)))
+        parts.append(((key & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts.tolist()))
+    (p, a), (q, b) = parts
+    return [p[a[i] : a[i + 1]].tobytes() + q[b[i] : b[i + 1]].tobytes() for i in range(len(sets.first) - 1)]
+
+
+def meet_everywhere(x: bytes, y: bytes) -> bool:
+    """Whether two profiles share prefix tokens under each of the orders."""
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    n, m = len(a) // 2, len(b) // 2
+    return np.isin(a[:n], b[:m]).any() and np.isin(a[n:], b[m:]).any()
 
 
 def bitmaps(sets: Sets) -> list[bytes]:
@@ -150,29 +194,25 @@ def _meet(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def linked(x_texts: pa.Array, y_texts: pa.Array, n: int, percent: int, frequent: Frequent) -> np.ndarray:
-    """Which pairs of texts reach the similarity: those that share prefix tokens under every order are compared in whole."""
-    x, y = shingle_sets(x_texts, n), shingle_sets(y_texts, n)
-    found = np.ones(len(x_texts), bool)
-    for seed in ORDERS[1:]:
-        (p, i, _), (q, j, _) = prefixes(x, percent, seed, frequent), prefixes(y, percent, seed, frequent)
-        xs, ys = (np.searchsorted(k, np.arange(len(found) + 1)).tolist() for k in (i, j))
-        for k in np.flatnonzero(found).tolist():
-            found[k] = _meet(p[xs[k] : xs[k + 1]], q[ys[k] : ys[k + 1]]) > 0
-    for k in np.flatnonzero(found).tolist():
-        a, b = x.tokens[x.first[k] : x.first[k + 1]], y.tokens[y.first[k] : y.first[k + 1]]
-        both = _meet(a, b)
-        found[k] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+def linked(x_texts: pa.Array, y_texts: pa.Array, n: int, percent: int) -> np.ndarray:
+    """Which pairs of texts reach the similarity, by their words."""
+    count = len(x_texts)
+    sets = exact_sets(pa.concat_arrays([x_texts, y_texts]), n)
+    spans, found = list(sets.spans()), np.zeros(count, bool)
+    for k in range(count):
+        (a, b), (c, d) = spans[k], spans[count + k]
+        both = _meet(sets.tokens[a:b], sets.tokens[c:d])
+        found[k] = both > 0 and 100 * both >= percent * (b - a + d - c - both)
     return found
 
 
-_SIGNATURE = "doc_id long, n_shingles long, node binary, bits binary, tokens binary, counts binary"
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-_NAMES = ["doc_id", "n_shingles", "node", "bits", "tokens", "counts"]
+_SIGNATURE = "doc_id long, n long, digest binary, node long, bits binary, profile binary, tokens binary, counts binary"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 4]
+_NAMES = ["doc_id", "n", "digest", "node", "bits", "profile", "tokens", "counts"]
 
 
-def signatures(texts: DataFrame, n: int) -> DataFrame:
-    """A row a text: the size, digest and bitmap of its set; and rows of tokens that a task counted often."""
+def signatures(texts: DataFrame, n: int, percent: int, id_bits: int) -> DataFrame:
+    """A row a text: size, digest, bitmap and profile of its set; and rows of tokens that a task counted often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
@@ -181,14 +221,14 @@ def signatures(texts: DataFrame, n: int) -> DataFrame:
             tokens, counts = np.unique(np.concatenate(seen), return_counts=True)
             often = counts >= FREQUENT_AMONG
             seen.clear()
-            row = [None, None, None, None, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
+            row = [*[None] * 6, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], names=_NAMES)
 
         for chunk in T.chunks(batches):
-            sets = shingle_sets(chunk.column(1), n)
+            sets, names = shingle_sets(chunk.column(1), n), digests(chunk.column(1))
             seen.append(sets.tokens)
             none = [None] * chunk.num_rows
-            columns = [chunk.column(0), np.diff(sets.first), [x.tobytes() for x in digests(sets)], bitmaps(sets), none, none]
+            columns = [chunk.column(0), np.diff(sets.first), names, node_ids(names, {}, id_bits), bitmaps(sets), profiles(sets, percent), none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
             if sum(map(len, seen)) >= COUNTED_TOGETHER:
                 yield counted()
@@ -208,61 +248,68 @@ def frequent_tokens(counted: DataFrame) -> Frequent:
 
     rows = counted.where("tokens is not null").select("tokens", "counts").mapInArrow(run, "token long, n long")
     top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    place = (len(top) - 1 - np.arange(len(top))).astype(np.uint64)  # the most frequent last
+    tokens, level = top["token"].to_numpy(np.int64).view(np.uint64), np.frexp(top["n"].to_numpy(float))[1].astype(np.uint64)
     order = np.argsort(tokens)
-    return Frequent(tokens[order], place[order])
+    return Frequent(tokens[order], level[order])
+
 
+def taken_ids(signed: DataFrame, id_bits: int) -> dict[bytes, int]:
+    """Digests whose first bits another digest has too, but for one of each, with ids of their own; hardly ever any."""
+    rows = signed.groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("node", "low")
+    found = signed.join(rows, "node").where("digest <> low").select("digest").distinct().collect()
+    return {bytes(r["digest"]): int.from_bytes(hashlib.sha256(b"again" + r["digest"]).digest()[:8], "big") >> 1 for r in found}
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_bits: int = 63) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Two documents link where 100 |A and B| >= percent |A or B| for their sets
     of n-word shingles; component_id is the smallest doc_id that links reach.
     A null text or one without words has an empty set and is linked with
-    nothing; a null doc_id belongs to the component of its set.
+    nothing; a null doc_id belongs to the component of its set.  Rows of one
+    doc_id are each judged by their own text.  Columns beside these are left
+    out.  ``id_bits`` of a digest number the nodes; equal ones are told apart.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.write(signatures(texts, n), "signatures")
+    signed = scratch.write(signatures(texts, n, percent, id_bits), "signatures")
     frequent = spark.sparkContext.broadcast(frequent_tokens(signed))
     signed = signed.where("node is not null")
+    if taken := taken_ids(signed, id_bits):
+        other = spark.createDataFrame(list(taken.items()), "digest binary, other long")
+        signed = signed.join(F.broadcast(other), "digest", "left").withColumn("node", F.coalesce("other", "node")).drop("other")
+    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
-    def keyed(chunk: pa.RecordBatch) -> Keyed:
-        sets = shingle_sets(chunk.column(1), n)
-        return Keyed(digests(sets), *prefixes(sets, percent, ORDERS[0], frequent.value))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, at = ([np.frombuffer(x.as_py(), kind) for x in batch.column(i)] for i, kind in ((2, np.int64), (3, np.uint32)))
-            nodes = np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1) if batch.num_rows else np.zeros((0, 2), np.int64)
-            each = [x.tobytes() for x in nodes]
-            node = pa.array(each, pa.binary()).take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in keys])))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (keys, at)), node], names=["key", "at", "node"])
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in T.chunks(batches):
+            found = digests(chunk.column(1))
+            _, once = np.unique(np.array(found, "S16"), return_index=True)
+            part = chunk.take(pa.array(np.sort(once)))
+            sets, ids = shingle_sets(part.column(1), n), node_ids([found[i] for i in np.sort(once)], taken, id_bits)
+            key, text, place = prefixes(sets, percent, ORDERS[0], frequent.value)
+            yield key_rows(key, ids[text], place.astype(np.int64) << 32 | np.diff(sets.first)[text])
 
-    classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    shared = recurring(texts, keyed).mapInArrow(unpacked, "key long, at long, node binary").distinct()
-    shared = scratch.write(shared.join(classes.select("node", "n"), "node"), "shared")
-    bits = signed.groupBy("node").agg(F.first("bits").alias("bits"))
+    shared = recurring(texts.mapInArrow(marked, KEY_VALUE_ROWS)).select("key", F.col("owner").alias("node"), F.shiftright("v", 32).alias("at"), F.col("v").bitwiseAND(0xFFFFFFFF).alias("n")).distinct()
+    shared = scratch.write(shared, "shared")
+    hints = signed.groupBy("node").agg(F.first("bits").alias("bits"), F.first("profile").alias("profile"))
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, n, y, m) whose bitmaps let them link."""
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, n, y, m) that meet under the other orders and whose bitmaps let them link."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sides = [batch.column(i).to_pylist() for i in range(2, 6)]
-                keep = pa.array([may_link(*row, percent) for row in zip(*sides, strict=True)], pa.bool_())
+                rows = zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True)
+                keep = pa.array([meet_everywhere(p, q) and may_link(b, c, i, j, percent) for b, c, i, j, p, q in rows], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
-        left = bits.select(F.col("node").alias("x"), F.col("bits").alias("x_bits"))
-        right = bits.select(F.col("node").alias("y"), F.col("bits").alias("y_bits"))
-        return pairs.join(left, "x").join(right, "y").select("x", "y", "x_bits", "y_bits", "n", "m").mapInArrow(run, "x binary, y binary")
+        left = hints.select(F.col("node").alias("x"), F.col("bits").alias("x_bits"), F.col("profile").alias("x_profile"))
+        right = hints.select(F.col("node").alias("y"), F.col("bits").alias("y_bits"), F.col("profile").alias("y_profile"))
+        return pairs.join(left, "x").join(right, "y").select("x", "y", "x_bits", "y_bits", "n", "m", "x_profile", "y_profile").mapInArrow(run, "x long, y long")
 
     def fetched(pairs: DataFrame, name: str) -> DataFrame:
         """(node, text) of the nodes of ``pairs``; a filter of bounded size leaves most other texts out before the join."""
-        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        wanted = scratch.write(nodes.join(classes, "node").select("node", "rep"), f"{name}-wanted")
+        wanted = scratch.write(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes, "node").select("node", "rep"), f"{name}-wanted")
         place = F.pmod(F.xxhash64("rep"), F.lit(FETCH_BITS))
         found = wanted.groupBy(F.floor(place / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64(rep), {FETCH_BITS}), 32)))")).alias("bits")).toPandas()
         table = np.zeros(FETCH_BITS // 32, np.uint64)
@@ -274,54 +321,67 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
                 at = batch.column(2).to_numpy()
                 hit = table.value[at // 32] >> (at % 32).astype(np.uint64) & np.uint64(1)
                 part = batch.filter(pa.array(hit.astype(bool)))
-                for chunk in T.chunks(iter([part])):
-                    each = [x.tobytes() for x in digests(shingle_sets(chunk.column(1), n))]
-                    yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), chunk.column(0), chunk.column(1)], names=["node", "rep", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(digests(part.column(1)), taken, id_bits)), part.column(0), part.column(1)], names=["node", "rep", "text"])
 
         placed = texts.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FETCH_BITS)))
-        sifted = placed.mapInArrow(sift, "node binary, rep long, text string")
+        sifted = placed.mapInArrow(sift, "node long, rep long, text string")
         same = (F.col("texts.node") == F.col("wanted.node")) & F.col("texts.rep").eqNullSafe(F.col("wanted.rep"))  # all ids of a node can be null
         return scratch.write(sifted.alias("texts").join(wanted.alias("wanted"), same, "left_semi").dropDuplicates(["node"]).select("node", "text"), f"{name}-texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(pairs, f"{name}-pairs")
+        pairs = scratch.write(possible(pairs), f"{name}-pairs")
         held = fetched(pairs, name)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in T.chunks(batches):
-                found = pa.array(linked(chunk.column(2), chunk.column(3), n, percent, frequent.value))
+                found = pa.array(linked(chunk.column(2), chunk.column(3), n, percent))
                 yield pa.RecordBatch.from_arrays([chunk.column(0).filter(found), chunk.column(1).filter(found)], names=["x", "y"])
 
         left = held.select(F.col("node").alias("x"), "text")
         right = held.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
-        links = scratch.write(pairs.join(left, "x").join(right, "y").select("x", "y", "text", "y_text").mapInArrow(run, "x binary, y binary"), f"{name}-links")
+        links = scratch.write(pairs.join(left, "x").join(right, "y").select("x", "y", "text", "y_text").mapInArrow(run, "x long, y long"), f"{name}-links")
         scratch.drop(f"{name}-texts")
+        scratch.drop(f"{name}-pairs")
         return links
 
     # The sizes n and m, and the places of a token that both have: what follows it in either bounds what they have in common.
     most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("by"))
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-    # First each node with the least and the largest of those that hold a prefix token of it.
-    one = F.struct("node", "n", "at")
-    ends = shared.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node")
-    beside = shared.join(ends, "key").select(F.col("node").alias("x"), "n", "at", F.explode(F.array("low", "high")).alias("end"))
-    beside = beside.select("x", "n", "at", F.col("end.node").alias("y"), F.col("end.n").alias("m"), F.col("end.at").alias("by")).where((F.col("x") != F.col("y")) & near)
-    shares = beside.groupBy("x", "n", "y", "m").agg(F.count("*").alias("tokens"))
-    most_shared = shares.groupBy("x", "n").agg(F.min(F.struct(-F.col("tokens"), "y", "m")).alias("low"), F.max(F.struct("tokens", "y", "m")).alias("high"))
-    closest = most_shared.select("x", "n", F.explode(F.array(F.struct("low.y", "low.m"), F.struct("high.y", "high.m"))).alias("end")).select("x", "n", "end.y", "end.m").distinct()
-    labels = scratch.write(components(verify(bounded(closest), "first"), scratch, "first"), "labels-first")
-
-    # Then all pairs of different components that share one.
-    marked = shared.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    marked = scratch.write(marked.join(open_keys, "key"), "open")
-    other = marked.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("label").alias("other"))
-    pairs = marked.withColumnRenamed("node", "x").join(other, "key").where((F.col("label") < F.col("other")) & near).select("x", "n", "y", "m").distinct()
-    rest = verify(bounded(pairs), "rest")
-    labels = scratch.write(components(labels.select(F.col("node").alias("x"), F.col("label").alias("y")).union(rest), scratch, "all"), "labels")
-
-    whole = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    # A node's rank is how much of its prefix others share, then its number.
+    keep = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    ranks = shared.groupBy("node").agg(F.floor(F.count("*") / F.max(keep) * (1 << 14)).alias("share"))
+    ranks = ranks.select("node", F.shiftleft("share", 48).bitwiseOR(F.shiftright("node", 15)).alias("rank"))
+    open_ = scratch.write(shared.join(ranks, "node").select("key", "node", "n", "at", "rank", F.col("node").alias("label")), "open-0")
+    as_y = [F.col("node").alias("y"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("label").alias("other")]
+    labels = spark.createDataFrame([], "node long, label long")
+    before = float("inf")
+
+    def joined(found: DataFrame, name: str) -> DataFrame:
+        """Labels with what is linked by ``found`` (x, n, y, m) put together."""
+        links = labels.select(F.col("node").alias("x"), F.col("label").alias("y")).union(verify(found, name))
+        return scratch.write(components(links, scratch, name), f"{name}-labels")
+
+    for step in itertools.count(1):
+        ranked = open_.join(open_.groupBy("key").agg(F.max("rank").alias("top")), "key")
+        pivots = ranked.where("rank = top").select("key", *as_y)
+        beside = open_.withColumnRenamed("node", "x").join(pivots, "key").where((F.col("x") != F.col("y")) & (F.col("label") != F.col("other")) & near)
+        labels = joined(beside.select("x", "n", "y", "m").distinct(), f"round-{step}")
+        rest = ranked.where("rank < top").drop("label", "top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        counts = rest.groupBy("key", "label").agg(F.count("*").alias("c"))
+        several = counts.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("c * c > squares")
+        open_ = scratch.write(rest.join(several.select("key"), "key").select(open_.columns), f"open-{step}")
+        counts = open_.groupBy("key", "label").agg(F.count("*").alias("c"))
+        found = counts.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        rows, left = found.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c").cast("double") * F.col("c") - F.col("squares")) / 2), F.lit(0.0))).first()
+        if left <= PAIRS_A_ROW * rows or left > (1 - LEAST_GAIN) * before:
+            break
+        before = left
+    if rows:
+        pairs = open_.withColumnRenamed("node", "x").join(open_.select("key", *as_y), "key").where((F.col("label") < F.col("other")) & near)
+        labels = joined(pairs.select("x", "n", "y", "m").distinct(), "rest")
+
+    whole = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "label").select("node", "component_id")
-    joined = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    told = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    return told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,137 +1,72 @@
-"""Which 64-bit keys of documents recur in other documents.
+"""Which keys of documents recur in other documents, and who is their first owner, as rows.
 
-Keys are exchanged as packed, sorted blocks, not as rows: a task sorts the keys
-of many documents at once and sends each bucket (a range of key values) one
-block.  A key that already recurs inside the task needs one entry only, however
-many documents hold it, so a key that a third of all rows share costs an entry
-a task and never meets in one place as rows.
+A task sends, for each of its keys, the first and the last owner it saw: two
+rows, however many of its documents hold the key.  If it saw more owners than
+those, it knows that the key recurs, and their rows aren't dealt by the key:
+so a key that a third of all documents share doesn't gather in one partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tracklume.llm import text as T
 from tracklume.llm.scratch import partitions
 
-#: Shuffle partitions to a bucket: a block is a dense array, so buckets can be larger than partitions of rows.
-_PARTITIONS_A_BUCKET = 2
-_LEAST_BUCKETS = 12
-
-
-class Keyed(NamedTuple):
-    """Of a chunk of documents: a pair of 64-bit numbers that names each, and (key, document's place) entries."""
-
-    names: np.ndarray  # int64, (documents, 2)
-    keys: np.ndarray  # uint64
-    doc: np.ndarray
-    at: np.ndarray | None = None  # uint32, a number that goes with each entry; equal for entries of equal key and name
-
-
-def buckets(df: DataFrame) -> int:
-    return max(_LEAST_BUCKETS, partitions(df.sparkSession) // _PARTITIONS_A_BUCKET)
-
+KEY_ROWS = "x long, y long"
+KEY_VALUE_ROWS = "x long, y long, v long"
+OWNER_ROWS = "k long, l long, a long, b long, v long"
 
-def bounds(n: int) -> np.ndarray:
-    """Least keys of buckets 1 to n - 1."""
-    return (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
 
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=[x.split()[0] for x in schema.split(", ")])
 
-def by_doc(names: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(name, values...) of each document that has entries; ``doc`` need not be sorted."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    parts = [np.split(v[order], cuts) for v in values]
-    for i, at in enumerate(np.concatenate([[0], cuts]) if len(doc) else ()):
-        yield names[doc[at]], *(p[i] for p in parts)
 
+def key_rows(keys: np.ndarray, owners: np.ndarray, values: np.ndarray | None = None) -> pa.RecordBatch:
+    """The rows of a chunk's (key, owner, value) entries; keys and owners are below 2^63, and of equal (key, owner) one stays.
 
-_BLOCK = "bucket int, a long, b long, keys binary, at binary, doc binary, names binary"
-_REPLY = "a long, b long, keys binary, at binary"
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-_BLOCK_NAMES = ["bucket", "a", "b", "keys", "at", "doc", "names"]
-_REPLY_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_BLOCK_NAMES)
-
-
-def recurring(docs: DataFrame, keyed: Callable[[pa.RecordBatch], Keyed]) -> DataFrame:
-    """(a, b, keys, at): for documents named (a, b), their keys that a document of another ``a`` has too, and the numbers that go with them, if any do.
-
-    ``keyed`` makes the entries of a chunk of texts.  A document can have
-    several rows of keys.  Exact: hash buckets only deal out the work.
+    x is the key and y the owner; where the chunk itself knows that the key
+    recurs, x is the owner's complement and y the key.
+    """
+    keys, owners = keys.astype(np.int64), owners.astype(np.int64)
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    once = np.r_[True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])] if len(keys) else np.zeros(0, bool)
+    keys, owners = keys[once], owners[once]
+    inner = np.zeros(len(keys), bool)
+    inner[1:-1] = (keys[1:-1] == keys[:-2]) & (keys[1:-1] == keys[2:])
+    columns = [np.where(inner, ~owners, keys), np.where(inner, keys, owners)]
+    return _batch(KEY_ROWS, *columns) if values is None else _batch(KEY_VALUE_ROWS, *columns, values[order][once])
+
+
+def recurring(rows: DataFrame) -> DataFrame:
+    """(key, owner) of all keys that two owners have, with v if there is one, from rows of ``key_rows``; a row can come more than once."""
+    group, told = Window.partitionBy("x"), F.col("x") < 0
+    dealt = rows.repartition(partitions(rows.sparkSession), "x")
+    met = dealt.select("*", F.min("y").over(group).alias("low"), F.max("y").over(group).alias("high")).where("low <> high or x < 0")
+    key, owner = F.when(told, F.col("y")).otherwise(F.col("x")), F.when(told, F.bitwise_not("x")).otherwise(F.col("y"))
+    return met.select(key.alias("key"), owner.alias("owner"), *rows.columns[2:])
+
+
+def owner_rows(keys: np.ndarray, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """The rows of a chunk's entries: ``keys`` are two columns, ``a`` may own, ``b`` goes along, values are not negative.
+
+    Of a key only the entries of the chunk's least ``a`` are dealt by it; the
+    others know that they come later, and say so by the complement of their value.
     """
-    n = buckets(docs)
-    ranges = bounds(n)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(batches):
-            names, keys, doc, at = keyed(chunk)
-            numbered = at is not None
-            at = np.zeros(0, np.uint32) if at is None else at
-            if not len(keys):
-                continue
-            order = np.lexsort((names[doc, 0], keys))
-            keys, doc, at = keys[order], doc[order], at[order] if numbered else at
-            owner = names[doc, 0]
-            fresh = np.r_[True, keys[1:] != keys[:-1]]
-            group = np.cumsum(fresh) - 1
-            starts = np.flatnonzero(fresh)
-            ends = np.r_[starts[1:], len(keys)] - 1
-            known = owner[starts] != owner[ends]  # sorted by owner: the key recurs right here
-            rows = []
-            here = known[group]
-            for name, found, *numbers in by_doc(names, doc[here], keys[here], *([at[here]] if numbered else [])):
-                rows.append((int(found[0] % np.uint64(n)), int(name[0]), int(name[1]), found.tobytes(), *([x.tobytes() for x in numbers] or [None]), None, None))
-            # One entry a (key, name): of a key known here the first, else all rows of its one owner.
-            again = np.r_[False, (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1]) & (names[doc[1:], 1] == names[doc[:-1], 1])]
-            sent = np.where(here, fresh, ~again)
-            keys, doc, here, at = keys[sent], doc[sent], here[sent], at[sent] if numbered else at
-            cuts = np.searchsorted(keys, ranges)
-            numbers = np.split(at, cuts) if numbered else [None] * n
-            for bucket, (k, d, h, x) in enumerate(zip(np.split(keys, cuts), np.split(doc, cuts), np.split(here, cuts), numbers, strict=True)):
-                if len(k):
-                    used, place = np.unique(d, return_inverse=True)
-                    flags = (place.astype(np.uint32) << np.uint32(1)) | h.astype(np.uint32)
-                    rows.append((bucket, None, None, k.tobytes(), x.tobytes() if numbered else None, flags.tobytes(), np.ascontiguousarray(names[used]).tobytes()))
-            yield _batch(rows)
-
-    def meet(table: pa.Table) -> pa.Table:
-        told = table.filter(pa.compute.is_valid(table["a"])).select(["a", "b", "keys", "at"])
-        keys, names, docs_, known, at = [], [], [], [], []
-        base = 0
-        for row in table.filter(pa.compute.is_null(table["a"])).select(["keys", "at", "doc", "names"]).to_pylist():
-            flags = np.frombuffer(row["doc"], np.uint32)
-            keys.append(np.frombuffer(row["keys"], np.uint64))
-            names.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
-            docs_.append((flags >> np.uint32(1)).astype(np.int64) + base)
-            known.append((flags & np.uint32(1)).astype(bool))
-            if row["at"] is not None:
-                at.append(np.frombuffer(row["at"], np.uint32))
-            base += len(names[-1])
-        if not keys:
-            return told
-        keys, names, doc, known = map(np.concatenate, (keys, names, docs_, known))
-        order = np.lexsort((names[doc, 0], keys))
-        keys, doc, known = keys[order], doc[order], known[order]
-        numbered = [np.concatenate(at)[order]] if at else []
-        fresh = np.r_[True, keys[1:] != keys[:-1]]
-        starts = np.flatnonzero(fresh)
-        ends = np.r_[starts[1:], len(keys)] - 1
-        shared = (names[doc[starts], 0] != names[doc[ends], 0]) | np.logical_or.reduceat(known, starts)
-        # Documents of keys that were known got them from their own task.
-        wanted = np.repeat(shared, np.diff(np.r_[starts, len(keys)])) & ~known
-        rows = [(int(x[0]), int(x[1]), k.tobytes(), *([v.tobytes() for v in numbers] or [None])) for x, k, *numbers in by_doc(names, doc[wanted], keys[wanted], *(v[wanted] for v in numbered))]
-        found = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, _REPLY_KINDS, strict=True)], names=["a", "b", "keys", "at"])
-        return pa.concat_tables([told.cast(found.schema), found])
-
-    return docs.mapInArrow(blocks, _BLOCK).groupBy("bucket").applyInArrow(meet, _REPLY)
+    order = np.lexsort((a, keys[:, 1], keys[:, 0]))
+    keys, a, b, values = keys[order].astype(np.int64), a[order], b[order], values[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+    later = a > np.repeat(a[starts], np.diff(np.r_[starts, len(keys)]))
+    dealt = T.mix((a.astype(np.uint64) << np.uint64(32)) + values.astype(np.uint64)).astype(np.int64)
+    return _batch(OWNER_ROWS, np.where(later, dealt, keys[:, 0]), np.where(later, 0, keys[:, 1]), a, b, np.where(later, ~values, values))
+
+
+def owned(rows: DataFrame) -> DataFrame:
+    """a, b, v of the rows of ``owner_rows``, with ``later``: whether a smaller ``a`` has the key too."""
+    told = F.col("v") < 0
+    dealt = rows.repartition(partitions(rows.sparkSession), "k", "l").select("*", F.min("a").over(Window.partitionBy("k", "l")).alias("owner"))
+    return dealt.select("a", "b", F.when(told, F.bitwise_not("v")).otherwise(F.col("v")).alias("v"), (told | (F.col("a") > F.col("owner"))).alias("later"))

@@ -1,97 +1,79 @@
 """Substring dedup by repeated-phrase automata.
 
-1. *Recurring phrases.*  Of the 5-word phrases in each 13-word window the one
-   of least hash stands for the window; equal windows have equal phrases.
-   Phrases that two documents share are found by exchanging their hashes
-   (``shared_keys``): few texts have any, and only windows around one can
-   repeat.
-2. *Automata.*  Each task compiles the phrases confirmed to recur in its own
-   share of the documents into Aho-Corasick automata, and streams those
-   documents through them to locate every occurrence.
-3. *Owners.*  The windows around located phrases meet by 96 bits of their word
-   sequence; the smallest doc_id that has one owns it, and all others learn
-   which of their windows have an owner elsewhere.
-4. *Removal.*  Each document drops the words that such windows cover.
+1. *Candidates.*  Of the 5-word phrases in each 13-word window the one of least
+   hash stands for the window; equal windows have equal phrases.  Texts that
+   share a phrase's hash are found by exchanging the hashes (``shared_keys``);
+   equal texts are one here, and only their smallest doc_id is looked at.
+2. *Confirmation.*  The words of such phrases meet; those that two texts have
+   are confirmed to recur.
+3. *Automata.*  Documents are dealt into shards of about ``text.CHUNK_BYTES``.
+   Of each shard the confirmed phrases that its documents may hold are compiled
+   into an Aho-Corasick automaton, through which all of its documents that
+   aren't known to share nothing are streamed: it locates every occurrence.
+4. *Owners.*  The windows for which a located phrase stands are consecutive:
+   together they are a cell.  Cells of equal words (by a 128-bit BLAKE2b digest
+   of their bytes) have equal windows, so all but the first owner's are
+   repeats.  Windows of the first owners' cells meet once more, one by one, as
+   cells of other words can share some.
+5. *Removal.*  Each document drops the words that its repeated windows cover.
+
+Every shard's automaton holds its own documents' phrases only: phrases grow with
+the corpus, and all of them times all documents would grow with its square.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklume.llm import text as T
 from tracklume.llm.scratch import partitions
-from tracklume.llm.shared_keys import Keyed, bounds, buckets, by_doc, recurring
+from tracklume.llm.shared_keys import KEY_ROWS, OWNER_ROWS, key_rows, owned, owner_rows, recurring
 
 WINDOW, PHRASE = 13, 5
+#: A window's place and a number of windows in one value.
+_COUNT_BITS = 16
 
 
-def least_phrases(w: T.Words, window: int, phrase: int) -> np.ndarray:
-    """For each word from which a window starts, the least phrase hash in that window."""
-    each = T.grams(w.hashes, phrase)
-    least = each.copy()
+def least_phrases(w: T.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word from which a window starts, the least phrase hash in that window and the first place where it stands."""
+    each = T.grams(w.hashes, phrase) >> np.uint64(1)
+    least, at = each.copy(), np.arange(len(each))
     for i in range(1, window - phrase + 1):
-        np.minimum(least[: len(each) - i], each[i:], out=least[: len(each) - i])
-    return least
+        less = np.flatnonzero(each[i:] < least[: len(each) - i])
+        least[less], at[less] = each[less + i], less + i
+    return least, at
 
 
-def _names(chunk: pa.RecordBatch) -> np.ndarray:
-    """doc_id and a hash of the text: together they name a row up to repetition."""
-    return np.stack([chunk.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
-
-
-def _phrase_keys(window: int, phrase: int):
-    def keyed(chunk: pa.RecordBatch) -> Keyed:
-        w = T.words(chunk.column(2))
-        least = least_phrases(w, window, phrase)
-        starts = T.whole(w, window)
-        again = np.r_[False, (least[1:] == least[:-1]) & (w.doc[1:] == w.doc[:-1])] if len(least) else starts
-        chosen = starts & ~again
-        return Keyed(_names(chunk), least[chosen], w.doc[chosen])
-
-    return keyed
-
-
-def _flat(texts: pa.Array) -> tuple[str, np.ndarray]:
-    """All texts as one string of single-spaced words, each word between spaces, each text ended by a line feed; bytes are characters.
-
-    Also the offset of each word.
-    """
-    parts, sizes = [], []
+def _flat(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts as bytes of single-spaced words, each word between spaces, each text ended by a line feed; where each word starts and ends."""
+    parts, starts, ends = [], [], []
     at = 0
     for value in texts:
         found = (value.as_py() or "").encode().split()
         parts.append((b" " + b" ".join(found) if found else b"") + b" \n")
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
-        sizes.append(at + 1 + np.cumsum(lengths) - lengths)
+        stops = at + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        ends.append(stops)
+        starts.append(np.r_[at, stops[:-1]] + 1 if len(found) else stops)
         at += len(parts[-1])
-    return b"".join(parts).decode("latin-1"), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-
-
-def located(texts: pa.Array, w: T.Words, hashes: np.ndarray, phrase: int) -> np.ndarray:
-    """The words at which a phrase starts whose hash is among ``hashes``, wherever its words stand, by an automaton of them."""
-    each = T.grams(w.hashes, phrase)
-    hashes = np.sort(hashes)
-    at = np.minimum(np.searchsorted(hashes, each), len(hashes) - 1)
-    mine = np.flatnonzero((hashes[at] == each) & T.whole(w, phrase))
-    _, first = np.unique(each[mine], return_index=True)
-    if not len(first):
-        return np.zeros(0, np.int64)
-    flat, offsets = _flat(texts)
+    return b"".join(parts), *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+
+
+def located(flat: bytes, starts: np.ndarray, phrases: set[bytes]) -> np.ndarray:
+    """The words of ``flat`` from which on one of ``phrases`` stands."""
     automaton = ahocorasick.Automaton()
-    for i in mine[first].tolist():
-        stop = offsets[i + phrase - 1] + w.ends[i + phrase - 1] - w.starts[i + phrase - 1]
-        pattern = flat[offsets[i] - 1 : stop + 1]
-        automaton.add_word(pattern, len(pattern))
+    for x in phrases:
+        automaton.add_word(f" {x.decode('latin-1')} ", len(x))
     automaton.make_automaton()
-    found = np.fromiter((end - size + 2 for end, size in automaton.iter(flat)), np.int64)
-    return np.unique(np.searchsorted(offsets, found))
+    found = np.fromiter((end - size for end, size in automaton.iter(flat.decode("latin-1"))), np.int64)
+    return np.unique(np.searchsorted(starts, found))
 
 
 def _near(starts: np.ndarray, n: int, before: int) -> np.ndarray:
@@ -102,80 +84,26 @@ def _near(starts: np.ndarray, n: int, before: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-_BLOCK = "bucket int, a long, b long, at binary, keys binary, checks binary, doc binary, names binary"
-_NAMES = ["bucket", "a", "b", "at", "keys", "checks", "doc", "names"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-
+def _digests(flat: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each span, as two columns."""
+    found = b"".join(hashlib.blake2b(flat[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
-def _window_blocks(window: int, phrase: int, n: int):
-    ranges = bounds(n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(x.select(["_a", "_b", "text", "keys"]) for x in batches):
-            told = [x for x in chunk.column(3) if x.is_valid and len(x)]
-            if not told:
-                continue
-            hashes = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for x in told for k in x.as_py()]))
-            w, names = T.words(chunk.column(2)), _names(chunk)
-            starts = located(chunk.column(2), w, hashes, phrase)
-            at = np.flatnonzero(_near(starts, len(w.hashes), window - phrase) & T.whole(w, window))
-            if not len(at):
-                continue
-            keys = T.grams(w.hashes, window)[at]
-            checks = (T.grams(T.mix(w.hashes ^ np.uint64(0xA5A5A5A5)), window)[at] >> np.uint64(32)).astype(np.uint32)
-            doc = w.doc[at]
-            place = (at - w.first[doc]).astype(np.uint32)
-            order = np.lexsort((names[doc, 0], checks, keys))
-            keys, checks, doc, place = keys[order], checks[order], doc[order], place[order]
-            owner = names[doc, 0]
-            fresh = np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]
-            first = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            later = owner > first  # a smaller doc_id has it in this very chunk
-            rows = [(int(x[0] % n), int(x[0]), int(x[1]), p.tobytes(), None, None, None, None) for x, p in by_doc(names, doc[later], place[later])]
-            keys, checks, doc, place = keys[~later], checks[~later], doc[~later], place[~later]
-            cuts = np.searchsorted(keys, ranges)
-            for bucket, (k, c, d, p) in enumerate(zip(*(np.split(x, cuts) for x in (keys, checks, doc, place)), strict=True)):
-                if len(k):
-                    used, index = np.unique(d, return_inverse=True)
-                    rows.append((bucket, None, None, p.tobytes(), k.tobytes(), c.tobytes(), index.astype(np.uint32).tobytes(), np.ascontiguousarray(names[used]).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
-
-    return run
-
-
-def _owners(table: pa.Table) -> pa.Table:
-    """Which windows of a bucket have an owner of a smaller doc_id, by document."""
-    told = table.filter(pc.is_valid(table["a"])).select(["a", "b", "at"])
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    base = 0
-    for row in table.filter(pc.is_null(table["a"])).select(["keys", "checks", "at", "doc", "names"]).to_pylist():
-        parts[0].append(np.frombuffer(row["keys"], np.uint64))
-        parts[1].append(np.frombuffer(row["checks"], np.uint32))
-        parts[2].append(np.frombuffer(row["at"], np.uint32))
-        parts[3].append(np.frombuffer(row["doc"], np.uint32).astype(np.int64) + base)
-        parts[4].append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
-        base += len(parts[4][-1])
-    if not parts[0]:
-        return told
-    keys, checks, at, doc, names = map(np.concatenate, parts)
-    order = np.lexsort((names[doc, 0], checks, keys))
-    keys, checks, at, doc = keys[order], checks[order], at[order], doc[order]
-    owner = names[doc, 0]
-    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])])
-    later = owner > np.repeat(owner[starts], np.diff(np.r_[starts, len(keys)]))
-    rows = [(int(x[0]), int(x[1]), p.tobytes()) for x, p in by_doc(names, doc[later], at[later])]
-    found = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "at"])
-    return pa.concat_tables([told.cast(found.schema), found])
-
-
-def kept_words(text: str | None, windows: list[bytes] | None, window: int) -> tuple[int, int, str]:
-    """How many words, how many of them go, and what stays."""
+def kept_words(text: str | None, cells: list[int] | None, window: int) -> tuple[int, int, str]:
+    """How many words, how many of them go, and what stays; ``cells`` are the places and numbers of repeated windows, or -1 for all."""
     found = (text or "").encode().split()
-    if not windows:
+    if not cells or len(found) < window:
         return len(found), 0, b" ".join(found).decode()
-    gone = _near(np.concatenate([np.frombuffer(x, np.uint32) for x in windows]).astype(np.int64) + window - 1, len(found), window - 1)
-    kept = [x for x, g in zip(found, gone, strict=True) if not g]
+    if -1 in cells:
+        return len(found), len(found), ""
+    values = np.array(cells, np.int64)
+    at, count = values >> _COUNT_BITS, values & ((1 << _COUNT_BITS) - 1)
+    change = np.zeros(len(found) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + count + window - 1, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    kept = [x for x, g in zip(found, gone.tolist(), strict=True) if not g]
     return len(found), len(found) - len(kept), b" ".join(kept).decode()
 
 
@@ -184,23 +112,103 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     A null text has no words.  A row of a null doc_id keeps all its words and
     owns none; rows of equal doc_ids take nothing from each other.  Texts under
-    ``window`` words keep all.  Columns named like the results are replaced.
-    Texts are shuffled once, by (doc_id, text hash), for both uses.
+    ``window`` words keep all.  Columns named like the results, _a or _b are
+    replaced.  Texts are shuffled once, by (doc_id, text hash), for all uses.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.drop("n_words", "n_removed", "kept_text", "_a", "_b").withColumns({"_a": F.col("doc_id").cast("long"), "_b": F.xxhash64("text")})
+    id_, sha = F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.drop("n_words", "n_removed", "kept_text", "_a", "_b").withColumns({"_a": id_, "_b": F.xxhash64(sha).bitwiseAND((1 << 63) - 1)})
     known = rows.where("_a is not null")
-    narrow = known.select("_a", "_b", "text")
-
-    phrases = recurring(narrow, _phrase_keys(window, phrase)).groupBy("a", "b").agg(F.collect_list("keys").alias("keys"))
     dealt = known.repartition(n, "_a", "_b")
-    streamed = dealt.join(phrases.hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left")
-    # All columns go along: with the same ones, both uses of ``dealt`` are one exchange.
-    blocks = streamed.select(*dealt.columns, "keys").mapInArrow(_window_blocks(window, phrase, buckets(docs)), _BLOCK)
-    found = blocks.groupBy("bucket").applyInArrow(_owners, "a long, b long, at binary").groupBy("a", "b").agg(F.collect_list("at").alias("at"))
-    joined = dealt.join(found.hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").drop("a", "b")
-    everything = joined.unionByName(rows.where("_a is null").withColumn("at", F.lit(None).cast("array<binary>")))
+    columns = dealt.columns
+    text, a, b = (columns.index(x) for x in ("text", "_a", "_b"))
+
+    def beside(found: DataFrame) -> DataFrame:
+        """All documents, with the array that ``found`` (a, b, x) has for some.  All columns go along: so all uses of ``dealt`` are one exchange."""
+        lists = found.groupBy("a", "b").agg(F.collect_set("x").alias("x"))
+        return dealt.join(lists.hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select(*columns, "x")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        """The chunks of documents that have an array, and those arrays."""
+        for batch in batches:
+            some = batch.filter(batch.column(len(columns)).is_valid())
+            for chunk in T.chunks(iter([some])):
+                if chunk.num_rows:
+                    yield chunk, chunk.column(len(columns))
+
+    def names(chunk: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return chunk.column(a).to_numpy(), chunk.column(b).to_numpy()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in T.chunks(batches):
+            _, once = np.unique(chunk.column(0).to_numpy(), return_index=True)
+            part = chunk.take(pa.array(np.sort(once)))
+            w = T.words(part.column(1))
+            least, at = least_phrases(w, window, phrase)
+            starts = T.whole(w, window)
+            chosen = starts & ~np.r_[False, (at[1:] == at[:-1]) & starts[:-1]] if len(at) else starts
+            yield key_rows(least[chosen], part.column(0).to_numpy()[w.doc[chosen]])
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases of shared hashes, by their words; of those that more than two texts of the chunk have, the inner ones come as told."""
+        for chunk, keys in told(batches):
+            w = T.words(chunk.column(text))
+            flat, starts, ends = _flat(chunk.column(text))
+            least, at = least_phrases(w, window, phrase)
+            shared = np.unique(pa.ListArray.flatten(keys).to_numpy())
+            places = np.unique(at[T.whole(w, window) & np.isin(least.astype(np.int64), shared)])
+            texts = chunk.column(b).to_numpy()[w.doc[places]].tolist()
+            holders: dict[bytes, set[int]] = defaultdict(set)
+            for s, e, x in zip(starts[places].tolist(), ends[places + phrase - 1].tolist(), texts, strict=True):
+                holders[flat[s:e]].add(x)
+            out: list[tuple[bytes, bytes | None, int]] = []
+            for words, found in holders.items():
+                least_, most = min(found), max(found)
+                out += [(words, None, x) if x in (least_, most) else (b" %d" % x, words, x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["x", "told", "b"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, lists in told(batches):
+            w = T.words(chunk.column(text))
+            flat, starts, ends = _flat(chunk.column(text))
+            found = np.zeros(len(w.hashes) + 1, bool)
+            found[located(flat, starts, set(pa.ListArray.flatten(lists).to_pylist()))] = True
+            _, at = least_phrases(w, window, phrase)
+            inside = T.whole(w, window) & found[at]
+            first = np.flatnonzero(inside & ~np.r_[False, inside[:-1] & (at[1:] == at[:-1])])
+            last = np.flatnonzero(inside & ~np.r_[inside[1:] & (at[1:] == at[:-1]), False])
+            keys = _digests(flat, starts[first], ends[last + window - 1])
+            (ids, hashes), doc = names(chunk), w.doc[first]
+            yield owner_rows(keys, ids[doc], hashes[doc], (first - w.first[doc]) << _COUNT_BITS | (last - first + 1))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, lists in told(batches):
+            w = T.words(chunk.column(text))
+            flat, starts, ends = _flat(chunk.column(text))
+            values = pa.ListArray.flatten(lists).to_numpy()
+            doc = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
+            count = values & ((1 << _COUNT_BITS) - 1)
+            doc, first = np.repeat(doc, count), np.repeat(w.first[doc] + (values >> _COUNT_BITS), count)
+            at = first + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+            ids, hashes = names(chunk)
+            yield owner_rows(_digests(flat, starts[at], ends[at + window - 1]), ids[doc], hashes[doc], (at - w.first[doc]) << _COUNT_BITS | 1)
+
+    # Equal texts, by SHA-256: the smallest doc_id stands for all, and the others repeat it.
+    same = known.select("_a", "_b", F.unhex(sha).alias("sha"))
+    texts = same.groupBy("sha").agg(F.min("_a").alias("a"), F.min("_b").alias("b"))
+    copies = same.join(texts.select("sha", "a"), "sha").where("_a > a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(-1).cast("long").alias("v"))
+
+    shared = recurring(known.select("_b", "text").mapInArrow(keyed, KEY_ROWS)).withColumnRenamed("owner", "b")
+    phrases = beside(shared.join(texts.select("a", "b"), "b").select("a", "b", F.col("key").alias("x"))).mapInArrow(spoken, "x binary, told binary, b long")
+    group = Window.partitionBy("x")
+    met = phrases.repartition(n, "x").select("*", F.min("b").over(group).alias("low"), F.max("b").over(group).alias("high")).where("low <> high or told is not null")
+    confirmed = met.select("b", F.coalesce("told", "x").alias("x")).join(texts.select("a", "b"), "b")
+    repeated = owned(beside(confirmed.select("a", "b", "x")).mapInArrow(cells, OWNER_ROWS))
+    single = owned(beside(repeated.where("not later").select("a", "b", F.col("v").alias("x"))).mapInArrow(windows, OWNER_ROWS))
+    gone = repeated.where("later").select("a", "b", "v").union(single.where("later").select("a", "b", "v")).union(copies)
+    joined = beside(gone.withColumnRenamed("v", "x"))
+    everything = joined.unionByName(rows.where("_a is null").withColumn("x", F.lit(None).cast("array<long>")))
 
     kept = [x for x in rows.columns if x not in ("_a", "_b")]
     place = kept.index("text")
@@ -212,4 +220,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, "n_words", "n_removed", "kept_text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields), "n_words long, n_removed long, kept_text string"])
-    return everything.select(*kept, "at").mapInArrow(run, schema)
+    return everything.select(*kept, "x").mapInArrow(run, schema)
