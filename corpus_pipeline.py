@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tracklume.llm.decontamination import decontaminated
 from tracklume.llm.jaccard_join import jaccard_components
-from tracklume.llm.jaccard_join_query import PERCENT, SHINGLE
 from tracklume.llm.packing_query import pack_documents
 from tracklume.llm.scratch import Scratch
 from tracklume.llm.substring_dedup import remove_repeats
@@ -20,6 +19,10 @@ from tracklume.llm.toxicity import learn, scores
 from tracklume.llm.toxicity_query import held_out
 
 
+#: Near copies: words of a shingle, and the similarity from which on two documents link.
+SHINGLE, PERCENT = 5, 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned from the labels that aren't held out, does not find toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -36,6 +36,28 @@ def awkward():
     return rows
 
 
+#: Two words of 1,024 bytes that sums of powers modulo 2^64 don't tell apart.
+THUE = bytes(97 + bin(i).count("1") % 2 for i in range(1024)).decode()
+MORSE = THUE.translate({97: 98, 98: 97})
+
+
+def crafted():
+    """Texts that differ in such a word only, hot copies, and near copies from few edits to many."""
+    own = random.Random(8)
+    some = lambda n: [own.choice(WORDS) for _ in range(n)]
+    rows, base = [], some(80)
+    for i in range(6):
+        around = some(12)
+        rows += [(300 + i, " ".join([*around[:6], THUE, *around[6:]])), (320 + i, " ".join([*around[:6], MORSE, *around[6:]]))]
+    rows += [(400 + i, " ".join(base)) for i in range(60)]
+    for i in range(60):
+        near = list(base)
+        for _ in range(1 + i // 8):
+            near[own.randrange(len(near))] = f"own{own.random()}"
+        rows.append((500 + i, " ".join(near)))
+    return rows
+
+
 def split(text):
     return (text or "").encode().split()
 
@@ -48,8 +70,9 @@ def test_words():
     assert T.words(pa.array(["Ab"]), lower=True).hashes[0] == T.words(pa.array(["aB"]), lower=True).hashes[0]
 
 
-def test_substring_dedup(spark):
-    rows = awkward()
+@pytest.mark.parametrize("table", [awkward, crafted])
+def test_substring_dedup(spark, table):
+    rows = table()
     first = {}
     for doc, text in rows:
         w = split(text)
@@ -72,18 +95,20 @@ def test_substring_dedup(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
-def shingle_set(text):
+def shingle_set(text, n=4):
     w = [x.decode() for x in (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()]
-    return frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[i : i + 4]) for i in range(len(w) - 3)])
+    return frozenset([tuple(w)] if 0 < len(w) < n else [tuple(w[i : i + n]) for i in range(len(w) - n + 1)])
 
 
-def test_jaccard(spark):
-    rows = [r for r in awkward() if r[0] is not None and r[0] != 51]
+@pytest.mark.parametrize(("n", "percent", "bits"), [(4, 85, 63), (5, 80, 63), (4, 85, 7)])
+def test_jaccard(spark, n, percent, bits):
+    """By brute force, long texts and rows without an id too; with few bits, digests share numbers and are told apart."""
+    rows = awkward() + crafted()
     for i in range(60):  # a chain of near copies around the threshold
         w = split(rows[0][1] + " " + passage(60) if i % 20 == 0 else rows[-1][1])
         w[rng.randrange(len(w))] = b"edit%d" % i
         rows.append((200 + i, b" ".join(w).decode()))
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -93,17 +118,26 @@ def test_jaccard(spark):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 parent[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), doc), doc)
-    wanted = sorted((doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows))
-    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()))
-    assert got == wanted and len({x[2] for x in wanted}) < len({x[0] for x in wanted})
+        if doc is not None:
+            least[find(i)] = min(least.get(find(i), doc), doc)
+    wanted = [(doc, len(sets[i]), least.get(find(i)) if sets[i] else doc) for i, (doc, _) in enumerate(rows)]
+    found = J.jaccard_components(spark.createDataFrame(rows, DOCS), n, percent, bits)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str) and len({x[2] for x in wanted}) < len(rows) - 60
     assert J.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_exact_words():
+    w = T.words(pa.array([f"{THUE} {MORSE} {THUE} a", "a b"]))
+    assert len(set(w.hashes.tolist())) == 4
+    for bits in (0, 63, 64):  # whatever the hashes are
+        ids = T.exact_ids(w._replace(hashes=np.zeros_like(w.hashes) if bits == 64 else w.hashes >> np.uint64(bits))).tolist()
+        assert ids[0] == ids[2] and ids[3] == ids[4] and len(set(ids)) == 4
+
+
 def test_bitmap_bound_is_safe():
     for _ in range(300):
         n = rng.randint(1, 300)

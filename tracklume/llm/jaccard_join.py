@@ -292,7 +292,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_bits:
 
     shared = recurring(texts.mapInArrow(marked, KEY_VALUE_ROWS)).select("key", F.col("owner").alias("node"), F.shiftright("v", 32).alias("at"), F.col("v").bitwiseAND(0xFFFFFFFF).alias("n")).distinct()
     shared = scratch.write(shared, "shared")
-    hints = signed.groupBy("node").agg(F.first("bits").alias("bits"), F.first("profile").alias("profile"))
+    held = signed.select("node", "bits", "profile").join(shared.select("node").distinct(), "node", "left_semi")
+    hints = scratch.write(held.groupBy("node").agg(F.first("bits").alias("bits"), F.first("profile").alias("profile")), "hints")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs (x, n, y, m) that meet under the other orders and whose bitmaps let them link."""

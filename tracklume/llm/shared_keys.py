@@ -38,8 +38,9 @@ def key_rows(keys: np.ndarray, owners: np.ndarray, values: np.ndarray | None = N
     keys, owners = keys[once], owners[once]
     inner = np.zeros(len(keys), bool)
     inner[1:-1] = (keys[1:-1] == keys[:-2]) & (keys[1:-1] == keys[2:])
-    columns = [np.where(inner, ~owners, keys), np.where(inner, keys, owners)]
-    return _batch(KEY_ROWS, *columns) if values is None else _batch(KEY_VALUE_ROWS, *columns, values[order][once])
+    back = np.argsort(order[once])  # in the order of documents, in which owners compress
+    columns = [np.where(inner, ~owners, keys)[back], np.where(inner, keys, owners)[back]]
+    return _batch(KEY_ROWS, *columns) if values is None else _batch(KEY_VALUE_ROWS, *columns, values[order][once][back])
 
 
 def recurring(rows: DataFrame) -> DataFrame:
@@ -62,7 +63,9 @@ def owner_rows(keys: np.ndarray, a: np.ndarray, b: np.ndarray, values: np.ndarra
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
     later = a > np.repeat(a[starts], np.diff(np.r_[starts, len(keys)]))
     dealt = T.mix((a.astype(np.uint64) << np.uint64(32)) + values.astype(np.uint64)).astype(np.int64)
-    return _batch(OWNER_ROWS, np.where(later, dealt, keys[:, 0]), np.where(later, 0, keys[:, 1]), a, b, np.where(later, ~values, values))
+    columns = (np.where(later, dealt, keys[:, 0]), np.where(later, 0, keys[:, 1]), a, b, np.where(later, ~values, values))
+    back = np.argsort(order)
+    return _batch(OWNER_ROWS, *(x[back] for x in columns))
 
 
 def owned(rows: DataFrame) -> DataFrame:

@@ -158,15 +158,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
             least, at = least_phrases(w, window, phrase)
             shared = np.unique(pa.ListArray.flatten(keys).to_numpy())
             places = np.unique(at[T.whole(w, window) & np.isin(least.astype(np.int64), shared)])
-            texts = chunk.column(b).to_numpy()[w.doc[places]].tolist()
-            holders: dict[bytes, set[int]] = defaultdict(set)
-            for s, e, x in zip(starts[places].tolist(), ends[places + phrase - 1].tolist(), texts, strict=True):
-                holders[flat[s:e]].add(x)
-            out: list[tuple[bytes, bytes | None, int]] = []
+            ids, texts = (x[w.doc[places]].tolist() for x in names(chunk))
+            holders: dict[bytes, dict[int, int]] = defaultdict(dict)
+            for s, e, i, x in zip(starts[places].tolist(), ends[places + phrase - 1].tolist(), ids, texts, strict=True):
+                holders[flat[s:e]][x] = i
+            out: list[tuple[bytes, bytes | None, int, int]] = []
             for words, found in holders.items():
-                least_, most = min(found), max(found)
-                out += [(words, None, x) if x in (least_, most) else (b" %d" % x, words, x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["x", "told", "b"])
+                outer = min(found), max(found)
+                out += [(words, None, i, x) if x in outer else (b" %d" % x, words, i, x) for x, i in found.items()]
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["x", "told", "a", "b"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, lists in told(batches):
@@ -200,11 +201,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     copies = same.join(texts.select("sha", "a"), "sha").where("_a > a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(-1).cast("long").alias("v"))
 
     shared = recurring(known.select("_b", "text").mapInArrow(keyed, KEY_ROWS)).withColumnRenamed("owner", "b")
-    phrases = beside(shared.join(texts.select("a", "b"), "b").select("a", "b", F.col("key").alias("x"))).mapInArrow(spoken, "x binary, told binary, b long")
+    phrases = beside(shared.join(texts.select("a", "b"), "b").select("a", "b", F.col("key").alias("x"))).mapInArrow(spoken, "x binary, told binary, a long, b long")
     group = Window.partitionBy("x")
     met = phrases.repartition(n, "x").select("*", F.min("b").over(group).alias("low"), F.max("b").over(group).alias("high")).where("low <> high or told is not null")
-    confirmed = met.select("b", F.coalesce("told", "x").alias("x")).join(texts.select("a", "b"), "b")
-    repeated = owned(beside(confirmed.select("a", "b", "x")).mapInArrow(cells, OWNER_ROWS))
+    confirmed = met.select("a", "b", F.coalesce("told", "x").alias("x"))
+    repeated = owned(beside(confirmed).mapInArrow(cells, OWNER_ROWS))
     single = owned(beside(repeated.where("not later").select("a", "b", F.col("v").alias("x"))).mapInArrow(windows, OWNER_ROWS))
     gone = repeated.where("later").select("a", "b", "v").union(single.where("later").select("a", "b", "v")).union(copies)
     joined = beside(gone.withColumnRenamed("v", "x"))
