@@ -423,3 +423,30 @@ def test_jaccard_null_ids(spark):
     found = J.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
     key = lambda r: (r[0] or 0, r[1], r[2] or 0)
     assert sorted(map(tuple, found), key=key) == sorted(((d, len(x), c) for (d, _), x, c in zip(rows, sets, [1, 1, 1, 1, 7, 7, None])), key=key)
+
+
+def test_html_offsets_and_references():
+    page = "<p>" + "İ" * 40 + "</p><SCRIPT>x</ScRiPt><p>Second paragraph of the text.</p><p>a&<b>lt;</b> b &lt; c</p>"
+    assert H.extract(page).split("\n\n") == ["İ" * 40, "Second paragraph of the text.", "a&lt; b < c"]
+    for name in ("share-text", "tags-text", "related-text", "notice-text", "social-text"):
+        one = f"<div class='{name}'><p>{'a' * 300}</p><p>{'b' * 300}</p></div>"
+        assert H.extract(f"<body>{one}<nav><a href=x>y</a></nav></body>").split("\n\n") == ["a" * 300, "b" * 300]
+        assert H.extract(f"<body>{one}<div><p>{'c' * 900}</p></div></body>").split("\n\n") == ["a" * 300, "b" * 300, "c" * 900]
+
+
+def test_html_in_linear_time():
+    import time
+
+    for page in ("<div>" * 100_000 + "deep", "<b>x" * 100_000, "<span><p>x" * 50_000, "x</i>" * 100_000 + "<b>", "<a href=" * 100_000, "<li><b>x" * 50_000, "<!-- " * 50_000, '<a b="' * 50_000):
+        start = time.process_time()
+        text = H.extract(page)
+        assert time.process_time() - start < 20, page[:20]
+        assert text.replace("\n", "").count("x") == page.count("x") and ("deep" in text) == ("deep" in page)
+    assert H.extract("a" * 2_000_000) == "a" * 2_000_000
+
+
+def test_html_rows(spark):
+    """Rows of any kind against the page's own extraction; empty tables; a column named like the result."""
+    pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>a</p>", "u"), (3, "<p>a</p>", "u")], "page_id long, html string, text string")
+    assert sorted((r.page_id, r.text) for r in H.main_text(pages).collect()) == [(1, ""), (2, ""), (3, "a"), (3, "a")]
+    assert H.main_text(pages.limit(0)).count() == 0

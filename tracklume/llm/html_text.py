@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,10 @@ COMMENT_NAMES = frozenset("comment comments respond replies disqus commentlist".
 HEADER_NAMES = frozenset("header hdr".split())
 #: Words that only say where or what kind of box a named part is, so that ``site-footer`` is a footer, but ``has-sidebar`` no sidebar.
 PLACES = frozenset("site page main top bottom left right side primary secondary global mobile desktop header footer area wrapper wrap container inner outer box bar block list item items links link section slot unit text buttons button post posts article articles stories story entry body content form thread js".split())
+#: Elements nested deeper become siblings, as in browsers, so that a page takes time in proportion to its length.
+MAX_DEPTH = 512
+#: Largest share of a page's text that a box of a boilerplate name is taken out with: where the name is all that is said, and where it is a part of a longer one.
+NAMED_SHARE, PARTLY_NAMED_SHARE = 1 / 2, 1 / 4
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>\"']*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -43,10 +48,12 @@ _SPACES = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "article", "talk", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "article", "talk", "link", "block", "c", "t", "lc", "lt", "density", "total")
 
     def __init__(self, tag: str, parent: _Node | None):
         self.tag, self.parent, self.children, self.out, self.article, self.talk = tag, parent, [], False, False, False
+        self.link = self if tag == "a" else parent and parent.link  # the link and the block around its text
+        self.block = parent.block if parent and tag in INLINE else self
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
 
@@ -69,9 +76,9 @@ def _names(value: str) -> set[str]:
 
 
 def _named_out(tag: str, attributes: str, inside_article: bool) -> int:
-    """4: surely no article text; 3: no article text, as comments; 2: comments if it is built like them; 1: no article text unless an article or most of the page's text lies below; 0: may be."""
+    """5: surely no article text; 4: no article text, as comments; 3: comments if it is built like them; 2: no article text, unless an article or too much of the page's text lies below; 1: as 2, by a part of a name; 0: may be."""
     if tag in NOT_TEXT or tag == "header" and not inside_article:
-        return 4
+        return 5
     if not attributes or tag in ("html", "body", "main"):
         return 0
     found = 0
@@ -79,17 +86,17 @@ def _named_out(tag: str, attributes: str, inside_article: bool) -> int:
         value, name = "".join(values), name.lower()
         low = value.lower()
         if name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and "display:none" in low.replace(" ", ""):
-            return 4
+            return 5
         if name == "role" and low in NOT_ROLES:
-            return 4
+            return 5
         if name in ("class", "id"):
             said = _names(value)
             if said & COMMENT_NAMES:
-                found = 3
+                found = 4
             elif "discussion" in said:
-                found = max(found, 2)
+                found = max(found, 3)
             elif tag != "article" and (said & NOT_NAMES or said & HEADER_NAMES and not inside_article):
-                found = max(found, 1)
+                found = max(found, 2 if set(low.split()) & (NOT_NAMES | HEADER_NAMES) else 1)
     return found
 
 
@@ -97,10 +104,19 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The root and, in page order, the pieces of text with the node that holds each; a break is a piece of its own."""
     root = _Node("html", None)
     nodes, stack, pieces, soft = [root], [root], [], []
-    at, articles = 0, 0
-    lowered = ""
+    at, articles, last = 0, 0, page.rfind(">") + 1
+    open_: Counter[str] = Counter()  # elements of each tag on the stack, and those left off it
+    flat: Counter[str] = Counter()
+
+    def pop(i: int) -> None:
+        nonlocal articles
+        for x in stack[i:]:
+            open_[x.tag] -= 1
+            articles -= x.tag in ("article", "main")
+        del stack[i:]
+
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last or page.startswith("<!--", at) else None
         if m is None:
             pieces.append((stack[-1], page[at:]))
             break
@@ -114,53 +130,54 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         if closing:
             if tag == "br":
                 pieces.append((stack[-1], " "))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(x.tag in ("article", "main") for x in stack[i:])
-                    del stack[i:]
-                    break
+            if flat[tag]:
+                flat[tag] -= 1
+            elif open_[tag]:
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag == "html":
             continue
         if tag == "br":
             pieces.append((stack[-1], " "))
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    pop(i)
                     break
                 if stack[i].tag not in INLINE:
                     break
-        elif tag in CLOSES_SELF:
+        elif tag in CLOSES_SELF and any(open_[x] for x in CLOSES_SELF[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPE[tag]:
                     break
                 if stack[i].tag in CLOSES_SELF[tag]:
-                    del stack[i:]
+                    pop(i)
                     break
         if tag == "body" and stack[-1].tag == "head":
-            stack.pop()
+            pop(len(stack) - 1)
         node = _Node(tag, stack[-1])
         stack[-1].children.append(node)
         nodes.append(node)
         level = _named_out(tag, attributes, articles > 0)
-        node.out = stack[-1].out or level >= 3
-        if level in (1, 2) and not node.out:
+        node.out = stack[-1].out or level >= 4
+        if level in (1, 2, 3) and not node.out:
             soft.append((node, level))
-        if level == 3 or tag == "textarea":
+        if level == 4 or tag == "textarea":
             up = node
             while up is not None and not up.talk:
                 up.talk = True
                 up = up.parent
         if tag in RAW:
-            lowered = lowered or page.lower()
-            end = lowered.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            close = page.find(">", at)
+            end = re.compile(f"</{tag}", re.I | re.A).search(page, at)
+            close = page.find(">", end.start()) if end else -1
             at = len(page) if close < 0 else close + 1
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
-            articles += tag in ("article", "main")
+            if len(stack) <= MAX_DEPTH:
+                stack.append(node)
+                open_[tag] += 1
+                articles += tag in ("article", "main")
+            else:
+                flat[tag] += 1
         if tag in ("article", "main"):
             up = node
             while up is not None and not up.article:
@@ -174,19 +191,15 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         for node in reversed(nodes[1:]):
             below[id(node.parent)] += below[id(node)]
         for node, level in soft:
-            node.out = node.talk if level == 2 else not node.article and 2 * below[id(node)] <= below[id(root)]
+            share = NAMED_SHARE if level == 2 else PARTLY_NAMED_SHARE
+            node.out = node.talk if level == 3 else not node.article and below[id(node)] <= share * below[id(root)]
     for node in nodes[1:]:  # parents come before their children
         node.out = node.out or node.parent.out
     root.children = [x for x in nodes if x.parent is root]
     for (node, _), n in zip(pieces, sizes, strict=True):
         if not node.out:
             node.c += n
-            up = node
-            while up is not None:
-                if up.tag == "a":
-                    node.lc += n
-                    break
-                up = up.parent
+            node.lc += n if node.link else 0
     _measure(nodes)
     return root, pieces
 
@@ -316,21 +329,18 @@ def extract(page: str | None) -> str:
     for node, text in pieces:
         if node.out:
             continue
-        block = node
-        while block.parent is not None and block.tag in INLINE:
-            block = block.parent
-        if block is not last:
+        if node.block is not last:
             blocks.append("".join(parts))
-            parts, last = [], block
+            parts, last = [], node.block
         if -id(node) in marked or within(node):
-            parts.append(text)
+            parts.append(html.unescape(text))  # a reference ends with its piece of text
     blocks.append("".join(parts))
-    clean = (_SPACES.sub(" ", html.unescape(x)).strip() for x in blocks)
+    clean = (_SPACES.sub(" ", x).strip() for x in blocks)
     return "\n\n".join(x for x in clean if x)
 
 
 def main_text(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """``pages`` without the markup column, with ``text``: the main text, empty where there is none or the page is null.
+    """``pages`` without the markup column, with ``text``: the main text, empty where there is none or the page is null; a ``text`` of its own is replaced.
 
     Pages are worked on where they are read, one at a time; nothing is shuffled.
     """
