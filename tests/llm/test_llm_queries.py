@@ -1,6 +1,8 @@
 """Queries of the training-data operators against their SQL, and the rest against the tables they read."""
 
 import hashlib
+import html
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -88,6 +90,23 @@ def test_packing(spark, docs):
     assert found.sequence_id.nunique() <= 1.02 * -(-found.length.sum() // 2048) + 2
 
 
+def plain_article(page):
+    """The article of a page of these tables by patterns alone: its element, without what is marked as something else."""
+    found = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>|<div class=\"?ad\"?>.*?</div>", "", found[1] if found else "", flags=re.S)
+    body = re.sub(r"</?(?:p|h\d|div|ul|ol|li|table|tr|td|section|pre|blockquote)\b[^>]*>", "\0", re.sub(r"<br/?>", " ", body))
+    blocks = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.sub(r"<[^>]*>", "", body).split("\0")]
+    return "\n\n".join(x for x in blocks if x)
+
+
+def test_html(spark):
+    sf = SF.replace("0.001", "0.1")
+    pages = pd.read_parquet(f"{sf}/pages.parquet").set_index("page_id")
+    found = registry.queries()["op8_html_text"](spark, sf).toPandas().set_index("page_id")
+    assert len(found) == len(pages) and (found.url == pages.url.reindex(found.index)).all()
+    assert found.text.to_dict() == pages.html.map(plain_article).to_dict()
+
+
 def test_html_and_media(spark, docs):
     pages = registry.queries()["op8_html_text"](spark, SF).toPandas()
     assert len(pages) == 50 and (pages.n_chars == pages.text.str.len()).all() and (pages.n_chars > 0).all()

@@ -76,7 +76,7 @@ def _names(value: str) -> set[str]:
 
 
 def _named_out(tag: str, attributes: str, inside_article: bool) -> int:
-    """5: surely no article text; 4: no article text, as comments; 3: comments if it is built like them; 2: no article text, unless an article or too much of the page's text lies below; 1: as 2, by a part of a name; 0: may be."""
+    """5: surely no article text; 4: no article text, as comments; 3: comments if it is built like them; 2: no article text, unless an article lies below or, where no other text is marked as one, too much of the page's; 1: as 2, by a part of a name; 0: may be."""
     if tag in NOT_TEXT or tag == "header" and not inside_article:
         return 5
     if not attributes or tag in ("html", "body", "main"):
@@ -161,7 +161,7 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         level = _named_out(tag, attributes, articles > 0)
         node.out = stack[-1].out or level >= 4
         if level in (1, 2, 3) and not node.out:
-            soft.append((node, level))
+            soft.append((node, level, articles > 0))
         if level == 4 or tag == "textarea":
             up = node
             while up is not None and not up.talk:
@@ -190,9 +190,10 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             below[id(node)] += n
         for node in reversed(nodes[1:]):
             below[id(node.parent)] += below[id(node)]
-        for node, level in soft:
+        told = any(below[id(x)] for x in nodes if x.tag in ("article", "main"))  # the page says which text is its article
+        for node, level, inside in soft:
             share = NAMED_SHARE if level == 2 else PARTLY_NAMED_SHARE
-            node.out = node.talk if level == 3 else not node.article and below[id(node)] <= share * below[id(root)]
+            node.out = node.talk if level == 3 else not node.article and (told and not inside or below[id(node)] <= share * below[id(root)])
     for node in nodes[1:]:  # parents come before their children
         node.out = node.out or node.parent.out
     root.children = [x for x in nodes if x.parent is root]
