@@ -238,6 +238,35 @@ def test_clauses():
     assert score("idiotic! idiot!") == 2 * score("idiot!")
 
 
+def test_composed_transducers():
+    """The composition against the rules in words, over all short clauses of marks."""
+    import itertools
+
+    word = {"insult": "x", "threat": "k", "target": "you", "negation": "not", "report": "said", "other": "o"}
+    for marks in itertools.product(X.MARKS, repeat=5):
+        wanted, said, left = 0.0, False, 0
+        for i, mark in enumerate(marks):
+            weight = {"insult": 2.0 * (X.TARGETED if "target" in marks else X.UNTARGETED), "threat": float("target" in marks[i:])}.get(mark, 0.0)
+            wanted += weight * (X.NEGATED if left else 1) * (X.REPORTED if said else 1)
+            said, left = said or mark == "report", X.NEGATION_REACH if mark == "negation" else max(0, left - 1)
+        insults = {i: 2.0 for i, m in enumerate(marks) if m == "insult"}
+        threats = {i for i, m in enumerate(marks) if m == "threat"}
+        assert X.clause_score([word[m] for m in marks], insults, threats) == pytest.approx(wanted), marks
+
+
+def test_toxicity_rows(spark):
+    """Repeated rows, copies of unequal labels, long texts, an empty table and a column named like the result."""
+    rows = [(i, ("grumph " if i % 4 == 0 else "") + passage(12), 1.0) for i in range(200)]
+    rows += [(300, rows[0][1], 1.0), (301, rows[0][1], 1.0), *rows[:3], (400, passage(30_000) + " grumph you", 1.0)]
+    texts = spark.createDataFrame(rows, DOCS + ", score double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(300, 0), (301, 1), (0, 0)], "doc_id long, toxic int")
+    learned = [X.learn(texts.orderBy(F.rand(seed)), labels, "doc_id", "toxic", F.lit(True)) for seed in (1, 2)]
+    assert learned[0] == learned[1] and learned[0].stems
+    found = X.scores(texts, learned[0]).collect()
+    assert len(found) == len(rows) and all((r.score >= 0.5) == (r.doc_id % 4 == 0 or r.doc_id == 301) for r in found)
+    assert X.scores(texts.limit(0), learned[0]).count() == 0 and X.learn(texts.limit(0), labels, "doc_id", "toxic", F.lit(True)).stems == {}
+
+
 def test_learning(spark):
     texts = spark.createDataFrame([(i, ("grumph " if i % 4 == 0 else "") + passage(12)) for i in range(200)] + [(999, None)], DOCS)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1), (999, None), (3, 0)], "doc_id long, toxic int")

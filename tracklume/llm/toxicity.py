@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers rewrite the tokens of a clause into marks (insult, threat,
-target, negation, reported speech), and their composition walks the marks with
-a small state and adds up weights: an insult counts more where the clause has
-a target, a threat counts only against one, and both count less under a
-negation or inside reported speech.  The unit that is scored is the matched
+The tokens of a clause are read as marks: insult, threat, target, negation,
+report, or other.  Four transducers read the marks, each a table of weighted
+arcs: an insult counts more where the clause has a target, a threat counts
+only where a target follows it, and both count less shortly after a negation
+or in reported speech.  Where a weight depends on what is still to come, a
+transducer starts in a state for either case and accepts in the right one
+only.  Their composition is one table; a clause's score is the largest sum of
+weights over its accepting paths.  The unit that is scored is the matched
 clause; a text's score is a logistic of the sum over its clauses.
 
-The insult transducer takes weighted stems.  ``learn`` finds them, and the
-logistic's two numbers, in a bounded sample of labelled texts.
+Insults are marked by a further transducer over characters, an automaton of
+weighted stems.  ``learn`` finds them, and the logistic's two numbers, in a
+bounded sample of labelled texts.
 """
 
 from __future__ import annotations
@@ -16,8 +20,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +36,6 @@ from tracklume.llm.scratch import Scratch
 
 #: Labelled texts that a grammar is learned from, at most: those of the least hashes of their ids.
 MAX_TRAIN = 20_000
-#: Stems in a learned grammar, at most: those of most evidence.
-MAX_STEMS = 5_000
 STEM_CHARS = range(4, 13)
 #: Log odds that a stem must have to count as an insult.
 LEAST_ODDS = 3.5
@@ -70,20 +75,83 @@ class Grammar:
         return found
 
 
+MARKS = ("insult", "threat", "target", "negation", "report", "other")
+
+
+class Transducer(NamedTuple):
+    """starts and accepting states; arcs: of (state, mark) the next states, each with the factor of the mark's weight."""
+
+    starts: tuple
+    accepts: frozenset
+    arcs: dict[tuple, tuple[tuple[object, float], ...]]
+
+
+def _table(states: Iterable, step: Callable) -> dict:
+    return {(state, mark): arcs for state in states for mark in MARKS if (arcs := step(state, mark))}
+
+
+def targeted() -> Transducer:
+    """Insults weigh more where a target is in the clause: states for one to come, for one seen, and for none."""
+
+    def step(state: str, mark: str):
+        if mark == "target":
+            return (("seen", 1.0),) if state != "none" else ()
+        return ((state, (UNTARGETED if state == "none" else TARGETED) if mark == "insult" else 1.0),)
+
+    return Transducer(("coming", "none"), frozenset({"seen", "none"}), _table(("coming", "seen", "none"), step))
+
+
+def threatening() -> Transducer:
+    """Threats weigh nothing unless a target follows: states for one that follows, and for none any more."""
+
+    def step(state: str, mark: str):
+        if mark == "target":
+            return (("follows", 1.0), ("ended", 1.0)) if state == "follows" else ()
+        return ((state, 0.0 if mark == "threat" and state == "ended" else 1.0),)
+
+    return Transducer(("follows", "ended"), frozenset({"ended"}), _table(("follows", "ended"), step))
+
+
+def negated() -> Transducer:
+    """What stands within NEGATION_REACH words after a negation weighs less: the state is how many of them are left."""
+    reach = range(NEGATION_REACH + 1)
+    return Transducer((0,), frozenset(reach), _table(reach, lambda left, mark: ((NEGATION_REACH if mark == "negation" else max(0, left - 1), NEGATED if left else 1.0),)))
+
+
+def reported() -> Transducer:
+    """What stands after a verb of speech weighs less."""
+    states = (False, True)
+    return Transducer((False,), frozenset(states), _table(states, lambda said, mark: ((said or mark == "report", REPORTED if said else 1.0),)))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both over the same marks: pairs of states, products of factors."""
+    arcs = {}
+    for (s, mark), ours in a.arcs.items():
+        for (t, other), theirs in b.arcs.items():
+            if mark == other:
+                arcs[(s, t), mark] = tuple(((x, y), f * g) for x, f in ours for y, g in theirs)
+    return Transducer(tuple(product(a.starts, b.starts)), frozenset(product(a.accepts, b.accepts)), arcs)
+
+
+GRAMMAR = reduce(compose, (targeted(), threatening(), negated(), reported()))
+
+
 def clause_score(tokens: list[str], insults: dict[int, float], threats: set[int]) -> float:
-    """What the composed transducers give for one clause; insults and threats hold the places of marked tokens."""
-    targets = [i for i, x in enumerate(tokens) if x in TARGETS]
-    total, reported, negated_until = 0.0, False, -1
+    """The weight of a clause under the composed transducers; insults and threats hold the places of marked tokens."""
+    paths = dict.fromkeys(GRAMMAR.starts, 0.0)
     for i, token in enumerate(tokens):
-        if token in REPORTS:
-            reported = True
-        if token in NEGATIONS:
-            negated_until = i + NEGATION_REACH
-        weight = insults.get(i, 0.0) * (TARGETED if targets else UNTARGETED)
-        if i in threats and any(j > i for j in targets):
-            weight += 1.0
-        total += weight * (NEGATED if i <= negated_until else 1.0) * (REPORTED if reported else 1.0)
-    return total
+        weight = insults.get(i, float(i in threats))
+        if weight:
+            mark = "insult" if i in insults else "threat"
+        else:
+            mark = "negation" if token in NEGATIONS else "report" if token in REPORTS else "target" if token in TARGETS else "other"
+        after: dict[tuple, float] = {}
+        for state, total in paths.items():
+            for to, factor in GRAMMAR.arcs.get((state, mark), ()):
+                after[to] = max(after.get(to, 0.0), total + factor * weight)
+        paths = after
+    return max(total for state, total in paths.items() if state in GRAMMAR.accepts)
 
 
 def text_score(text: str, automaton) -> float:
@@ -115,7 +183,7 @@ def text_score(text: str, automaton) -> float:
 
 
 def scores(texts: DataFrame, grammar: Grammar, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``texts``, without the text column unless ``keep_text``, with ``score`` in [0, 1]: the higher, the likelier toxic.  Null and empty texts have the score of no match."""
+    """``texts``, without the text column unless ``keep_text``, with ``score`` in [0, 1]: the higher, the likelier toxic.  Null and empty texts have the score of no match; a ``score`` of its own is replaced."""
     kept = [x for x in texts.columns if x not in ("score", *(() if keep_text else (text,)))]
     place = kept.index(text) if keep_text else len(kept)
 
@@ -170,8 +238,6 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
         if stem not in taken and not any(x in chosen for x in begins):
             chosen[stem] = sure[stem][0]
             taken.update(begins)
-        if len(chosen) == MAX_STEMS:
-            break
     return chosen
 
 
@@ -181,13 +247,14 @@ def learn(texts: DataFrame, labels: DataFrame, key: str, label: str, allowed) ->
     The sample is written once and read three times: the stems of its toxic
     texts, the counts of those in the others, and the sums that the logistic is
     fitted to.  Without toxic or without clean texts the default grammar stays; where
-    matches don't tell the labels apart, the default logistic.
+    matches don't tell the labels apart, the default logistic.  A text that any
+    of its labels calls toxic is; repeated texts count once.
     """
     spark = texts.sparkSession
     scratch = Scratch(spark, "toxicity")
     usable = labels.where(allowed & F.col(label).isNotNull() & F.col(key).isNotNull())
     sample = usable.groupBy(key).agg(F.max(label).alias("_y")).orderBy(F.xxhash64(key), key).limit(MAX_TRAIN)
-    train = scratch.write(texts.select(key, "text").join(F.broadcast(sample), key).select("_y", "text").dropDuplicates(["text"]), "train")
+    train = scratch.write(texts.select(key, "text").join(F.broadcast(sample), key).groupBy("text").agg(F.max("_y").alias("_y")).select("_y", "text"), "train")
     sizes = {int(r["_y"] > 0): r["n"] for r in train.groupBy("_y").count().withColumnRenamed("count", "n").collect()}
     if len(sizes) < 2:
         scratch.drop()
