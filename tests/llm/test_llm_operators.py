@@ -338,31 +338,64 @@ def test_warc_files(spark, tmp_path):
     assert {r.http_headers.get("etag") for r in found if r.record_type == "response"} == {"x"}
 
 
-def test_contamination_of_large_benchmarks(spark):
-    """A benchmark of far more passages than the space has dimensions: all that brute force finds is found."""
-    own = random.Random(11)
-    words = [f"x{i}" for i in range(6000)]
-    some = lambda n: [own.choice(words) for _ in range(n)]
-    items = [(i, " ".join(some(own.randint(15, 59)))) for i in range(1200)]
-    rows = [(i, " ".join(some(120))) for i in range(60)]
-    for i, text in items[::6]:
-        part = [x for k, x in enumerate(text.split()) if i % 4 or k % 9 != 4]
-        rows.append((1000 + i, " ".join(some(own.randint(0, 90)) + part + some(own.randint(0, 90)))))
-    rows.append((5000, " ".join(some(5000) + items[3][1].split() + some(3000) + items[4][1].split())))
+def exhaustive(rows, items):
+    """(doc, item) by the checks alone, at every place of every text."""
     wanted = set()
     for doc, text in rows:
-        w = text.split()
+        w = (text or "").split()
         bag = set(w)
         for i, item in items:
             p = item.split()
             if sum(x in bag for x in p) < D.PARAPHRASE * len(p):
                 continue
-            answer = D.answer_of(item).split()
+            answer = D.answer_of(item).replace(".", "").split()
+            p = item.replace(".", "").split()
             for s in range(0, len(w), D.BLOCK):
                 around = w[max(0, s - len(p)) : s + D.BLOCK * D.BLOCKS + len(p)]
                 common = D.common_subsequence(p, around) / len(p)
                 if common >= D.VERBATIM or common >= D.PARAPHRASE and D.common_subsequence(answer, around) / len(answer) >= D.ANSWER:
                     wanted.add((doc, i))
+    return wanted
+
+
+def test_contamination_by_paraphrases(spark):
+    """Recall of at least 0.9 against exhaustive comparison where words are dropped, replaced and put in; benchmarks in parts; long and repeated rows."""
+    own = random.Random(21)
+    words = [f"p{i}" for i in range(3000)]
+    some = lambda n: [words[min(2999, int(own.expovariate(1 / 400)))] for _ in range(n)]
+    items = [(i, " ".join(some(22)) + " ".join(["", *some(22)]) + ". " + " ".join(some(10))) for i in range(60)]
+    rows = [(i, " ".join(some(200))) for i in range(150)]
+    for i, text in items:
+        for kind in range(3):
+            part = []
+            for k, x in enumerate(text.replace(".", "").split()):
+                chance = own.random() * (1 if k < 44 else 20)
+                part += [] if kind != 1 and chance < 0.2 else some(1) if kind and chance < 0.3 else [x]
+            rows.append((1000 + 10 * i + kind, " ".join(some(own.randint(0, 90)) + part + some(own.randint(0, 90)))))
+    rows += [(5000, " ".join(some(20_000) + items[3][1].replace(".", "").split() + some(9000))), rows[-1]]
+    wanted = exhaustive(rows, items)
+    docs, bench = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", cosine int"), spark.createDataFrame(items, "item_id long, text string")
+    for part in ((), (20,)):
+        rows_found = D.contaminated(docs, bench, *part).collect()
+        found = {(r.doc_id, r.item_id) for r in rows_found}
+        assert len(wanted) > 100 and found <= wanted and len(found) >= 0.9 * len(wanted), (len(found), len(wanted))
+        assert len(rows_found) > len(found)  # the repeated row
+    kept = {r.doc_id for r in D.decontaminated(docs, bench, 20).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in found}
+
+
+def test_contamination_of_large_benchmarks(spark):
+    """A benchmark of far more passages than the space has dimensions: all that brute force finds is found."""
+    own = random.Random(11)
+    words = [f"x{i}" for i in range(6000)]
+    some = lambda n: [own.choice(words) for _ in range(n)]
+    items = [(i, " ".join(some(own.randint(15, 59)))) for i in range(1200)]
+    rows = [(i, " ".join(some(120))) for i in range(60)]
+    for i, text in items[::6]:
+        part = [x for k, x in enumerate(text.split()) if i % 4 or k % 9 != 4]
+        rows.append((1000 + i, " ".join(some(own.randint(0, 90)) + part + some(own.randint(0, 90)))))
+    rows.append((5000, " ".join(some(5000) + items[3][1].split() + some(3000) + items[4][1].split())))
+    wanted = exhaustive(rows, items)
     assert len(wanted) > 200
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == wanted
