@@ -512,3 +512,78 @@ def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>a</p>", "u"), (3, "<p>a</p>", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in H.main_text(pages).collect()) == [(1, ""), (2, ""), (3, "a"), (3, "a")]
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def test_cut_archives(spark, tmp_path):
+    """Gzip members one by one, cut files and broken members: what can be read is, and nothing crashes."""
+    import gzip
+
+    http = {"Content-Type": "application/http"}
+    records = [W.format_record("response", f"http://a.com/{i}", "2020-01-01T00:00:00Z", http, b"HTTP/1.1 200 OK\r\n\r\n" + np.random.default_rng(i).bytes(100_000 if i == 2 else 300)) for i in range(4)]
+    members = [gzip.compress(x) for x in records]
+    whole = b"".join(members)
+    assert [f["warc-target-uri"][-1] for f, _ in W.parse_records(whole)] == list("0123")
+    assert [b for _, b in W.parse_records(whole)] == [b for x in records for _, b in W.parse_records(x)]
+    cut = list(W.parse_records(whole[: len(members[0]) + len(members[1]) + 40_000]))
+    assert len(cut) == 3 and 0 < len(cut[2][1]) < 100_000
+    assert len(list(W.parse_records(members[0] + b"\x1f\x8bjunk" + members[1]))) == 1
+    for n in range(0, len(members[0]), 7):
+        assert len(list(W.parse_records(members[0][:n]))) <= 1
+    (tmp_path / "a.warc.gz").write_bytes(whole[:-200])
+    assert [r.truncated for r in W.read_warc(spark, str(tmp_path)).orderBy("url").collect()] == [False, False, False, True]
+
+
+def test_revisits_of_odd_rows(spark):
+    """Null times, repeated ids and ties."""
+    rows = [(1, "response", "http://a.com/", 5, {"etag": "1"}), (2, "response", "http://a.com/", 5, {"etag": "2"}), (3, "revisit", "http://a.com/", None, {"etag": "1"}), (4, "revisit", "http://a.com/", 9, {"etag": "2"}), (4, "revisit", "http://a.com/", 9, {"etag": "2"}), (5, "response", "http://a.com/", None, {"etag": "9"})]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "record_id long, type string, url string, time long, headers map<string,string>, status string")
+    assert sorted((r.record_id, r.refers_to, r.status) for r in W.resolve_revisits(df).collect()) == [(3, None, "no_response"), (4, 2, "resolved"), (4, 2, "resolved")]
+
+
+def test_images_of_many_kinds(spark):
+    own = np.random.default_rng(1)
+    colour = own.integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    assert (M.decode(M.encode_bmp(colour)) == colour).all()
+    bmp = bytearray(M.encode_bmp(colour))
+    bmp[28] = 16
+    with pytest.raises(ValueError):
+        M.decode(bytes(bmp))
+    number = lambda x, size=4: x.to_bytes(size, "little")
+    masks = number(0xFF) + number(0xFF00) + number(0xFF0000)
+    fields = b"BM" + number(74) + bytes(4) + number(66) + number(40) + number(2) + number(1) + number(1, 2) + number(32, 2) + number(3) + bytes(20) + masks + bytes([1, 2, 3, 0, 4, 5, 6, 0])
+    assert M.decode(fields).tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    assert M.shades(b"P2 2 1 9 3 9").tolist() == [[85, 255]] and M.shades(b"P5 1 1 1023\n\x03\xff").tolist() == [[65535]] and M.shades(b"P1 2 1 1 0").tolist() == [[0, 255]]
+    images = [(1, b"P5 2 2 65535\n" + bytes([1, 0] * 4)), (2, M.encode_bmp(colour)), (3, bytes(bmp)), (4, b"P2 2 2 3 3 3 3 3")]
+    tiles = {r.id: r.tile and M.from_npy(r.tile) for r in M.image_tiles(spark.createDataFrame(images, "id int, image binary"), "image", 1, 1).collect()}
+    assert tiles[1].tolist() == [[256]] and tiles[3] is None and tiles[4].tolist() == [[255]]
+    assert abs(int(tiles[2][0, 0]) - (colour @ [0.299, 0.587, 0.114]).mean()) <= 0.5
+    assert M.image_tiles(spark.createDataFrame([], "id int, image binary"), "image", 1, 1).count() == 0
+
+
+def test_resize_in_bands(monkeypatch):
+    tall = np.random.default_rng(2).integers(0, 256, (1000, 64)).astype(np.uint8)
+    whole = M.area_resize(tall, 8, 9)
+    for rows in (1, 7, 125, 999):
+        monkeypatch.setattr(M, "BAND_ROWS", rows)
+        assert M.area_resize(tall, 8, 9) == pytest.approx(whole)
+    for height, width in ((1, 1), (3, 5), (7, 9)):
+        exact = np.kron(tall[:50], np.ones((height, width))).reshape(height, 50, width, 64).mean((1, 3))
+        assert M.area_resize(tall[:50], height, width) == pytest.approx(exact)
+    assert M.difference_hash(np.zeros((200_000, 64), np.uint8)) == "0" * 16
+
+
+def test_url_rules_in_many_files(tmp_path):
+    """Rules dealt to files by their digests answer as one file does; long URLs and empty tables."""
+    rules = [("block" if i % 3 else "allow", f"h{i}.org", "/" + "x" * (i % 5)) for i in range(500)]
+    files = []
+    for k, part in enumerate(U.index_parts(rules, 60)):
+        files.append(str(tmp_path / str(k)))
+        (tmp_path / str(k)).write_bytes(b"".join(part))
+    U.build_index(rules, str(tmp_path / "all"))
+    urls = [f"http://a.H{i}.org/{'x' * (i % 7)}/y" for i in range(600)] + ["http://h1.org/" + "x" * 100_000, None]
+    assert len(files) == 9 and U.judge(U.Indexes(files), urls, "none") == U.judge(U.Indexes([str(tmp_path / "all")]), urls, "none")
+
+
+def test_url_table(spark):
+    assert U.url_verdicts(spark.createDataFrame([], "page_id long, url string"), U.RULES).count() == 0
+    assert [r.verdict for r in U.url_verdicts(spark.createDataFrame([("http://a.com/" + "é" * 50_000,)] * 2, "url string"), ()).collect()] == ["allow"] * 2

@@ -53,6 +53,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, head, width, height, bits = number(10), number(14), number(18), number(22), number(28, 2)
     if number(30) not in (0, 3):
         raise ValueError("compressed BMP")
+    if bits not in (1, 4, 8, 24, 32) or number(30) == 3 and bits != 32:
+        raise ValueError(f"BMP of {bits} bits a pixel")
     stride = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     if bits <= 8:
@@ -60,32 +62,72 @@ def decode_bmp(data: bytes) -> np.ndarray:
         places = (places @ (1 << np.arange(bits)[::-1])).astype(int)[:, :width]
         colours = np.frombuffer(data, np.uint8, (number(46) or 1 << bits) * 4, 14 + head).reshape(-1, 4)
         pixels = colours[places][:, :, 2::-1]
+    elif number(30) == 3:  # each channel has a mask
+        whole = rows[:, : width * 4].copy().view("<u4")
+        channels = []
+        for at in (54, 58, 62):
+            mask = int.from_bytes(data[at : at + 4], "little")
+            low = (mask & -mask).bit_length() - 1 if mask else 0
+            channels.append(np.rint(((whole & mask) >> low) * (255.0 / max(mask >> low, 1))))
+        pixels = np.stack(channels, 2).astype(np.uint8)
     else:
         pixels = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
     return np.ascontiguousarray(pixels[::-1] if height > 0 else pixels)
 
 
+def encode_bmp(pixels: np.ndarray) -> bytes:
+    """An uncompressed 24-bit BMP of (height, width, 3) samples in RGB."""
+    height, width = pixels.shape[:2]
+    rows = np.zeros((height, (width * 3 + 3) // 4 * 4), np.uint8)
+    rows[:, : width * 3] = pixels[::-1, :, ::-1].reshape(height, -1)
+    number = lambda x, size=4: x.to_bytes(size, "little")
+    head = number(40) + number(width) + number(height) + number(1, 2) + number(24, 2) + number(0) + number(rows.size) + bytes(16)
+    return b"BM" + number(54 + rows.size) + bytes(4) + number(54) + head + rows.tobytes()
+
+
 def decode(data: bytes) -> np.ndarray:
+    """The stored samples of a Netpbm or BMP image."""
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, from an integral image that is interpolated at fractional borders."""
-    grey = pixels if pixels.ndim == 2 else pixels @ np.array([0.299, 0.587, 0.114])
-    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    total[1:, 1:] = grey.astype(float).cumsum(0).cumsum(1)
+def shades(data: bytes) -> np.ndarray:
+    """The image with black at 0 and white at the largest number of its type, whatever its format calls white."""
+    pixels = decode(data)
+    kind = data[1:2] if data[:1] == b"P" else b""
+    top = 1 if kind in (b"1", b"4") else int(re.compile(_SPACE + rb"+(\d+)").match(data, _HEADER.match(data).end())[1]) if kind else 255
+    full = np.iinfo(pixels.dtype).max
+    return pixels if top == full else np.rint(pixels * (full / max(top, 1))).clip(0, full).astype(pixels.dtype)
+
 
-    def borders(axis: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.linspace(0, total.shape[axis] - 1, parts + 1)
-        low = np.minimum(at.astype(int), total.shape[axis] - 2)
-        return low, low + 1, at - low
+#: Rows of an integral image that are made at a time.
+BAND_ROWS = 1 << 14
 
-    a, b, f = borders(0, height)
-    rows = total[a] * (1 - f)[:, None] + total[b] * f[:, None]
-    a, b, f = borders(1, width)
-    corners = rows[:, a] * (1 - f) + rows[:, b] * f
-    area = grey.shape[0] * grey.shape[1] / (height * width)
-    return (corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]) / area
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over equal areas, from an integral image that is interpolated at fractional borders; only its rows beside a border are kept."""
+    rows, columns = pixels.shape[:2]
+
+    def borders(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.linspace(0, size, parts + 1)
+        low = np.minimum(at.astype(int), size - 1)
+        return low, at - low
+
+    (top, f), (left, g) = borders(rows, height), borders(columns, width)
+    needed = np.unique(np.r_[top, top + 1])
+    kept, total = np.zeros((len(needed), columns + 1)), np.zeros(columns + 1)
+    for a in range(0, rows, BAND_ROWS):
+        band = pixels[a : a + BAND_ROWS]
+        grey = band if band.ndim == 2 else band @ np.array([0.299, 0.587, 0.114])
+        sums = np.zeros((len(band) + 1, columns + 1))
+        sums[1:, 1:] = grey.cumsum(0, dtype=float).cumsum(1)
+        sums += total
+        some = (needed >= a) & (needed <= a + len(band))
+        kept[some] = sums[needed[some] - a]
+        total = sums[-1]
+    place = np.searchsorted(needed, top)
+    lines = kept[place] * (1 - f)[:, None] + kept[place + 1] * f[:, None]
+    corners = lines[:, left] * (1 - g) + lines[:, left + 1] * g
+    return (corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]) / (rows * columns / (height * width))
 
 
 def difference_hash(pixels: np.ndarray) -> str:
@@ -150,7 +192,10 @@ def text_tiles(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def image_tiles(images: DataFrame, image: str, height: int, width: int) -> DataFrame:
-    """``images`` with the decoded image, area-resized to height x width, as an NPY tile and its difference hash; null where it can't be decoded."""
+    """``images`` with the decoded image, area-resized to height x width, as an NPY tile and its difference hash; null where it can't be decoded.
+
+    Tiles have 8 bits a sample, or 16 where the image has; white is the largest number of either.
+    """
     kept = [x for x in images.columns if x not in ("tile", "feature")]
     place = kept.index(image)
 
@@ -159,12 +204,12 @@ def image_tiles(images: DataFrame, image: str, height: int, width: int) -> DataF
             tiles, features = [], []
             for value in batch.column(place).to_pylist():
                 try:
-                    pixels = decode(value or b"")
+                    pixels = shades(value or b"")
                 except (ValueError, TypeError, IndexError):
                     tiles.append(None)
                     features.append(None)
                     continue
-                tiles.append(to_npy(np.rint(area_resize(pixels, height, width)).astype(np.uint8)))
+                tiles.append(to_npy(np.rint(area_resize(pixels, height, width)).astype(pixels.dtype)))
                 features.append(difference_hash(pixels))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles, pa.binary()), pa.array(features, pa.string())], names=[*kept, "tile", "feature"])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,21 @@ class Scratch:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def write_bytes(self, parts: Iterable[bytes], name: str) -> str:
+        """A file of the shared folder, and its path, whose last part no other file has."""
+        path = f"{self.root}/{self.root.rpartition('-')[2]}-{name}"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+        held = bytearray()
+        for part in parts:
+            held += part
+            if len(held) >= 1 << 20:
+                out.write(held)
+                held = bytearray()
+        out.write(held)
+        out.close()
+        return path
+
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

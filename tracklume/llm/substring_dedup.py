@@ -6,7 +6,7 @@
    equal texts are one here, and only their smallest doc_id is looked at.
 2. *Confirmation.*  The words of such phrases meet; those that two texts have
    are confirmed to recur.
-3. *Automata.*  Documents are dealt into shards of about ``text.CHUNK_BYTES``.
+3. *Automata.*  Documents are dealt into shards of about SHARD_BYTES.
    Of each shard the confirmed phrases that its documents may hold are compiled
    into an Aho-Corasick automaton, through which all of its documents that
    aren't known to share nothing are streamed: it locates every occurrence.
@@ -38,6 +38,8 @@ from tracklume.llm.scratch import partitions
 from tracklume.llm.shared_keys import KEY_ROWS, OWNER_ROWS, key_rows, owned, owner_rows, recurring
 
 WINDOW, PHRASE = 13, 5
+#: Bytes of the documents of one automaton's shard, about: it takes some 60 times as much for each of its phrases' bytes.
+SHARD_BYTES = 1 << 20
 #: A window's place and a number of windows in one value.
 _COUNT_BITS = 16
 
@@ -129,11 +131,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         lists = found.groupBy("a", "b").agg(F.collect_set("x").alias("x"))
         return dealt.join(lists.hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select(*columns, "x")
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    def told(batches: Iterator[pa.RecordBatch], size: int = T.CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
         """The chunks of documents that have an array, and those arrays."""
         for batch in batches:
             some = batch.filter(batch.column(len(columns)).is_valid())
-            for chunk in T.chunks(iter([some])):
+            for chunk in T.chunks(iter([some]), size=size):
                 if chunk.num_rows:
                     yield chunk, chunk.column(len(columns))
 
@@ -170,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["x", "told", "a", "b"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, lists in told(batches):
+        for chunk, lists in told(batches, SHARD_BYTES):
             w = T.words(chunk.column(text))
             flat, starts, ends = _flat(chunk.column(text))
             found = np.zeros(len(w.hashes) + 1, bool)

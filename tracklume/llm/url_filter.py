@@ -10,10 +10,7 @@ digests change nothing.
 
 from __future__ import annotations
 
-import functools
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,32 +19,42 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-#: More rules than this do not go into one index, which every executor receives.
-MAX_RULES = 20_000_000
+from tracklume.llm.scratch import Scratch
+
+#: Rules of one index file, about: more are dealt to several files by the first bits of their digests.
+FILE_RULES = 20_000_000
 _MAGIC = np.uint64(0x1D5)
 _SCHEMA = "host string, path string, rule string, verdict string"
 
 
-def build_index(rules: Iterable[tuple[str, str, str]], file: str) -> None:
-    """Writes the index of (verdict, host, path prefix) rules; a (host, path) given twice keeps its first verdict."""
+def index_parts(rules: Iterable[tuple[str, str, str]], file_rules: int = FILE_RULES) -> Iterator[Iterator[bytes]]:
+    """The files of an index of (verdict, host, path prefix) rules, each as pieces of bytes; a (host, path) given twice keeps its first verdict."""
     seen: dict[bytes, int] = {}
     lengths: set[int] = set()
     for verdict, host, path in rules:
         seen.setdefault(f"{host}{path}".encode(), int(verdict == "block"))
         lengths.add(len(path))
-        if len(seen) > MAX_RULES:
-            raise ValueError(f"over {MAX_RULES} rules: split them by the digest's first bits into several indexes")
     digests = np.array([xxhash.xxh64_intdigest(x) for x in seen], np.uint64)
+    strings, verdicts = np.array([*seen, None], object)[:-1], np.array(list(seen.values()), np.uint64)
     order = np.argsort(digests, kind="stable")
-    strings = [x for x in seen]
-    strings, verdicts = [strings[i] for i in order], np.array(list(seen.values()), np.uint64)[order]
-    ends = np.cumsum([0, *map(len, strings)]).astype(np.uint64)
     sizes = np.array(sorted(lengths), np.uint64)
-    head = np.array([_MAGIC, len(digests), len(sizes)], np.uint64)
+    files = max(1, -(-len(seen) // file_rules))
+    for part in np.split(order, np.searchsorted(digests[order], _borders(files))):
+        ends = np.cumsum([0, *map(len, strings[part])]).astype(np.uint64)
+        head = np.array([_MAGIC, len(part), len(sizes)], np.uint64)
+        yield (x.tobytes() if isinstance(x, np.ndarray) else x for x in (head, sizes, digests[part], verdicts[part], ends, *strings[part]))
+
+
+def _borders(files: int) -> np.ndarray:
+    """Least digests of the files but the first."""
+    return (np.arange(1, files, dtype=object) * (1 << 64) // files).astype(np.uint64)
+
+
+def build_index(rules: Iterable[tuple[str, str, str]], file: str) -> None:
+    """Writes the index of all rules as one file."""
     with open(file, "wb") as out:
-        for part in (head, sizes, digests[order], verdicts, ends):
-            out.write(part.tobytes())
-        out.write(b"".join(strings))
+        for part in index_parts(rules, 1 << 62):
+            out.writelines(part)
 
 
 class Index:
@@ -61,9 +68,9 @@ class Index:
         self.lengths, self.digests, self.blocks, self.ends = (numbers[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
         self.strings = np.memmap(file, np.uint8, "r")[cuts[-1] * 8 :]
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
+    def find(self, keys: list[bytes], digests: np.ndarray | None = None) -> np.ndarray:
         """The place of each key among the rules, -1 where it is none."""
-        digests = np.array([xxhash.xxh64_intdigest(x) for x in keys], np.uint64)
+        digests = np.array([xxhash.xxh64_intdigest(x) for x in keys], np.uint64) if digests is None else digests
         at = np.searchsorted(self.digests, digests)
         found = np.full(len(keys), -1)
         for i in np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == digests) if len(self.digests) else ():
@@ -76,6 +83,26 @@ class Index:
         return found
 
 
+class Indexes:
+    """Index files of one set of rules; a key is looked up in the file of its digest."""
+
+    def __init__(self, files: list[str]):
+        self.files = [Index(x) for x in files]
+        self.lengths = self.files[0].lengths
+
+    def blocks(self, keys: list[bytes]) -> list[bool | None]:
+        """Whether the rule of each key blocks; None where it is none."""
+        digests = np.array([xxhash.xxh64_intdigest(x) for x in keys], np.uint64)
+        file = np.searchsorted(_borders(len(self.files)), digests, "right")
+        out: list[bool | None] = [None] * len(keys)
+        for k, index in enumerate(self.files):
+            mine = np.flatnonzero(file == k)
+            found = index.find([keys[i] for i in mine], digests[mine])
+            for i, place in zip(mine[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
+                out[i] = bool(index.blocks[place])
+        return out
+
+
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -90,9 +117,10 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(_LOWER), path[:stop]
 
 
-def judge(index: Index, urls: list[str | None], default: str) -> tuple[list, list, list, list]:
+def judge(index: Indexes, urls: list[str | None], default: str) -> tuple[list, list, list, list]:
     """Host, path, rule and verdict of each URL: the longest rule that fits, else ``default``."""
     parts = [split_url(x) for x in urls]
+    places: dict[bytes, int] = {}  # each distinct key is hashed and probed once
     keys, owner = [], []
     lengths = [int(x) for x in index.lengths]
     for i, (host, path) in enumerate(parts):
@@ -100,42 +128,38 @@ def judge(index: Index, urls: list[str | None], default: str) -> tuple[list, lis
         hosts = [".".join(labels[j:]) for j in range(len(labels))]
         for n in lengths:
             if n <= len(path):
-                keys += [f"{h}{path[:n]}".encode() for h in hosts]
+                keys += [places.setdefault(f"{h}{path[:n]}".encode(), len(places)) for h in hosts]
                 owner += [i] * len(hosts)
     rules: list[str | None] = [None] * len(urls)
     verdicts = [default] * len(urls)
-    found = index.find(keys)
-    for k in np.flatnonzero(found >= 0):
-        rule, i = keys[k].decode(), owner[k]
-        if rules[i] is None or len(rule) > len(rules[i]):
-            rules[i], verdicts[i] = rule, "block" if index.blocks[found[k]] else "allow"
+    distinct = list(places)
+    found = index.blocks(distinct)
+    for k, i in zip(keys, owner, strict=True):
+        if found[k] is not None and (rules[i] is None or len(distinct[k].decode()) > len(rules[i])):
+            rules[i], verdicts[i] = distinct[k].decode(), "block" if found[k] else "allow"
     return [x for x, _ in parts], [x for _, x in parts], rules, verdicts
 
 
-@functools.cache
-def _served() -> tempfile.TemporaryDirectory:
-    """Where the driver keeps the files it serves to executors; gone when the driver ends."""
-    return tempfile.TemporaryDirectory(prefix="tracklume-rules-")
-
-
 def url_verdicts(urls: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """``urls`` with host, path, rule (null where none fits) and verdict.
 
-    The index is built once, of at most MAX_RULES rules, and handed to each
-    executor as a file; URLs are judged where they are read, without a shuffle.
+    The index is built once, written to the shared folder and handed to each
+    executor as files; URLs are judged where they are read, without a shuffle.
     Null or malformed URLs have an empty host and path and get ``default``.
     Columns named like the four results are replaced.
     """
     spark: SparkSession = urls.sparkSession
-    name = f"rules-{uuid.uuid4().hex}.idx"
-    file = os.path.join(_served().name, name)
-    build_index(rules, file)
-    spark.sparkContext.addFile(file)
+    scratch = Scratch(spark, "rules")
+    names = []
+    for k, part in enumerate(index_parts(rules)):
+        path = scratch.write_bytes(part, f"{k}.idx")
+        spark.sparkContext.addFile(path)
+        names.append(path.rpartition("/")[2])
     kept = urls.drop("host", "path", "rule", "verdict")
     places = [x for x in kept.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(SparkFiles.get(name))
+        index = Indexes([SparkFiles.get(x) for x in names])
         for batch in batches:
             judged = judge(index, batch.column(places.index(url)).to_pylist(), default)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.string()) for x in judged)], names=[*places, "host", "path", "rule", "verdict"])

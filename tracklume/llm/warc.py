@@ -8,9 +8,9 @@ the headers that a 304 may update into the stored ones.
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,9 +104,38 @@ def format_record(kind: str, url: str, date: str, fields: dict[str, str], block:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+class _Inflated(io.RawIOBase):
+    """The bytes of gzip members, as far as they are whole: a cut or broken one ends the stream where it can't be read on."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held = memoryview(data), 0, b""
+        self.member = zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.held and (self.at < len(self.data) or self.member.unconsumed_tail):
+            tail = self.member.unconsumed_tail
+            part = tail or self.data[self.at : self.at + (1 << 16)]
+            self.at += 0 if tail else len(part)
+            try:
+                self.held = self.member.decompress(part, 1 << 16)
+            except zlib.error:
+                self.at = len(self.data)
+                self.member = zlib.decompressobj(31)
+                break
+            if self.member.eof:  # the next member starts in what is left over
+                self.at -= len(self.member.unused_data)
+                self.member = zlib.decompressobj(31)
+        n = min(len(out), len(self.held))
+        out[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(lower-cased header fields, block) of the records of a WARC file, plain or gzipped; what follows a broken record is left out."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """(lower-cased header fields, block) of the records of a WARC file, plain or gzipped, which is inflated as it is read; what follows a broken record is left out."""
+    stream = io.BufferedReader(_Inflated(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -123,10 +152,10 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, url, date, fields, http_status, http_headers, profile, truncated, payload of every record of WARC files, one file a row of work.
+    """record_type, url, date, fields, http_status, http_headers, profile, truncated, payload of every record of WARC files, one file a row of work (of 2 GB at most, as Spark reads whole files).
 
     http_status is null where the block is no HTTP message; profile is that of
-    revisits; truncated records say so or end before their length.
+    revisits; truncated records say so or end before their length, as where a file is cut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
