@@ -587,3 +587,21 @@ def test_url_rules_in_many_files(tmp_path):
 def test_url_table(spark):
     assert U.url_verdicts(spark.createDataFrame([], "page_id long, url string"), U.RULES).count() == 0
     assert [r.verdict for r in U.url_verdicts(spark.createDataFrame([("http://a.com/" + "é" * 50_000,)] * 2, "url string"), ()).collect()] == ["allow"] * 2
+
+
+def test_owner_rows():
+    """Whatever a chunk pre-aggregates, the later entries are those of keys that a smaller owner has."""
+    from tracklume.llm.shared_keys import owner_rows
+
+    own = np.random.default_rng(4)
+    for n in (0, 1, 300):
+        keys, a, b = own.integers(0, 9, (n, 2)), own.integers(0, 6, n), own.integers(0, 3, n)
+        values = np.arange(n)
+        rows = owner_rows(keys, a, b, values).to_pylist()
+        least = {}
+        for k, x in zip(map(tuple, keys.tolist()), a.tolist(), strict=True):
+            least[k] = min(least.get(k, x), x)
+        told = {~r["v"] for r in rows if r["v"] < 0}
+        assert told == {i for i in range(n) if a[i] > least[tuple(keys[i].tolist())]}
+        asked = sorted(v for r in rows if r["v"] >= 0 for v in [r["v"], *(r["more"] or [])])
+        assert asked == sorted(set(range(n)) - told) and len({(r["k"], r["l"], r["a"], r["b"]) for r in rows if r["v"] >= 0}) == sum(r["v"] >= 0 for r in rows)

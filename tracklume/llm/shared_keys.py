@@ -18,7 +18,7 @@ from tracklume.llm.scratch import partitions
 
 KEY_ROWS = "x long, y long"
 KEY_VALUE_ROWS = "x long, y long, v long"
-OWNER_ROWS = "k long, l long, a long, b long, v long"
+OWNER_ROWS = "k long, l long, a long, b long, v long, more array<long>"
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -55,21 +55,28 @@ def recurring(rows: DataFrame) -> DataFrame:
 def owner_rows(keys: np.ndarray, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """The rows of a chunk's entries: ``keys`` are two columns, ``a`` may own, ``b`` goes along, values are not negative.
 
-    Of a key only the entries of the chunk's least ``a`` are dealt by it; the
-    others know that they come later, and say so by the complement of their value.
+    Of a key only the entries of the chunk's least ``a`` are dealt by it, one
+    row for all that (a, b) has; the others know that they come later, and say
+    so by the complement of their value.
     """
-    order = np.lexsort((a, keys[:, 1], keys[:, 0]))
+    order = np.lexsort((values, b, a, keys[:, 1], keys[:, 0]))
     keys, a, b, values = keys[order].astype(np.int64), a[order], b[order], values[order].astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+    new = np.r_[True, (keys[1:] != keys[:-1]).any(1)] if len(keys) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
     later = a > np.repeat(a[starts], np.diff(np.r_[starts, len(keys)]))
+    again = ~(later | new | np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(keys) else new
     dealt = T.mix((a.astype(np.uint64) << np.uint64(32)) + values.astype(np.uint64)).astype(np.int64)
     columns = (np.where(later, dealt, keys[:, 0]), np.where(later, 0, keys[:, 1]), a, b, np.where(later, ~values, values))
-    back = np.argsort(order)
-    return _batch(OWNER_ROWS, *(x[back] for x in columns))
+    size = np.diff(np.r_[np.flatnonzero(~again), len(keys)]) - 1  # entries that a row stands for besides its own
+    more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values[again]), mask=pa.array(size == 0))
+    back = pa.array(np.argsort(order[~again]))
+    rows = [pa.array(x[~again].astype(np.int64)) for x in columns] + [more]
+    return pa.RecordBatch.from_arrays([x.take(back) for x in rows], names=["k", "l", "a", "b", "v", "more"])
 
 
 def owned(rows: DataFrame) -> DataFrame:
-    """a, b, v of the rows of ``owner_rows``, with ``later``: whether a smaller ``a`` has the key too."""
-    told = F.col("v") < 0
+    """a, b, vs (an array of values) of the entries of ``owner_rows``, with ``later``: whether a smaller ``a`` has the key too."""
+    told, none = F.col("v") < 0, F.array().cast("array<long>")
     dealt = rows.repartition(partitions(rows.sparkSession), "k", "l").select("*", F.min("a").over(Window.partitionBy("k", "l")).alias("owner"))
-    return dealt.select("a", "b", F.when(told, F.bitwise_not("v")).otherwise(F.col("v")).alias("v"), (told | (F.col("a") > F.col("owner"))).alias("later"))
+    own = F.when(told, F.bitwise_not("v")).otherwise(F.col("v"))
+    return dealt.select("a", "b", F.concat(F.array(own), F.coalesce("more", none)).alias("vs"), (told | (F.col("a") > F.col("owner"))).alias("later"))

@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     # Equal texts, by SHA-256: the smallest doc_id stands for all, and the others repeat it.
     same = known.select("_a", "_b", F.unhex(sha).alias("sha"))
     texts = same.groupBy("sha").agg(F.min("_a").alias("a"), F.min("_b").alias("b"))
-    copies = same.join(texts.select("sha", "a"), "sha").where("_a > a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(-1).cast("long").alias("v"))
+    copies = same.join(texts.select("sha", "a"), "sha").where("_a > a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(-1).cast("long").alias("x"))
 
     shared = recurring(known.select("_b", "text").mapInArrow(keyed, KEY_ROWS)).withColumnRenamed("owner", "b")
     phrases = beside(shared.join(texts.select("a", "b"), "b").select("a", "b", F.col("key").alias("x"))).mapInArrow(spoken, "x binary, told binary, a long, b long")
@@ -208,9 +208,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     met = phrases.repartition(n, "x").select("*", F.min("b").over(group).alias("low"), F.max("b").over(group).alias("high")).where("low <> high or told is not null")
     confirmed = met.select("a", "b", F.coalesce("told", "x").alias("x"))
     repeated = owned(beside(confirmed).mapInArrow(cells, OWNER_ROWS))
-    single = owned(beside(repeated.where("not later").select("a", "b", F.col("v").alias("x"))).mapInArrow(windows, OWNER_ROWS))
-    gone = repeated.where("later").select("a", "b", "v").union(single.where("later").select("a", "b", "v")).union(copies)
-    joined = beside(gone.withColumnRenamed("v", "x"))
+    single = owned(beside(repeated.where("not later").select("a", "b", F.explode("vs").alias("x"))).mapInArrow(windows, OWNER_ROWS))
+    later = repeated.union(single).where("later").select("a", "b", F.explode("vs").alias("x"))
+    joined = beside(later.union(copies))
     everything = joined.unionByName(rows.where("_a is null").withColumn("x", F.lit(None).cast("array<long>")))
 
     kept = [x for x in rows.columns if x not in ("_a", "_b")]
