@@ -130,10 +130,10 @@ def test_whole_tables(spark, tmp_path):
     for s, p, *_ in rows[:-1]:
         a, b = sorted((top(f"s{s}"), top(f"p{p}")))
         root[b] = a
-    found = {r.node: r.component for r in catalogue.queries()["split_components_whole"](spark, str(tmp_path)).collect()}
+    found = {r.node: r.component for r in catalogue.queries()["split_components"](spark, str(tmp_path)).collect()}
     assert found == {x: top(x) for x in root} and len(set(found.values())) > 1
     spark.createDataFrame([(10, "same", "en"), (11, "one", "de"), (17, "same", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r.field: r.overlap for r in catalogue.queries()["isolation_overlap_whole"](spark, str(tmp_path)).collect()}
+    found = {r.field: r.overlap for r in catalogue.queries()["isolation_overlap"](spark, str(tmp_path)).collect()}
     assert found == {"doc_id": 0, "text_digest": 1, "lang": 1}
 
 

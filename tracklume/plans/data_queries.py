@@ -28,13 +28,7 @@ def group_quotas(spark, sf_dir):
 
 
 def split_components(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
-    edges = items.select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
-    return S.components(edges, "a", "b")
-
-
-def split_components_whole(spark, sf_dir):
-    """Components of all supplier-part edges; split_components has those of a few rows only, as its SQL is recursive."""
+    """Components of all supplier-part edges; SQL would need a recursion over all of them."""
     edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return S.components(edges.where("a is not null and b is not null"), "a", "b")
 
@@ -45,11 +39,6 @@ def leakage_audit(spark, sf_dir):
 
 
 def isolation_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_digest"), "lang")
-    return S.isolation_overlap(docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 = 1"), ["doc_id", "text_digest", "lang"])
-
-
-def isolation_overlap_whole(spark, sf_dir):
     """The first of ten splits against the nine others together: every document is on one of the sides."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_digest"), "lang")
     held = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
@@ -129,7 +118,7 @@ def json_flatten(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 7).alias("v"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     return rows.select("vec_id", "label", F.posexplode("v").alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
 
 
@@ -138,13 +127,14 @@ def signature_zscore(spark, sf_dir):
 
 
 def soft_posterior(spark, sf_dir):
-    z = O.zscores(_vectors(spark, sf_dir), ["vec_id", "label"], "feature", "value")
-    vectors = z.groupBy("vec_id", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "z"))), lambda x: x["z"]).alias("v"))
-    return O.soft_posterior(vectors, "label", "vec_id", "v", 0.2).select("label", "i", "j", F.round("p", 9).alias("p"))
+    """Banks of 16 vectors, over whole signatures."""
+    z = O.zscores(_vectors(spark, sf_dir), ["vec_id", "label"], "feature", "value").withColumn("bank", F.floor(F.col("vec_id") / 16))
+    vectors = z.groupBy("vec_id", "bank").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "z"))), lambda x: x["z"]).alias("v"))
+    return O.soft_posterior(vectors, "bank", "vec_id", "v", 50.0).select("bank", "i", "j", F.round("p", 9).alias("p"))
 
 
 def exact_posterior(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.element_at("embedding", 1) * 10).cast("int").alias("digest"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.sha2(F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double")).cast("int").cast("string")), ","), 256).alias("digest"))
     return O.exact_posterior(rows, "label", "vec_id", "digest").select("label", "i", "n", F.round("p", 9).alias("p"))
 
 
@@ -162,35 +152,30 @@ def closed_loop_summary(spark, sf_dir):
     return L.summary(closed_loop_episodes(spark, sf_dir).withColumn("bank", F.col("episode_id") % 3), ["bank"])
 
 
-def ticks_join_cohort(spark, sf_dir):
+def key_set_audit(spark, sf_dir):
     """Metadata against an expected key set: complete, missing and extra."""
     have = runs(spark, sf_dir).select("experiment").distinct()
     want = table(spark, sf_dir, "region").select(F.col("r_name").alias("experiment")).where("experiment <> 'ASIA'")
     return have.join(want, "experiment", "left_anti").select("experiment", F.lit("extra").alias("state")).union(want.join(have, "experiment", "left_anti").select("experiment", F.lit("missing"))).union(want.join(have, "experiment", "left_semi").select("experiment", F.lit("both")))
 
 
-QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, split_components_whole, leakage_audit, isolation_overlap, isolation_overlap_whole, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, closed_loop_episodes, closed_loop_summary, ticks_join_cohort)}
+QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, leakage_audit, isolation_overlap, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, closed_loop_episodes, closed_loop_summary, key_set_audit)}
 
 _QUOTAS = """n as (select count(*) as n from {groups}), q as (select i, split, n * r as exact from n, (values (0, 'train', 0.7), (1, 'calibration', 0.1), (2, 'val', 0.1), (3, 'test', 0.1)) t(i, split, r)),
  f as (select *, cast(floor(round(exact, 9)) as bigint) as fl, round(exact - floor(round(exact, 9)), 9) as rest from q), k as (select *, row_number() over (order by rest desc, i) as rk, (select n from n) - sum(fl) over () as spare from f),
  g as (select i, split, fl + case when rk <= spare then 1 else 0 end as quota from k), s as (select i, split, cast(quota as bigint) as quota, cast(sum(quota) over (order by i) - quota as bigint) as first from g)"""
 _SPLIT = _QUOTAS.format(groups="customer") + ", o as (select c_custkey, row_number() over (order by sha256('17|' || c_custkey), c_custkey) - 1 as place from customer), split as (select c_custkey, split from o join s on place >= first and place < first + quota)"
 _REASONS = "j as (select *, list_filter([case when l_quantity < 3 then 'low_quantity' end, case when l_discount > 0.08 then 'high_discount' end, case when l_returnflag = 'R' then 'returned' end, case when l_tax >= 0.08 then 'heavy_tax' end], lambda x: x is not null) as reasons from lineitem)"
-_Z = "v as (select vec_id, label, unnest(generate_series(0, 6)) as feature, cast(unnest(embedding[1:7]) as double) as value from embeddings), m as (select feature, avg(value) as m, stddev_pop(value) as s from v group by feature), z as (select vec_id, label, v.feature, (value - m) / case when s > 1e-12 then s else 1.0 end as z from v join m on v.feature = m.feature)"
+_Z = "v as (select vec_id, label, unnest(generate_series(0, len(embedding) - 1)) as feature, cast(unnest(embedding) as double) as value from embeddings), m as (select feature, avg(value) as m, stddev_pop(value) as s from v group by feature), z as (select vec_id, label, v.feature, (value - m) / case when s > 1e-12 then s else 1.0 end as z from v join m on v.feature = m.feature)"
 ORACLE = {
     "split_hash_quota": f"with {_SPLIT} select c_custkey, split from split",
     "split_stats": f"with {_SPLIT} select split, count(*) as n, count(distinct c_nationkey) as nations, round(avg(c_acctbal), 6) as mean_balance from split join customer using (c_custkey) group by split",
     "group_quotas": f"with {_QUOTAS.format(groups='(select distinct c_nationkey from customer)')} select split, quota, first from s",
-    "split_components": """with recursive e as (select distinct 's' || l_suppkey as a, 'p' || l_partkey as b from lineitem where l_quantity = 50 and l_discount = 0.1), u as (select a, b from e union select b, a from e),
- r as (select a as node, a as seen from u union select node, b from r join u on seen = a) select node, min(seen) as component from r group by node""",
     "leakage_audit": """with d as (select cast(doc_id % 10 as varchar) as split, sha256(text) as text_digest, source, cast(doc_id as varchar) as doc from documents),
  l as (select split, 'text_digest' as field, text_digest as value from d union all select split, 'source', source from d union all select split, 'doc', doc from d),
  v as (select field, value, count(distinct split) as splits from l where value is not null group by all)
 select field, count(*) as "values", count(*) filter (splits > 1) as leaking, cast(0 as bigint) as missing, case when count(*) filter (splits > 1) > 0 then 'leakage_detected' else 'ok' end as status from v group by field""",
-    "isolation_overlap": """with d as (select doc_id, cast(doc_id as varchar) as id, sha256(text) as t, lang from documents), a as (select 'doc_id' as field, id as value from d where doc_id % 10 = 0 union select 'text_digest', t from d where doc_id % 10 = 0 union select 'lang', lang from d where doc_id % 10 = 0),
- b as (select 'doc_id' as field, id as value from d where doc_id % 10 = 1 union select 'text_digest', t from d where doc_id % 10 = 1 union select 'lang', lang from d where doc_id % 10 = 1), i as (select * from a intersect select * from b)
-select f as field, count(i.value) as overlap from unnest(['doc_id', 'text_digest', 'lang']) t(f) left join i on i.field = f group by f""",
-    "isolation_overlap_whole": """with d as (select cast(doc_id as varchar) as id, sha256(text) as t, lang, coalesce(doc_id % 10 = 0, false) as held from documents),
+    "isolation_overlap": """with d as (select cast(doc_id as varchar) as id, sha256(text) as t, lang, coalesce(doc_id % 10 = 0, false) as held from documents),
  l as (select held, 'doc_id' as field, id as value from d union all select held, 'text_digest', t from d union all select held, 'lang', lang from d),
  i as (select field, value from l where value is not null group by all having count(distinct held) = 2)
 select f as field, count(i.value) as overlap from unnest(['doc_id', 'text_digest', 'lang']) t(f) left join i on i.field = f group by f""",
@@ -212,7 +197,7 @@ select sha256(string_agg(d, ',' order by b)) as digest, cast(sum(n) as bigint) a
     "sample_ids_digest": "select o_orderkey, left(sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 32) as sample_id, ('0x' || left(sha256('9|' || o_orderkey), 8))::bigint as seed from orders",
     "json_flatten": "with e as (select event_type, unnest(json_keys(props)) as path, props from events) select event_type, path, count(*) as n, round(sum(cast(json_extract(props, '$.' || path) as double)), 6) as total from e group by all",
     "signature_zscore": f"with {_Z} select vec_id, cast(feature as int) as feature, round(z, 6) as z from z",
-    "soft_posterior": f"with {_Z}, s as (select a.label, a.vec_id as i, b.vec_id as j, -sum((a.z - b.z) * (a.z - b.z)) / 0.2 as s from z a join z b on a.label = b.label and a.feature = b.feature group by all), w as (select *, exp(s - max(s) over (partition by label, i)) as w from s) select label, i, j, round(w / sum(w) over (partition by label, i), 9) as p from w",
-    "exact_posterior": "with d as (select vec_id, label, cast(floor(cast(embedding[1] as double) * 10) as int) as digest from embeddings) select label, vec_id as i, count(*) over (partition by label, digest) as n, round(1.0 / count(*) over (partition by label, digest), 9) as p from d",
-    "ticks_join_cohort": "select r_name as experiment, case when r_name = 'ASIA' then 'extra' else 'both' end as state from region",
+    "soft_posterior": f"with {_Z}, y as (select *, vec_id // 16 as bank from z), s as (select a.bank, a.vec_id as i, b.vec_id as j, -sum((a.z - b.z) * (a.z - b.z)) / 50.0 as s from y a join y b on a.bank = b.bank and a.feature = b.feature group by all), w as (select *, exp(s - max(s) over (partition by bank, i)) as w from s) select bank, i, j, round(w / sum(w) over (partition by bank, i), 9) as p from w",
+    "exact_posterior": "with d as (select vec_id, label, sha256(array_to_string(list_transform(embedding, lambda x: cast(floor(cast(x as double)) as int)), ',')) as digest from embeddings) select label, vec_id as i, count(*) over (partition by label, digest) as n, round(1.0 / count(*) over (partition by label, digest), 9) as p from d",
+    "key_set_audit": "select r_name as experiment, case when r_name = 'ASIA' then 'extra' else 'both' end as state from region",
 }

@@ -109,10 +109,23 @@ def useful_f1_huber(spark, sf_dir, delta: float = 0.03):
 
 
 def loss_aggregates(spark, sf_dir, tau: float = 0.9):
-    """Pinball, binary cross-entropy and Huber losses as plain aggregates, by return flag."""
+    """Pinball, binary cross-entropy, Huber and pairwise hinge losses as plain aggregates, by return flag.
+
+    The hinge is over all pairs of a positive (y > 0.5) and a negative, which
+    come from counts of the ten values that q can have, not from rows.
+    """
     e = F.col("y") - F.col("q")
     pinball = F.greatest(tau * e, (tau - 1) * e)
-    return residuals(spark, sf_dir).groupBy("l_returnflag").agg(F.round(F.avg(pinball), 9).alias("pinball"), F.round(F.avg(F.abs(e)), 9).alias("mae"))
+    positive = F.when(F.col("y") > 0.5, 1.0).otherwise(0.0)
+    p = F.greatest(F.least("q", F.lit(1 - 1e-7)), F.lit(1e-7))
+    huber = F.when(F.abs(e) <= 0.3, e * e / 2).otherwise(0.3 * (F.abs(e) - 0.15))
+    rows = residuals(spark, sf_dir)
+    plain = rows.groupBy("l_returnflag").agg(F.round(F.avg(pinball), 9).alias("pinball"), F.round(F.avg(F.abs(e)), 9).alias("mae"), F.round(F.avg(-(positive * F.log(p) + (1 - positive) * F.log(1 - p))), 9).alias("bce"), F.round(F.avg(huber), 9).alias("huber"))
+    cells = rows.groupBy("l_returnflag", positive.alias("positive"), F.round("q", 6).alias("q")).agg(F.count("*").alias("n"))
+    other = cells.where("positive = 0").select("l_returnflag", F.col("q").alias("r"), F.col("n").alias("m"))
+    pairs = cells.where("positive = 1").join(other, "l_returnflag")
+    hinge = pairs.groupBy("l_returnflag").agg(F.round(F.sum(F.col("n") * F.col("m") * F.greatest(F.lit(0.0), 0.1 - (F.col("q") - F.col("r")))) / F.sum(F.col("n") * F.col("m")), 9).alias("hinge"))
+    return plain.join(hinge, "l_returnflag", "left")
 
 
 def _binned(spark, sf_dir):
@@ -197,7 +210,11 @@ select *, round((concordant - discordant) / sqrt((concordant + discordant + tied
     "useful_f1_huber": f"""with {V}, e as (select pred >= 0.04 as said, target > 0.05 as useful, pred - target as e from v),
  s as (select count(*) filter (said and useful) as tp, count(*) filter (said and not useful) as fp, count(*) filter (not said and useful) as fn, round(avg(case when abs(e) <= 0.03 then e * e / 2 else 0.03 * (abs(e) - 0.015) end), 9) as huber, round(avg(e * e), 9) as mse from e)
 select tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 9) as f1, huber, mse from s""",
-    "loss_aggregates": f"with {L} select l_returnflag, round(avg(greatest(0.9 * (y - q), -0.1 * (y - q))), 9) as pinball, round(avg(abs(y - q)), 9) as mae from l group by l_returnflag",
+    "loss_aggregates": f"""with {L}, s as (select *, case when y > 0.5 then 1.0 else 0.0 end as z, greatest(least(q, 1 - 1e-7), 1e-7) as p, y - q as e from l),
+ a as (select l_returnflag, round(avg(greatest(0.9 * e, -0.1 * e)), 9) as pinball, round(avg(abs(e)), 9) as mae, round(avg(-(z * ln(p) + (1 - z) * ln(1 - p))), 9) as bce, round(avg(case when abs(e) <= 0.3 then e * e / 2 else 0.3 * (abs(e) - 0.15) end), 9) as huber from s group by all),
+ c as (select l_returnflag, z, round(q, 6) as q, count(*) as n from s group by all),
+ h as (select u.l_returnflag, round(sum(u.n * v.n * greatest(0.0, 0.1 - (u.q - v.q))) / sum(u.n * v.n), 9) as hinge from c u join c v on u.l_returnflag = v.l_returnflag and u.z = 1 and v.z = 0 group by all)
+select a.*, hinge from a left join h using (l_returnflag)""",
     "conformal_global": f"with {_CONFORMAL} select round(correction, 9) as correction, n, k from f where dimension = 'all'",
     "conformal_grouped": f"with {_CONFORMAL} select dimension, key, round(correction, 9) as correction, n, k, reason from f",
     "conformal_apply": f"with {_CONFORMAL}, done as (select quantity_bin, y, least(greatest(q + coalesce(a.correction, z.correction), 0.0), 1.0) as u from b left join f a on a.dimension = 'quantity_bin' and a.key = quantity_bin join f z on z.dimension = 'all') select quantity_bin, count(*) as n, round(avg(u), 9) as mean_upper, round(avg(case when y <= u then 1.0 else 0.0 end), 9) as coverage from done group by quantity_bin",

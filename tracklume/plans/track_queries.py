@@ -62,17 +62,19 @@ def yaw_unwrap(spark, sf_dir):
 
 
 def hopping_windows_8_32(spark, sf_dir):
-    order = Window.partitionBy(*KEYS).orderBy("t")
-    rows = segmented(spark, sf_dir)
-    around = order.rowsBetween(-3, 6)
+    """Windows of 40 rows of an object, 7 before the current one and 32 after, every five rows."""
+    order = Window.partitionBy("object_id").orderBy("t")
+    rows = tracks(spark, sf_dir)
+    around = order.rowsBetween(-7, 32)
     rows = rows.withColumns({"mean_x": F.round(F.avg("x").over(around), 6), "t_first": F.min("t").over(around), "t_last": F.max("t").over(around)})
-    return K.row_windows(rows, KEYS, "t", 3, 6, 5).select("event_id", *KEYS, "t_first", "t_last", "mean_x")
+    return K.row_windows(rows, ["object_id"], "t", 7, 32, 5).select("event_id", "object_id", "t_first", "t_last", "mean_x")
 
 
 def window_funnel(spark, sf_dir):
-    sizes = segmented(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n"))
-    possible = F.when(F.col("n") >= 10, F.floor((F.col("n") - 10) / 5) + 1).otherwise(1)
-    return sizes.agg(F.sum(possible).alias("candidates"), F.sum(F.when(F.col("n") >= 10, possible).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("n") < 10, 1).otherwise(0)).alias("short_segment"), F.countDistinct("object_id").alias("objects"))
+    """Windows of 40 rows, every five rows: what objects and segments of days allow."""
+    sizes = segmented(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n")).union(tracks(spark, sf_dir).groupBy("object_id").agg(F.lit(-1).cast("long").alias("segment_id"), F.count("*").alias("n")))
+    possible = F.when(F.col("n") >= 40, F.floor((F.col("n") - 40) / 5) + 1).otherwise(1)
+    return sizes.agg(F.sum(possible).alias("candidates"), F.sum(F.when(F.col("n") >= 40, possible).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("n") < 40, 1).otherwise(0)).alias("short_segment"), F.countDistinct("object_id").alias("objects"))
 
 
 def rebase_first_row(spark, sf_dir):
@@ -140,13 +142,13 @@ ORACLE = {
  steps as (select *, yaw - lag(yaw) over (partition by object_id, segment_id order by t) as step from yaws),
  fixes as (select *, case when step is null or abs(step) < pi() then 0.0 else step + pi() - 2 * pi() * floor((step + pi()) / (2 * pi())) - pi() - step end as fix from steps)
 select event_id, round(yaw, 6) as yaw, round(yaw + sum(fix) over (partition by object_id, segment_id order by t rows unbounded preceding), 6) as heading from fixes""",
-    "hopping_windows_8_32": f"""with {SEGMENTED}, placed as (select *, row_number() over w - 1 as place, count(*) over (partition by object_id, segment_id) as size,
-  round(avg(x) over (w rows between 3 preceding and 6 following), 6) as mean_x, min(t) over (w rows between 3 preceding and 6 following) as t_first, max(t) over (w rows between 3 preceding and 6 following) as t_last
-  from segmented window w as (partition by object_id, segment_id order by t))
-select event_id, object_id, segment_id, t_first, t_last, mean_x from placed where place >= 3 and place <= size - 7 and (place - 3) % 5 = 0""",
-    "window_funnel": f"""with {SEGMENTED}, sizes as (select object_id, count(*) as n from segmented group by object_id, segment_id)
-select cast(sum(case when n >= 10 then floor((n - 10) / 5) + 1 else 1 end) as bigint) as candidates, cast(sum(case when n >= 10 then floor((n - 10) / 5) + 1 else 0 end) as bigint) as accepted,
- cast(sum(case when n < 10 then 1 else 0 end) as bigint) as short_segment, count(distinct object_id) as objects from sizes""",
+    "hopping_windows_8_32": f"""with {TRACKS}, placed as (select *, row_number() over w - 1 as place, count(*) over (partition by object_id) as size,
+  round(avg(x) over (w rows between 7 preceding and 32 following), 6) as mean_x, min(t) over (w rows between 7 preceding and 32 following) as t_first, max(t) over (w rows between 7 preceding and 32 following) as t_last
+  from tracks window w as (partition by object_id order by t))
+select event_id, object_id, t_first, t_last, mean_x from placed where place >= 7 and place <= size - 33 and (place - 7) % 5 = 0""",
+    "window_funnel": f"""with {SEGMENTED}, sizes as (select object_id, count(*) as n from segmented group by object_id, segment_id union all select object_id, count(*) from tracks group by object_id)
+select cast(sum(case when n >= 40 then floor((n - 40) / 5) + 1 else 1 end) as bigint) as candidates, cast(sum(case when n >= 40 then floor((n - 40) / 5) + 1 else 0 end) as bigint) as accepted,
+ cast(sum(case when n < 40 then 1 else 0 end) as bigint) as short_segment, count(distinct object_id) as objects from sizes""",
     "rebase_first_row": f"with {SEGMENTED} select event_id, t - first(t) over w as dt, round(x - first(x) over w, 6) as dx, round(y - first(y) over w, 6) as dy from segmented window w as (partition by object_id, segment_id order by t)",
     "exact_tick_join": f"with {TRACKS} select a.event_id as left_id, b.event_id as right_id from tracks a join tracks b on a.kind = 'click' and b.kind <> 'click' and abs(a.t - b.t) <= 30.0",
     "hidden_run_emergence": f"with {_FLAGS} select event_id, s like '0%' and contains(s, '111') as emerges from eight where length(s) = 8",
