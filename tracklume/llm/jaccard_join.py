@@ -385,4 +385,5 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_bits:
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "label").select("node", "component_id")
     told = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    told = told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return scratch.keep(told, "result")

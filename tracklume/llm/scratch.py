@@ -50,6 +50,13 @@ class Scratch:
         out.close()
         return path
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as the job's last table; all its other tables are deleted."""
+        last = Scratch(self.spark, name)
+        out = last.write(df, name)
+        self.drop()
+        return out
+
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
