@@ -13,23 +13,42 @@ def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
     return rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
 
 
+#: Ranges of scores that running sums are taken in, at most.
+RANGES = 256
+
+
+def _running(scored: DataFrame, values: list[str], down: bool = False) -> DataFrame:
+    """``scored`` (a row a score ``s``) with, for each value, ``before_<value>``: its sum over all lower scores, or all higher ones.
+
+    Sums run within ranges between quantiles of the scores, and over the
+    ranges' totals, so that no task sees all scores.
+    """
+    cuts = scored.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
+    ranged = scored.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("s")))).drop("_cuts")
+    way = F.desc if down else F.asc
+    outer = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    inner = Window.partitionBy("_range").orderBy(way("s")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_t_{v}").over(outer), F.lit(0.0)).alias(f"_o_{v}") for v in values))
+    placed = ranged.join(F.broadcast(totals), "_range")
+    return placed.select(*scored.columns, *((F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0.0))).alias(f"before_{v}") for v in values))
+
+
 def _named(df: DataFrame, name: str, value: Column, ok: Column, reason: str) -> DataFrame:
     return df.select(F.lit(name).alias("metric"), F.when(ok, F.round(value, 9)).alias("value"), F.when(~ok, F.lit(reason)).alias("reason"))
 
 
 def auroc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Mann-Whitney with average ranks of ties; null if a class is missing."""
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = _by_score(rows, label, score).withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = _running(_by_score(rows, label, score), ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     value = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
     return _named(sums, "auroc", value, (F.col("p") > 0) & (F.col("q") > 0), "one class only")
 
 
 def _curve(rows: DataFrame, label: str, score: str) -> DataFrame:
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = _by_score(rows, label, score).withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
-    return curve.withColumn("precision", F.col("tp") / F.col("seen"))
+    curve = _running(_by_score(rows, label, score), ["pos", "n"], down=True)
+    return curve.withColumn("precision", (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n")))
 
 
 def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -40,7 +59,7 @@ def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 def auprc_trapezoid(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Trapezoids under the precision-recall curve, which starts at (0, 1)."""
-    before = F.coalesce(F.lag("precision").over(Window.orderBy(F.desc("s"))), F.lit(1.0))
+    before = F.when(F.col("before_n") > 0, F.col("before_pos") / F.col("before_n")).otherwise(1.0)
     sums = _curve(rows, label, score).withColumn("mean", (before + F.col("precision")) / 2).agg(F.sum(F.col("pos") * F.col("mean")).alias("a"), F.sum("pos").alias("p"))
     return _named(sums, "auprc_trapezoid", F.col("a") / F.col("p"), F.col("p") > 0, "no positives")
 
@@ -53,8 +72,15 @@ def average_rank(column: str, within: list[str] | None = None) -> Column:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson's correlation of average ranks; 0 where either is constant."""
-    ranks = rows.select(average_rank(a).alias("x"), average_rank(b).alias("y"))
+    """Pearson's correlation of average ranks; 0 where either is constant; null values are left out."""
+    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+    def ranked(column: str, name: str) -> DataFrame:
+        counts = rows.groupBy(F.col(column).alias("s")).agg(F.count("*").cast("double").alias("n"))
+        return _running(counts, ["n"]).select(F.col("s").alias(f"_{name}"), (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+
+    pairs = rows.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    ranks = pairs.join(ranked(a, "x"), F.col("a") == F.col("_x")).join(ranked(b, "y"), F.col("b") == F.col("_y")).select("x", "y")
     value = F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).otherwise(0.0)
     return ranks.agg(F.round(value, 9).alias("value")).select(F.lit("spearman").alias("metric"), "value")
 
