@@ -18,16 +18,25 @@ from tracklume.llm.substring_dedup import remove_repeats
 from tracklume.llm.toxicity import learn, scores
 from tracklume.llm.toxicity_query import held_out
 
-
 #: Near copies: words of a shingle, and the similarity from which on two documents link.
 SHINGLE, PERCENT = 5, 80
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with its own columns of these names, which a stage's operator would replace, under other ones."""
+    return docs.withColumnsRenamed({x: f"_own_{x}" for x in names if x in docs.columns})
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, those put aside among them."""
+    return found.select(*(F.col(f"_own_{x}").alias(x) if f"_own_{x}" in found.columns else F.col(x) for x in docs.columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, learned from the labels that aren't held out, does not find toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     grammar = learn(docs, labels, "doc_id", "toxic", ~held_out())
-    return scores(docs, grammar, keep_text=True).where("score < 0.5").select(*docs.columns)
+    return _back(scores(_aside(docs, "score"), grammar, keep_text=True).where("score < 0.5"), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +49,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier one has; untouched texts stay as they are."""
     cut = F.col("n_removed") > 0
-    found = remove_repeats(docs)
-    found = found.withColumn("n_chars", F.when(cut, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns)
+    found = remove_repeats(_aside(docs, "n_words", "n_removed", "kept_text", "_a", "_b"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(cut, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return _back(found.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text"))), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

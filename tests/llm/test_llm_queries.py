@@ -132,3 +132,16 @@ def test_pipeline(spark):
         assert 0.5 * before < docs.count() <= before
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(pieces.doc_id) == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_stages_keep_columns(spark):
+    """Columns named like the operators' results, and documents without n_chars."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars").selectExpr("*", "doc_id + 1 as score", "doc_id + 2 as n_words", "'mine' as kept_text")
+    for name in ("toxicity", "substring_dedup"):
+        found = stages[name](spark, docs, SF)
+        assert found.columns == docs.columns
+        rows = found.select("doc_id", "score", "n_words", "kept_text").collect()
+        assert len(rows) > 100 and all(r[1:] == (r[0] + 1, r[0] + 2, "mine") for r in rows)
