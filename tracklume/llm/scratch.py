@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Whether Spark deletes the shuffle files of a query when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,17 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as Parquet, read again: later actions start from the files, and survive lost executors."""
-        df.write.parquet(f"{self.root}/{name}")
+        """``df`` as Parquet, read again: later actions start from the files, and survive lost executors.
+
+        Nothing reads the shuffles behind the table again, so their files go with
+        the write instead of when the driver happens to collect garbage.
+        """
+        before = self.spark.conf.get(FREED, "false")
+        self.spark.conf.set(FREED, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(FREED, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def write_bytes(self, parts: Iterable[bytes], name: str) -> str:
