@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklume.llm.columns import aside
 from tracklume.llm.scratch import Scratch, partitions
 
 
@@ -20,12 +21,15 @@ def byte_shards(rows: DataFrame, key: str, size: Column, shards: int) -> DataFra
     A row goes to the shard in whose equal share of all bytes its middle byte
     lies, so a shard is off its target by less than one row at either end.
     Null keys come first; rows of equal keys keep one order and may be cut
-    apart.  An empty table gives an empty result.  Columns named ``size``,
-    ``shard`` or ``slot`` are replaced; others stay.
+    apart.  Equal texts are no rows of one place: each counts with its own
+    bytes and goes where its key stands.  An empty table gives an empty result.
+    Columns named ``size``, ``shard`` or ``slot`` are replaced; others stay.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "sharding")
-    keyed = rows.drop("shard", "slot").withColumn("size", size.cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+    own, names = aside(rows.withColumn("size", size.cast("long")), "shard", "slot")
+    keyed = own.withColumnRenamed(names["size"], "size").withColumn("_tie", F.monotonically_increasing_id())
+    key = names[key] if key != "size" else key
     ranged = keyed.repartitionByRange(partitions(spark), F.col(key).asc_nulls_first(), "_tie")
     # The ranges are sampled: written once, so that totals and rows see the same ones.
     ranged = scratch.write(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
@@ -52,5 +56,5 @@ def byte_shards(rows: DataFrame, key: str, size: Column, shards: int) -> DataFra
         placed.withColumn("_place", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), ["shard", "_part"])
         .withColumn("slot", F.col("_first") + F.col("_place"))
-        .drop("_tie", "_part", "_before", "_total", "_within", "_first", "_place")
+        .select(*(F.col("size" if x == "size" else held).alias(x) for x, held in names.items()), "shard", "slot")
     )

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklume.llm import text as T
+from tracklume.llm.columns import aside
 from tracklume.llm.scratch import partitions
 from tracklume.llm.shared_keys import KEY_ROWS, OWNER_ROWS, key_rows, owned, owner_rows, recurring
 
@@ -48,7 +49,7 @@ def least_phrases(w: T.Words, window: int, phrase: int) -> tuple[np.ndarray, np.
     """For each word from which a window starts, the least phrase hash in that window and the first place where it stands."""
     each = T.grams(w.hashes, phrase) >> np.uint64(1)
     least, at = each.copy(), np.arange(len(each))
-    for i in range(1, window - phrase + 1):
+    for i in range(1, min(window - phrase + 1, len(each))):
         less = np.flatnonzero(each[i:] < least[: len(each) - i])
         least[less], at[less] = each[less + i], less + i
     return least, at
@@ -114,17 +115,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     A null text has no words.  A row of a null doc_id keeps all its words and
     owns none; rows of equal doc_ids take nothing from each other.  Texts under
-    ``window`` words keep all.  Columns named like the results, _a or _b are
-    replaced.  Texts are shuffled once, by (doc_id, text hash), for all uses.
+    ``window`` words keep all.  Columns named like the results are replaced, all
+    others stay.  Texts are shuffled once, by (doc_id, text hash), for all uses.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    id_, sha = F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = docs.drop("n_words", "n_removed", "kept_text", "_a", "_b").withColumns({"_a": id_, "_b": F.xxhash64(sha).bitwiseAND((1 << 63) - 1)})
+    own, names_back = aside(docs, "n_words", "n_removed", "kept_text")
+    doc_column, text_column = (names_back[x] for x in ("doc_id", "text"))
+    id_, sha = F.col(doc_column).cast("long"), F.sha2(F.coalesce(text_column, F.lit("")), 256)
+    rows = own.withColumns({"_a": id_, "_b": F.xxhash64(sha).bitwiseAND((1 << 63) - 1)})
     known = rows.where("_a is not null")
     dealt = known.repartition(n, "_a", "_b")
     columns = dealt.columns
-    text, a, b = (columns.index(x) for x in ("text", "_a", "_b"))
+    text, a, b = (columns.index(x) for x in (text_column, "_a", "_b"))
 
     def beside(found: DataFrame) -> DataFrame:
         """All documents, with the array that ``found`` (a, b, x) has for some.  All columns go along: so all uses of ``dealt`` are one exchange."""
@@ -135,7 +138,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         """The chunks of documents that have an array, and those arrays."""
         for batch in batches:
             some = batch.filter(batch.column(len(columns)).is_valid())
-            for chunk in T.chunks(iter([some]), size=size):
+            for chunk in T.chunks(iter([some]), text_column, size):
                 if chunk.num_rows:
                     yield chunk, chunk.column(len(columns))
 
@@ -202,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     texts = same.groupBy("sha").agg(F.min("_a").alias("a"), F.min("_b").alias("b"))
     copies = same.join(texts.select("sha", "a"), "sha").where("_a > a").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(-1).cast("long").alias("x"))
 
-    shared = recurring(known.select("_b", "text").mapInArrow(keyed, KEY_ROWS)).withColumnRenamed("owner", "b")
+    shared = recurring(known.select("_b", F.col(text_column).alias("text")).mapInArrow(keyed, KEY_ROWS)).withColumnRenamed("owner", "b")
     phrases = beside(shared.join(texts.select("a", "b"), "b").select("a", "b", F.col("key").alias("x"))).mapInArrow(spoken, "x binary, told binary, a long, b long")
     group = Window.partitionBy("x")
     met = phrases.repartition(n, "x").select("*", F.min("b").over(group).alias("low"), F.max("b").over(group).alias("high")).where("low <> high or told is not null")
@@ -213,8 +216,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     joined = beside(later.union(copies))
     everything = joined.unionByName(rows.where("_a is null").withColumn("x", F.lit(None).cast("array<long>")))
 
-    kept = [x for x in rows.columns if x not in ("_a", "_b")]
-    place = kept.index("text")
+    kept = list(names_back.values())
+    place = kept.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,4 +226,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, "n_words", "n_removed", "kept_text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields), "n_words long, n_removed long, kept_text string"])
-    return everything.select(*kept, "x").mapInArrow(run, schema)
+    return everything.select(*kept, "x").mapInArrow(run, schema).toDF(*names_back, "n_words", "n_removed", "kept_text")

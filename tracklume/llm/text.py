@@ -151,7 +151,7 @@ def exact_ids(w: Words) -> np.ndarray:
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """64 bits for the n words from each word on; the last n - 1 hold nothing of use."""
     out = np.zeros(len(hashes), np.uint64)
-    for i in range(n):
+    for i in range(min(n, len(hashes))):
         out[: len(hashes) - i] = out[: len(hashes) - i] * _INVERSE + mix(hashes[i:] + np.uint64(i + 1))
     return mix(out)
 
