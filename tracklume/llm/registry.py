@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracklume.llm import conversations_query, decontamination_query, html_text_query, jaccard_join_query, media_query, packing_query, sharding_query, substring_dedup_query, token_files_query, toxicity_query, url_filter_query, warc_query
+from tracklume.llm import alignment_query, conversations_query, decontamination_query, html_text_query, jaccard_join_query, media_query, packing_query, sharding_query, substring_dedup_query, token_files_query, toxicity_query, url_filter_query, warc_query
 
-MODULES = (substring_dedup_query, toxicity_query, decontamination_query, sharding_query, jaccard_join_query, packing_query, url_filter_query, html_text_query, media_query, warc_query, conversations_query, token_files_query)
+MODULES = (substring_dedup_query, toxicity_query, decontamination_query, sharding_query, jaccard_join_query, packing_query, url_filter_query, html_text_query, media_query, warc_query, alignment_query, conversations_query, token_files_query)
 
 
 def queries() -> dict:
