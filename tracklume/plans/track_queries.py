@@ -61,20 +61,29 @@ def yaw_unwrap(spark, sf_dir):
     return K.unwrap(turned, KEYS, "t", "yaw", "heading").select("event_id", F.round("yaw", 6).alias("yaw"), F.round("heading", 6).alias("heading"))
 
 
-def hopping_windows_8_32(spark, sf_dir):
-    """Windows of 40 rows of an object, 7 before the current one and 32 after, every five rows."""
-    order = Window.partitionBy("object_id").orderBy("t")
-    rows = tracks(spark, sf_dir)
+def _windowed(spark, sf_dir):
+    """Hourly positions of segments, with the step to each, and of the 40 rows from 7 before to 32 behind a row when they begin and end, their mean and how far they go."""
+    order = Window.partitionBy(*KEYS).orderBy("tick")
+    rows = K.resample(segmented(spark, sf_dir), KEYS, "t", ["x", "y"], HOUR)
+    rows = rows.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)))
     around = order.rowsBetween(-7, 32)
-    rows = rows.withColumns({"mean_x": F.round(F.avg("x").over(around), 6), "t_first": F.min("t").over(around), "t_last": F.max("t").over(around)})
-    return K.row_windows(rows, ["object_id"], "t", 7, 32, 5).select("event_id", "object_id", "t_first", "t_last", "mean_x")
+    return rows.withColumns({"mean_x": F.avg("x").over(around), "first": F.min("tick").over(around), "last": F.max("tick").over(around), "path": F.sum("step").over(order.rowsBetween(-6, 32))})
+
+
+def hopping_windows_8_32(spark, sf_dir):
+    """Windows of 40 hours inside one segment, 7 before the current one and 32 behind, every five hours."""
+    found = K.row_windows(_windowed(spark, sf_dir), KEYS, "tick", 7, 32, 5)
+    return found.select(*KEYS, "tick", "first", "last", F.round("mean_x", 6).alias("mean_x"))
 
 
 def window_funnel(spark, sf_dir):
-    """Windows of 40 rows, every five rows: what objects and segments of days allow."""
-    sizes = segmented(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n")).union(tracks(spark, sf_dir).groupBy("object_id").agg(F.lit(-1).cast("long").alias("segment_id"), F.count("*").alias("n")))
-    possible = F.when(F.col("n") >= 40, F.floor((F.col("n") - 40) / 5) + 1).otherwise(1)
-    return sizes.agg(F.sum(possible).alias("candidates"), F.sum(F.when(F.col("n") >= 40, possible).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("n") < 40, 1).otherwise(0)).alias("short_segment"), F.countDistinct("object_id").alias("objects"))
+    """What comes of the windows, every five hours of a segment: a segment under 40 hours is one short candidate, windows that move under 20 or over 30 a hour are too slow or too fast."""
+    rows = _windowed(spark, sf_dir)
+    speed = F.col("path") / 39
+    verdict = F.when(speed < 20, "slow").when(speed > 30, "fast").otherwise("accepted")
+    cut = K.row_windows(rows, KEYS, "tick", 7, 32, 5).select("object_id", verdict.alias("verdict"))
+    short = rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n < 40").select("object_id", F.lit("short_segment").alias("verdict"))
+    return cut.union(short).groupBy("verdict").agg(F.count("*").alias("candidates"), F.countDistinct("object_id").alias("objects"))
 
 
 def rebase_first_row(spark, sf_dir):
@@ -113,10 +122,15 @@ def bracket_lerp(spark, sf_dir):
 
 
 _FLAGS = TRACKS + ", eight as (select event_id, string_agg(case when x > 50 then '1' else '0' end, '') over (partition by object_id order by t rows between 7 preceding and current row) as s from tracks)"
-_PAIRS = SEGMENTED + """, paired as (select object_id, segment_id, t, x, y, lead(t) over w as t1, lead(t, 2) over w is null as final, lead(x) over w as x1, lead(y) over w as y1
+PAIRS = SEGMENTED + """, paired as (select object_id, segment_id, t, x, y, lead(t) over w as t1, lead(t, 2) over w is null as final, lead(x) over w as x1, lead(y) over w as y1
    from segmented window w as (partition by object_id, segment_id order by t)),
  spans as (select *, cast(ceil((t - 1e-9) / {dt}) as bigint) as a, cast(case when final then floor((t1 + 1e-9) / {dt}) else ceil((t1 - 1e-9) / {dt}) - 1 end as bigint) as b from paired where t1 is not null),
  ticks as (select *, unnest(generate_series(a, b)) as tick from spans where a <= b)"""
+_WINDOWED = PAIRS.format(dt="3600.0") + """, hourly as (select object_id, segment_id, tick, x + (tick * 3600.0 - t) / (t1 - t) * (x1 - x) as x, y + (tick * 3600.0 - t) / (t1 - t) * (y1 - y) as y from ticks),
+ stepped_ticks as (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from hourly window w as (partition by object_id, segment_id order by tick)),
+ placed as (select *, row_number() over w - 1 as place, count(*) over (partition by object_id, segment_id) as size, avg(x) over (w rows between 7 preceding and 32 following) as mean_x,
+  min(tick) over (w rows between 7 preceding and 32 following) as first, max(tick) over (w rows between 7 preceding and 32 following) as last, sum(step) over (w rows between 6 preceding and 32 following) as path
+  from stepped_ticks window w as (partition by object_id, segment_id order by tick))"""
 _VELOCITY = SEGMENTED + """, v0 as (select *, lag(t) over w as tp, lead(t) over w as tn, lag(x) over w as xp, lead(x) over w as xn, lag(y) over w as yp, lead(y) over w as yn from segmented window w as (partition by object_id, segment_id order by t)),
  v1 as (select *, t - tp as hs, tn - t as hd from v0),
  v2 as (select *, {gx} as vx, {gy} as vy from v1),
@@ -134,21 +148,19 @@ QUERIES = {f.__name__: f for f in (track_segments, segment_summary, track_resamp
 ORACLE = {
     "track_segments": f"with {SEGMENTED} select event_id, object_id, t, segment_id from segmented",
     "segment_summary": f"with {SEGMENTED} select object_id, segment_id, count(*) as n, min(t) as t0, max(t) as t1, round(avg(x), 6) as mean_x from segmented group by all",
-    "track_resample_hourly": f"with {_PAIRS.format(dt='3600.0')} select object_id, segment_id, tick, round(x + (tick * 3600.0 - t) / (t1 - t) * (x1 - x), 6) as x, round(y + (tick * 3600.0 - t) / (t1 - t) * (y1 - y), 6) as y from ticks",
-    "bracket_lerp": f"with {_PAIRS.format(dt='86400.0')} select object_id, tick * 86400.0 as t, round(x + (tick * 86400.0 - t) / (t1 - t) * (x1 - x), 6) as x from ticks",
+    "track_resample_hourly": f"with {PAIRS.format(dt='3600.0')} select object_id, segment_id, tick, round(x + (tick * 3600.0 - t) / (t1 - t) * (x1 - x), 6) as x, round(y + (tick * 3600.0 - t) / (t1 - t) * (y1 - y), 6) as y from ticks",
+    "bracket_lerp": f"with {PAIRS.format(dt='86400.0')} select object_id, tick * 86400.0 as t, round(x + (tick * 86400.0 - t) / (t1 - t) * (x1 - x), 6) as x from ticks",
     "track_gradient": f"with {VELOCITY} select event_id, round(vx, 9) as vx from v2",
     "kinematic_quantiles": f"with {VELOCITY} select kind, round(quantile_cont(sqrt(vx * vx + vy * vy), 0.05), 9) as p05, round(quantile_cont(sqrt(vx * vx + vy * vy), 0.5), 9) as p50, round(quantile_cont(sqrt(vx * vx + vy * vy), 0.95), 9) as p95, round(max(sqrt(ax * ax + ay * ay)), 9) as max_accel from v4 group by kind",
     "yaw_unwrap": f"""with {SEGMENTED}, yaws as (select *, x + pi() - 2 * pi() * floor((x + pi()) / (2 * pi())) - pi() as yaw from segmented),
  steps as (select *, yaw - lag(yaw) over (partition by object_id, segment_id order by t) as step from yaws),
  fixes as (select *, case when step is null or abs(step) < pi() then 0.0 else step + pi() - 2 * pi() * floor((step + pi()) / (2 * pi())) - pi() - step end as fix from steps)
 select event_id, round(yaw, 6) as yaw, round(yaw + sum(fix) over (partition by object_id, segment_id order by t rows unbounded preceding), 6) as heading from fixes""",
-    "hopping_windows_8_32": f"""with {TRACKS}, placed as (select *, row_number() over w - 1 as place, count(*) over (partition by object_id) as size,
-  round(avg(x) over (w rows between 7 preceding and 32 following), 6) as mean_x, min(t) over (w rows between 7 preceding and 32 following) as t_first, max(t) over (w rows between 7 preceding and 32 following) as t_last
-  from tracks window w as (partition by object_id order by t))
-select event_id, object_id, t_first, t_last, mean_x from placed where place >= 7 and place <= size - 33 and (place - 7) % 5 = 0""",
-    "window_funnel": f"""with {SEGMENTED}, sizes as (select object_id, count(*) as n from segmented group by object_id, segment_id union all select object_id, count(*) from tracks group by object_id)
-select cast(sum(case when n >= 40 then floor((n - 40) / 5) + 1 else 1 end) as bigint) as candidates, cast(sum(case when n >= 40 then floor((n - 40) / 5) + 1 else 0 end) as bigint) as accepted,
- cast(sum(case when n < 40 then 1 else 0 end) as bigint) as short_segment, count(distinct object_id) as objects from sizes""",
+    "hopping_windows_8_32": f"""with {_WINDOWED}
+select object_id, segment_id, tick, first, last, round(mean_x, 6) as mean_x from placed where place >= 7 and place <= size - 33 and (place - 7) % 5 = 0""",
+    "window_funnel": f"""with {_WINDOWED}, verdicts as (select object_id, case when path / 39 < 20 then 'slow' when path / 39 > 30 then 'fast' else 'accepted' end as verdict from placed where place >= 7 and place <= size - 33 and (place - 7) % 5 = 0
+  union all select object_id, 'short_segment' from hourly group by object_id, segment_id having count(*) < 40)
+select verdict, count(*) as candidates, count(distinct object_id) as objects from verdicts group by verdict""",
     "rebase_first_row": f"with {SEGMENTED} select event_id, t - first(t) over w as dt, round(x - first(x) over w, 6) as dx, round(y - first(y) over w, 6) as dy from segmented window w as (partition by object_id, segment_id order by t)",
     "exact_tick_join": f"with {TRACKS} select a.event_id as left_id, b.event_id as right_id from tracks a join tracks b on a.kind = 'click' and b.kind <> 'click' and abs(a.t - b.t) <= 30.0",
     "hidden_run_emergence": f"with {_FLAGS} select event_id, s like '0%' and contains(s, '111') as emerges from eight where length(s) = 8",
