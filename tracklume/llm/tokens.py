@@ -49,6 +49,13 @@ class _Words(dict):
         return ids
 
 
+def _stand_ins() -> dict[str, int]:
+    """The characters by which byte-level BPE writes bytes: printable ones stand for themselves, the others are the code points from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted({*range(256)} - {*printable})
+    return {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
+
+
 @cache
 def byte_level(path: str, special: bool) -> Callable[[str], list[int]]:
     """Ids of a text by a byte-level ``tokenizers`` file; where ``special``, the special tokens' strings get their ids, else they are plain text."""
@@ -58,7 +65,9 @@ def byte_level(path: str, special: bool) -> Callable[[str], list[int]]:
     whole.encode_special_tokens = not special
     marks = sorted(x.content for x in whole.get_added_tokens_decoder().values()) if special else []
     encode = lambda x: whole.encode(x, add_special_tokens=False).ids
-    words, split = _Words(encode), _near_words()
+    # A word of the text is a word of the model: the way there, which cuts it into words again, can be left out.
+    model, names = whole.model, {byte: c for c, byte in _stand_ins().items()}
+    words, split = _Words(lambda x: [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(names))]), _near_words()
 
     def run(text: str) -> list[int]:
         if (not text.isascii() and FAR.search(text)) or any(x in text for x in marks):
@@ -96,10 +105,7 @@ def byte_level_bytes(path: str) -> list[bytes]:
     """The bytes of every id of a byte-level ``tokenizers`` file."""
     from tokenizers import Tokenizer
 
-    # The printable bytes stand for themselves, the others for the code points from 256 on.
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [x for x in range(256) if x not in set(printable)]
-    byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
+    byte = _stand_ins()
     whole = Tokenizer.from_file(path)
     names = (whole.id_to_token(i) or "" for i in range(whole.get_vocab_size()))
     return [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in names]
