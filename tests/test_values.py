@@ -2,14 +2,11 @@
 
 import math
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracklume.functions import geometry as E
-from tracklume.functions import geometry_numpy as G
 from tracklume.operators import calibration as C
-from tracklume.operators import closed_loop as L
 from tracklume.operators import experiments as X
 from tracklume.operators import quality as Q
 from tracklume.operators import ranking as R
@@ -23,27 +20,28 @@ def one(df):
 
 
 def test_ranking(spark):
-    rows = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7)], "y int, s double")
-    assert one(R.auroc(rows, "y", "s")).value == pytest.approx(0.5)
-    assert one(R.average_precision(rows, "y", "s")).value == pytest.approx(5 / 6)
-    assert one(R.auprc_trapezoid(rows, "y", "s")).value == pytest.approx(19 / 24)
-    single = spark.createDataFrame([(1, 0.9), (1, 0.8)], "y int, s double")
+    """Four rows, a tie over the classes: of four pairs two are right and two halved are one."""
+    rows = spark.createDataFrame([(1, 0.6), (0, 0.4), (1, 0.4), (0, 0.1)], "y int, s double")
+    assert one(R.auroc(rows, "y", "s")).value == pytest.approx(3.5 / 4)
+    assert one(R.average_precision(rows, "y", "s")).value == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
+    assert one(R.auprc_trapezoid(rows, "y", "s")).value == pytest.approx(0.5 * 1 + 0.5 * (1 + 2 / 3) / 2)
+    single = spark.createDataFrame([(0, 0.3), (0, 0.2)], "y int, s double")
     found = one(R.auroc(single, "y", "s"))
     assert found.value is None and found.reason == "one class only"
 
 
 def test_probability(spark):
-    rows = spark.createDataFrame([(0, 0.2), (1, 0.8)], "y int, p double")
+    rows = spark.createDataFrame([(1, 0.7), (0, 0.4)], "y int, p double")
     found = one(C.brier_nll(rows, "y", "p"))
-    assert found.brier == pytest.approx(0.04) and found.nll == pytest.approx(-math.log(0.8))
-    assert one(C.ece(rows, "y", "p", 2)).ece == pytest.approx(0.2)
-    edge = spark.createDataFrame([(1, 1.0), (0, 0.0)], "y int, p double")
+    assert found.brier == pytest.approx((0.09 + 0.16) / 2) and found.nll == pytest.approx(-(math.log(0.7) + math.log(0.6)) / 2)
+    assert one(C.ece(rows, "y", "p", 2)).ece == pytest.approx((0.3 + 0.4) / 2)
+    edge = spark.createDataFrame([(0, 0.0), (1, 1.0), (1, 1.0)], "y int, p double")
     assert one(C.ece(edge, "y", "p")).ece == 0.0
-    safe = spark.createDataFrame([(1, 0.2), (1, 0.8), (0, 0.1)], "y int, p double")
-    assert one(C.false_safe_rate(safe, "y", "p", 0.5)).rate == 0.5
-    cover = spark.createDataFrame([(0.2, 0.3), (0.8, 0.7)], "y double, u double")
+    safe = spark.createDataFrame([(1, 0.1), (1, 0.4), (1, 0.9), (0, 0.2)], "y int, p double")
+    assert one(C.false_safe_rate(safe, "y", "p", 0.3)).rate == pytest.approx(1 / 3)
+    cover = spark.createDataFrame([(0.5, 0.9), (0.6, 0.2), (0.1, 0.1)], "y double, u double")
     found = one(cover.agg(*C.coverage(cover, "y", "u")))
-    assert (found.coverage, found.excess, found.mean_upper) == (0.5, pytest.approx(0.05), 0.5)
+    assert (found.coverage, found.excess, found.mean_upper) == (pytest.approx(2 / 3), pytest.approx(0.4 / 3), pytest.approx(0.4))
 
 
 def test_conformal_rank(spark):
@@ -57,30 +55,11 @@ def test_conformal_rank(spark):
 def test_clearances(spark):
     row = spark.range(1)
     lit = F.lit
-    cases = [(E.circle_circle(lit(0.0), lit(0.0), lit(0.3), lit(d), lit(0.0), lit(0.3)), w) for d, w in ((1.0, 0.4), (0.6, 0.0), (0.2, -0.4))]
-    cases.append((E.circle_rectangle(lit(0.0), lit(3.0), lit(0.5), lit(0.0), lit(0.0), lit(math.pi / 2), lit(4.0), lit(2.0)), 0.5))
-    cases.append((E.circle_rectangle(lit(0.0), lit(0.0), lit(0.5), lit(0.0), lit(0.0), lit(math.pi / 2), lit(4.0), lit(2.0)), -1.5))
+    cases = [(E.circle_circle(lit(1.0), lit(1.0), lit(0.25), lit(1.0), lit(1.0 + d), lit(0.5)), w) for d, w in ((2.0, 1.25), (0.75, 0.0), (0.5, -0.25))]
+    cases.append((E.circle_rectangle(lit(-4.0), lit(5.0), lit(1.0), lit(0.0), lit(0.0), lit(math.pi / 2), lit(4.0), lit(2.0)), math.hypot(3, 3) - 1))
+    cases.append((E.circle_rectangle(lit(0.75), lit(0.0), lit(0.5), lit(0.0), lit(0.0), lit(math.pi / 2), lit(4.0), lit(2.0)), -0.75))
     found = one(row.select(*(c.alias(f"c{i}") for i, (c, _) in enumerate(cases))))
     assert list(found) == pytest.approx([w for _, w in cases], abs=1e-9)
-    box = lambda x, y, a, b: G.corners(x, y, 0.0, a, b)
-    assert G.rectangle_rectangle(box(0, 0, 2, 2), box(3, 3, 2, 2)) == pytest.approx(math.sqrt(2))
-    assert G.rectangle_rectangle(box(0, 0, 2, 2), box(2, 0, 2, 2)) == pytest.approx(0)
-    assert G.rectangle_rectangle(box(0, 0, 4, 4), box(0, 0, 2, 2)) == pytest.approx(-3)
-
-
-def test_visibility_and_contact():
-    grid = np.zeros((5, 5), bool)
-    grid[2, 3] = True
-    seen = G.visible(grid, 2, 2)
-    assert seen[2, 3] and not seen[2, 4] and seen[0, 0]
-    corner = np.zeros((3, 3), bool)
-    corner[0, 1] = True
-    assert not G.visible(corner, 0, 0)[1, 1]  # either side cell of a corner blocks
-    a, b = np.array([[0.0, 0.0], [4.0, 0.0]]), np.array([[4.0, 0.1], [0.0, 0.1]])
-    hit, at = G.contact_interval(a, b, 0.6)
-    assert hit and at == pytest.approx(0.426, abs=0.01)
-    assert not G.contact_interval(a, b + (0, 3), 0.6)[0]
-    assert len(G.raster(G.corners(0, 0, 0, 0.9, 0.9), 1.0, 4, 4)) == 4
 
 
 def test_segments_and_resampling(spark):
@@ -101,6 +80,7 @@ def test_exact_tolerance(spark):
 
 def test_quotas_and_components(spark):
     ten = spark.range(10).withColumnRenamed("id", "g")
+    # The split's shares are 0.7, 0.1, 0.1 and 0.1.
     assert {r.split: r.quota for r in S.quotas(ten).collect()} == {"train": 7, "calibration": 1, "val": 1, "test": 1}
     found = S.split_by_hash(ten, "g", "3").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in found} == {"train": 7, "calibration": 1, "val": 1, "test": 1}
@@ -154,10 +134,3 @@ def test_contracts(spark):
     rows = spark.createDataFrame([(1, None), (2, 5.0)], "k int, v double")
     assert [tuple(r) for r in Q.violations(rows, "k", [("positive", F.col("v") > 0)]).collect()] == [(1, "positive")]
     assert Q.forbidden_fields(spark.createDataFrame([], "a int, b struct<Oracle_x: int>, c array<struct<future: int>>").schema) == ["b.Oracle_x", "c.future"]
-
-
-def test_episodes():
-    assert L.walk([("verify", 0.2, False), ("execute", 0.2, True)])[-2:] == (1, "collision")
-    assert L.walk([("reject", 0.4, False)] * 40)[-1] == "horizon"
-    assert L.walk([("execute", 0.1, False)] * 40)[-1] == "max_decisions"
-    assert L.walk([])[-1] == "exhausted"

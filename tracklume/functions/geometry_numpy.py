@@ -1,105 +1,37 @@
-"""Geometry that columns can't express, for Arrow and pandas functions inside tasks: rectangles, rasters and lines of sight."""
+"""Lines of sight on a grid, for pandas functions inside tasks: all target cells at once."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def corners(x: float, y: float, yaw: float, length: float, width: float) -> np.ndarray:
-    """Counter-clockwise corners of a rectangle."""
-    local = np.array([[1, 1], [-1, 1], [-1, -1], [1, -1]]) * (length / 2, width / 2)
-    turn = np.array([[np.cos(yaw), np.sin(yaw)], [-np.sin(yaw), np.cos(yaw)]])
-    return local @ turn + (x, y)
-
-
-def _point_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = b - a
-    u = np.clip(((p - a) @ d) / max(d @ d, 1e-300), 0, 1)
-    return np.linalg.norm(p - a - u[..., None] * d, axis=-1)
-
-
-def rectangle_rectangle(a: np.ndarray, b: np.ndarray) -> float:
-    """Signed clearance of two convex polygons: the least penetration (negative) if every axis overlaps, else their distance."""
-    gaps = []
-    for shape in (a, b):
-        edges = np.roll(shape, -1, 0) - shape
-        for normal in np.stack([edges[:, 1], -edges[:, 0]], 1) / np.linalg.norm(edges, axis=1)[:, None]:
-            p, q = a @ normal, b @ normal
-            gaps.append(max(q.min() - p.max(), p.min() - q.max()))
-    if max(gaps) <= 0:
-        return float(max(gaps))
-    sides = [(p, s, t) for p, r in ((a, b), (b, a)) for s, t in zip(r, np.roll(r, -1, 0), strict=True)]
-    return float(min(_point_segment(p, s, t).min() for p, s, t in sides))
-
-
-def raster(polygon: np.ndarray, resolution: float, height: int, width: int) -> np.ndarray:
-    """(row, column) of every grid cell whose closed square touches a convex polygon."""
-    low = np.floor(polygon.min(0) / resolution + (width / 2, height / 2)).astype(int) - 1
-    high = np.floor(polygon.max(0) / resolution + (width / 2, height / 2)).astype(int) + 1
-    c, r = np.meshgrid(np.arange(max(low[0], 0), min(high[0], width - 1) + 1), np.arange(max(low[1], 0), min(high[1], height - 1) + 1))
-    centres = np.stack([(c.ravel() + 0.5 - width / 2) * resolution, (r.ravel() + 0.5 - height / 2) * resolution], 1)
-    half = resolution / 2
-    edges = np.roll(polygon, -1, 0) - polygon
-    touched = np.ones(len(centres), bool)
-    for normal in [np.array([1.0, 0.0]), np.array([0.0, 1.0]), *(np.stack([edges[:, 1], -edges[:, 0]], 1) / np.linalg.norm(edges, axis=1)[:, None])]:
-        reach = half * np.abs(normal).sum()
-        at, p = centres @ normal, polygon @ normal
-        touched &= (at + reach >= p.min() - 1e-12) & (at - reach <= p.max() + 1e-12)
-    return np.stack([r.ravel()[touched], c.ravel()[touched]], 1)
-
-
 def visible(blocked: np.ndarray, row: int, column: int) -> np.ndarray:
     """Cells of a boolean grid that a sensor sees along supercover lines between cell centres.
 
     The sensor's and the target's own cells never block.  Where a line passes
-    exactly through a corner, either side cell blocks it.
+    exactly through a corner, either side cell blocks it.  All lines advance
+    together, a cell border a step.
     """
     height, width = blocked.shape
-    seen = np.zeros_like(blocked, bool)
-    for r in range(height):
-        for c in range(width):
-            seen[r, c] = _clear(blocked, row, column, r, c)
-    return seen
-
-
-def _clear(blocked: np.ndarray, r0: int, c0: int, r1: int, c1: int) -> bool:
-    nr, nc = abs(r1 - r0), abs(c1 - c0)
-    sr, sc = (1 if r1 > r0 else -1), (1 if c1 > c0 else -1)
-    r, c, ir, ic = r0, c0, 0, 0
-    while ir < nr or ic < nc:
-        # Which border comes next: (ir + 1/2) / nr of the way for rows, (ic + 1/2) / nc for columns.
-        side = (1 + 2 * ic) * nr - (1 + 2 * ir) * nc
-        if side == 0:
-            if blocked[r + sr, c] and (r + sr, c) != (r1, c1) or blocked[r, c + sc] and (r, c + sc) != (r1, c1):
-                return False
-            r, c, ir, ic = r + sr, c + sc, ir + 1, ic + 1
-        elif side < 0:
-            c, ic = c + sc, ic + 1
-        else:
-            r, ir = r + sr, ir + 1
-        if (r, c) != (r1, c1) and blocked[r, c]:
-            return False
-    return True
-
-
-def contact_interval(centre_a: np.ndarray, centre_b: np.ndarray, reach: float, depth: int = 20) -> tuple[bool, float]:
-    """Whether two discs that move linearly between frames touch, and the first frame time, by conservative bisection.
-
-    ``centre_*`` are (frames, 2).  A span is left out when its ends are
-    further apart than all that either disc can move within it.
-    """
-    gap = centre_a - centre_b
-    for i in range(len(gap) - 1):
-        spans = [(0.0, 1.0, 0)]
-        while spans:
-            a, b, level = spans.pop()
-            p, q = gap[i] + a * (gap[i + 1] - gap[i]), gap[i] + b * (gap[i + 1] - gap[i])
-            if np.hypot(*p) <= reach:
-                return True, i + a
-            if np.hypot(*p) - reach > np.hypot(*(q - p)):
-                continue
-            if level == depth:
-                return True, i + b
-            m = (a + b) / 2
-            spans += [(m, b, level + 1), (a, m, level + 1)]
-    return (True, float(len(gap) - 1)) if len(gap) and np.hypot(*gap[-1]) <= reach else (False, float("nan"))
+    to_row, to_col = (x.ravel() for x in np.mgrid[:height, :width])
+    rows, cols = np.abs(to_row - row), np.abs(to_col - column)
+    up, right = np.where(to_row > row, 1, -1), np.where(to_col > column, 1, -1)
+    r, c = np.full(len(rows), row), np.full(len(rows), column)
+    done_r, done_c, seen = np.zeros_like(rows), np.zeros_like(cols), np.ones(len(rows), bool)
+
+    def stands(at_row: np.ndarray, at_col: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Whether a cell other than the line's target blocks."""
+        return blocked[at_row, at_col] & ((at_row != to_row[some]) | (at_col != to_col[some]))
+
+    while len(some := np.flatnonzero(seen & ((done_r < rows) | (done_c < cols)))):
+        # Which border comes next: (done + 1/2) / rows of the way for rows, likewise for columns.
+        side = (1 + 2 * done_c[some]) * rows[some] - (1 + 2 * done_r[some]) * cols[some]
+        corner = some[side == 0]
+        seen[corner] &= ~(stands(r[corner] + up[corner], c[corner], corner) | stands(r[corner], c[corner] + right[corner], corner))
+        over_row, over_col = some[side >= 0], some[side <= 0]
+        r[over_row] += up[over_row]
+        done_r[over_row] += 1
+        c[over_col] += right[over_col]
+        done_c[over_col] += 1
+        seen[some] &= ~stands(r[some], c[some], some)
+    return seen.reshape(height, width)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,19 +32,6 @@ def disc_cells(points: DataFrame, keys: list[str], x: str, y: str, radius: float
     return near.where(inside & (dx * dx + dy * dy <= radius * radius + 1e-12)).select(*keys, "row", "col")
 
 
-def rectangle_cells(rows: DataFrame, keys: list[str], resolution: float, height: int, width: int) -> DataFrame:
-    """keys, row, col of every cell that an oriented rectangle (x, y, yaw, length, width) touches."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields), "row int, col int"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                found = G.raster(G.corners(r["x"], r["y"], r["yaw"], r["length"], r["width"]), resolution, height, width)
-                yield pd.DataFrame({**{k: [r[k]] * len(found) for k in keys}, "row": found[:, 0].astype("int32"), "col": found[:, 1].astype("int32")})
-
-    return rows.select(*keys, "x", "y", "yaw", "length", "width").mapInPandas(run, schema)
-
-
 def visibility(blocked: DataFrame, key: str, sensor_row: int, sensor_col: int, height: int, width: int) -> DataFrame:
     """key, row, col of the cells that a sensor sees, for each key's set of blocked cells (row, col)."""
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklume.functions.digests import derive_seed, stable_digest, table_digest as digest_of
-from tracklume.operators import closed_loop as L
 from tracklume.operators import posterior as O
 from tracklume.operators import quality as Q
 from tracklume.operators import splits as S
@@ -138,20 +137,6 @@ def exact_posterior(spark, sf_dir):
     return O.exact_posterior(rows, "label", "vec_id", "digest").select("label", "i", "n", F.round("p", 9).alias("p"))
 
 
-def _steps(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    decision = F.when(F.col("event_type") == "view", "verify").when(F.col("event_type") == "click", "execute").when(F.col("value") > 95, "finish").otherwise("reject")
-    return e.select(F.col("user_id").alias("episode_id"), F.struct("ts", "event_id").alias("step"), decision.alias("decision"), F.lit(0.2).alias("duration"), (F.col("event_id") % 11 == 0).alias("hazard"))
-
-
-def closed_loop_episodes(spark, sf_dir):
-    return L.episodes(_steps(spark, sf_dir)).withColumn("elapsed_s", F.round("elapsed_s", 6))
-
-
-def closed_loop_summary(spark, sf_dir):
-    return L.summary(closed_loop_episodes(spark, sf_dir).withColumn("bank", F.col("episode_id") % 3), ["bank"])
-
-
 def key_set_audit(spark, sf_dir):
     """Metadata against an expected key set: complete, missing and extra."""
     have = runs(spark, sf_dir).select("experiment").distinct()
@@ -159,7 +144,7 @@ def key_set_audit(spark, sf_dir):
     return have.join(want, "experiment", "left_anti").select("experiment", F.lit("extra").alias("state")).union(want.join(have, "experiment", "left_anti").select("experiment", F.lit("missing"))).union(want.join(have, "experiment", "left_semi").select("experiment", F.lit("both")))
 
 
-QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, leakage_audit, isolation_overlap, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, closed_loop_episodes, closed_loop_summary, key_set_audit)}
+QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, leakage_audit, isolation_overlap, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, key_set_audit)}
 
 _QUOTAS = """n as (select count(*) as n from {groups}), q as (select i, split, n * r as exact from n, (values (0, 'train', 0.7), (1, 'calibration', 0.1), (2, 'val', 0.1), (3, 'test', 0.1)) t(i, split, r)),
  f as (select *, cast(floor(round(exact, 9)) as bigint) as fl, round(exact - floor(round(exact, 9)), 9) as rest from q), k as (select *, row_number() over (order by rest desc, i) as rk, (select n from n) - sum(fl) over () as spare from f),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklume.functions import geometry as E
+from tracklume.operators import contacts as C
 from tracklume.operators import grids as B
 from tracklume.operators.tracks import wrap_angle as wrapped
 from tracklume.plans.track_queries import TRACKS, tracks
@@ -32,23 +33,29 @@ def wrap_angles(spark, sf_dir):
     return points(spark, sf_dir).select("event_id", F.round(wrapped(F.col("x") * 3), 6).alias("angle"))
 
 
+#: Objects further away than this are none of a purchase's; edge of the tiles by which they are found.
+NEAR, TILE = 2.0, 4.0
+
+
 def _pairs(spark, sf_dir):
+    """Purchases and the other events of their hour whose centres are less than NEAR and both radii apart in x and in y."""
     p = points(spark, sf_dir)
     a = p.where("kind = 'purchase'").select(F.col("event_id").alias("a"), "hour", F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = p.where("kind <> 'purchase'").select(F.col("event_id").alias("b"), "hour", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("yaw").alias("byaw"), "object_id")
-    return a.join(b, "hour")
+    ax, ay = F.col("ax"), F.col("ay")
+    return C.box_join(a, b, ["hour"], C.grown((ax, ax, ay, ay), NEAR + 1.5), F.col("bx"), F.col("by"), TILE)
 
 
 def circle_clearance(spark, sf_dir):
     c = E.circle_circle(F.col("ax"), F.col("ay"), F.lit(0.3), F.col("bx"), F.col("by"), F.lit(0.5))
-    return _pairs(spark, sf_dir).select("a", "b", F.round(c, 6).alias("clearance"), (c <= 0).alias("contact"))
+    return _pairs(spark, sf_dir).where(c <= NEAR).select("a", "b", F.round(c, 6).alias("clearance"), (c <= 0).alias("contact"))
 
 
 def risk_labels(spark, sf_dir):
-    """Per purchase: the nearest object of its hour (least id on ties), contact, near miss and discounted severity."""
+    """Per purchase that has an object within two metres in its hour: the nearest (least id on ties), contact, near miss and discounted severity."""
     c = E.circle_circle(F.col("ax"), F.col("ay"), F.lit(0.3), F.col("bx"), F.col("by"), F.lit(0.5))
     t = ((F.col("b") % 32) + 1) * 0.2
-    rows = _pairs(spark, sf_dir).select("a", "b", F.round(c, 9).alias("c"), t.alias("t"))
+    rows = _pairs(spark, sf_dir).where(c <= NEAR).select("a", "b", F.round(c, 9).alias("c"), t.alias("t"))
     found = rows.groupBy("a").agg(F.min("c").alias("least"), F.min_by("b", F.struct("c", "b")).alias("critical"), F.max(E.severity(F.col("c"), F.col("t"))).alias("severity"), F.min(F.when(F.col("c") <= 0, F.col("t"))).alias("first_contact"))
     contact = F.col("first_contact").isNotNull()
     return found.select("a", F.round("least", 6).alias("clearance"), "critical", F.round("severity", 6).alias("severity"), contact.cast("int").alias("collision"), (~contact & (F.col("least") < 0.35)).cast("int").alias("near_miss"), F.round("first_contact", 6).alias("first_contact"))
@@ -56,13 +63,21 @@ def risk_labels(spark, sf_dir):
 
 def circle_rect_clearance(spark, sf_dir):
     c = E.circle_rectangle(F.col("ax"), F.col("ay"), F.lit(0.3), F.col("bx"), F.col("by"), F.col("byaw"), F.lit(2.0), F.lit(1.0))
-    return _pairs(spark, sf_dir).select("a", "b", F.round(c, 6).alias("clearance"))
+    return _pairs(spark, sf_dir).where(c <= NEAR).select("a", "b", F.round(c, 6).alias("clearance"))
 
 
 def segment_blocked(spark, sf_dir):
-    """Whether an object of the same hour stands between a purchase and the origin."""
-    hit = E.segment_hits_circle(F.lit(0.0), F.lit(0.0), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.lit(0.5))
-    return _pairs(spark, sf_dir).groupBy("a").agg(F.max(hit.cast("int")).alias("blocked"), F.min(F.when(hit, F.col("b"))).alias("first"))
+    """Whether an object of the same hour stands between a purchase and the origin, and which does first on the way from there."""
+    p = points(spark, sf_dir)
+    a = p.where("kind = 'purchase'").select(F.col("event_id").alias("a"), "hour", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.where("kind <> 'purchase'").select(F.col("event_id").alias("b"), "hour", F.col("x").alias("bx"), F.col("y").alias("by"))
+    zero = F.lit(0.0)
+    box = tuple(f(v, zero) for v in (F.col("ax"), F.col("ay")) for f in (F.least, F.greatest))
+    met = C.box_join(a, b, ["hour"], C.grown(box, 0.5 + 1e-9), F.col("bx"), F.col("by"), TILE)
+    hit = met.where(E.segment_hits_circle(zero, zero, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.lit(0.5)))
+    along = F.round(F.col("bx") * F.col("ax") + F.col("by") * F.col("ay"), 9)
+    first = hit.groupBy("a").agg(F.min_by("b", F.struct(along.alias("d"), F.col("b").alias("b"))).alias("first"))
+    return a.join(first, "a", "left").select("a", F.col("first").isNotNull().cast("int").alias("blocked"), "first")
 
 
 def grid_cells(spark, sf_dir):
@@ -80,9 +95,12 @@ def swept_union(spark, sf_dir):
 
 
 def unicycle_rollout(spark, sf_dir):
-    grid = spark.range(5 * 7 * 10).select((F.col("id") % 5 * 0.4).alias("v"), ((F.floor(F.col("id") / 5) % 7 - 3) * 0.3).alias("omega"), ((F.floor(F.col("id") / 35) + 1) * 0.2).alias("t"), F.col("id").cast("long").alias("id"))
-    x, y, yaw = E.unicycle(F.col("v"), F.col("omega"), F.col("t"))
-    return grid.select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(yaw, 6).alias("yaw"))
+    """Of every event: where a unicycle of its speed and turn rate is after 0.2 to 2 seconds, from its own pose."""
+    p = points(spark, sf_dir).select("event_id", "x", "y", "yaw", (F.col("event_id") % 5 * 0.4).alias("v"), ((F.col("object_id") % 7 - 3) * 0.3).alias("omega"))
+    steps = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    x, y, yaw = E.unicycle(F.col("v"), F.col("omega"), F.col("k") * 0.2)
+    gx, gy = E.to_global(x, y, F.col("x"), F.col("y"), F.col("yaw"))
+    return steps.select("event_id", "k", F.round(gx, 6).alias("x"), F.round(gy, 6).alias("y"), F.round(wrapped(F.col("yaw") + yaw), 6).alias("yaw"))
 
 
 def _state(spark, sf_dir):
@@ -135,20 +153,22 @@ _HIT = f"(case when ax * ax + ay * ay > 0 then sqrt((bx - {_U} * ax) * (bx - {_U
 ORACLE = {
     "rigid_transform": f"with {POINTS} select event_id, round({_LX}, 6) as lx, round({_LY}, 6) as ly, 0.0 as back from points",
     "wrap_angles": f"with {POINTS} select event_id, round(x * 3 + pi() - 2 * pi() * floor((x * 3 + pi()) / (2 * pi())) - pi(), 6) as angle from points",
-    "circle_clearance": f"with {_PAIRS} select a, b, round({_CLEAR}, 6) as clearance, {_CLEAR} <= 0 as contact from pairs",
-    "risk_labels": f"""with {_PAIRS}, r as (select a, b, round({_CLEAR}, 9) as c, (b % 32 + 1) * 0.2 as t from pairs),
+    "circle_clearance": f"with {_PAIRS} select a, b, round({_CLEAR}, 6) as clearance, {_CLEAR} <= 0 as contact from pairs where {_CLEAR} <= {NEAR}",
+    "risk_labels": f"""with {_PAIRS}, r as (select a, b, round({_CLEAR}, 9) as c, (b % 32 + 1) * 0.2 as t from pairs where {_CLEAR} <= {NEAR}),
  s as (select *, case when c <= 0 then 1.0 else exp(-c / 0.5) * exp(-t / 2.0) end as sev, row_number() over (partition by a order by c, b) as i from r)
 select a, round(min(c), 6) as clearance, max(case when i = 1 then b end) as critical, round(max(sev), 6) as severity, cast(min(c) <= 0 as int) as collision, cast(min(c) > 0 and min(c) < 0.35 as int) as near_miss, round(min(t) filter (c <= 0), 6) as first_contact from s group by a""",
     "circle_rect_clearance": f"""with {_PAIRS}, l as (select a, b, abs((ax - bx) * cos(byaw) + (ay - by_) * sin(byaw)) - 1.0 as qx, abs((ay - by_) * cos(byaw) - (ax - bx) * sin(byaw)) - 0.5 as qy from pairs)
-select a, b, round(sqrt(greatest(qx, 0.0) * greatest(qx, 0.0) + greatest(qy, 0.0) * greatest(qy, 0.0)) + least(greatest(qx, qy), 0.0) - 0.3, 6) as clearance from l""",
-    "segment_blocked": f"with {_PAIRS} select a, max(cast({_HIT} as int)) as blocked, min(b) filter ({_HIT}) as first from pairs group by a",
+select a, b, round(c, 6) as clearance from (select a, b, sqrt(greatest(qx, 0.0) * greatest(qx, 0.0) + greatest(qy, 0.0) * greatest(qy, 0.0)) + least(greatest(qx, qy), 0.0) - 0.3 as c from l) where c <= {NEAR}""",
+    "segment_blocked": f"""with {_PAIRS}, hits as (select a, b, row_number() over (partition by a order by round(bx * ax + by_ * ay, 9), b) as place from pairs where {_HIT})
+select event_id as a, cast(b is not null as int) as blocked, b as first from points left join hits on event_id = a and place = 1 where kind = 'purchase'""",
     "grid_cells": f"with {_CELLS} select event_id, row, col from inside",
     "cell_histogram": f"with {_CELLS} select row, col, count(*) as n from inside group by row, col",
     "swept_union": f"""with {_CELLS}, near as (select object_id, x, y, row + i as r, col + j as c from cells, generate_series(-2, 2) a(i), generate_series(-2, 2) b(j)),
  d as (select object_id, r, c, greatest(abs(x - (c + 0.5 - 20) * 0.5) - 0.25, 0.0) as dx, greatest(abs(y - (r + 0.5 - 20) * 0.5) - 0.25, 0.0) as dy from near where r between 0 and 39 and c between 0 and 39)
 select object_id, count(*) as cells from (select distinct object_id, r, c from d where dx * dx + dy * dy <= 0.36 + 1e-12) group by object_id""",
-    "unicycle_rollout": """with g as (select i as id, i % 5 * 0.4 as v, (floor(i / 5) % 7 - 3) * 0.3 as omega, (floor(i / 35) + 1) * 0.2 as t from generate_series(0, 349) s(i))
-select id, round(case when abs(omega) < 1e-9 then v * t else v / omega * sin(omega * t) end, 6) as x, round(case when abs(omega) < 1e-9 then 0.0 else v / omega * (1 - cos(omega * t)) end, 6) as y, round(omega * t, 6) as yaw from g""",
+    "unicycle_rollout": f"""with {POINTS}, g as (select event_id, x, y, yaw, k, event_id % 5 * 0.4 as v, (object_id % 7 - 3) * 0.3 as omega, k * 0.2 as t from points, generate_series(1, 10) s(k)),
+ l as (select *, case when abs(omega) < 1e-9 then v * t else v / omega * sin(omega * t) end as lx, case when abs(omega) < 1e-9 then 0.0 else v / omega * (1 - cos(omega * t)) end as ly, yaw + omega * t as turned from g)
+select event_id, cast(k as int) as k, round(x + lx * cos(yaw) - ly * sin(yaw), 6) as x, round(y + lx * sin(yaw) + ly * cos(yaw), 6) as y, round(turned + pi() - 2 * pi() * floor((turned + pi()) / (2 * pi())) - pi(), 6) as yaw from l""",
     "last_seen_age": f"with {_STATE} select row, col, last_seen, round(age, 9) as age from state",
     "age_decay_forecast": f"with {_STATE} select row, col, cast(k as int) as k, round(p, 9) as p from forecast",
     "swept_risk": f"with {_STATE} select row, round(1 - exp(sum(ln(1 - p / 10))), 9) as risk from forecast group by row",
