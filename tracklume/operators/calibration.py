@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklume.operators.selection import order_statistics
+
 #: Groups under this size take the global correction.
 MIN_GROUP = 20
 
@@ -44,13 +46,9 @@ def coverage(rows: DataFrame, y: str, upper: str) -> list[Column]:
 
 
 def order_statistic(residuals: DataFrame, group: list[str], residual: str, alpha: float) -> DataFrame:
-    """The k-th smallest residual of each group, k = min(n, ceil((n + 1)(1 - alpha))): counts of distinct values, then a running sum."""
-    counts = residuals.groupBy(*group, F.col(residual).alias("v")).agg(F.count("*").alias("c"))
-    inside = Window.partitionBy(*group)
-    upto = inside.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(inside)})
-    ranked = ranked.withColumn("k", F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - F.lit(alpha)))))
-    return ranked.where("upto >= k").groupBy(*group).agg(F.min("v").alias("correction"), F.first("n").alias("n"), F.first("k").cast("long").alias("k"))
+    """The k-th smallest residual of each group, k = min(n, ceil((n + 1)(1 - alpha))), by rounds of range counts."""
+    rank = lambda n: F.least(n, F.ceil((n + 1) * (1 - F.lit(alpha))))
+    return order_statistics(residuals, group, residual, {"correction": rank}).withColumn("k", rank(F.col("n")).cast("long"))
 
 
 def conformal(rows: DataFrame, y: str, q: str, dimensions: list[str], alpha: float, least: int = MIN_GROUP) -> DataFrame:

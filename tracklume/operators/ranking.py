@@ -8,25 +8,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklume.sources.shared_tables import SharedTables
+
 
 def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
     return rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
 
 
-#: Ranges of scores that running sums are taken in, at most.
-RANGES = 256
-
-
 def _running(scored: DataFrame, values: list[str], down: bool = False) -> DataFrame:
     """``scored`` (a row a score ``s``) with, for each value, ``before_<value>``: its sum over all lower scores, or all higher ones.
 
-    Sums run within ranges between quantiles of the scores, and over the
-    ranges' totals, so that no task sees all scores.
+    The rows are written once, dealt into ranges of scores and written again:
+    so the plan behind them runs once, and totals and rows see the same ranges.
+    Sums run within ranges, and over the ranges' totals; no task sees all scores.
     """
-    cuts = scored.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts"))
-    ranged = scored.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("s")))).drop("_cuts")
+    tables = SharedTables(scored.sparkSession, "ranking")
+    held = tables.write(scored, "scored")
+    n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tables.write(held.repartitionByRange(n, "s").withColumn("_range", F.spark_partition_id()), "ranged")
+    tables.drop("scored")
     way = F.desc if down else F.asc
-    outer = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    outer = Window.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     inner = Window.partitionBy("_range").orderBy(way("s")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
     totals = totals.select("_range", *(F.coalesce(F.sum(f"_t_{v}").over(outer), F.lit(0.0)).alias(f"_o_{v}") for v in values))
@@ -85,16 +87,6 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return ranks.agg(F.round(value, 9).alias("value")).select(F.lit("spearman").alias("metric"), "value")
 
 
-def kendall_tau_b(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """tau-b over all pairs of a small table: a stated quadratic comparison; 0 where degenerate."""
-    x, y = rows.select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b")), rows.select(F.col(key).alias("l"), F.col(a).alias("c"), F.col(b).alias("d"))
-    pairs = x.join(y, F.col("k") < F.col("l")).select(F.signum(F.col("a").cast("double") - F.col("c")).alias("p"), F.signum(F.col("b").cast("double") - F.col("d")).alias("q"))
-    counted = pairs.agg(*(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(n) for n, c in (("concordant", F.col("p") * F.col("q") > 0), ("discordant", F.col("p") * F.col("q") < 0), ("tied_a", (F.col("p") == 0) & (F.col("q") != 0)), ("tied_b", (F.col("p") != 0) & (F.col("q") == 0)))))
-    both = F.col("concordant") + F.col("discordant")
-    scale = F.sqrt((both + F.col("tied_a")) * (both + F.col("tied_b")))
-    return counted.withColumn("tau_b", F.round(F.when(scale > 0, (F.col("concordant") - F.col("discordant")) / scale).otherwise(0.0), 9))
-
-
 def pairwise_ordering(rows: DataFrame, group: str, key: str, target: str, prediction: str, eligible: Column) -> DataFrame:
     """Within groups: credit 1 for a pair ordered as its targets are, 1/2 for tied predictions; pairs of equal targets are skipped.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklume.operators import cohorts as H
+from tracklume.operators import selection as S
 from tracklume.operators import tracks as K
 from tracklume.plans.metric_queries import P, V, actions, predictions
 from tracklume.plans.track_queries import DAY, KEYS, TRACKS, VELOCITY, segmented, tracks
@@ -69,10 +70,11 @@ def class_weights(spark, sf_dir):
 
 
 def action_value_quantiles(spark, sf_dir):
-    """Quartiles and counts of the realised values of each action, in one aggregate."""
-    cuts = F.percentile("target", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = actions(spark, sf_dir).groupBy("a").agg(F.count("*").alias("n"), F.round(F.avg("target"), 9).alias("mean"), cuts.alias("q"))
-    return found.select("a", "n", "mean", *(F.round(F.col("q")[i], 9).alias(f"p{p}") for i, p in enumerate((25, 50, 75))))
+    """Exact quartiles, counts and means of the realised values of each action."""
+    rows = actions(spark, sf_dir)
+    cuts = S.quantiles(rows, ["a"], "target", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    means = rows.groupBy("a").agg(F.round(F.avg("target"), 9).alias("mean"))
+    return cuts.join(means, "a").select("a", "n", "mean", *(F.round(c, 9).alias(c) for c in ("p25", "p50", "p75")))
 
 
 def release_audit(spark, sf_dir):
@@ -82,10 +84,10 @@ def release_audit(spark, sf_dir):
 
 
 def curvature(spark, sf_dir):
-    """Signed curvature of every row of a segment, 0 where it hardly moves."""
+    """Absolute curvature of every row of a segment, 0 where it doesn't move; by its order of magnitude, as rows that hardly move have any."""
     moved = K.kinematics(segmented(spark, sf_dir), KEYS)
-    bent = (F.col("vx") * F.col("ay") - F.col("vy") * F.col("ax")) / F.col("speed") ** 3
-    return moved.select("event_id", F.round(F.when(F.col("speed") > 1e-4, bent).otherwise(0.0), 3).alias("curvature"))
+    bent = F.abs(F.col("vx") * F.col("ay") - F.col("vy") * F.col("ax")) / F.col("speed") ** 3
+    return moved.select("event_id", F.round(F.log1p(F.when(F.col("speed") > 1e-6, bent).otherwise(0.0)), 6).alias("log_curvature"))
 
 
 def pose_interpolation(spark, sf_dir):
@@ -125,7 +127,7 @@ select lang, n, round(brier, 9) as brier, round(bce, 9) as bce, round(accuracy,
  round(case when count(*) filter (toxic = 1) > 0 then count(*) filter (toxic = 0) / count(*) filter (toxic = 1) else 1.0 end, 9) as weight from documents d full join labels l on d.doc_id = l.doc_id group by lang""",
     "action_value_quantiles": f"with {V} select a, count(*) as n, round(avg(target), 9) as mean, round(quantile_cont(target, 0.25), 9) as p25, round(quantile_cont(target, 0.5), 9) as p50, round(quantile_cont(target, 0.75), 9) as p75 from v group by a",
     "release_audit": f"with {TRACKS} select kind, count(*) as frames, count(distinct object_id) as objects, min(t) as start, max(t) as stop, count(*) filter (x > 95) as extreme from tracks group by kind",
-    "curvature": f"with {VELOCITY} select event_id, round(case when sqrt(vx * vx + vy * vy) > 1e-4 then (vx * ay - vy * ax) / pow(sqrt(vx * vx + vy * vy), 3) else 0.0 end, 3) as curvature from v4",
+    "curvature": f"with {VELOCITY} select event_id, round(ln(1 + case when sqrt(vx * vx + vy * vy) > 1e-6 then abs(vx * ay - vy * ax) / pow(sqrt(vx * vx + vy * vy), 3) else 0.0 end), 6) as log_curvature from v4",
     "pose_interpolation": f"""with r as (select o_orderkey, o_custkey, o_totalprice / 1000 as x, cast(o_orderkey % 100 as double) as y, cast(o_orderkey % 7 - 3.5 as double) as w from orders),
  n as (select *, lead(x) over k as x1, lead(y) over k as y1, lead(w) over k as w1 from r window k as (partition by o_custkey order by o_orderkey)), a as (select *, {_WRAP.format("w")} as v, {_WRAP.format("w1")} as v1 from n where x1 is not null), d as (select *, v + 0.25 * ({_WRAP.format("v1 - v")}) as s from a)
 select o_orderkey, round(x + 0.25 * (x1 - x), 6) as x, round(y + 0.25 * (y1 - y), 6) as y, round({_WRAP.format("s")}, 6) as yaw from d""",

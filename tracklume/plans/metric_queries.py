@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklume.operators import calibration as C
+from tracklume.operators import inversions as N
 from tracklume.operators import ranking as R
 from tracklume.sources.tables import table
 
@@ -86,7 +87,13 @@ def spearman(spark, sf_dir):
 
 
 def kendall_tau_b(spark, sf_dir):
-    return R.kendall_tau_b(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", "s_nationkey")
+    """tau-b of tax and quantity over the line items of each return flag, ties and all."""
+    return N.kendall(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_tax", "l_quantity")
+
+
+def kendall_of_prices(spark, sf_dir):
+    """tau-b of key and price of the orders of each status: all but no ties."""
+    return N.kendall(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", "o_totalprice")
 
 
 def topk_regret(spark, sf_dir):
@@ -169,7 +176,7 @@ def method_compare(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.sum(F.when(F.col("one").isNull() | F.col("two").isNull() | (F.col("label") != F.col("other_label")), 1).otherwise(0)).alias("unmatched"), F.round(F.avg((F.col("one") - F.col("label")) ** 2 - (F.col("two") - F.col("label")) ** 2), 9).alias("brier_gain"))
 
 
-QUERIES = {f.__name__: f for f in (auroc, average_precision, auprc_trapezoid, brier_nll, ece_bins, ece, false_safe_rate, coverage_tightness, clearance_summary, pairwise_ordering, pair_accuracy, spearman, kendall_tau_b, topk_regret, action_selection_counts, useful_f1_huber, loss_aggregates, conformal_global, conformal_grouped, conformal_apply, group_bins, subset_report, method_compare)}
+QUERIES = {f.__name__: f for f in (auroc, average_precision, auprc_trapezoid, brier_nll, ece_bins, ece, false_safe_rate, coverage_tightness, clearance_summary, pairwise_ordering, pair_accuracy, spearman, kendall_tau_b, kendall_of_prices, topk_regret, action_selection_counts, useful_f1_huber, loss_aggregates, conformal_global, conformal_grouped, conformal_apply, group_bins, subset_report, method_compare)}
 
 _CURVE = P + """, s as (select score as s, sum(label) as pos, count(*) as n from p group by score),
  c as (select *, sum(pos) over (order by s desc) as tp, sum(n) over (order by s desc) as seen from s), d as (select *, tp / seen as pr from c)"""
@@ -202,9 +209,13 @@ ORACLE = {
     "pairwise_ordering": _pairs_sql("cost > 0.005") + " select round(acc, 9) as accuracy, pairs, (select cast(sum(c * (c - 1) / 2) as bigint) from s) - pairs as target_ties, (select count(*) from s where c = 1) as singletons, (select count(*) from v where not cost > 0.005) as ineligible from t",
     "pair_accuracy": _pairs_sql("true") + " select coalesce(round(acc, 9), 0.0) as accuracy, pairs from t",
     "spearman": "with r as (select rank() over (order by s_acctbal) + (count(*) over (partition by s_acctbal) - 1) / 2 as x, rank() over (order by s_nationkey) + (count(*) over (partition by s_nationkey) - 1) / 2 as y from supplier) select 'spearman' as metric, round(corr(x, y), 9) as value from r",
-    "kendall_tau_b": """with s as (select sign(a.s_acctbal - b.s_acctbal) as p, sign(a.s_nationkey - b.s_nationkey) as q from supplier a join supplier b on a.s_suppkey < b.s_suppkey),
- c as (select count(*) filter (p * q > 0) as concordant, count(*) filter (p * q < 0) as discordant, count(*) filter (p = 0 and q <> 0) as tied_a, count(*) filter (p <> 0 and q = 0) as tied_b from s)
-select *, round((concordant - discordant) / sqrt((concordant + discordant + tied_a) * (concordant + discordant + tied_b)), 9) as tau_b from c""",
+    "kendall_tau_b": """with c as (select l_returnflag as g, l_tax as a, l_quantity as b, count(*) as n from lineitem group by all),
+ p as (select x.g, sign(x.a - y.a) * sign(x.b - y.b) as s, x.a = y.a as ta, x.b = y.b as tb, x.n * y.n as w from c x join c y on x.g = y.g and (x.a, x.b) < (y.a, y.b)),
+ k as (select g, sum(w) filter (s > 0) as c, sum(w) filter (s < 0) as d, coalesce(sum(w) filter (ta), 0) as ta, coalesce(sum(w) filter (tb), 0) as tb from p group by g)
+select g as l_returnflag, cast(c as bigint) as concordant, cast(d as bigint) as discordant, cast(ta as bigint) as tied_a, cast(tb as bigint) as tied_b, round((c - d) / sqrt((c + d + ta) * (c + d + tb)), 9) as tau_b from k""",
+    "kendall_of_prices": """with o as (select o_orderstatus as g, o_orderkey as a, o_totalprice as b from orders), p as (select x.g, sign(y.b - x.b) as s from o x join o y on x.g = y.g and x.a < y.a),
+ k as (select g, count(*) filter (s > 0) as c, count(*) filter (s < 0) as d, count(*) filter (s = 0) as tb from p group by g)
+select g as o_orderstatus, c as concordant, d as discordant, 0::bigint as tied_a, tb as tied_b, round((c - d) / sqrt((c + d)::double * (c + d + tb)), 9) as tau_b from k""",
     "topk_regret": f"with {_WINNERS} select count(*) as groups, round(avg(regret), 9) as mean_regret, round(avg(top2), 9) as top2_rate from w",
     "action_selection_counts": f"with {_WINNERS}, k as (select distinct a from v) select cast(k.a as int) as a, count(w.g) as n from k left join w on w.selected = k.a group by k.a",
     "useful_f1_huber": f"""with {V}, e as (select pred >= 0.04 as said, target > 0.05 as useful, pred - target as e from v),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracklume.operators import selection as S
 from tracklume.operators import tracks as K
 from tracklume.operators.segments import segments
+from tracklume.sources.shared_tables import SharedTables
 from tracklume.sources.tables import table
 
 DAY, HOUR, TURN = 86400.0, 3600.0, 6.283185307179586
@@ -50,10 +52,11 @@ def track_gradient(spark, sf_dir):
 
 
 def kinematic_quantiles(spark, sf_dir):
-    moved = K.kinematics(segmented(spark, sf_dir), KEYS)
-    cuts = F.percentile("speed", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    found = moved.groupBy("kind").agg(cuts.alias("q"), F.max("accel").alias("top"))
-    return found.select("kind", *(F.round(F.col("q")[i], 9).alias(f"p{n}") for i, n in enumerate(("05", "50", "95"))), F.round("top", 9).alias("max_accel"))
+    """Exact quantiles of speed, and the largest acceleration, of each kind of event."""
+    moved = SharedTables(spark, "kinematics").write(K.kinematics(segmented(spark, sf_dir), KEYS).select("kind", "speed", "accel"), "moved")
+    cuts = S.quantiles(moved, ["kind"], "speed", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    top = moved.groupBy("kind").agg(F.round(F.max("accel"), 9).alias("max_accel"))
+    return cuts.join(top, "kind").select("kind", *(F.round(c, 9).alias(c) for c in ("p05", "p50", "p95")), "max_accel")
 
 
 def yaw_unwrap(spark, sf_dir):
