@@ -1,16 +1,17 @@
 """Alignment of two tokenizers' tokens of the same texts, as relations.
 
 Tokens are rows (``posexplode``); a token begins where the lengths before it,
-summed by a window over its text, end.  Tokens of both sides that begin at one
-byte meet in an equi-join on (text, end of what is before): there a group
-begins, and the running count of such cuts is the group's id.  A link is a pair
-of tokens whose byte ranges overlap.  It begins where the later of the two
-begins, and there it is the last token of either side that has begun: so the
-range join is one window over the joined rows, which makes a row a link, where
+summed by a window over its text and side, end.  Rows of both sides with equal
+(text, end of what is before) meet: there a group begins, and the running count
+of such cuts is the group's id.  A link is a pair of tokens whose byte ranges
+overlap.  It begins where the later of the two begins, and there it is the last
+token of either side that has begun: so the range join is a window over the
+rows of both sides in the order of their bytes, which makes a row a link, where
 a join of a group's tokens would make all their pairs.
 
-The token table is written once, bucketed by text: windows and joins over it
-need no exchange.  A long text is the longest group of any of them.
+Both sides are one table, written once and bucketed by text: the equi-join on
+(text, end) is a merge of its sorted rows, and needs no exchange, as a join of
+two tables on both columns would.  A long text is the longest group of all.
 """
 
 from __future__ import annotations
@@ -64,26 +65,25 @@ def tokens_of(docs: DataFrame, encoders: Callable[[], tuple[Encoder, Encoder]])
     return docs.mapInArrow(run, TOKENS)
 
 
-def _side(tokens: DataFrame, side: str) -> DataFrame:
-    """(row, begin) and the id and place of every token of a side."""
-    rows = tokens.select("row", F.posexplode(side).alias("at", "token"))
-    before = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.col("token").bitwiseAND((1 << _LENGTH_BITS) - 1)
-    begin = F.coalesce(F.sum(size).over(before), F.lit(0))
-    return rows.select("row", begin.alias("begin"), F.shiftright("token", _LENGTH_BITS).cast("int").alias(f"{side}_id"), F.col("at").alias(f"{side}_at"))
-
-
-def cuts(tokens: DataFrame) -> DataFrame:
-    """(row, begin, a_at, b_at): where tokens of both sides begin, and so a group."""
-    return _side(tokens, "a").join(_side(tokens, "b"), ["row", "begin"])
+def token_rows(tokens: DataFrame) -> DataFrame:
+    """A row a token: row, side (0 or 1), at (its place), id, and begin, the bytes before it."""
+    rows = tokens.select("row", F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("place", "token"))
+    sided = rows.select("row", (F.col("place") >= F.col("n_a")).cast("int").alias("side"), "place", "n_a", "token")
+    before = Window.partitionBy("row", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.col("token").bitwiseAND((1 << _LENGTH_BITS) - 1)).over(before), F.lit(0))
+    at = F.when(F.col("side") == 1, F.col("place") - F.col("n_a")).otherwise(F.col("place"))
+    return sided.select("row", "side", at.alias("at"), F.shiftright("token", _LENGTH_BITS).cast("int").alias("id"), begin.alias("begin"))
 
 
 def links(tokens: DataFrame) -> DataFrame:
-    """A row for each pair of tokens with overlapping bytes: row, begin, a_id, b_id, group (from 1)."""
-    met = _side(tokens, "a").join(_side(tokens, "b"), ["row", "begin"], "full_outer")
-    upto = Window.partitionBy("row").orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (F.col("a_at").isNotNull() & F.col("b_at").isNotNull()).cast("int")
-    return met.select("row", "begin", F.last("a_id", True).over(upto).alias("a_id"), F.last("b_id", True).over(upto).alias("b_id"), F.sum(cut).over(upto).alias("group"))
+    """A row for each pair of tokens with overlapping bytes: row, begin, a_id, b_id, a_at, b_at, group (from 1), and cut: whether a group begins with it."""
+    order = Window.partitionBy("row").orderBy("begin", "side")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda side, column: F.last(F.when(F.col("side") == side, F.col(column)), True).over(upto)
+    cut = F.lag("begin").over(order).eqNullSafe(F.col("begin"))
+    rows = token_rows(tokens).withColumns({"cut": cut, "more": F.lead("begin").over(order).eqNullSafe(F.col("begin"))})
+    found = rows.select("row", "begin", "cut", "more", *(last(i, c).alias(f"{s}_{c}") for i, s in enumerate("ab") for c in ("id", "at")), F.sum(F.col("cut").cast("int")).over(upto).alias("group"))
+    return found.where("not more").drop("more")
 
 
 def written_groups(a: Column, b: Column, found: Column) -> Column:
@@ -106,10 +106,10 @@ def _ids(side: str) -> Column:
     return F.transform(side, lambda x: F.shiftright(x, _LENGTH_BITS)).cast("array<string>")
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
-    """(a_id, b_id): ``holders``, how many rows hold a link of these ids, and ``best``, whether none of a_id's has more."""
-    held = found.select("row", "a_id", "b_id").distinct().groupBy("a_id", "b_id").agg(F.count("*").alias("holders"))
-    return held.withColumn("best", F.col("holders") == F.max("holders").over(Window.partitionBy("a_id")))
+def pair_counts(held: DataFrame) -> DataFrame:
+    """(a_id, b_id): ``holders``, how many rows hold a link of these ids, and ``best``, whether none of a_id's has more; ``held`` has a row for each such pair of a row."""
+    counts = held.groupBy("a_id", "b_id").agg(F.count("*").alias("holders"))
+    return counts.withColumn("best", F.col("holders") == F.max("holders").over(Window.partitionBy("a_id")))
 
 
 class Alignment:
@@ -135,14 +135,14 @@ class Alignment:
     def groups(self) -> DataFrame:
         """row, n_groups and ``groups``, the text of its groups; texts without tokens are not there."""
         packed = F.shiftleft(F.col("a_at").cast("long"), 32).bitwiseOR(F.col("b_at").cast("long"))
-        found = cuts(self.tokens).groupBy("row").agg(F.array_sort(F.collect_list(packed)).alias("found"))
+        found = self.links().where("cut").groupBy("row").agg(F.array_sort(F.collect_list(packed)).alias("found"))
         ids = self.tokens.select("row", _ids("a").alias("a"), _ids("b").alias("b"))
         return ids.join(found, "row").select("row", F.size("found").cast("long").alias("n_groups"), written_groups(F.col("a"), F.col("b"), F.col("found")).alias("groups"))
 
     def counted(self) -> DataFrame:
         """row, n_links, n_best (links of the most held pair of their a_id) and count_sum (over links, how many rows hold their pair)."""
-        counts = self.scratch.write(pair_counts(self.links()), "counts")
-        held = self.links().groupBy("row", "a_id", "b_id").agg(F.count("*").alias("n"))
+        held = self.scratch.write(self.links().groupBy("row", "a_id", "b_id").agg(F.count("*").alias("n")), "held")
+        counts = self.scratch.write(pair_counts(held), "counts")
         n = F.col("n")
         sums = F.sum(n).alias("n_links"), F.sum(F.when(F.col("best"), n).otherwise(0)).alias("n_best"), F.sum(n * F.col("holders")).alias("count_sum")
         return held.join(counts, ["a_id", "b_id"]).groupBy("row").agg(*sums)
