@@ -1,5 +1,7 @@
 """Motion CSVs, assignments and publication in a temporary folder."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from tracklume.sources import assignments, motion_csv, publish
@@ -46,7 +48,41 @@ def test_publish(spark, tmp_path):
     with pytest.raises(publish.AlreadyPublished):
         publish.publish(rows, path, ["part"], ["id"])
     assert publish.verify(spark, path, ["part"], ["id"]).count() == 0
-    shards = str(tmp_path / "shards")
-    assert publish.publish_shards(rows, shards, "part", 2, 0) == [0, 2]
-    assert publish.publish_shards(rows, shards, "part") == [1]
+    spark.range(1).write.mode("append").parquet(f"{publish.published(spark, path)}/data/part=1")
+    assert [r.part for r in publish.verify(spark, path, ["part"], ["id"]).collect()] == [1, 1]
+
+
+def test_writers_race(spark, tmp_path):
+    """Of writers that start together one publishes, the others are told, and no folder of theirs stays."""
+    rows, path = spark.range(20).selectExpr("id", "id % 3 as part"), str(tmp_path / "out")
+
+    def one(_):
+        try:
+            return publish.publish(rows, path, ["part"], ["id"]).count()
+        except publish.AlreadyPublished:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(one, range(4)))
+    assert sorted(x is None for x in found) == [False, True, True, True] and 3 in found
+    assert len([x for x in (tmp_path / "out").iterdir() if x.name.startswith("run-")]) == 1
+
+
+def test_publish_shards(spark, tmp_path):
+    rows, shards = spark.range(20).selectExpr("id", "id % 5 as part"), str(tmp_path / "shards")
+    assert publish.publish_shards(rows, shards, "part", 2, 0) == [0, 2, 4]
+    assert publish.publish_shards(rows, shards, "part") == [1, 3]
     assert publish.publish_shards(rows, shards, "part") == []
+    found = publish.read_shards(spark, shards, "part")
+    assert sorted((r.id, r.part) for r in found.collect()) == [(i, i % 5) for i in range(20)]
+    # A run that broke off before its commits leaves nothing behind that a reader sees.
+    rows.where("part = 1").write.partitionBy("part").parquet(f"{shards}/run-broken")
+    assert publish.read_shards(spark, shards, "part").count() == 20
+
+
+def test_canonical_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(2, None, 0.5), (1, "x", None)], "b int, a string, c double")
+    folder = publish.publish_lines(rows, str(tmp_path / "lines"), ["b"])
+    assert [r.value for r in spark.read.text(folder).orderBy("value").collect()] == ['{"a":"x","b":1,"c":null}', '{"a":null,"b":2,"c":0.5}']
+    with pytest.raises(Exception, match="no JSON for the row"):
+        publish.canonical_lines(spark.createDataFrame([(1, float("nan"))], "b int, c double"), ["b"]).collect()

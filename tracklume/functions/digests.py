@@ -1,31 +1,71 @@
-"""Digests and ids that any engine can compute: SHA-256 over canonical text."""
+"""Digests and ids: BLAKE2b of parts in Arrow batches, and digests of whole tables by a tree of SHA-256."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a leaf, about, and hex digits by which a node's children differ: 256 children at most.
+LEAF_ROWS, DIGITS = 1024, 2
+
+
+def joined(*parts: Column) -> Column:
+    """The parts as text, joined by ``|``; nulls are empty, so that a place is never lost."""
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+
+
+def blake2b(text: Column, size: int = 16) -> Column:
+    """2 * size hex digits of BLAKE2b over UTF-8; null for null."""
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else hashlib.blake2b(v.encode(), digest_size=size).hexdigest() for v in values.to_pylist()], pa.string())
+
+    return run(text)
+
 
 def stable_digest(*parts: Column, size: int = 16) -> Column:
-    """The first 2 * size hex digits of SHA-256 over the parts joined by ``|``; nulls are empty."""
-    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, 2 * size)
+    return blake2b(joined(*parts), size)
+
 
+def derive_seed(base: int, *parts: Column) -> Column:
+    """An unsigned 32-bit number of a base seed and the parts: the last four of eight bytes of BLAKE2b."""
+    return F.conv(F.substring(blake2b(joined(F.lit(f"seed={base}"), *parts), 8), 9, 8), 16, 10).cast("long")
 
-def derive_seed(*parts: Column) -> Column:
-    """An unsigned 32-bit number of the parts."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 8), 16, 10).cast("long")
+
+def sample_id(split: Column, *parts: Column) -> Column:
+    """``split``, a dash, and 24 digits that stand for it and the parts."""
+    return F.concat_ws("-", split, stable_digest(split, *parts, size=12))
 
 
 def row_text(columns: list[Column]) -> Column:
     return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("~")) for c in columns))
 
 
-def table_digest(rows: DataFrame, columns: list[Column], buckets: int = 256) -> DataFrame:
-    """One digest of a table whatever its order: row digests are sorted within buckets of their first two digits, and bucket digests joined in order.
+def leaf_digits(rows: int) -> int:
+    """Hex digits that part so many rows into leaves of about LEAF_ROWS."""
+    return DIGITS * max(1, math.ceil(math.log(max(1, rows / LEAF_ROWS), 16**DIGITS)))
+
+
+def table_digest(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """``digest`` and ``n`` of a table, whatever its order and partitions: a tree over the SHA-256 digests of its rows.
 
-    A bucket's list is bounded by rows / buckets; raise ``buckets`` (a power of 16) with the table.
+    Equal rows are one entry, ``digest:count``, so that frequent ones don't
+    gather.  A leaf is the SHA-256 of the sorted entries of one prefix; a node
+    is that of its children's digests in order; each level is an aggregate
+    over groups of bounded size: about LEAF_ROWS entries, or 256 children.
+    An empty table has the digest of the empty string.
     """
-    digits = len(f"{buckets - 1:x}")
-    hashed = rows.select(F.sha2(row_text(columns), 256).alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ","), 256).alias("digest"), F.sum("n").alias("n"))
+    hashed = rows.select(F.sha2(row_text(columns), 256).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    digits = leaf_digits(rows.count())
+    entry = F.concat_ws(":", "h", F.col("c").cast("string"))
+    level = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256).alias("d"), F.sum("c").alias("n"))
+    for left in range(digits - DIGITS, -1, -DIGITS):
+        children = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+        node = F.sha2(F.array_join(children, ","), 256).alias("d"), F.sum("n").alias("n")
+        level = level.groupBy(F.substring("b", 1, left).alias("b")).agg(*node) if left else level.agg(*node)
+    return level.select(F.col("d").alias("digest"), F.coalesce("n", F.lit(0)).alias("n"))

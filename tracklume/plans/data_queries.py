@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.functions.digests import derive_seed, stable_digest, table_digest as digest_of
+from tracklume.functions import digests as D
 from tracklume.operators import posterior as O
+from tracklume.operators import nested as J
 from tracklume.operators import quality as Q
 from tracklume.operators import splits as S
 from tracklume.plans.decision_queries import runs
@@ -102,20 +103,36 @@ def parse_nulls(spark, sf_dir):
 
 def table_digest(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return digest_of(orders, [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")])
+    return D.table_digest(orders, [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")])
 
 
 def sample_ids_digest(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", stable_digest(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")).alias("sample_id"), derive_seed(F.lit("9"), F.col("o_orderkey")).alias("seed"))
+    """Ids of orders as samples of a split, by BLAKE2b, and the seeds derived from them."""
+    key, split = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 10 == 0, "val").otherwise("train")
+    digest = D.stable_digest(key, F.col("o_custkey"), F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", digest.alias("digest"), D.sample_id(split, key).alias("sample_id"), D.derive_seed(9, key).alias("seed"))
 
 
 def json_flatten(spark, sf_dir):
     """Every number of the events' JSON properties as (path, value) rows, summed up by path."""
-    found = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("path", "value"))
+    found = J.flattened(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), ["event_type"], "props")
     return found.groupBy("event_type", "path").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+def _reports(spark, sf_dir):
+    """Of each customer a nested report of its orders, as JSON: numbers at three depths, flags, text, arrays and nulls."""
+    o = table(spark, sf_dir, "orders")
+    by = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.max("o_totalprice"), 2).alias("top"), F.sort_array(F.collect_list("o_orderkey")).alias("keys"), F.max("o_orderstatus").alias("status"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    price = F.struct(F.col("top").alias("max"), F.struct(F.floor(F.col("top") / 100).alias("hundreds"), F.lit(None).cast("string").alias("note")).alias("rounded"))
+    ends = F.array(F.struct(F.element_at("keys", 1).alias("key")), F.struct(F.element_at("keys", -1).alias("key")))
+    return by.select("o_custkey", F.to_json(F.struct("n", "urgent", "status", price.alias("price"), ends.alias("ends"), F.slice("keys", 1, 3).alias("first.three")), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def json_metrics(spark, sf_dir):
+    """The dotted numeric paths of every customer's nested report."""
+    return J.flattened(_reports(spark, sf_dir), ["o_custkey"], "report").select("o_custkey", "path", F.round("value", 6).alias("value"))
+
+
 def _vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     return rows.select("vec_id", "label", F.posexplode("v").alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
@@ -144,7 +161,7 @@ def key_set_audit(spark, sf_dir):
     return have.join(want, "experiment", "left_anti").select("experiment", F.lit("extra").alias("state")).union(want.join(have, "experiment", "left_anti").select("experiment", F.lit("missing"))).union(want.join(have, "experiment", "left_semi").select("experiment", F.lit("both")))
 
 
-QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, leakage_audit, isolation_overlap, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, signature_zscore, soft_posterior, exact_posterior, key_set_audit)}
+QUERIES = {f.__name__: f for f in (split_hash_quota, split_stats, group_quotas, split_components, leakage_audit, isolation_overlap, sample_topk_hash, epoch_batches, partition_plan, prefix_release, reject_reasons, reason_histogram, gate_first_reason, contract_violations, taxonomy_case, parse_nulls, table_digest, sample_ids_digest, json_flatten, json_metrics, signature_zscore, soft_posterior, exact_posterior, key_set_audit)}
 
 _QUOTAS = """n as (select count(*) as n from {groups}), q as (select i, split, n * r as exact from n, (values (0, 'train', 0.7), (1, 'calibration', 0.1), (2, 'val', 0.1), (3, 'test', 0.1)) t(i, split, r)),
  f as (select *, cast(floor(round(exact, 9)) as bigint) as fl, round(exact - floor(round(exact, 9)), 9) as rest from q), k as (select *, row_number() over (order by rest desc, i) as rk, (select n from n) - sum(fl) over () as spare from f),
@@ -177,10 +194,14 @@ select doc_id, rank, cast(floor(((i - a + 1) * ceil(ceil(n / 3) / 50) - 1) / (b
  union all select o_orderkey, 'urgent_is_dear' from orders where not (o_orderpriority <> '1-URGENT' or o_totalprice > 50000)""",
     "taxonomy_case": r"with t as (select lower(p_type) as a, 'lo' || p_size as b from part) select case when regexp_matches(a, '^helmet_|visitor') then 'human' when regexp_matches(a, '^lo(\d+|\b)|cart|\bbin|box|bucket|carried') then 'carried_object' else 'unknown_dynamic' end as kind, 'carried_object' as load, count(*) as n from t group by all",
     "parse_nulls": "select c_custkey, case when c_custkey % 7 > 2 then c_acctbal end as value from customer",
-    "table_digest": """with r as (select sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) as h from orders), b as (select left(h, 2) as b, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from r group by 1)
+    "table_digest": """with r as (select sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) as h from orders), e as (select h, count(*) as c from r group by h),
+ b as (select left(h, 2) as b, sha256(string_agg(h || ':' || c, ',' order by h || ':' || c)) as d, sum(c) as n from e group by 1)
 select sha256(string_agg(d, ',' order by b)) as digest, cast(sum(n) as bigint) as n from b""",
-    "sample_ids_digest": "select o_orderkey, left(sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 32) as sample_id, ('0x' || left(sha256('9|' || o_orderkey), 8))::bigint as seed from orders",
     "json_flatten": "with e as (select event_type, unnest(json_keys(props)) as path, props from events) select event_type, path, count(*) as n, round(sum(cast(json_extract(props, '$.' || path) as double)), 6) as total from e group by all",
+    "json_metrics": """with o as (select o_custkey, count(*) as n, round(max(o_totalprice), 2) as top, list_sort(list(o_orderkey)) as keys from orders group by 1),
+ m as (select o_custkey, unnest([{'p': 'n', 'v': n::double}, {'p': 'price.max', 'v': top}, {'p': 'price.rounded.hundreds', 'v': floor(top / 100)}, {'p': 'ends.0.key', 'v': keys[1]::double}, {'p': 'ends.1.key', 'v': keys[-1]::double},
+  {'p': 'first\\.three.0', 'v': keys[1]::double}, {'p': 'first\\.three.1', 'v': keys[2]::double}, {'p': 'first\\.three.2', 'v': keys[3]::double}]) as r from o)
+select o_custkey, r.p as path, round(r.v, 6) as value from m where r.v is not null""",
     "signature_zscore": f"with {_Z} select vec_id, cast(feature as int) as feature, round(z, 6) as z from z",
     "soft_posterior": f"with {_Z}, y as (select *, vec_id // 16 as bank from z), s as (select a.bank, a.vec_id as i, b.vec_id as j, -sum((a.z - b.z) * (a.z - b.z)) / 50.0 as s from y a join y b on a.bank = b.bank and a.feature = b.feature group by all), w as (select *, exp(s - max(s) over (partition by bank, i)) as w from s) select bank, i, j, round(w / sum(w) over (partition by bank, i), 9) as p from w",
     "exact_posterior": "with d as (select vec_id, label, sha256(array_to_string(list_transform(embedding, lambda x: cast(floor(cast(x as double)) as int)), ',')) as digest from embeddings) select label, vec_id as i, count(*) over (partition by label, digest) as n, round(1.0 / count(*) over (partition by label, digest), 9) as p from d",

@@ -1,4 +1,4 @@
-"""Streaming twins of the track operators: gap segments with state, windowed counts, and exactly-once publication."""
+"""Streaming twins of the track operators: gap segments with event-time state, windowed counts, and exactly-once publication."""
 
 from __future__ import annotations
 
@@ -7,52 +7,99 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tracklume.sources.shared_tables import SharedTables
 
 _OUT = "object_id long, event_id long, t double, segment_id long"
-
-
-def stream_segments(track: DataFrame, max_gap: float, eps: float = 1e-9) -> DataFrame:
-    """object_id, event_id, t, segment_id of a stream of (object_id, event_id, t): a new segment after each gap.
-
-    State is an object's last time and segment.  Rows of a trigger are put in
-    order by time; one that is older than the state joins the open segment.
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside this one, of the same application, whose streams may keep named state and timers: these need RocksDB."""
+    beside = spark.newSession()
+    beside.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        beside.conf.set(key, spark.conf.get(key))
+    return beside
+
+
+class _Segmenter(StatefulProcessor):
+    """Rows wait until the watermark has passed them; then they are in order, whenever they came."""
+
+    def __init__(self, max_gap: float):
+        self.max_gap = max_gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, t double, ms long")
+        self.open = handle.getValueState("open", "t double, segment long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            ms = frame["ms"].astype("int64")
+            self.waiting.appendList(list(zip(frame["event_id"].astype(int).tolist(), frame["t"].astype(float).tolist(), ms.tolist(), strict=True)))
+            # One timer a trigger: at its last row all that it brought can go; earlier timers let earlier rows go.
+            self.handle.registerTimer(int(ms.max()))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["event_id", "t", "ms"])
+        ready = rows[rows["ms"] <= mark].sort_values(["t", "event_id"])
+        if len(ready):
+            last, segment = self.open.get() if self.open.exists() else (float("-inf"), 0)
+            steps = ready["t"].diff()
+            steps.iloc[0] = ready["t"].iloc[0] - last if last > float("-inf") else 0.0
+            found = segment + (steps > self.max_gap).cumsum().to_numpy()
+            self.open.update((float(ready["t"].iloc[-1]), int(found[-1])))
+            later = rows[rows["ms"] > mark]
+            self.waiting.clear()
+            if len(later):
+                self.waiting.appendList(list(later.itertuples(index=False, name=None)))
+            yield pd.DataFrame({"object_id": [key[0]] * len(ready), "event_id": ready["event_id"].to_numpy(), "t": ready["t"].to_numpy(), "segment_id": found})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_segments(track: DataFrame, max_gap: float, late: str, eps: float = 1e-9) -> DataFrame:
+    """object_id, event_id, t, segment_id of a stream of (ts, object_id, event_id, t): a new segment after each gap, as over the whole table at once.
+
+    ``ts`` is the row's time for the watermark, ``t`` the same in seconds.  A
+    row comes out when the watermark, ``late`` behind the latest row, has
+    passed it; so rows may come in any order within ``late``, and later ones
+    are dropped by Spark.  State is what waits, and an object's last time and
+    segment.  Null objects and times are left out.
     """
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        last, segment = state.get if state.exists else (None, 0)
-        found = []
-        for t in rows["t"]:
-            if last is not None and t - last > max_gap + eps:
-                segment += 1
-            last = t if last is None else max(last, t)
-            found.append(segment)
-        state.update((float(last), int(segment)))
-        yield pd.DataFrame({"object_id": [key[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "t": rows["t"].to_numpy(), "segment_id": found})
-
-    return track.groupBy("object_id").applyInPandasWithState(advance, _OUT, "last double, segment long", "append", GroupStateTimeout.NoTimeout)
+    marked = track.where("object_id is not null and ts is not null").withWatermark("ts", late).withColumn("ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
+    processor = _Segmenter(max_gap + eps)
+    return marked.groupBy("object_id").transformWithStateInPandas(processor, _OUT, "append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Counts and sums of (ts, event_type, value) by window and type; rows later than ``late`` are left out."""
+    """Counts and sums of (ts, event_type, value) by window and type, when the watermark has passed the window; rows later than ``late`` are left out."""
     marked = events.withWatermark("ts", late)
     return marked.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", root: str | None = None, once: bool = True, back: SparkSession | None = None) -> DataFrame:
     """Runs a stream over all that is there now, into Parquet in the shared folder; returns the table.
 
-    The checkpoint stands beside the data, so a second call on the same folder
-    would go on where this one ended.
+    The checkpoint stands beside the data: a second call with the same ``root``
+    goes on where the first one ended.  Where not ``once``, the source deals
+    its rows out by itself, trigger by trigger.  ``back`` is the session that
+    reads the table, if not the stream's own.
     """
     spark: SparkSession = stream.sparkSession
-    tables = SharedTables(spark, f"stream-{name}")
-    query = stream.writeStream.format("parquet").option("path", f"{tables.root}/data").option("checkpointLocation", f"{tables.root}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{tables.root}/data")
+    place = root or SharedTables(spark, f"stream-{name}").root
+    writer = stream.writeStream.format("parquet").option("path", f"{place}/data").option("checkpointLocation", f"{place}/checkpoint").outputMode(mode)
+    query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="0 seconds")).start()
+    try:
+        query.awaitTermination() if once else query.processAllAvailable()
+    finally:
+        query.stop()
+    return (back or spark).read.schema(stream.schema).parquet(f"{place}/data")
 
 
 def publish_batches(stream: DataFrame, path: str, checkpoint: str):
