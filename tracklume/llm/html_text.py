@@ -29,7 +29,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-NOT_TEXT = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object menu dialog title input canvas audio video map annotation annotation-xml".split())
+NOT_TEXT = frozenset("head script style noscript template nav footer aside button select textarea iframe svg object menu dialog title input canvas audio video map annotation annotation-xml".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 NOT_NAMES = frozenset("ad ads adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner sidebar rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall share sharing social related recommended recommendations pagination pager widget widgets skip copyright login tags".split())
 COMMENT_NAMES = frozenset("comment comments respond replies disqus commentlist".split())
@@ -41,7 +41,9 @@ MAX_DEPTH = 512
 #: Largest share of a page's text that a box of a boilerplate name is taken out with: where the name is all that is said, and where it is a part of a longer one.
 NAMED_SHARE, PARTLY_NAMED_SHARE = 1 / 2, 1 / 4
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>\"']*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: a name and, if there is one, its value; what stands inside a value is no name.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TOLD_BY = frozenset("class id role hidden aria-hidden style".split())
 _WORD = re.compile(r"[a-z]+")
 _BETWEEN = re.compile(r"[-_0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
@@ -76,14 +78,16 @@ def _names(value: str) -> set[str]:
 
 
 def _named_out(tag: str, attributes: str, inside_article: bool) -> int:
-    """5: surely no article text; 4: no article text, as comments; 3: comments if it is built like them; 2: no article text, unless an article lies below or, where no other text is marked as one, too much of the page's; 1: as 2, by a part of a name; 0: may be."""
+    """5: surely no article text; 4: no article text, as comments; 3: comments if it is built like them; 2: no article text, unless an article lies below or, where no other text is marked as one, too much of the page's; 1: as 2, by a part of a name; -1: an anchor inside an article, out only if it is links for the most part; 0: may be."""
     if tag in NOT_TEXT or tag == "header" and not inside_article:
         return 5
+    found = 2 if tag == "form" else 0
     if not attributes or tag in ("html", "body", "main"):
-        return 0
-    found = 0
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
+        if name not in _TOLD_BY:
+            continue
         low = value.lower()
         if name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and "display:none" in low.replace(" ", ""):
             return 5
@@ -96,7 +100,10 @@ def _named_out(tag: str, attributes: str, inside_article: bool) -> int:
             elif "discussion" in said:
                 found = max(found, 3)
             elif tag != "article" and (said & NOT_NAMES or said & HEADER_NAMES and not inside_article):
-                found = max(found, 2 if set(low.split()) & (NOT_NAMES | HEADER_NAMES) else 1)
+                if name == "id" and inside_article and not found:
+                    found = -1
+                elif name != "id" or not inside_article:
+                    found = max(found, 2 if set(low.split()) & (NOT_NAMES | HEADER_NAMES) else 1)
     return found
 
 
@@ -160,7 +167,7 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         nodes.append(node)
         level = _named_out(tag, attributes, articles > 0)
         node.out = stack[-1].out or level >= 4
-        if level in (1, 2, 3) and not node.out:
+        if level in (-1, 1, 2, 3) and not node.out:
             soft.append((node, level, articles > 0))
         if level == 4 or tag == "textarea":
             up = node
@@ -170,6 +177,8 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I | re.A).search(page, at)
             close = page.find(">", end.start()) if end else -1
+            if tag == "xmp":  # shown as it stands, markup and all
+                pieces.append((node, html.escape(page[at : end.start() if end else len(page)], quote=False)))
             at = len(page) if close < 0 else close + 1
         elif tag not in VOID and not attributes.endswith("/"):
             if len(stack) <= MAX_DEPTH:
@@ -185,14 +194,19 @@ def parse(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
                 up = up.parent
     sizes = [0 if node.out else len(_SPACES.sub(" ", html.unescape(text)).strip()) for node, text in pieces]
     if soft:
-        below = {id(node): 0 for node in nodes}
+        below, linked = ({id(node): 0 for node in nodes} for _ in range(2))
         for (node, _), n in zip(pieces, sizes, strict=True):
             below[id(node)] += n
+            linked[id(node)] += n if node.link else 0
         for node in reversed(nodes[1:]):
             below[id(node.parent)] += below[id(node)]
+            linked[id(node.parent)] += linked[id(node)]
         told = any(below[id(x)] for x in nodes if x.tag in ("article", "main"))  # the page says which text is its article
         for node, level, inside in soft:
             share = NAMED_SHARE if level == 2 else PARTLY_NAMED_SHARE
+            if level == -1:
+                node.out = not node.article and 2 * linked[id(node)] > below[id(node)]
+                continue
             node.out = node.talk if level == 3 else not node.article and (told and not inside or below[id(node)] <= share * below[id(root)])
     for node in nodes[1:]:  # parents come before their children
         node.out = node.out or node.parent.out
