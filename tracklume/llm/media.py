@@ -24,6 +24,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if kind in (2, 3, 5, 6):
         top = re.compile(_SPACE + rb"+(\d+)").match(data, at)
         depth, at = int(top[1]), top.end()
+        if not 0 < depth < 1 << 16:
+            raise ValueError(f"samples up to {depth}")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     count = int(np.prod(shape))
     if kind == 1:
@@ -31,13 +33,19 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return (1 - bits).reshape(shape)
     if kind in (2, 3):
         numbers = re.sub(rb"#[^\n]*", b"", data[at:]).split()[:count]
-        return np.array(numbers, np.uint8 if depth < 256 else np.uint16).reshape(shape)
+        return _within(np.array(numbers, np.uint32), depth).astype(np.uint8 if depth < 256 else np.uint16).reshape(shape)
     at += 1  # one white space ends the header
     if kind == 4:
         rows = np.frombuffer(data, np.uint8, (width + 7) // 8 * height, at).reshape(height, -1)
         return 1 - np.unpackbits(rows, axis=1)[:, :width]
     unit = np.dtype(np.uint8 if depth < 256 else ">u2")
-    return np.frombuffer(data, unit, count, at).astype(unit.newbyteorder("=")).reshape(shape)
+    return _within(np.frombuffer(data, unit, count, at), depth).astype(unit.newbyteorder("=")).reshape(shape)
+
+
+def _within(samples: np.ndarray, top: int) -> np.ndarray:
+    if len(samples) and int(samples.max()) > top:
+        raise ValueError(f"a sample above {top}")
+    return samples
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -192,7 +200,7 @@ def text_tiles(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def image_tiles(images: DataFrame, image: str, height: int, width: int) -> DataFrame:
-    """``images`` with the decoded image, area-resized to height x width, as an NPY tile and its difference hash; null where it can't be decoded.
+    """``images`` with the decoded image, area-resized to height x width, as an NPY tile and its difference hash; null where it can't be decoded: damaged, cut short, without pixels, or with samples above its white.
 
     Tiles have 8 bits a sample, or 16 where the image has; white is the largest number of either.
     """
@@ -205,7 +213,9 @@ def image_tiles(images: DataFrame, image: str, height: int, width: int) -> DataF
             for value in batch.column(place).to_pylist():
                 try:
                     pixels = shades(value or b"")
-                except (ValueError, TypeError, IndexError):
+                    if not pixels.size:
+                        raise ValueError("an image without pixels")
+                except (ValueError, TypeError, IndexError, OverflowError):
                     tiles.append(None)
                     features.append(None)
                     continue
