@@ -64,6 +64,12 @@ def swept_risk(forecast: DataFrame, keys: list[str], p: str) -> DataFrame:
     return forecast.groupBy(*keys).agg(F.when(sure == 1, 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.least(F.col(p), F.lit(1 - 1e-15)))))).alias("risk"))
 
 
+def discounted_risk(forecast: DataFrame, keys: list[str], p: str, step: str, dt: float, sigma: float) -> DataFrame:
+    """The mean of ``p`` over the cells and steps of each key, weighted by exp(-(step + 1) dt / sigma); keys without cells have no row."""
+    weight = F.exp(-(F.col(step) + 1) * dt / sigma)
+    return forecast.groupBy(*keys).agg((F.sum(weight * F.col(p)) / F.sum(weight)).alias("risk"))
+
+
 def binary_entropy(p: Column) -> Column:
     inner = -(p * F.log(p) + (1 - p) * F.log(1 - p))
     return F.when((p <= 0) | (p >= 1), 0.0).otherwise(inner)

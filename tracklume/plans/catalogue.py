@@ -6,9 +6,9 @@ Each module under ``tracklume.plans`` that declares queries has a dict
 
 from __future__ import annotations
 
-from tracklume.plans import base_state_queries, cohort_queries, contact_queries, data_queries, decision_queries, geometry_queries, metric_queries, publication_queries, scenario_queries, sealed_queries, stream_queries, track_queries
+from tracklume.plans import base_state_queries, cohort_queries, contact_queries, contract_queries, data_queries, decision_queries, geometry_queries, metric_queries, publication_queries, scenario_queries, sealed_queries, stream_queries, track_queries
 
-MODULES = (track_queries, base_state_queries, metric_queries, decision_queries, geometry_queries, contact_queries, data_queries, cohort_queries, scenario_queries, sealed_queries, publication_queries, stream_queries)
+MODULES = (track_queries, base_state_queries, metric_queries, decision_queries, geometry_queries, contact_queries, contract_queries, data_queries, cohort_queries, scenario_queries, sealed_queries, publication_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -113,7 +113,9 @@ _REPORT = _LOSS + """, e as (select *, unnest([0.2::double, 0.3::double, 0.5::do
  ac as (select reject_cost, a, count(*) filter (value > 0) as p, count(*) as n from c group by all),
  am as (select reject_cost, cast(sum(n) as bigint) as n, cast(sum(p) as bigint) as positives, count(*) filter (p > 0 and p < n) as mixed_actions from ac group by reject_cost),
  gs as (select reject_cost, count(distinct g) as groups, coalesce(bool_and(before - (after - cost) > cost) filter (value > 0), false) as reduces from c group by reject_cost),
- r as (select am.reject_cost, n, groups, positives, round(positives / n, 9) as share, mixed_actions, groups >= 2 and positives > 0 and positives < n and positives / n between 0.1 and 0.7 and mixed_actions >= 2 and reduces as passes from am join gs on am.reject_cost = gs.reject_cost)"""
+ qs as (select reject_cost as k, round(quantile_cont(value, 0.0), 9) as q0, round(quantile_cont(value, 0.1), 9) as q10, round(quantile_cont(value, 0.25), 9) as q25, round(quantile_cont(value, 0.5), 9) as q50, round(quantile_cont(value, 0.75), 9) as q75,
+  round(quantile_cont(value, 0.9), 9) as q90, round(quantile_cont(value, 1.0), 9) as q100 from c group by reject_cost),
+ r as (select am.reject_cost, n, groups, positives, round(positives / n, 9) as share, mixed_actions, q0, q10, q25, q50, q75, q90, q100, groups >= 2 and positives > 0 and positives < n and positives / n between 0.1 and 0.7 and mixed_actions >= 2 and reduces as passes from am join gs on am.reject_cost = gs.reject_cost join qs on am.reject_cost = qs.k)"""
 _RUNS = """runs as (select r_name as experiment, o_orderpriority as strategy, o_custkey % 3 as seed, avg(o_totalprice) as price, avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end) as finished, cast(count(*) as double) as orders
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all),
  long as (select experiment, strategy, seed, 'price' as metric, price as value from runs union all select experiment, strategy, seed, 'finished', finished from runs union all select experiment, strategy, seed, 'orders', orders from runs)"""

@@ -122,6 +122,12 @@ def swept_risk(spark, sf_dir):
     return B.swept_risk(forecast, ["row"], "p").select("row", F.round("risk", 9).alias("risk"))
 
 
+def discounted_risk(spark, sf_dir):
+    """Of each row of cells the time-discounted mean of what is forecast there."""
+    forecast = B.age_decay(_state(spark, sf_dir), 4, 0.2, 5.0, 2.0)
+    return B.discounted_risk(forecast, ["row"], "p", "k", 0.2, 2.0).select("row", F.round("risk", 9).alias("risk"))
+
+
 def entropy_score(spark, sf_dir):
     state = _state(spark, sf_dir)
     p = (1 - F.col("age")) * F.col("last_seen") + 0.5 * F.col("age")
@@ -139,7 +145,7 @@ def first_arrival(spark, sf_dir):
     return B.first_arrival(path, ["object_id"], "t", "v", 1.5).select("object_id", "row", "col", "first", F.round("margin", 6).alias("margin"))
 
 
-QUERIES = {f.__name__: f for f in (rigid_transform, wrap_angles, circle_clearance, risk_labels, circle_rect_clearance, segment_blocked, grid_cells, cell_histogram, swept_union, unicycle_rollout, last_seen_age, age_decay_forecast, swept_risk, entropy_score, visibility_raycast, first_arrival)}
+QUERIES = {f.__name__: f for f in (rigid_transform, wrap_angles, circle_clearance, risk_labels, circle_rect_clearance, segment_blocked, grid_cells, cell_histogram, swept_union, unicycle_rollout, last_seen_age, age_decay_forecast, swept_risk, discounted_risk, entropy_score, visibility_raycast, first_arrival)}
 
 _LX, _LY = "(x - 1.0) * cos(yaw) + (y + 2.0) * sin(yaw)", "(y + 2.0) * cos(yaw) - (x - 1.0) * sin(yaw)"
 _PAIRS = POINTS + ", pairs as (select a.event_id as a, b.event_id as b, a.x as ax, a.y as ay, b.x as bx, b.y as by_, b.yaw as byaw from points a join points b on a.hour = b.hour and a.kind = 'purchase' and b.kind <> 'purchase')"
@@ -172,6 +178,7 @@ select event_id, cast(k as int) as k, round(x + lx * cos(yaw) - ly * sin(yaw), 6
     "last_seen_age": f"with {_STATE} select row, col, last_seen, round(age, 9) as age from state",
     "age_decay_forecast": f"with {_STATE} select row, col, cast(k as int) as k, round(p, 9) as p from forecast",
     "swept_risk": f"with {_STATE} select row, round(1 - exp(sum(ln(1 - p / 10))), 9) as risk from forecast group by row",
+    "discounted_risk": f"with {_STATE} select row, round(sum(exp(-(k + 1) * 0.2 / 2.0) * p) / sum(exp(-(k + 1) * 0.2 / 2.0)), 9) as risk from forecast group by row",
     "entropy_score": f"with {_STATE}, e as (select row, (1 - age) * last_seen + 0.5 * age as p from state) select row, round(sum(case when p <= 0 or p >= 1 then 0.0 else -(p * ln(p) + (1 - p) * ln(1 - p)) end), 6) as entropy, count(*) as cells from e group by row",
     "first_arrival": f"""with {TRACKS}, p as (select object_id, t, x / 10 - 5 as x, y / 10 - 5 as y from tracks), c as (select *, cast(floor(y / 0.5 + 20) as int) as row, cast(floor(x / 0.5 + 20) as int) as col from p),
  i as (select * from c where row between 0 and 39 and col between 0 and 39), d as (select *, coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)), 0.0) as d from i window w as (partition by object_id order by t)),

@@ -147,13 +147,14 @@ def check_batches(name: str, entry: dict, batches: Iterable[pa.RecordBatch], col
 
 
 class SealedReader(DataSourceReader):
-    """A partition a shard, without the shards whose keys lie outside ``between``."""
+    """A partition a shard, without the shards whose keys lie outside ``between``, or whose numbers outside ``only``."""
 
-    def __init__(self, path: str, schema: StructType, expected: str | None, between: tuple | None):
+    def __init__(self, path: str, schema: StructType, expected: str | None, between: tuple | None, only: tuple | None = None):
         self.path, self.names = path, schema.fieldNames()
         low, high = between or (None, None)
+        first, last = only or (0, float("inf"))
         out = lambda e: e["first"] is not None and ((low is not None and e["last"] < low) or (high is not None and e["first"] > high))
-        self.entries = [e for e in manifest(path, expected)["shards"] if not out(e)]
+        self.entries = [e for e in manifest(path, expected)["shards"] if not out(e) and first <= e["shard"] <= last]
 
     def partitions(self) -> list[_Shard]:
         return [_Shard(e) for e in self.entries]
@@ -243,7 +244,7 @@ class SealedWriter(DataSourceArrowWriter):
 
 
 class SealedSource(DataSource):
-    """``spark.read.format("sealed")``; options path, columns (comma-separated; all if left out), digest (of the manifest) and between (a JSON list: the least and the greatest key, or null)."""
+    """``spark.read.format("sealed")``; options path, columns (comma-separated; all if left out), digest (of the manifest), between (a JSON list: the least and the greatest key, or null) and shards (a JSON list: the first and the last)."""
 
     @classmethod
     def name(cls) -> str:
@@ -255,7 +256,7 @@ class SealedSource(DataSource):
         return StructType([whole[x] for x in wanted.split(",")]) if wanted else whole
 
     def reader(self, schema: StructType) -> SealedReader:
-        return SealedReader(self.options["path"], schema, self.options.get("digest"), json.loads(self.options.get("between", "null")))
+        return SealedReader(self.options["path"], schema, self.options.get("digest"), json.loads(self.options.get("between", "null")), json.loads(self.options.get("shards", "null")))
 
     def writer(self, schema: StructType, overwrite: bool) -> SealedWriter:
         return SealedWriter(self.options["path"], self.options["key"], int(self.options["size"]))
@@ -323,6 +324,28 @@ def read_sealed(spark: SparkSession, path: str, columns: list[str] | None = None
     return found if high is None else found.where(F.col(key) <= high)
 
 
+def read_rows(spark: SparkSession, path: str, start: int, count: int, columns: list[str] | None = None) -> DataFrame:
+    """``count`` rows from the ``start``-th on (from 0) in order of the key, or those that there are; only their shards are opened."""
+    spark.dataSource.register(SealedSource)
+    size = manifest(path)["size"]
+    wanted = None if columns is None else [*columns, *(c for c in ("shard", "row_index") if c not in columns)]
+    options = {"path": path, "shards": json.dumps([start // size, (start + count - 1) // size])} | ({"columns": ",".join(wanted)} if wanted else {})
+    at = F.col("shard") * size + F.col("row_index")
+    found = spark.read.format("sealed").options(**options).load().where((at >= start) & (at < start + count))
+    return found if columns is None else found.select(*columns)
+
+
+def read_ids(spark: SparkSession, path: str, ids: DataFrame, id_: str) -> DataFrame:
+    """The rows of a set of keys (column ``id_``); a key without a row stops the job by its name.  Shards outside the set's range aren't opened."""
+    key = manifest(path)["key"]
+    wanted = ids.where(F.col(id_).isNotNull()).select(F.col(id_).alias("_wanted")).distinct()
+    low, high = wanted.agg(F.min("_wanted"), F.max("_wanted")).first()
+    rows = read_sealed(spark, path, between=(low, high)).withColumn("_there", F.lit(True))
+    met = wanted.join(rows, F.col("_wanted") == F.col(key), "left")
+    lost = F.raise_error(F.concat(F.lit("no row for "), F.col("_wanted").cast("string")))
+    return met.where(F.when(F.col("_there").isNotNull(), F.lit(True)).otherwise(lost)).drop("_wanted", "_there")
+
+
 def shard_table(spark: SparkSession, path: str) -> DataFrame:
     """What the manifest says of each shard, without a look at the shards: shard, rows, first and last key as text, file and a digest of its columns."""
     rows = [(e["shard"], e["rows"], *(None if e[k] is None else str(e[k]) for k in ("first", "last")), e["file"], digest(canonical(e["columns"]))) for e in manifest(path)["shards"]]
