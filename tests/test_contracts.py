@@ -1,6 +1,5 @@
 """Headings, contracts and strict joins on small frames, against numpy and by hand."""
 
-import random
 
 import numpy as np
 import pytest

@@ -71,11 +71,11 @@ def contacts(ways: DataFrame, keys: list[str], a: tuple[Shape, Shape], b: tuple[
     """
     tables = SharedTables(ways.sparkSession, "contacts")
     poses = [*a, *b]
-    packed = [F.struct(*(getattr(p, f).alias(f) for f in ("x", "y", "yaw", "length", "width", "radius"))).alias(f"_{i}") for i, p in enumerate(poses)]
+    pose = lambda p: F.struct(*(getattr(p, f).alias(f) for f in ("x", "y", "yaw", "length", "width", "radius")))
+    packed = [pose(p).alias(f"_{i}") for i, p in enumerate(poses)]
     at = lambda i: Shape(*(F.col(f"_{i}")[f] for f in ("x", "y", "yaw", "length", "width", "radius")))
     a0, a1, b0, b1 = (at(i) for i in range(4))
-    gap = lambda t: clearance(a0.between(a1, t), b0.between(b1, t))
-    state = {"_lo": F.lit(0.0), "_hi": F.lit(1.0), "_clo": gap(F.lit(0.0)), "_chi": gap(F.lit(1.0)), "_move": a0.motion(a1) + b0.motion(b1)}
+    state = {"_lo": F.lit(0.0), "_hi": F.lit(1.0), "_clo": clearance(a0, b0), "_chi": clearance(a1, b1), "_move": a0.motion(a1) + b0.motion(b1)}
     front = ways.select(*keys, *packed).withColumns(state)
     seen, touched = None, (F.col("_clo") <= 0) | (F.col("_chi") <= 0)
     possible = F.col("_clo") + F.col("_chi") <= F.col("_move") * (F.col("_hi") - F.col("_lo"))
@@ -87,7 +87,10 @@ def contacts(ways: DataFrame, keys: list[str], a: tuple[Shape, Shape], b: tuple[
             break
         known = front.where("_touched").groupBy(*keys).agg(F.min("_hi").alias("_known"))
         later = front.where("_open").join(known, keys, "left").where("_known is null or _lo < _known").drop("_known", "_touched", "_open")
-        middle = later.withColumn("_mid", (F.col("_lo") + F.col("_hi")) / 2).withColumn("_cmid", gap(F.col("_mid")))
+        # Poses first, as columns of their own: the clearance names each of their parts many times.
+        halfway = later.withColumn("_mid", (F.col("_lo") + F.col("_hi")) / 2)
+        posed = halfway.withColumns({"_am": pose(a0.between(a1, F.col("_mid"))), "_bm": pose(b0.between(b1, F.col("_mid")))})
+        middle = posed.withColumn("_cmid", clearance(at("am"), at("bm"))).drop("_am", "_bm")
         half = F.explode(F.array(F.struct(F.col("_lo").alias("a"), F.col("_mid").alias("b"), F.col("_clo").alias("c"), F.col("_cmid").alias("d")), F.struct(F.col("_mid").alias("a"), F.col("_hi").alias("b"), F.col("_cmid").alias("c"), F.col("_chi").alias("d"))))
         cut = middle.withColumn("_half", half)
         front = cut.select(*keys, *(f"_{i}" for i in range(4)), "_move", *(F.col(f"_half.{x}").alias(n) for x, n in zip("abcd", ("_lo", "_hi", "_clo", "_chi"), strict=True)))
