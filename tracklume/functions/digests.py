@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a leaf, about, and hex digits by which a node's children differ: 256 children at most.
+#: Entries that are fed to a leaf's hash at once, and hex digits of a leaf's prefix.
 LEAF_ROWS, DIGITS = 1024, 2
 
 
@@ -46,26 +47,36 @@ def row_text(columns: list[Column]) -> Column:
     return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("~")) for c in columns))
 
 
-def leaf_digits(rows: int) -> int:
-    """Hex digits that part so many rows into leaves of about LEAF_ROWS."""
-    return DIGITS * max(1, math.ceil(math.log(max(1, rows / LEAF_ROWS), 16**DIGITS)))
-
-
 def table_digest(rows: DataFrame, columns: list[Column]) -> DataFrame:
-    """``digest`` and ``n`` of a table, whatever its order and partitions: a tree over the SHA-256 digests of its rows.
+    """``digest`` and ``n`` of a table, whatever its order, size and partitions: a tree over the SHA-256 digests of its rows.
 
     Equal rows are one entry, ``digest:count``, so that frequent ones don't
-    gather.  A leaf is the SHA-256 of the sorted entries of one prefix; a node
-    is that of its children's digests in order; each level is an aggregate
-    over groups of bounded size: about LEAF_ROWS entries, or 256 children.
-    An empty table has the digest of the empty string.
+    gather.  A leaf is the SHA-256 of the sorted entries of one of 256
+    prefixes, joined by commas; the digest is that of the leaves' in order.
+    Spark sorts the entries, and a leaf's hash is fed as they pass by, so no
+    leaf is ever held.  An empty table has the digest of the empty string.
     """
     hashed = rows.select(F.sha2(row_text(columns), 256).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
-    digits = leaf_digits(rows.count())
-    entry = F.concat_ws(":", "h", F.col("c").cast("string"))
-    level = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256).alias("d"), F.sum("c").alias("n"))
-    for left in range(digits - DIGITS, -1, -DIGITS):
-        children = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
-        node = F.sha2(F.array_join(children, ","), 256).alias("d"), F.sum("n").alias("n")
-        level = level.groupBy(F.substring("b", 1, left).alias("b")).agg(*node) if left else level.agg(*node)
-    return level.select(F.col("d").alias("digest"), F.coalesce("n", F.lit(0)).alias("n"))
+    entries = hashed.select(F.substring("h", 1, DIGITS).alias("b"), F.concat_ws(":", "h", F.col("c").cast("string")).alias("e"), "c")
+    leaves = entries.repartition("b").sortWithinPartitions("b", "e").mapInArrow(_leaves, "b string, d string, n long")
+    top = leaves.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ","), 256).alias("digest"), F.sum("n").alias("n"))
+    return top.select("digest", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, digest, rows) of each prefix of a partition whose entries come in order."""
+    leaf, digest, n, found = None, None, 0, []
+    for batch in batches:
+        rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+        for b, run in groupby(rows, lambda r: r[0]):
+            if b != leaf:
+                if digest:
+                    found.append((leaf, digest.hexdigest(), n))
+                leaf, digest, n = b, hashlib.sha256(), 0
+            while part := list(islice(run, LEAF_ROWS)):
+                digest.update(("," if n else "").encode() + ",".join(e for _, e, _ in part).encode())
+                n += sum(c for _, _, c in part)
+    if digest:
+        found.append((leaf, digest.hexdigest(), n))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["b", "d", "n"])
