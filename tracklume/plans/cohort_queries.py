@@ -9,6 +9,7 @@ from tracklume.operators import selection as S
 from tracklume.operators import tracks as K
 from tracklume.plans.metric_queries import P, V, actions, predictions
 from tracklume.plans.track_queries import DAY, KEYS, TRACKS, VELOCITY, segmented, tracks
+from tracklume.sources.shared_tables import SharedTables
 from tracklume.sources.tables import table
 
 
@@ -71,10 +72,11 @@ def class_weights(spark, sf_dir):
 
 def action_value_quantiles(spark, sf_dir):
     """Exact quartiles, counts and means of the realised values of each action."""
-    rows = actions(spark, sf_dir)
-    cuts = S.quantiles(rows, ["a"], "target", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    means = rows.groupBy("a").agg(F.round(F.avg("target"), 9).alias("mean"))
-    return cuts.join(means, "a").select("a", "n", "mean", *(F.round(c, 9).alias(c) for c in ("p25", "p50", "p75")))
+    cells = SharedTables(spark, "values").write(actions(spark, sf_dir).groupBy("a", "target").agg(F.count("*").alias("c")), "cells")
+    cuts = S.quantiles(cells, ["a"], "target", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, F.col("c")).drop("n")
+    known = F.when(F.col("target").isNotNull(), F.col("c"))
+    means = cells.groupBy("a").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("target") * F.col("c")) / F.sum(known), 9).alias("mean"))
+    return means.join(cuts, "a", "left").select("a", "n", "mean", *(F.round(c, 9).alias(c) for c in ("p25", "p50", "p75")))
 
 
 def release_audit(spark, sf_dir):
