@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklume.operators.tracks import wrap_angle
+from tracklume.sources.shared_tables import SharedTables
 
 
 def _island(keys: list[str], tick: str) -> Column:
@@ -74,14 +75,15 @@ def base_states(robot: DataFrame, objects: DataFrame, recording: str, segment: s
     and a decision without any object has no row.  Null ticks attach nothing.
     """
     made = decisions(robot, recording, segment, tick, history, future, stride).where("accepted")
-    at = made.select(recording, tick, *(F.col(c).alias(f"_{c}") for c in ("x", "y", "yaw")))
-    tracked = around(objects, [recording, "object_id", segment], tick, history, future)
+    at = SharedTables(robot.sparkSession, "base-states").write(made.select(recording, tick, *(F.col(c).alias(f"_{c}") for c in ("x", "y", "yaw")), F.lit(True).alias("_at")), "decisions")
+    # Decisions are few, and go to the tracks: poses are gathered behind all exchanges, for decisions alone.
+    met = objects.where(F.col(tick).isNotNull()).join(at, [recording, tick], "left")
+    tracked = around(met, [recording, "object_id", segment], tick, history, future).where("_at")
     frame = F.col("_x"), F.col("_y"), F.col("_yaw")
-    met = at.join(tracked, [recording, tick]).withColumns({"past": to_local(F.col("past"), *frame), "coming": to_local(F.col("coming"), *frame)})
-    now = F.element_at("past", -1)
+    now = to_local(F.array(F.struct("x", "y", "yaw")), *frame)[0]
     inside = (F.abs(now["x"]) <= half_extent) & (F.abs(now["y"]) <= half_extent)
-    found = met.withColumns({"visible": inside, "oracle": F.col("coming").isNotNull()}).where("visible or oracle")
-    return found.select(recording, tick, "object_id", segment, "visible", "oracle", "past", "coming")
+    found = tracked.withColumns({"visible": inside, "oracle": F.col("after") >= future}).where("visible or oracle")
+    return found.select(recording, tick, "object_id", segment, "visible", "oracle", to_local(F.col("past"), *frame).alias("past"), to_local(F.col("coming"), *frame).alias("coming"))
 
 
 def funnel(made: DataFrame, attached: DataFrame, recording: str, tick: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracklume.operators import base_states as B
 from tracklume.operators import tracks as K
 from tracklume.plans.track_queries import HOUR, KEYS, PAIRS, TRACKS, segmented, tracks
+from tracklume.sources.shared_tables import SharedTables
 
 HISTORY, FUTURE, STRIDE, EXTENT = 8, 32, 3, 60.0
 _WHERE = ["recording", "segment_id", "tick", HISTORY, FUTURE, STRIDE]
@@ -19,7 +20,7 @@ def _hourly(spark, sf_dir):
 
 def _robot_and_objects(spark, sf_dir):
     rows = _hourly(spark, sf_dir)
-    robots = rows.groupBy("recording").agg(F.min("object_id").alias("robot"))
+    robots = SharedTables(spark, "robots").write(rows.groupBy("recording").agg(F.min("object_id").alias("robot")), "robots")
     told = rows.join(robots, "recording")
     return told.where("object_id = robot"), told.where("object_id <> robot")
 
