@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklume.functions.geometry import to_local
+from tracklume.functions.geometry import distance
 from tracklume.operators.tracks import wrap_angle
 
 _EPS = 2.0**-52
@@ -27,6 +27,11 @@ class Shape:
     length: Column
     width: Column
     radius: Column
+    turn: tuple[Column, Column] | None = None
+
+    def turned(self) -> tuple[Column, Column]:
+        """Cosine and sine of the yaw: ``turn`` where it is known."""
+        return self.turn or (F.cos(self.yaw), F.sin(self.yaw))
 
     @staticmethod
     def named(prefix: str, length: Column | float, width: Column | float, radius: Column | float) -> Shape:
@@ -52,7 +57,7 @@ class Shape:
 
     def corners(self) -> list[tuple[Column, Column]]:
         """The rectangle's corners, counter-clockwise."""
-        c, s, out = F.cos(self.yaw), F.sin(self.yaw), []
+        (c, s), out = self.turned(), []
         for i, j in ((1, 1), (-1, 1), (-1, -1), (1, -1)):
             dx, dy = i * self.length / 2, j * self.width / 2
             out.append((self.x + dx * c - dy * s, self.y + dx * s + dy * c))
@@ -68,16 +73,22 @@ class Shape:
         return F.hypot(other.x - self.x, other.y - self.y) + (F.hypot(self.length, self.width) / 2) * F.abs(wrap_angle(other.yaw - self.yaw))
 
 
+def _local(px: Column, py: Column, of: Shape) -> tuple[Column, Column]:
+    """A point in the frame of a footprint."""
+    (c, s), dx, dy = of.turned(), px - of.x, py - of.y
+    return dx * c + dy * s, dy * c - dx * s
+
+
 def _outside(px: Column, py: Column, of: Shape) -> Column:
     """How far a point is from a rectangle; 0 inside."""
-    lx, ly = to_local(px, py, of.x, of.y, of.yaw)
+    lx, ly = _local(px, py, of)
     qx, qy = F.greatest(F.abs(lx) - of.length / 2, F.lit(0.0)), F.greatest(F.abs(ly) - of.width / 2, F.lit(0.0))
-    return F.hypot(qx, qy)
+    return distance(qx, qy)
 
 
 def _gaps(a: Shape, b: Shape, c: Column, s: Column) -> list[Column]:
     """Along the two axes of ``a``: the centres' distance less what both rectangles reach, 0 within rounding."""
-    lx, ly = to_local(b.x, b.y, a.x, a.y, a.yaw)
+    lx, ly = _local(b.x, b.y, a)
     out = []
     for at, own, reach in ((lx, a.length, b.length * c + b.width * s), (ly, a.width, b.length * s + b.width * c)):
         apart, sum_ = F.abs(at), (own + reach) / 2
@@ -97,3 +108,14 @@ def clearance(a: Shape, b: Shape) -> Column:
     widest = F.greatest(*_gaps(a, b, c, s), *_gaps(b, a, c, s))
     nearest = F.least(*(_outside(x, y, b) for x, y in a.corners()), *(_outside(x, y, a) for x, y in b.corners()))
     return F.when(widest > 0, nearest).otherwise(widest) - a.radius - b.radius
+
+
+def with_clearance(rows: DataFrame, a: Shape, b: Shape, name: str) -> DataFrame:
+    """``rows`` with their ``clearance`` in steps of columns: corners, distances, choice.  None is worked out twice, as they are in one expression."""
+    points = [(*p, of) for shape, of in ((a, b), (b, a)) for p in shape.corners()]
+    first = {"_cos": F.abs(F.cos(b.yaw - a.yaw)), "_sin": F.abs(F.sin(b.yaw - a.yaw)), **{f"_{c}{i}": v for i, (x, y, _) in enumerate(points) for c, v in (("x", x), ("y", y))}}
+    c, s = F.col("_cos"), F.col("_sin")
+    gaps = {f"_gap{i}": v for i, v in enumerate([*_gaps(a, b, c, s), *_gaps(b, a, c, s)])}
+    away = {f"_away{i}": _outside(F.col(f"_x{i}"), F.col(f"_y{i}"), of) for i, (_, _, of) in enumerate(points)}
+    found = rows.withColumns(first).withColumns({**gaps, **away}).withColumn("_widest", F.greatest(*gaps))
+    return found.withColumn(name, F.when(F.col("_widest") > 0, F.least(*away)).otherwise(F.col("_widest")) - a.radius - b.radius).drop(*first, *gaps, *away, "_widest")
