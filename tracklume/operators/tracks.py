@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task orders at a time, about: a row of a day's gap becomes up to 25 ticks an hour apart.
+TASK_ROWS = 20_000
+
+
+def dealt(rows: DataFrame, keys: list[str], size: int = TASK_ROWS) -> DataFrame:
+    """``rows`` by ``keys`` in parts of about ``size`` rows, where the session's shuffles have too few parts for that.
+
+    Windows over ``keys``, and more columns beside them, then work in these
+    parts, so what a task sorts doesn't grow with the table.  A key is never cut.
+    """
+    parts = -(-rows.count() // size)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def resample(track: DataFrame, keys: list[str], t: str, values: list[str], dt: float, eps: float = 1e-9) -> DataFrame:
     """Linear interpolation of each segment (``keys``) on the global grid of multiples of ``dt``: keys, ``tick`` and values.
 

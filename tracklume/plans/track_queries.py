@@ -22,7 +22,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(tracks(spark, sf_dir), "object_id", "t", DAY)
+    return segments(K.dealt(tracks(spark, sf_dir), ["object_id"]), "object_id", "t", DAY)
 
 
 #: The same views for DuckDB.
