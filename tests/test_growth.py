@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracklume.operators import tracks as K
-from tracklume.plans import catalogue, track_queries
+from tracklume.plans import catalogue, contact_queries, track_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +20,10 @@ def test_tasks_of_tracks_stay_small(spark, monkeypatch):
     for q, found in whole.items():
         assert sorted(map(str, catalogue.queries()[q](spark, SF).collect())) == found
 
+
+def test_robots_come_to_the_others(spark, monkeypatch):
+    plans = []
+    found = contact_queries.C.contacts
+    monkeypatch.setattr(contact_queries.C, "contacts", lambda ways, *a: plans.append(ways._jdf.queryExecution().executedPlan().toString()) or found(ways, *a))
+    contact_queries.moving_contacts(spark, SF).collect()
+    assert plans[0].count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plans[0]

@@ -67,15 +67,21 @@ def _way(rows, prefix, size):
     return renamed, tuple(Shape.named(f"{prefix}{i}", *size) for i in "01")
 
 
+def _robots(spark, rows, name):
+    """A recording's first object as ``name``; written, as Spark then knows how few rows these are and deals the others by nothing."""
+    return SharedTables(spark, "robots").write(rows.groupBy("recording").agg(F.min("object_id").alias(name)), "first")
+
+
 def moving_contacts(spark, sf_dir):
     """A recording's first object as a rectangle and the others as discs, hour by hour: whether they touch on the way, and when first."""
     rows = _hourly(spark, sf_dir)
-    robots = rows.groupBy("recording").agg(F.min("object_id").alias("robot"))
-    told = rows.join(robots, "recording")
+    told = rows.join(_robots(spark, rows, "robot"), "recording")
     left, a = _way(told.where("object_id = robot").drop("object_id", "segment_id", "robot"), "a", ROBOT)
     right, b = _way(told.where("object_id <> robot").drop("segment_id", "robot"), "b", OBJECT)
     # The right point is the middle of its way; the left box is grown by half of the longest step that matters here.
     right = right.withColumns({"mx": (F.col("b0x") + F.col("b1x")) / 2, "my": (F.col("b0y") + F.col("b1y")) / 2}).withColumn("half", F.hypot(F.col("b1x") - F.col("b0x"), F.col("b1y") - F.col("b0y")) / 2 + b[0].reach())
+    # Written, so that the robots' ways go to the others' where they are small, and these aren't dealt by hours.
+    left = SharedTables(spark, "robots").write(left, "ways")
     slow, fast = right.where(F.col("half") <= TILE), right.where(F.col("half") > TILE)
     box = C.swept_box(*a)
     near = C.box_join(left, slow, ["recording", "tick"], C.grown(box, TILE), F.col("mx"), F.col("my"), TILE).where(_overlap(box, C.swept_box(*b)))
@@ -91,8 +97,7 @@ def _overlap(a, b):
 def sweep_occupancy(spark, sf_dir):
     """How many cells that purchases of the recording occupy each hour's sweep of the robot touches, and the first of them it meets."""
     rows = _hourly(spark, sf_dir)
-    robots = rows.groupBy("recording").agg(F.min("object_id").alias("object_id"))
-    left, a = _way(rows.join(robots, ["recording", "object_id"]).drop("object_id", "segment_id"), "a", ROBOT)
+    left, a = _way(rows.join(_robots(spark, rows, "object_id"), ["recording", "object_id"]).drop("object_id", "segment_id"), "a", ROBOT)
     seen = points(spark, sf_dir).where("kind = 'purchase'").withColumn("recording", F.col("object_id") % 5)
     cells = B.cells(seen, "x", "y", RESOLUTION, SIDE, SIDE).select("recording", "row", "col").distinct()
     cell = C.cell_shape(F.col("row"), F.col("col"), RESOLUTION, SIDE, SIDE)
