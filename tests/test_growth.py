@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracklume.operators import tracks as K
 from tracklume.plans import catalogue, contact_queries, track_queries
+from tracklume.sources import sealed
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,12 @@ def test_robots_come_to_the_others(spark, monkeypatch):
     monkeypatch.setattr(contact_queries.C, "contacts", lambda ways, *a: plans.append(ways._jdf.queryExecution().executedPlan().toString()) or found(ways, *a))
     contact_queries.moving_contacts(spark, SF).collect()
     assert plans[0].count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plans[0]
+
+
+def test_small_shards_are_read_together(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sealed.seal(spark.range(1_000).selectExpr("id", "id * 2 as v"), path, "id", 10)
+    found = sealed.read_sealed(spark, path)
+    assert found.rdd.getNumPartitions() == 1 and sorted(map(tuple, found.select("id", "v", "shard", "row_index").collect())) == [(i, 2 * i, i // 10, i % 10) for i in range(1_000)]
+    assert [[e["rows"] for e in x] for x in sealed.runs([{"rows": n} for n in (3, 3, 3, 9, 1)], 6)] == [[3, 3], [3], [9], [1]]
+

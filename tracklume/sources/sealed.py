@@ -23,6 +23,7 @@ import os
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from tracklume.sources.shared_tables import SharedTables
 
 #: Rows of an Arrow batch: what a reader holds of a shard at a time.
 BATCH_ROWS = 8192
+#: Rows of a partition that is read, about: small shards are read several by a task, as a task each costs more than its rows.
+PARTITION_ROWS = 50_000
 
 
 class SealError(ValueError):
@@ -118,9 +121,21 @@ def manifest(path: str, expected: str | None = None) -> dict:
     return found
 
 
-class _Shard(InputPartition):
-    def __init__(self, entry: dict):
-        self.entry = entry
+class _Shards(InputPartition):
+    def __init__(self, entries: list[dict]):
+        self.entries = entries
+
+
+def runs(entries: list[dict], rows: int = PARTITION_ROWS) -> list[list[dict]]:
+    """The entries in order, in runs of at most ``rows`` rows or of one shard."""
+    out, held = [], 0
+    for entry in entries:
+        if not out or held + entry["rows"] > rows:
+            out.append([])
+            held = 0
+        out[-1].append(entry)
+        held += entry["rows"]
+    return out
 
 
 class _Written(WriterCommitMessage):
@@ -128,13 +143,18 @@ class _Written(WriterCommitMessage):
         self.shards = shards
 
 
+def goes_on(index: pa.Array, first: int) -> bool:
+    """Whether these are the numbers from ``first`` on."""
+    return index.null_count == 0 and np.array_equal(index.to_numpy(zero_copy_only=False), np.arange(first, first + len(index)))
+
+
 def check_batches(name: str, entry: dict, batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     """The batches, once it is known that they are the entry's: rows, order and the digests of ``columns``."""
     digests, rows = ColumnDigests(columns), 0
     for batch in batches:
         if "row_index" in columns:
             index = batch.column(batch.schema.get_field_index("row_index"))
-            if index.to_pylist() != list(range(rows, rows + batch.num_rows)):
+            if not goes_on(index, rows):
                 raise SealError(f"{name}: row_index doesn't go on from {rows}")
         digests.add(batch)
         rows += batch.num_rows
@@ -147,7 +167,7 @@ def check_batches(name: str, entry: dict, batches: Iterable[pa.RecordBatch], col
 
 
 class SealedReader(DataSourceReader):
-    """A partition a shard, without the shards whose keys lie outside ``between``, or whose numbers outside ``only``."""
+    """A partition a run of shards, without the shards whose keys lie outside ``between``, or whose numbers outside ``only``."""
 
     def __init__(self, path: str, schema: StructType, expected: str | None, between: tuple | None, only: tuple | None = None):
         self.path, self.names = path, schema.fieldNames()
@@ -156,13 +176,14 @@ class SealedReader(DataSourceReader):
         out = lambda e: e["first"] is not None and ((low is not None and e["last"] < low) or (high is not None and e["first"] > high))
         self.entries = [e for e in manifest(path, expected)["shards"] if not out(e) and first <= e["shard"] <= last]
 
-    def partitions(self) -> list[_Shard]:
-        return [_Shard(e) for e in self.entries]
+    def partitions(self) -> list[_Shards]:
+        return [_Shards(x) for x in runs(self.entries)]
+
+    def read(self, partition: _Shards) -> Iterator[pa.RecordBatch]:
+        for entry in getattr(partition, "entries", ()):  # none where no shard is left
+            yield from self._read(entry)
 
-    def read(self, partition: _Shard) -> Iterator[pa.RecordBatch]:
-        if partition is None or not hasattr(partition, "entry"):  # no shard is left
-            return
-        entry = partition.entry
+    def _read(self, entry: dict) -> Iterator[pa.RecordBatch]:
         name = f"shard {entry['shard']} of {self.path}"
         try:
             with pa.memory_map(f"{local(self.path)}/shards/{entry['file']}") as held:
@@ -190,12 +211,11 @@ class SealedWriter(DataSourceArrowWriter):
         place, done, held = local(self.path), [], []
         os.makedirs(f"{place}/shards", exist_ok=True)
         for batch in iterator:
-            shards = batch.column(batch.schema.get_field_index("shard")).to_pylist()
+            shards = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(shards)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             at = 0
-            while at < batch.num_rows:
-                shard, to = shards[at], at
-                while to < batch.num_rows and shards[to] == shard:
-                    to += 1
+            for to in ends:
+                shard = int(shards[at])
                 if held and held[0][0] != shard:
                     done.append(self._finish(*held.pop()))
                 if not held:
@@ -219,8 +239,8 @@ class SealedWriter(DataSourceArrowWriter):
             digests, rows, first, last = ColumnDigests(read.schema.names), 0, None, None
             for i in range(read.num_record_batches):
                 batch = read.get_batch(i)
-                index = batch.column(batch.schema.get_field_index("row_index")).to_pylist()
-                if index != list(range(rows, rows + len(index))):
+                index = batch.column(batch.schema.get_field_index("row_index"))
+                if not goes_on(index, rows):
                     raise SealError(f"shard {shard}: row_index doesn't go on from {rows}")
                 keys = batch.column(batch.schema.get_field_index(self.key))
                 known = keys.drop_null()
