@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from tracklume.sources.shared_tables import SharedTables
 
 _OUT = "object_id long, event_id long, t double, segment_id long"
+#: Groups that objects are dealt into by their hash; a checkpoint holds for this number only.
+GROUPS = 1024
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,39 +28,58 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 
 class _Segmenter(StatefulProcessor):
-    """Rows wait until the watermark has passed them; then they are in order, whenever they came."""
+    """Rows wait, those of a group of objects together, until the watermark has passed them; then they are in order, whenever they came."""
 
     def __init__(self, max_gap: float):
         self.max_gap = max_gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_id long, t double, ms long")
-        self.open = handle.getValueState("open", "t double, segment long")
+        self.waiting = handle.getListState("waiting", "object_id long, event_id long, t double, ms long")
+        self.open = handle.getListState("open", "object_id long, t double, segment long")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wait(self, ms: int) -> None:
+        """One timer a group, at the first row that waits."""
+        known = self.due.get() if self.due.exists() else None
+        if known is None or ms < known[0]:
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            ms = frame["ms"].astype("int64")
-            self.waiting.appendList(list(zip(frame["event_id"].astype(int).tolist(), frame["t"].astype(float).tolist(), ms.tolist(), strict=True)))
-            # One timer a trigger: at its last row all that it brought can go; earlier timers let earlier rows go.
-            self.handle.registerTimer(int(ms.max()))
+            kinds = {"object_id": int, "event_id": int, "t": float, "ms": int}
+            self.waiting.appendList(list(zip(*(frame[c].astype(k).tolist() for c, k in kinds.items()), strict=True)))
+            self._wait(int(frame["ms"].min()))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["event_id", "t", "ms"])
-        ready = rows[rows["ms"] <= mark].sort_values(["t", "event_id"])
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["object_id", "event_id", "t", "ms"])
+        ready = rows[rows["ms"] <= mark].sort_values(["object_id", "t", "event_id"])
+        later = rows[rows["ms"] > mark]
+        self.waiting.clear()
+        self.due.clear()
+        if len(later):
+            self.waiting.appendList(list(later.itertuples(index=False, name=None)))
+            self._wait(int(later["ms"].min()))
         if len(ready):
-            last, segment = self.open.get() if self.open.exists() else (float("-inf"), 0)
-            steps = ready["t"].diff()
-            steps.iloc[0] = ready["t"].iloc[0] - last if last > float("-inf") else 0.0
-            found = segment + (steps > self.max_gap).cumsum().to_numpy()
-            self.open.update((float(ready["t"].iloc[-1]), int(found[-1])))
-            later = rows[rows["ms"] > mark]
-            self.waiting.clear()
-            if len(later):
-                self.waiting.appendList(list(later.itertuples(index=False, name=None)))
-            yield pd.DataFrame({"object_id": [key[0]] * len(ready), "event_id": ready["event_id"].to_numpy(), "t": ready["t"].to_numpy(), "segment_id": found})
+            ids, t = ready["object_id"].to_numpy(), ready["t"].to_numpy()
+            known = {o: (last, segment) for o, last, segment in self.open.get()}
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            before = [known.get(o, (at, 0)) for o, at in zip(ids[first].tolist(), t[first].tolist(), strict=True)]
+            steps = np.diff(t, prepend=t[:1])
+            steps[first] = t[first] - [last for last, _ in before]
+            jumps = (steps > self.max_gap).cumsum()
+            sizes = np.diff(np.r_[first, len(ids)])
+            ahead = jumps[first] - (steps[first] > self.max_gap)
+            found = jumps + np.repeat([segment for _, segment in before] - ahead, sizes)
+            ends = first + sizes - 1
+            known |= dict(zip(ids[ends].tolist(), zip(t[ends].tolist(), found[ends].tolist(), strict=True), strict=True))
+            self.open.put([(o, *x) for o, x in known.items()])
+            yield pd.DataFrame({"object_id": ids, "event_id": ready["event_id"].to_numpy(), "t": t, "segment_id": found})
 
     def close(self) -> None:
         pass
@@ -70,11 +92,13 @@ def stream_segments(track: DataFrame, max_gap: float, late: str, eps: float = 1e
     row comes out when the watermark, ``late`` behind the latest row, has
     passed it; so rows may come in any order within ``late``, and later ones
     are dropped by Spark.  State is what waits, and an object's last time and
-    segment.  Null objects and times are left out.
+    segment; it is read and written by groups of objects, of which there are
+    ``GROUPS``, as a call for each object costs more than its rows.  Null objects and times are left out.
     """
     marked = track.where("object_id is not null and ts is not null").withWatermark("ts", late).withColumn("ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
+    grouped = marked.withColumn("_group", F.pmod(F.xxhash64(F.col("object_id").cast("long")), F.lit(GROUPS))).groupBy("_group")
     processor = _Segmenter(max_gap + eps)
-    return marked.groupBy("object_id").transformWithStateInPandas(processor, _OUT, "append", "EventTime")
+    return grouped.transformWithStateInPandas(processor, _OUT, "append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
