@@ -2,8 +2,9 @@
 
 1. *TF-IDF.*  Document frequencies of hashed terms are counted over all texts.
 2. *Latent space.*  A randomised SVD of the TF-IDF matrix of passages: every
-   passage of the benchmark, weighted, and those of a bounded sample of the
-   corpus.  Tasks multiply their rows with a random matrix and back; only
+   passage of the benchmark, weighted, and every passage of the corpus.  Tasks
+   add up the products of terms of a passage; where the benchmark has too many
+   terms for that, they multiply their rows with a random matrix and back, and
    matrices of (terms x dimensions) are added up.
 3. *Candidates.*  An inverted index of every item's rarest words tells which
    texts may pass the checks; it misses none.  Every passage of these is
@@ -21,17 +22,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.llm import text as T
-from tracklume.llm.scratch import Scratch
 
 #: Hashed terms, words of a block, blocks of a passage (which starts at every block).
 TERMS, BLOCK, BLOCKS = 1 << 18, 16, 2
@@ -41,8 +42,8 @@ STOP_SHARE, LEAST_TERMS = 0.1, 4
 LEAST_IDF = 0.1
 #: Benchmark terms that the latent space is built on, at most (the rarest stay), and its dimensions.
 MAX_VOCABULARY, DIMENSIONS = 20_000, 256
-#: Corpus documents whose passages enter the SVD, at most: those of the least hashes of their ids.
-SVD_SAMPLE = 2_000
+#: Benchmark terms up to which their products are held, a square matrix a task.
+GRAM_TERMS = 2_048
 #: Weight of benchmark passages beside corpus passages in the SVD.
 BENCHMARK_WEIGHT = 16.0
 #: Benchmark items in one search, about, and bytes of their texts: every task holds them.  A larger benchmark is searched in parts.
@@ -51,7 +52,7 @@ PART_ITEMS, PART_BYTES = 25_000, 16 << 20
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.6, 0.8
 #: Bytes of text that are worked on at a time: what is held of them are arrays of some times their size.
 CHUNK_BYTES = 1 << 20
-_PROJECT_ROWS, _FEW, _ENTRIES = 1 << 12, 64, 1 << 20
+_PROJECT_ROWS, _FEW, _ENTRIES, _PAIR_ROWS = 1 << 12, 64, 1 << 20, 1 << 16
 _SENTENCE = re.compile(r"[.!?]+\s+")
 
 
@@ -106,17 +107,17 @@ def _pairs(values: np.ndarray, paired: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(texts: pa.Array, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The TF-IDF matrix of the passages of texts: (passage, term place, weight) entries, and the norm of each passage."""
+def _rows(texts: pa.Array, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The TF-IDF matrix of the passages of texts: (passage, term place, weight) entries, and the norm and text of each passage."""
     w, terms = _terms(texts)
-    block, _, paired = _blocks(w)
+    block, doc, paired = _blocks(w)
     weight = idf[terms]
     norms = np.sqrt(_pairs(np.bincount(block, weight**2, len(paired)), paired))
     known = place[terms] >= 0
     at, column, value = block[known], place[terms[known]], weight[known]
     before = np.r_[np.zeros(min(1, len(paired)), bool), paired[:-1]]  # the word also is in the passage of the block before
     too = before[at]
-    return np.r_[at, at[too] - 1], np.r_[column, column[too]], np.r_[value, value[too]], norms
+    return np.r_[at, at[too] - 1], np.r_[column, column[too]], np.r_[value, value[too]], norms, doc
 
 
 def _times(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
@@ -140,33 +141,62 @@ def _times(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, ma
     return out
 
 
-def _summed(passages: DataFrame, idf: np.ndarray, place: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """A^T (A matrix) over the weighted passages of (text, weight): each task adds up its own, slices of which are added over tasks."""
-    spark = passages.sparkSession
-    held = spark.sparkContext.broadcast((idf, place, matrix.astype(np.float32)))
-    terms, width = matrix.shape
-    step = max(1, (1 << 20) // width)
+def _added(passages: DataFrame, held: Broadcast, shape: tuple[int, int], add: Callable[[np.ndarray, tuple, pa.Array, np.ndarray], None]) -> np.ndarray:
+    """What ``add`` adds to a matrix of ``shape`` for each chunk of (text, weight): each task adds up its own, slices of which are added over tasks."""
+    step = max(1, (1 << 20) // shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, place, matrix = held.value
-        total = np.zeros((terms, width), np.float32)
+        total = np.zeros(shape)
         for chunk in T.chunks(batches, size=CHUNK_BYTES):
-            rows, columns, values, norms = _rows(chunk.column(0), idf, place)
-            if not len(rows):
-                continue
-            w = T.words(chunk.column(0), lower=True, breaks=T.PUNCTUATION)
-            _, doc, _ = _blocks(w)
-            values = values / np.maximum(norms, 1e-9)[rows] * chunk.column(1).to_numpy()[doc[rows]]
-            total += _times(columns, rows, values, terms, _times(rows, columns, values, len(norms), matrix))
-        for a in range(0, terms, step):
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + step].tobytes()], pa.binary())], names=["a", "part"])
-
-    def add(table: pa.Table) -> pa.Table:
+            add(total, held.value, chunk.column(0), chunk.column(1).to_numpy())
+        for a in range(0, shape[0], step):
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + step].astype(np.float32).tobytes()], pa.binary())], names=["a", "part"])
+
+    def merge(table: pa.Table) -> pa.Table:
         parts = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["part"])
         return pa.table({"a": table["a"][:1], "part": pa.array([parts.astype(np.float32).tobytes()], pa.binary())})
 
-    rows = passages.select("text", "weight").mapInArrow(run, "a long, part binary").groupBy("a").applyInArrow(add, "a long, part binary").collect()
-    return np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(rows, key=lambda r: r["a"])]).reshape(terms, width).astype(np.float64)
+    rows = passages.select("text", "weight").mapInArrow(run, "a long, part binary").groupBy("a").applyInArrow(merge, "a long, part binary").collect()
+    if not rows:
+        return np.zeros(shape)
+    return np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(rows, key=lambda r: r["a"])]).reshape(shape).astype(np.float64)
+
+
+def _weighted(texts: pa.Array, weights: np.ndarray, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The entries of ``_rows``, of unit passages times their text's weight, and how many passages there are."""
+    rows, columns, values, norms, doc = _rows(texts, idf, place)
+    return rows, columns, values / np.maximum(norms, 1e-9)[rows] * weights[doc[rows]], len(norms)
+
+
+def _summed(passages: DataFrame, idf: np.ndarray, place: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """A^T (A matrix) over the weighted passages of (text, weight)."""
+
+    def add(total: np.ndarray, held: tuple, texts: pa.Array, weights: np.ndarray) -> None:
+        idf, place, matrix = held
+        rows, columns, values, n = _weighted(texts, weights, idf, place)
+        if len(rows):
+            total += _times(columns, rows, values, len(matrix), _times(rows, columns, values, n, matrix))
+
+    held = passages.sparkSession.sparkContext.broadcast((idf, place, matrix.astype(np.float32)))
+    return _added(passages, held, matrix.shape, add)
+
+
+def _products(passages: DataFrame, idf: np.ndarray, place: np.ndarray, terms: int) -> np.ndarray:
+    """A^T A over the weighted passages of (text, weight): for each two entries of a passage their product."""
+
+    def add(total: np.ndarray, held: tuple, texts: pa.Array, weights: np.ndarray) -> None:
+        rows, columns, values, _ = _weighted(texts, weights, *held)
+        order = np.argsort(rows, kind="stable")
+        rows, columns, values = rows[order], columns[order].astype(np.int64), values[order]
+        first, size = np.searchsorted(rows, rows), np.searchsorted(rows, rows, "right")
+        size -= first
+        for a in range(0, len(rows), _PAIR_ROWS):
+            part = slice(a, a + _PAIR_ROWS)
+            one = np.repeat(np.arange(a, min(a + _PAIR_ROWS, len(rows))), size[part])
+            other = np.arange(len(one)) - np.repeat(np.cumsum(size[part]) - size[part] - first[part], size[part])
+            np.add.at(total.reshape(-1), columns[one] * terms + columns[other], values[one] * values[other])
+
+    return _added(passages, passages.sparkSession.sparkContext.broadcast((idf, place)), (terms, terms), add)
 
 
 def _light_terms(w: T.Words, terms: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -192,18 +222,14 @@ def latent_space(docs: DataFrame, items: list[str], seed: int = 7) -> Space:
     place = np.full(TERMS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))
     dims = min(DIMENSIONS, len(vocabulary))
-    scratch = Scratch(spark, "latent")
-    # The sample's ids are chosen without the texts, which then are picked where they are read.
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SVD_SAMPLE)
-    sample = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("text", F.lit(1.0).alias("weight"))
     bench = spark.createDataFrame([(x, BENCHMARK_WEIGHT) for x in items], "text string, weight double")
-    passages = scratch.write(sample.union(bench), "passages")
+    passages = docs.where("text is not null").select("text", F.lit(1.0).alias("weight")).union(bench)
     # Range finder with one power step: the sums are A^T A times the last basis.
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), dims)))[0] if dims else np.zeros((0, 0))
+    products = _products(passages, idf, place, len(vocabulary)) if 0 < len(vocabulary) <= GRAM_TERMS else None
     for _ in range(2 if dims else 0):
-        basis = np.linalg.qr(_summed(passages, idf, place, basis))[0]
-    scratch.drop()
-    rows, columns, values, norms = _rows(pa.array(items, pa.string()), idf, place)
+        basis = np.linalg.qr(_summed(passages, idf, place, basis) if products is None else products @ basis)[0]
+    rows, columns, values, norms, _ = _rows(pa.array(items, pa.string()), idf, place)
     vectors = _times(rows, columns, values, len(norms), basis.astype(np.float32))
     length = np.linalg.norm(vectors, axis=1)
     _, owner, _ = _blocks(w)
