@@ -43,7 +43,7 @@ LEAST_IDF = 0.1
 #: Benchmark terms that the latent space is built on, at most (the rarest stay), and its dimensions.
 MAX_VOCABULARY, DIMENSIONS = 20_000, 256
 #: Benchmark terms up to which their products are held, a square matrix a task.
-GRAM_TERMS = 2_048
+GRAM_TERMS = 4_096
 #: Weight of benchmark passages beside corpus passages in the SVD.
 BENCHMARK_WEIGHT = 16.0
 #: Benchmark items in one search, about, and bytes of their texts: every task holds them.  A larger benchmark is searched in parts.
@@ -157,9 +157,10 @@ def _added(passages: DataFrame, held: Broadcast, shape: tuple[int, int], add: Ca
         return pa.table({"a": table["a"][:1], "part": pa.array([parts.astype(np.float32).tobytes()], pa.binary())})
 
     rows = passages.select("text", "weight").mapInArrow(run, "a long, part binary").groupBy("a").applyInArrow(merge, "a long, part binary").collect()
-    if not rows:
-        return np.zeros(shape)
-    return np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(rows, key=lambda r: r["a"])]).reshape(shape).astype(np.float64)
+    out = np.zeros(shape, np.float32)
+    for r in rows:
+        out[r["a"] : r["a"] + step] = np.frombuffer(r["part"], np.float32).reshape(-1, shape[1])
+    return out
 
 
 def _weighted(texts: pa.Array, weights: np.ndarray, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -196,7 +197,9 @@ def _products(passages: DataFrame, idf: np.ndarray, place: np.ndarray, terms: in
             other = np.arange(len(one)) - np.repeat(np.cumsum(size[part]) - size[part] - first[part], size[part])
             np.add.at(total.reshape(-1), columns[one] * terms + columns[other], values[one] * values[other])
 
-    return _added(passages, passages.sparkSession.sparkContext.broadcast((idf, place)), (terms, terms), add)
+    spark = passages.sparkSession
+    # A task a core: each sends a whole matrix, however many rows it has read.
+    return _added(passages.coalesce(spark.sparkContext.defaultParallelism), spark.sparkContext.broadcast((idf, place)), (terms, terms), add)
 
 
 def _light_terms(w: T.Words, terms: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -228,7 +231,8 @@ def latent_space(docs: DataFrame, items: list[str], seed: int = 7) -> Space:
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), dims)))[0] if dims else np.zeros((0, 0))
     products = _products(passages, idf, place, len(vocabulary)) if 0 < len(vocabulary) <= GRAM_TERMS else None
     for _ in range(2 if dims else 0):
-        basis = np.linalg.qr(_summed(passages, idf, place, basis) if products is None else products @ basis)[0]
+        found = _summed(passages, idf, place, basis) if products is None else products @ basis.astype(np.float32)
+        basis = np.linalg.qr(found.astype(np.float64))[0]
     rows, columns, values, norms, _ = _rows(pa.array(items, pa.string()), idf, place)
     vectors = _times(rows, columns, values, len(norms), basis.astype(np.float32))
     length = np.linalg.norm(vectors, axis=1)
