@@ -39,3 +39,28 @@ def test_every_passage_counts(spark, monkeypatch):
     monkeypatch.setattr(D, "_products", lambda passages, *x: sizes.append(passages.count()) or products_of(passages, *x))
     D.latent_space(docs, items)
     assert sizes == [2_602]
+
+
+def test_products_stay_in_the_cluster(spark, monkeypatch):
+    """The driver gets matrices of (terms x dimensions) alone, and no slices are left."""
+    items = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(15)]
+    docs = spark.createDataFrame([(i, f"filler{i % 7} {items[i % 15]}" if i % 3 else None) for i in range(60)], DOCS)
+    shapes, made, gathered, products = [], [], D._gathered, D._products
+    monkeypatch.setattr(D, "DIMENSIONS", 8)
+    monkeypatch.setattr(D, "_gathered", lambda slices, shape: shapes.append(shape) or gathered(slices, shape))
+    monkeypatch.setattr(D, "_products", lambda *x: made.append(products(*x)) or made[-1])
+    space = D.latent_space(docs, items)
+    assert shapes == [(len(space.basis), 8)] * 2 and len(space.basis) > 100
+    path = spark._jvm.org.apache.hadoop.fs.Path(made[0].scratch.root)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_only_texts_that_hold_an_item_are_projected(spark, monkeypatch):
+    """An item's rarest words in a heap are no reason to project a text."""
+    item = " ".join(f"w{j}" for j in range(30))
+    texts = [f"before {item} after", " ".join(reversed(item.split())), "nothing of it"] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    search, sizes, candidates = D.Search([5], [item], D.latent_space(docs, [item])), [], D.candidates
+    monkeypatch.setattr(D, "candidates", lambda texts, *x: sizes.append(len(texts)) or candidates(texts, *x))
+    assert list(search.find(D.pa.array(texts, D.pa.string()))) == [(0, 0)] and sizes == [1]
+    assert not search.find(D.pa.array(texts[1:], D.pa.string())) and sizes == [1]

@@ -3,12 +3,14 @@
 1. *TF-IDF.*  Document frequencies of hashed terms are counted over all texts.
 2. *Latent space.*  A randomised SVD of the TF-IDF matrix of passages: every
    passage of the benchmark, weighted, and every passage of the corpus.  Tasks
-   add up the products of terms of a passage; where the benchmark has too many
-   terms for that, they multiply their rows with a random matrix and back, and
+   add up the products of terms of a passage, and slices of the sums stay in
+   the cluster, where they are multiplied; where the benchmark has too many
+   terms for that, tasks multiply their rows with a random matrix and back, and
    matrices of (terms x dimensions) are added up.
 3. *Candidates.*  An inverted index of every item's rarest words tells which
-   texts may pass the checks; it misses none.  Every passage of these is
-   projected and compared with every benchmark passage by cosine.  A passage
+   texts may pass the checks; it misses none.  Of these, every passage of those
+   that hold enough of an item in order is projected and compared with every
+   benchmark passage by cosine.  A passage
    whose weight outside the benchmark's terms alone keeps it under the threshold
    isn't projected: the space is orthonormal, so that bound is exact.  The
    cosine ranks what is found, but decides nothing alone: what a space of any
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.llm import text as T
+from tracklume.llm.scratch import Scratch
 
 #: Hashed terms, words of a block, blocks of a passage (which starts at every block).
 TERMS, BLOCK, BLOCKS = 1 << 18, 16, 2
@@ -141,26 +144,41 @@ def _times(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, ma
     return out
 
 
-def _added(passages: DataFrame, held: Broadcast, shape: tuple[int, int], add: Callable[[np.ndarray, tuple, pa.Array, np.ndarray], None]) -> np.ndarray:
-    """What ``add`` adds to a matrix of ``shape`` for each chunk of (text, weight): each task adds up its own, slices of which are added over tasks."""
-    step = max(1, (1 << 20) // shape[1])
+_SLICES = "a long, part binary"
+
+
+def _step(width: int) -> int:
+    """Rows of a slice of a matrix."""
+    return max(1, (1 << 20) // width)
+
+
+def _slice(a: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([rows.astype(np.float32).tobytes()], pa.binary())], names=["a", "part"])
+
+
+def _gathered(slices: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape, np.float32)
+    for r in slices.collect():
+        rows = np.frombuffer(r["part"], np.float32).reshape(-1, shape[1])
+        out[r["a"] : r["a"] + len(rows)] = rows
+    return out
+
+
+def _added(passages: DataFrame, held: Broadcast, shape: tuple[int, int], add: Callable[[np.ndarray, tuple, pa.Array, np.ndarray], None], mirrored: bool = False) -> DataFrame:
+    """Slices of what ``add`` adds to a matrix of ``shape`` for each chunk of (text, weight), and its transpose if ``mirrored``: each task adds up its own, slices of which are added over tasks."""
+    step = _step(shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for chunk in T.chunks(batches, size=CHUNK_BYTES):
             add(total, held.value, chunk.column(0), chunk.column(1).to_numpy())
         for a in range(0, shape[0], step):
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + step].astype(np.float32).tobytes()], pa.binary())], names=["a", "part"])
+            yield _slice(a, total[a : a + step] + total[:, a : a + step].T if mirrored else total[a : a + step])
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["part"])
-        return pa.table({"a": table["a"][:1], "part": pa.array([parts.astype(np.float32).tobytes()], pa.binary())})
+        return pa.Table.from_batches([_slice(table["a"][0].as_py(), sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["part"]))])
 
-    rows = passages.select("text", "weight").mapInArrow(run, "a long, part binary").groupBy("a").applyInArrow(merge, "a long, part binary").collect()
-    out = np.zeros(shape, np.float32)
-    for r in rows:
-        out[r["a"] : r["a"] + step] = np.frombuffer(r["part"], np.float32).reshape(-1, shape[1])
-    return out
+    return passages.select("text", "weight").mapInArrow(run, _SLICES).groupBy("a").applyInArrow(merge, _SLICES)
 
 
 def _weighted(texts: pa.Array, weights: np.ndarray, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -179,27 +197,58 @@ def _summed(passages: DataFrame, idf: np.ndarray, place: np.ndarray, matrix: np.
             total += _times(columns, rows, values, len(matrix), _times(rows, columns, values, n, matrix))
 
     held = passages.sparkSession.sparkContext.broadcast((idf, place, matrix.astype(np.float32)))
-    return _added(passages, held, matrix.shape, add)
+    return _gathered(_added(passages, held, matrix.shape, add), matrix.shape)
+
+
+class Products:
+    """A square matrix whose slices are written and stay in the cluster; a product with a narrow matrix comes to the driver."""
 
+    def __init__(self, slices: DataFrame, terms: int):
+        self.scratch, self.terms = Scratch(slices.sparkSession, "products"), terms
+        self.slices = self.scratch.write(slices, "slices")
+
+    def __matmul__(self, matrix: np.ndarray) -> np.ndarray:
+        held, terms = self.slices.sparkSession.sparkContext.broadcast(matrix.astype(np.float32)), self.terms
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, part in zip(*batch.columns, strict=True):
+                    yield _slice(a.as_py(), np.frombuffer(part.as_buffer(), np.float32).reshape(-1, terms) @ held.value)
 
-def _products(passages: DataFrame, idf: np.ndarray, place: np.ndarray, terms: int) -> np.ndarray:
+        return _gathered(self.slices.mapInArrow(run, _SLICES), matrix.shape)
+
+    def __array__(self, dtype: np.dtype | None = None, copy: bool | None = None) -> np.ndarray:
+        return _gathered(self.slices, (self.terms, self.terms)).astype(dtype or np.float32)
+
+    def drop(self) -> None:
+        self.scratch.drop()
+
+
+def _products(passages: DataFrame, idf: np.ndarray, place: np.ndarray, terms: int) -> Products:
     """A^T A over the weighted passages of (text, weight): for each two entries of a passage their product."""
 
     def add(total: np.ndarray, held: tuple, texts: pa.Array, weights: np.ndarray) -> None:
-        rows, columns, values, _ = _weighted(texts, weights, *held)
-        order = np.argsort(rows, kind="stable")
-        rows, columns, values = rows[order], columns[order].astype(np.int64), values[order]
-        first, size = np.searchsorted(rows, rows), np.searchsorted(rows, rows, "right")
-        size -= first
-        for a in range(0, len(rows), _PAIR_ROWS):
+        idf, place = held
+        w, numbers = _terms(texts)
+        block, doc, paired = _blocks(w)
+        squares = (weights[doc] / np.maximum(np.sqrt(_pairs(np.bincount(block, idf[numbers] ** 2, len(paired)), paired)), 1e-9)) ** 2
+        both = np.where(paired, squares, 0)  # of the passage that also holds the next block
+        alone = squares + np.r_[np.zeros(min(1, len(both))), both[:-1]]  # of the passages that hold a block
+        known = place[numbers] >= 0
+        block, column, value = block[known], place[numbers[known]].astype(np.int64), idf[numbers[known]].astype(np.float64)
+        # An entry's products with itself and all after it in its block and the next one; the others are the transpose.
+        size = np.searchsorted(block, block + paired[block], "right") - np.arange(len(block))
+        for a in range(0, len(block), _PAIR_ROWS):
             part = slice(a, a + _PAIR_ROWS)
-            one = np.repeat(np.arange(a, min(a + _PAIR_ROWS, len(rows))), size[part])
-            other = np.arange(len(one)) - np.repeat(np.cumsum(size[part]) - size[part] - first[part], size[part])
-            np.add.at(total.reshape(-1), columns[one] * terms + columns[other], values[one] * values[other])
+            one = np.repeat(np.arange(a, min(a + _PAIR_ROWS, len(block))), size[part])
+            other = np.arange(len(one)) - np.repeat(np.cumsum(size[part]) - size[part] - np.arange(a, a + len(size[part])), size[part])
+            product = value[one] * value[other] * np.where(block[one] == block[other], alone[block[one]], both[block[one]])
+            product[one == other] /= 2
+            np.add.at(total.reshape(-1), column[one] * terms + column[other], product)
 
     spark = passages.sparkSession
     # A task a core: each sends a whole matrix, however many rows it has read.
-    return _added(passages.coalesce(spark.sparkContext.defaultParallelism), spark.sparkContext.broadcast((idf, place)), (terms, terms), add)
+    return Products(_added(passages.coalesce(spark.sparkContext.defaultParallelism), spark.sparkContext.broadcast((idf, place)), (terms, terms), add, True), terms)
 
 
 def _light_terms(w: T.Words, terms: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -231,8 +280,10 @@ def latent_space(docs: DataFrame, items: list[str], seed: int = 7) -> Space:
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), dims)))[0] if dims else np.zeros((0, 0))
     products = _products(passages, idf, place, len(vocabulary)) if 0 < len(vocabulary) <= GRAM_TERMS else None
     for _ in range(2 if dims else 0):
-        found = _summed(passages, idf, place, basis) if products is None else products @ basis.astype(np.float32)
+        found = _summed(passages, idf, place, basis) if products is None else products @ basis
         basis = np.linalg.qr(found.astype(np.float64))[0]
+    if products is not None:
+        products.drop()
     rows, columns, values, norms, _ = _rows(pa.array(items, pa.string()), idf, place)
     vectors = _times(rows, columns, values, len(norms), basis.astype(np.float32))
     length = np.linalg.norm(vectors, axis=1)
@@ -384,10 +435,10 @@ class Search:
         counts = self._counts[i]
         return sum(map(counts.__getitem__, counts.keys() & words))
 
-    def _common(self, i: int, around: list[int]) -> float:
-        """The share of an item that stands in order in a text; 0 where it is under PARAPHRASE."""
+    def _common(self, i: int, around: list[int], words: set[int] | None = None) -> float:
+        """The share of an item that stands in order in a text of these ``words``; 0 where it is under PARAPHRASE."""
         size = len(self._wanted[i])
-        if self._present(i, set(around)) < PARAPHRASE * size:
+        if self._present(i, set(around) if words is None else words) < PARAPHRASE * size:
             return 0.0
         common = common_subsequence(self._wanted[i], around) / max(1, size)
         return common if common >= PARAPHRASE else 0.0
@@ -399,6 +450,17 @@ class Search:
         answer = common_subsequence(self._answers[i], around) / max(1, len(self._answers[i]))
         return (common, answer) if common >= VERBATIM or answer >= ANSWER else None
 
+    def _hopeful(self, index: WordIndex, w: T.Words, terms: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The spans of an index (text, number, item) that hold enough of the item in order: what passes the checks lies in one of them."""
+        last, held, words = None, [], set()
+        for d, number, i in index.spans(w, terms):
+            if last != (last := (d, number)):
+                low = number * index.half
+                held = w.hashes[w.first[d] + low : min(w.first[d + 1], w.first[d] + low + 2 * index.half)].tolist()
+                words = set(held)
+            if self._common(i, held, words):
+                yield d, number, i
+
     def _cosine(self, i: int, passage: list[int]) -> float:
         """The largest cosine of a passage and those of an item, over all terms."""
         weights = lambda words: {t: n * float(self.space.idf[t]) for t, n in Counter(x % TERMS for x in words).items()}
@@ -415,9 +477,11 @@ class Search:
         if self._wanted is None:
             self._prepare()
         w, terms = _terms(texts)
-        near = [(index, list(index.spans(w, terms))) for index in self._indexes]
-        # Only texts that have enough of an item's rarest words can pass the checks: the others aren't projected.
-        some = np.unique(np.array([d for _, spans in near for d, _, _ in spans], np.int64))
+        # Only texts that hold enough of an item in order can pass the checks: the others aren't projected.
+        near = [(index, d, number, i) for index in self._indexes for d, number, i in self._hopeful(index, w, terms)]
+        some, pairs = np.unique(np.array([x[1] for x in near], np.int64)), {(d, i) for _, d, _, i in near}
+        if not near:
+            return {}
         doc, start, item, cosine = candidates(texts.take(pa.array(some)), self.space, COSINE)
         doc = some[doc]
         best: dict[tuple[int, int], list[float]] = {}
@@ -429,24 +493,14 @@ class Search:
             size = len(self._wanted[i])
             return w.hashes[w.first[d] + max(0, s - size) : min(w.first[d + 1], w.first[d] + s + BLOCK * BLOCKS + size)].tolist()
 
-        whole: dict[int, set[int]] = {}
-        hopeful: dict[tuple[int, int], bool] = {}  # whether all of a text has enough of an item's words
         for d, s, i, c in zip(doc.tolist(), start.tolist(), item.tolist(), cosine.tolist(), strict=True):
-            if (enough := hopeful.get((d, i))) is None:
-                if d not in whole:
-                    whole = {d: set(w.hashes[w.first[d] : w.first[d + 1]].tolist())}  # candidates come text by text
-                enough = hopeful[d, i] = self._present(i, whole[d]) >= PARAPHRASE * len(self._wanted[i])
-            if enough and (shares := self._passes(i, around(d, s, i))):
+            if (d, i) in pairs and (shares := self._passes(i, around(d, s, i))):
                 keep(d, i, c, *shares)
-        for index, spans in near:
-            for d, number, i in spans:
-                low, end = number * index.half, int(w.first[d + 1] - w.first[d])
-                if not self._common(i, w.hashes[w.first[d] + low : w.first[d] + min(end, low + 2 * index.half)].tolist()):
-                    continue
-                size = len(self._wanted[i])
-                for s in range(-(-(low + size) // BLOCK) * BLOCK if number else 0, min(end, low + index.half + size), BLOCK):
-                    if shares := self._passes(i, around(d, s, i)):
-                        keep(d, i, self._cosine(i, w.hashes[w.first[d] + s : min(w.first[d + 1], w.first[d] + s + BLOCK * BLOCKS)].tolist()), *shares)
+        for index, d, number, i in near:
+            low, end, size = number * index.half, int(w.first[d + 1] - w.first[d]), len(self._wanted[i])
+            for s in range(-(-(low + size) // BLOCK) * BLOCK if number else 0, min(end, low + index.half + size), BLOCK):
+                if shares := self._passes(i, around(d, s, i)):
+                    keep(d, i, self._cosine(i, w.hashes[w.first[d] + s : min(w.first[d + 1], w.first[d] + s + BLOCK * BLOCKS)].tolist()), *shares)
         return best
 
 
