@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.llm import text as T
-from tracklume.llm.scratch import Scratch
+from tracklume.llm.scratch import Scratch, small_batches
 
 #: Hashed terms, words of a block, blocks of a passage (which starts at every block).
 TERMS, BLOCK, BLOCKS = 1 << 18, 16, 2
@@ -55,7 +55,7 @@ PART_ITEMS, PART_BYTES = 25_000, 16 << 20
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.6, 0.8
 #: Bytes of text that are worked on at a time: what is held of them are arrays of some times their size.
 CHUNK_BYTES = 1 << 20
-_PROJECT_ROWS, _FEW, _ENTRIES, _PAIR_ROWS = 1 << 12, 64, 1 << 20, 1 << 16
+_PROJECT_ROWS, _FEW, _ENTRIES, _PAIR_ROWS = 1 << 12, 64, 1 << 20, 1 << 13
 _SENTENCE = re.compile(r"[.!?]+\s+")
 
 
@@ -87,7 +87,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[counts[some], rows])], names=["term", "n"])
 
-    found = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    with small_batches(texts.sparkSession):
+        found = found.toPandas()
     counts = np.zeros(TERMS, np.int64)
     terms, n = found["term"].to_numpy(int), found["n"].to_numpy(int)
     counts[terms[terms >= 0]] = n[terms >= 0]
@@ -158,22 +160,31 @@ def _slice(a: int, rows: np.ndarray) -> pa.RecordBatch:
 
 def _gathered(slices: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     out = np.zeros(shape, np.float32)
-    for r in slices.collect():
+    with small_batches(slices.sparkSession):
+        found = slices.collect()
+    for r in found:
         rows = np.frombuffer(r["part"], np.float32).reshape(-1, shape[1])
         out[r["a"] : r["a"] + len(rows)] = rows
     return out
 
 
-def _added(passages: DataFrame, held: Broadcast, shape: tuple[int, int], add: Callable[[np.ndarray, tuple, pa.Array, np.ndarray], None], mirrored: bool = False) -> DataFrame:
-    """Slices of what ``add`` adds to a matrix of ``shape`` for each chunk of (text, weight), and its transpose if ``mirrored``: each task adds up its own, slices of which are added over tasks."""
+def _triangle(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The places of a symmetric matrix's entries in an array that holds each of them once."""
+    high = np.maximum(i, j)
+    return high * (high + 1) // 2 + np.minimum(i, j)
+
+
+def _added(passages: DataFrame, held: Broadcast, shape: tuple[int, int], add: Callable[[np.ndarray, tuple, pa.Array, np.ndarray], None], symmetric: bool = False) -> DataFrame:
+    """Slices of what ``add`` adds to a matrix of ``shape`` (a ``_triangle`` if ``symmetric``) for each chunk of (text, weight): each task adds up its own, slices of which are added over tasks."""
     step = _step(shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        n = shape[0]
+        total = np.zeros(n * (n + 1) // 2 if symmetric else shape)
         for chunk in T.chunks(batches, size=CHUNK_BYTES):
             add(total, held.value, chunk.column(0), chunk.column(1).to_numpy())
         for a in range(0, shape[0], step):
-            yield _slice(a, total[a : a + step] + total[:, a : a + step].T if mirrored else total[a : a + step])
+            yield _slice(a, total[_triangle(np.arange(a, min(a + step, n))[:, None], np.arange(n))] if symmetric else total[a : a + step])
 
     def merge(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_slice(table["a"][0].as_py(), sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["part"]))])
@@ -205,7 +216,8 @@ class Products:
 
     def __init__(self, slices: DataFrame, terms: int):
         self.scratch, self.terms = Scratch(slices.sparkSession, "products"), terms
-        self.slices = self.scratch.write(slices, "slices")
+        with small_batches(slices.sparkSession):
+            self.slices = self.scratch.write(slices, "slices")
 
     def __matmul__(self, matrix: np.ndarray) -> np.ndarray:
         held, terms = self.slices.sparkSession.sparkContext.broadcast(matrix.astype(np.float32)), self.terms
@@ -236,15 +248,15 @@ def _products(passages: DataFrame, idf: np.ndarray, place: np.ndarray, terms: in
         alone = squares + np.r_[np.zeros(min(1, len(both))), both[:-1]]  # of the passages that hold a block
         known = place[numbers] >= 0
         block, column, value = block[known], place[numbers[known]].astype(np.int64), idf[numbers[known]].astype(np.float64)
-        # An entry's products with itself and all after it in its block and the next one; the others are the transpose.
+        # An entry's products with itself and all after it in its block and the next one; those with the ones before are the same.
         size = np.searchsorted(block, block + paired[block], "right") - np.arange(len(block))
         for a in range(0, len(block), _PAIR_ROWS):
             part = slice(a, a + _PAIR_ROWS)
             one = np.repeat(np.arange(a, min(a + _PAIR_ROWS, len(block))), size[part])
             other = np.arange(len(one)) - np.repeat(np.cumsum(size[part]) - size[part] - np.arange(a, a + len(size[part])), size[part])
             product = value[one] * value[other] * np.where(block[one] == block[other], alone[block[one]], both[block[one]])
-            product[one == other] /= 2
-            np.add.at(total.reshape(-1), column[one] * terms + column[other], product)
+            product[(one != other) & (column[one] == column[other])] *= 2  # both orders are one place
+            np.add.at(total, _triangle(column[one], column[other]), product)
 
     spark = passages.sparkSession
     # A task a core: each sends a whole matrix, however many rows it has read.
