@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
+import numpy as np
 
 #: Words whose ids a worker keeps; beyond them the table is begun anew.
 KEPT_WORDS = 400_000
@@ -118,3 +120,77 @@ def piece_bytes(path: str) -> list[bytes]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     return [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i in range(model.get_piece_size()) for x in [model.id_to_piece(i)]]
+
+
+#: Letters before U+0250, and ASCII that is neither a letter nor a space.
+_LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
+#: Where no token of either tokenizer goes on: before a space that follows no white space, between a letter and a mark, between a mark (no apostrophe) or a single line break and a letter.
+_CUTS = rf"(?<=[!-~\u00a1-\u024f])(?= )|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[!-&(-@\[-`{{-~])(?=[{_LETTER}])|(?<=[!-~\u00a1-\u024f]\n)(?=[{_LETTER}])"
+parts_of = re.compile(rf" ?[{_LETTER}]+(?=[ {_MARK}]|\Z)|(?s:.)+?(?:{_CUTS}|\Z)").findall
+#: Parts, and ids of a side, that a worker keeps; beyond them the table is begun anew.
+KEPT_PARTS, KEPT_IDS = 400_000, 4_000_000
+
+
+class Parts(dict):
+    """From a part of a text (see ``parts_of``) to its number; what is missing is encoded by both sides, and its ids are appended to theirs.
+
+    Side A gives the ids of a text as it is, side B those of a space and the text.
+    """
+
+    def __init__(self, a: tuple[Callable[[str], list[int]], list[bytes]], b: tuple[Callable[[str], list[int]], list[bytes]]):
+        super().__init__()
+        self.encode, self.tables = (a[0], b[0]), (a[1], b[1])
+        self.before = {x: len(b[0](x)) for x in ("a", ".")}
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        self.ids, self.ends, self.good = (array("q"), array("q")), (array("q", [0]), array("q", [0])), array("b")
+
+    def add(self, part: str) -> int:
+        a, b = self.encode
+        # Side B puts a space: what begins without one is encoded behind a character that it can't be merged with.
+        behind = "" if part[0] == " " else "." if part[0].isalpha() else "a"
+        found = a(part), b(behind + part)[self.before[behind] :] if behind else b(part[1:])
+        good = all(b"".join(map(table.__getitem__, x)) == part.encode() for x, table in zip(found, self.tables, strict=True))
+        for ids, ends, new in zip(self.ids, self.ends, found, strict=True):
+            ids.extend(new if good else ())
+            ends.append(len(ids))
+        self.good.append(good)
+        return len(self.good) - 1
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = self.add(part)
+        return number
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both sides' ids of a space and each text, and how many each has; none where a side's bytes are others."""
+        if len(self) > KEPT_PARTS or max(map(len, self.ids)) > KEPT_IDS:
+            self.begin()
+        numbers, first = array("q"), [0]
+        for text in texts:
+            if text:
+                whole = not text.isascii() and FAR.search(text)
+                found = [self.add(f" {text}")] if whole else list(map(self.__getitem__, parts_of(f" {text}")))
+                if not whole and not all(map(self.good.__getitem__, found)):
+                    found = [self.add(f" {text}")]  # a part isn't given back: the libraries decide on the text
+                numbers.extend(found)
+            first.append(len(numbers))
+        chosen, out = np.array(numbers, np.int64), []
+        for ids, ends in zip(self.ids, self.ends, strict=True):
+            ids, ends = np.array(ids), np.array(ends)
+            size = ends[chosen + 1] - ends[chosen]
+            after = np.r_[0, np.cumsum(size)]
+            at = np.arange(after[-1]) + np.repeat(ends[chosen] - after[:-1], size)
+            out += [ids[at], np.diff(after[first])]
+        return tuple(out)
+
+
+@cache
+def divisible(path: str) -> bool:
+    """Whether no piece of a ``sentencepiece`` model crosses one of the cuts of ``parts_of``."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
+    return not any("\u2581" in x.lstrip("\u2581") or any(map(str.isalpha, x)) and any(c.isascii() and not c.isalpha() for c in x) for x in own)
