@@ -151,7 +151,7 @@ _SLICES = "a long, part binary"
 
 def _step(width: int) -> int:
     """Rows of a slice of a matrix."""
-    return max(1, (1 << 20) // width)
+    return max(1, (1 << 18) // width)
 
 
 def _slice(a: int, rows: np.ndarray) -> pa.RecordBatch:
@@ -286,7 +286,7 @@ def latent_space(docs: DataFrame, items: list[str], seed: int = 7) -> Space:
     place = np.full(TERMS, -1, np.int32)
     place[vocabulary] = np.arange(len(vocabulary))
     dims = min(DIMENSIONS, len(vocabulary))
-    bench = spark.createDataFrame([(x, BENCHMARK_WEIGHT) for x in items], "text string, weight double")
+    bench = spark.createDataFrame(pa.table({"text": pa.array(items, pa.string()), "weight": np.full(len(items), BENCHMARK_WEIGHT)}))
     passages = docs.where("text is not null").select("text", F.lit(1.0).alias("weight")).union(bench)
     # Range finder with one power step: the sums are A^T A times the last basis.
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), dims)))[0] if dims else np.zeros((0, 0))

@@ -42,6 +42,8 @@ MAX_FREQUENT = 1 << 19
 COUNTED_TOGETHER, FREQUENT_AMONG = 1 << 21, 4
 #: Seeds of the token orders.
 ORDERS = (1, 2, 3)
+#: Bytes of text whose sets are made at a time: their arrays are some twenty times as large.
+SET_BYTES = 1 << 20
 #: Bits of the filter that leaves most texts out before those of candidates are shuffled; when it is full, all are.
 FETCH_BITS = 1 << 23
 #: Rounds of pivots go on while pairs that are left are more than so many times the rows they come from, and a round takes away at least this share.
@@ -224,7 +226,7 @@ def signatures(texts: DataFrame, n: int, percent: int, id_bits: int) -> DataFram
             row = [*[None] * 6, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], names=_NAMES)
 
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(batches, size=SET_BYTES):
             sets, names = shingle_sets(chunk.column(1), n), digests(chunk.column(1))
             seen.append(sets.tokens)
             none = [None] * chunk.num_rows
@@ -277,12 +279,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_bits:
     frequent = spark.sparkContext.broadcast(frequent_tokens(signed))
     signed = signed.where("node is not null")
     if taken := taken_ids(signed, id_bits):
-        other = spark.createDataFrame(list(taken.items()), "digest binary, other long")
+        other = spark.createDataFrame(pa.table({"digest": pa.array(taken.keys(), pa.binary()), "other": pa.array(taken.values(), pa.int64())}))
         signed = signed.join(F.broadcast(other), "digest", "left").withColumn("node", F.coalesce("other", "node")).drop("other")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(batches, size=SET_BYTES):
             found = digests(chunk.column(1))
             _, once = np.unique(np.array(found, "S16"), return_index=True)
             part = chunk.take(pa.array(np.sort(once)))
@@ -354,7 +356,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_bits:
     ranks = ranks.select("node", F.shiftleft("share", 48).bitwiseOR(F.shiftright("node", 15)).alias("rank"))
     open_ = scratch.write(shared.join(ranks, "node").select("key", "node", "n", "at", "rank", F.col("node").alias("label")), "open-0")
     as_y = [F.col("node").alias("y"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("label").alias("other")]
-    labels = spark.createDataFrame([], "node long, label long")
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))
     before = float("inf")
 
     def joined(found: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ themselves, for what is decided by words and not only found by them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -85,8 +86,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)), offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Memory that arrays have left free goes back to the system: a Python worker outlives its tasks, and would hold the most that any of them needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut where their texts pass ``size`` bytes."""
+    """The batches, cut where their texts pass ``size`` bytes; memory is given back behind the last one."""
     for batch in batches:
         _, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
@@ -94,6 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def words(texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACE) -> Words:
