@@ -10,7 +10,7 @@ from made_tables import EVENTS, event, written
 from oracle import same
 from tracklume.plans import geometry_queries as G
 
-COPIED = ["circle_clearance"]
+COPIED = ["circle_clearance", "circle_rect_clearance"]
 
 
 def _copies(times, shift=3200, objects=7, n=60, values=9.0):
