@@ -8,6 +8,7 @@ import pytest
 
 from made_tables import EVENTS, event, written
 from oracle import same
+from tracklume.plans import contact_queries as C
 from tracklume.plans import geometry_queries as G
 
 COPIED = ["circle_clearance", "circle_rect_clearance"]
@@ -40,3 +41,28 @@ def test_shares_of_a_place(spark, tmp_path, monkeypatch, name):
     rows = _copies(7) + [(None, *event(0, 0.5, 3, kind, 5.0)[1:]) for kind in ("purchase", "purchase", "view", "click")]
     folder, db = written(spark, tmp_path, events=(rows, EVENTS))
     same(G.QUERIES[name], G.ORACLE[name], spark, folder, db)
+
+
+def test_rectangles_move_with_the_input(spark, tmp_path):
+    """Eight times the poses: what is shuffled doesn't grow with the pairs."""
+    store, sent = spark.sparkContext._jsc.sc().statusStore(), []
+    for times in (5, 40):
+        folder, _ = written(spark, tmp_path / str(times), events=(_copies(times, shift=3203, objects=1), EVENTS))
+        before = _stages(spark, store)
+        C.near_rectangles(spark, folder).write.parquet(f"{tmp_path}/out-{times}")
+        sent.append(sum(s.shuffleWriteRecords() for k, s in _stages(spark, store).items() if k not in before))
+    assert spark.read.parquet(f"{tmp_path}/out-40").count() > 20 * 40 * len(_copies(1))
+    assert sent[1] < 10 * sent[0] and sent[1] < 20 * len(_copies(40))
+
+
+def test_rectangles_of_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(G, "COPIES", 3)
+    rows = _copies(7, values=60.0) + [(None, *event(0, 0.5, 3, kind, 5.0)[1:]) for kind in ("purchase", "view")] + [event(60 + i, 0.5, 1, kind, None) for i, kind in enumerate(("purchase", "view"))]
+    folder, db = written(spark, tmp_path, events=(rows, EVENTS))
+    same(C.near_rectangles, C.ORACLE["near_rectangles"], spark, folder, db)
+
+
+def _stages(spark, store):
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    found = store.stageList(None, False, False, none, None)
+    return {found.apply(i).stageId(): found.apply(i) for i in range(found.size())}

@@ -11,7 +11,7 @@ from tracklume.functions.footprints import Shape, with_clearance
 from tracklume.operators import contacts as C
 from tracklume.operators import grids as B
 from tracklume.operators import tracks as K
-from tracklume.plans.geometry_queries import POINTS, RESOLUTION, SIDE, points
+from tracklume.plans.geometry_queries import POINTS, RESOLUTION, SIDE, gathered, points
 from tracklume.plans.track_queries import HOUR, KEYS, PAIRS, segmented
 from tracklume.sources.shared_tables import SharedTables
 
@@ -23,28 +23,26 @@ def _posed(rows, prefix):
     return rows.select("hour", F.col("event_id").alias(prefix), *(F.col(c).alias(f"{prefix}{c}") for c in ("x", "y", "yaw")))
 
 
-def _places(rows, prefix):
-    """The different poses of an hour, with the cosine and sine of their yaw; null hours meet nothing."""
+def _poses(rows, prefix):
+    """The different poses of an hour with their events, and the cosine and sine of their yaw."""
     yaw = F.col(f"{prefix}yaw")
-    return rows.where("hour is not null").drop(prefix).distinct().withColumns({f"{prefix}cos": F.cos(yaw), f"{prefix}sin": F.sin(yaw)})
+    return gathered(_posed(rows, prefix), prefix).withColumns({f"{prefix}cos": F.cos(yaw), f"{prefix}sin": F.sin(yaw)})
 
 
 def near_rectangles(spark, sf_dir):
     """Purchases as large rectangles and the other events of their hour as small ones, where they are within two metres: their clearance.
 
-    Clearances are worked out once for two poses, and events take those of
-    theirs.  All is dealt by hours, in as many parts as the session has for a
-    shuffle.
+    Only poses are moved, with their events.  Clearances are worked out once
+    for two poses as these meet in a tile, and events come from their poses.
     """
-    p, n = points(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    large, small = _posed(p.where("kind = 'purchase'"), "a"), _posed(p.where("kind <> 'purchase'"), "b")
+    p = points(spark, sf_dir)
     a, b = (replace(Shape.named(x, *size), turn=(F.col(f"{x}cos"), F.col(f"{x}sin"))) for x, size in (("a", BIG), ("b", SMALL)))
     box = C.grown(a.box(), REACH + b.reach())
-    met = C.box_join(_places(large, "a").repartition(n, "hour"), _places(small, "b").repartition(n, "hour"), ["hour"], box, F.col("bx"), F.col("by"), TILE)
-    # Written before the filter, so that a clearance is worked out once.
-    told = SharedTables(spark, "rectangles").write(with_clearance(met.repartition(n, "hour", "ax", "ay"), a, b, "c").select("hour", *(f"{x}{c}" for x in "ab" for c in ("x", "y", "yaw")), "c"), "places").where(F.col("c") <= REACH)
-    first = large.repartition(n, "hour").join(told, ["hour", "ax", "ay", "ayaw"])
-    return first.join(small.repartition(n, "hour").hint("merge"), ["hour", "bx", "by", "byaw"]).select("a", "b", F.round("c", 6).alias("clearance"), (F.col("c") <= 1e-9).alias("contact"))
+    met = C.box_join(_poses(p.where("kind = 'purchase'"), "a"), _poses(p.where("kind <> 'purchase'"), "b").hint("merge"), ["hour"], box, F.col("bx"), F.col("by"), TILE)
+    # Poses too far apart have no event: a filter of clearances would work them out once more.
+    told = with_clearance(met, a, b, "c").select(F.when(F.col("c") <= REACH, F.col("as")).alias("as"), "bs", F.round("c", 6).alias("clearance"), (F.col("c") <= 1e-9).alias("contact"))
+    first = told.select("bs", "clearance", "contact", F.inline_outer("as")).where("a is not null")
+    return first.select("a", "clearance", "contact", F.inline("bs")).select("a", "b", "clearance", "contact")
 
 
 def rectangle_rasters(spark, sf_dir):
